@@ -72,24 +72,24 @@ def gradient(x: np.ndarray, y: np.ndarray, flat: np.ndarray, sizes: list[int], l
     return np.concatenate(parts)
 
 
-def adam_pass(x, y, flat, sizes, *, rate: float, seed: int, l2: float, start: int) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    order = rng.permutation(len(y))
-    flat = flat.copy()
-    m, v = np.zeros_like(flat), np.zeros_like(flat)
-    for t, at in enumerate(range(0, len(y), BATCH), start=1):
-        pick = order[at : at + BATCH]
-        g = gradient(x[pick], y[pick], flat, sizes, l2)
-        m = 0.9 * m + 0.1 * g
-        v = 0.999 * v + 0.001 * g * g
-        flat -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return flat
-
-
-def _arrays(frames: list[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
-    x = np.concatenate([np.stack(f["x"].to_numpy()) for f in frames])
-    y = np.concatenate([f["y"].to_numpy(dtype=float) for f in frames])
-    return x, y
+class Adam:
+    """Weights with their running moments, fed one block of rows at a time."""
+
+    def __init__(self, flat: np.ndarray, sizes: list[int], rate: float, l2: float, seed: int):
+        self.flat, self.sizes, self.rate, self.l2 = flat.copy(), sizes, rate, l2
+        self.m, self.v, self.t = np.zeros_like(flat), np.zeros_like(flat), 0
+        self.rng = np.random.default_rng(seed)
+
+    def learn(self, x: np.ndarray, y: np.ndarray) -> None:
+        order = self.rng.permutation(len(y))
+        for at in range(0, len(y), BATCH):
+            pick = order[at : at + BATCH]
+            g = gradient(x[pick], y[pick], self.flat, self.sizes, self.l2)
+            self.t += 1
+            self.m = 0.9 * self.m + 0.1 * g
+            self.v = 0.999 * self.v + 0.001 * g * g
+            step = self.m / (1 - 0.9**self.t)
+            self.flat -= self.rate * step / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
 
 
 def _one_round(rows: DataFrame, flat: np.ndarray, sizes, rate: float, seed: int, l2: float) -> np.ndarray:
@@ -97,16 +97,13 @@ def _one_round(rows: DataFrame, flat: np.ndarray, sizes, rate: float, seed: int,
 
     def local_pass(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """One batch at a time, so a task's memory does not grow with its partition."""
-        current, seen, at = shared.value, 0, 0
+        adam, seen = Adam(shared.value, sizes, rate, l2, seed), 0
         for frame in frames:
-            if not len(frame):
-                continue
-            x, y = _arrays([frame])
-            current = adam_pass(x, y, current, sizes, rate=rate, seed=seed + at, l2=l2, start=at)
-            seen += len(y)
-            at += 1
+            if len(frame):
+                adam.learn(np.stack(frame["x"].to_numpy()), frame["y"].to_numpy(dtype=float))
+                seen += len(frame)
         if seen:
-            yield pd.DataFrame({"pos": np.arange(len(current)), "w": current * seen, "n": float(seen)})
+            yield pd.DataFrame({"pos": np.arange(len(adam.flat)), "w": adam.flat * seen, "n": float(seen)})
 
     summed = (
         rows.select("x", "y")

@@ -53,6 +53,13 @@ class FittedModel:
     def core(self):
         return self.pipeline.stages[-1]
 
+    def margins(self, df: DataFrame) -> DataFrame:
+        """Adds ``margin``: the raw score of the positive class of two."""
+        raw = self.pipeline.transform(df)
+        return raw.select(
+            *[F.col(f"`{c}`") for c in df.columns], vector_to_array("rawPrediction")[1].alias("margin")
+        )
+
     def transform(self, df: DataFrame) -> DataFrame:
         raw = self.pipeline.transform(df)
         kept = [F.col(f"`{c}`") for c in df.columns if c not in ("prediction", "score")]

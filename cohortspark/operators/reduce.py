@@ -5,8 +5,9 @@ Samples carry their features in one ``ARRAY<DOUBLE>`` column.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 from pyspark.ml.feature import PCA, PCAModel
@@ -40,23 +41,16 @@ class Slot:
 
 
 def _slot_values(v: Column, slots: Sequence[Slot]) -> Column:
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(s.position).alias("p"),
-                F.lit(s.flag).alias("f"),
-                F.lit(s.median).alias("d"),
-                F.lit(s.mean).alias("m"),
-                F.lit(s.std).alias("s"),
-            )
-            for s in slots
-        ]
+    # One constant instead of thousands of literals keeps the plan small for wide matrices.
+    packed = json.dumps([asdict(s) for s in slots])
+    table = F.from_json(
+        F.lit(packed), "array<struct<position:int,flag:boolean,median:double,mean:double,std:double>>"
     )
 
     def one(s: Column) -> Column:
-        raw = _clean(F.get(v, s["p"]))
-        value = F.when(s["f"], raw.isNull().cast("double")).otherwise(F.coalesce(raw, s["d"]))
-        return (value - s["m"]) / s["s"]
+        raw = _clean(F.get(v, s["position"]))
+        value = F.when(s["flag"], raw.isNull().cast("double")).otherwise(F.coalesce(raw, s["median"]))
+        return (value - s["mean"]) / s["std"]
 
     return F.transform(table, one)
 
