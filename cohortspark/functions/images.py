@@ -23,6 +23,10 @@ def image_column(data: Column, height: int, width: int, channels: int | None = N
     )
 
 
+def _channel(v: Column, c: int, channels: int) -> Column:
+    return F.filter(v, lambda _, i: F.pmod(i, F.lit(channels)) == c)
+
+
 def image_statistics(df: DataFrame, id: str, image: str, channels: int | None = None) -> DataFrame:
     """Shape plus global mean and std; per-channel ones for images with a channel axis.
 
@@ -39,7 +43,7 @@ def image_statistics(df: DataFrame, id: str, image: str, channels: int | None =
     v = F.col("v")
     out = [mean_of(v).alias("global_mean"), spread_of(v).alias("global_std")]
     for c in range(channels or 0):
-        part = F.filter(v, lambda x, i, c=c: F.pmod(i, F.lit(channels)) == c)
+        part = _channel(v, c, channels)
         out += [mean_of(part).alias(f"channel_{c}_mean"), spread_of(part).alias(f"channel_{c}_std")]
     return base.select(id, "height", "width", "channels", *out)
 
