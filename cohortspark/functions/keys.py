@@ -15,9 +15,27 @@ def seeded_md5(seed: int | str, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
+HEX_DIGITS = 15
+
+
 def shuffle_key(seed: int | str, key: Column) -> Column:
-    """First 60 bits of the seeded md5 as a non-negative BIGINT (NULL for a NULL key)."""
-    return F.conv(F.substring(seeded_md5(seed, key), 1, 15), 16, 10).cast("bigint")
+    """First 15 hex digits of the seeded md5 (NULL for a NULL key).
+
+    Fixed-length hex text sorts like the number it spells, without converting it.
+    """
+    return F.substring(seeded_md5(seed, key), 1, HEX_DIGITS)
+
+
+def hex_number(key: Column) -> Column:
+    return F.conv(key, 16, 10).cast("bigint")
+
+
+def hash_bucket(key: Column, rows: int, per_bucket: int) -> Column:
+    """A prefix of the key long enough that ``rows`` spread to about ``per_bucket`` a bucket."""
+    digits = 0
+    while per_bucket * 16**digits < rows:
+        digits += 1
+    return F.substring(key, 1, min(digits, HEX_DIGITS)) if digits else F.lit("")
 
 
 def hash32(text: Column) -> Column:

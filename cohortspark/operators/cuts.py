@@ -22,6 +22,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortspark.functions.keys import hex_number
+from cohortspark.functions.literals import sql_literal
+
 BINS = 4096
 RANKABLE = 200_000
 STRING_BLOCKS = 8  # text keys are narrowed seven bytes at a time
@@ -61,10 +64,12 @@ def _text_block(col: Column, block: int) -> Column:
 
 
 def _digits(keyed: DataFrame, names: Sequence[str]) -> list[Column]:
-    """Order-preserving integers, most significant first."""
+    """Order-preserving integers, most significant first.  A ``key`` column is hex text."""
     out: list[Column] = []
     for name in names:
-        if isinstance(keyed.schema[name].dataType, T.StringType):
+        if name == "key":
+            out.append(hex_number(F.col(name)))
+        elif isinstance(keyed.schema[name].dataType, T.StringType):
             out += [_text_block(F.col(name), b) for b in range(STRING_BLOCKS)]
         else:
             out.append(F.col(name).cast("bigint"))
@@ -212,30 +217,48 @@ def _rank_rest(keyed, digits, names, searches, stratified) -> dict[tuple, tuple]
     return {k: at[windows[s.window], s.local] for k, s in searches.items()}
 
 
-def at_or_before(order: dict[str, Column], key: tuple | None, schema_of: Sequence[str]) -> Column:
-    """Rows whose order columns are not greater than ``key``; none when there is no key."""
+def _at_or_before(cols: Sequence[str], key: tuple | None) -> str:
+    """Lexicographic ``cols <= key``; nothing is before a missing key."""
     if key is None:
-        return F.lit(False)
-    cols = list(order.values())
-    before = F.lit(False)
-    equal = F.lit(True)
-    for col, value, dtype in zip(cols, key, schema_of, strict=True):
-        bound = F.lit(value).cast(dtype)
-        before = before | (equal & (col < bound))
-        equal = equal & (col == bound)
-    return before | equal
+        return "false"
+    verdict = f"{cols[-1]} <= {sql_literal(key[-1])}"
+    for col, value in reversed(list(zip(cols, key, strict=True))[:-1]):
+        bound = sql_literal(value)
+        verdict = f"({col} < {bound} or ({col} = {bound} and {verdict}))"
+    return verdict
 
 
-def order_types(df: DataFrame, order: dict[str, Column]) -> list[str]:
-    return [f.dataType.simpleString() for f in df.select(*[c.alias(n) for n, c in order.items()]).schema]
+def _banded(cols: Sequence[str], keys: Sequence[tuple | None], labels: Sequence[Any]) -> str:
+    last = sql_literal(labels[-1])
+    arms = [
+        f"when {_at_or_before(cols, key)} then {sql_literal(label)}"
+        for key, label in zip(keys, labels, strict=False)
+    ]
+    return f"case {' '.join(arms)} else {last} end" if arms else last
 
 
-def banded(df: DataFrame, order: dict[str, Column], keys: Sequence[tuple | None], labels: Sequence[Any]) -> Column:
-    """``labels[i]`` up to ``keys[i]`` (ascending cuts), the last label beyond all cuts."""
-    types = order_types(df, order)
-    chain = None
-    for key, label in zip(keys, labels, strict=False):
-        hit = at_or_before(order, key, types)
-        chain = F.when(hit, F.lit(label)) if chain is None else chain.when(hit, F.lit(label))
-    last = F.lit(labels[-1])
-    return last if chain is None else chain.otherwise(last)
+def label_rows(
+    df: DataFrame,
+    name: str,
+    order: dict[str, Column],
+    cuts: Cuts,
+    labels: Sequence[Any],
+    *,
+    stratum: str | None = None,
+) -> DataFrame:
+    """Adds column ``name``: ``labels[i]`` up to the i-th cut, the last label beyond all cuts.
+
+    The order columns are projected once, so a key is hashed once per row however
+    many cuts it is compared with.
+    """
+    held = {f"__order_{n}": c for n, c in order.items()}
+    cols = list(held)
+    if stratum is None:
+        label = _banded(cols, cuts.keys.get(None, []), labels)
+    else:
+        arms = [
+            f"when `{stratum}` = {sql_literal(value)} then {_banded(cols, keys, labels)}"
+            for value, keys in cuts.keys.items()
+        ]
+        label = f"case {' '.join(arms)} else {sql_literal(labels[-1])} end" if arms else sql_literal(labels[-1])
+    return df.withColumns(held).withColumn(name, F.expr(label)).drop(*held)

@@ -7,10 +7,10 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.functions.keys import shuffle_key
+from cohortspark.functions.keys import hash_bucket, shuffle_key
 from cohortspark.operators.bounded import broadcast_if_small
-from cohortspark.operators.cuts import banded, cut_points
-from cohortspark.operators.splits import _require, _shuffled, by_stratum
+from cohortspark.operators.cuts import cut_points, label_rows
+from cohortspark.operators.splits import _require, _shuffled
 
 RANKED_TOGETHER = 200_000
 
@@ -38,7 +38,7 @@ def kfold(df: DataFrame, id: str, k: int = 5, *, seed: int = 42) -> DataFrame:
         return {None: list(accumulate(per_fold))[:-1]}
 
     cuts = cut_points(df, order, ranks, null_key="row ids contain missing values")
-    return df.withColumn("fold", banded(df, order, cuts.keys[None], _labels(k)))
+    return label_rows(df, "fold", order, cuts, _labels(k))
 
 
 def stratified_allocation(sizes: dict, k: int) -> dict:
@@ -75,7 +75,7 @@ def stratified_kfold(df: DataFrame, id: str, target: str, k: int = 5, *, seed: i
     cuts = cut_points(
         df, order, ranks, stratum=F.col(target), null_key="row ids contain missing values"
     )
-    return df.withColumn("fold", by_stratum(df, target, order, cuts, _labels(k)))
+    return label_rows(df, "fold", order, cuts, _labels(k), stratum=target)
 
 
 def pack_size_classes(class_counts: dict[int, int], k: int) -> list[tuple[int, int, list[int]]]:
@@ -128,14 +128,11 @@ def group_folds(df: DataFrame, group: str, k: int = 5, *, seed: int = 42) -> Dat
         raise ValueError(f"{n_groups} groups cannot fill {k} folds")
     runs = pack_size_classes({r["n_rows"]: r["groups"] for r in histogram}, k)
 
-    buckets = max(1, min(4096, -(-n_groups // RANKED_TOGETHER)))
-    width = -(-(1 << 60) // buckets)
-    keyed = sizes.withColumn("key", shuffle_key(seed, F.col(group))).withColumn(
-        "bucket", F.expr(f"key div {width}L")
-    )
+    keyed = sizes.withColumn("key", shuffle_key(seed, F.col(group)))
+    keyed = keyed.withColumn("bucket", hash_bucket(F.col("key"), n_groups, RANKED_TOGETHER))
     within = Window.partitionBy("n_rows", "bucket").orderBy("key", group)
     ranked = keyed.withColumn("rank", F.row_number().over(within) - 1)
-    if buckets > 1:
+    if n_groups > RANKED_TOGETHER:
         earlier = Window.partitionBy("n_rows").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         offsets = (
             keyed.groupBy("n_rows", "bucket")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.functions.keys import shuffle_key
+from cohortspark.functions.keys import hash_bucket, shuffle_key
 from cohortspark.operators.metrics import classification_metrics, ranking_metrics, regression_metrics
 
 BUCKET_ROWS = 100_000
@@ -36,12 +36,11 @@ def with_donors(df: DataFrame, id: str, columns: Sequence[str], repeats: int, *,
     if repeats < 1:
         raise ValueError("at least one repeat is needed")
     rows = df.count()
-    width = -(-(1 << 60) // max(1, -(-rows // BUCKET_ROWS)))
     each = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
     keyed = each.withColumn(
         "__key", shuffle_key(seed, F.concat(F.col("repeat").cast("string"), F.lit(":"), F.col(id).cast("string")))
     )
-    ring = Window.partitionBy("repeat", F.expr(f"__key div {width}L")).orderBy("__key", id)
+    ring = Window.partitionBy("repeat", hash_bucket(F.col("__key"), rows, BUCKET_ROWS)).orderBy("__key", id)
     values = F.struct(*[F.col(f"`{c}`") for c in columns])
     donor = F.coalesce(F.lead(values).over(ring), F.first(values).over(ring))
     return keyed.withColumn("donor", donor).drop("__key")

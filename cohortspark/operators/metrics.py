@@ -61,28 +61,35 @@ def sensitivity_specificity(df: DataFrame, y: str, prediction: str, positive, by
     )
 
 
-def _binned(df: DataFrame, score: str) -> DataFrame:
+def _binned(df: DataFrame, score: str, n_rows: int | None) -> DataFrame:
     """Scores in ascending bins small enough to be sorted in one task each.
 
     Edges are quantiles of the rows (a mergeable sketch); since equal scores are
     merged before ranking, a bin never holds much more than its share of distinct ones.
     """
-    head = df.agg(F.count(F.lit(1)).alias("n")).first()
-    bins = min(MOST_BINS, -(-head["n"] // RANKED_TOGETHER))
+    if n_rows is None:
+        n_rows = df.count()
+    bins = min(MOST_BINS, -(-n_rows // RANKED_TOGETHER))
     if bins < 2:
         return df.withColumn("bin", F.lit(0.0))
     marks = [i / bins for i in range(1, bins)]
     edges = df.agg(F.percentile_approx(score, marks, 10_000).alias("e")).first()["e"]
-    splits = [-float("inf"), *sorted(set(edges)), float("inf")]
-    cutter = Bucketizer(splits=splits, inputCol=score, outputCol="bin")
-    return cutter.transform(df)
+    splits = [-float("inf"), *sorted(set(edges or ())), float("inf")]
+    if len(splits) < 3:
+        return df.withColumn("bin", F.lit(0.0))
+    return Bucketizer(splits=splits, inputCol=score, outputCol="bin").transform(df)
+
 
+def score_ladder(
+    df: DataFrame, y: str, score: str, positive, by: Sequence[str] = (), *, n_rows: int | None = None
+) -> DataFrame:
+    """Distinct scores with their positives and negatives and the totals at lower scores.
 
-def score_ladder(df: DataFrame, y: str, score: str, positive, by: Sequence[str] = ()) -> DataFrame:
-    """Distinct scores with their positives and negatives and the totals at lower scores."""
+    ``n_rows`` is an upper bound of the rows, if known, and spares a count.
+    """
     by = list(by)
     rows = df.select(*by, (F.col(y) == F.lit(positive)).alias("pos"), F.col(score).cast("double").alias("score"))
-    rows = _binned(rows.where(F.col("score").isNotNull() & ~F.isnan("score") & F.col("pos").isNotNull()), "score")
+    rows = _binned(rows.where(F.col("score").isNotNull() & ~F.isnan("score") & F.col("pos").isNotNull()), "score", n_rows)
     counted = rows.groupBy(*by, "bin", "score").agg(
         F.count_if(F.col("pos")).alias("pos"), F.count_if(~F.col("pos")).alias("neg")
     )
@@ -118,9 +125,11 @@ def score_ladder(df: DataFrame, y: str, score: str, positive, by: Sequence[str]
     )
 
 
-def ranking_metrics(df: DataFrame, y: str, score: str, positive, by: Sequence[str] = ()) -> DataFrame:
+def ranking_metrics(
+    df: DataFrame, y: str, score: str, positive, by: Sequence[str] = (), *, n_rows: int | None = None
+) -> DataFrame:
     """AUROC (ties count one half) and average precision of a binary score."""
-    ladder = score_ladder(df, y, score, positive, by)
+    ladder = score_ladder(df, y, score, positive, by, n_rows=n_rows)
     wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
     reached_pos = F.col("all_pos") - F.col("pos_below")
     reached = reached_pos + F.col("all_neg") - F.col("neg_below")
@@ -226,6 +235,7 @@ def evaluate(
     positive=None,
     binary: bool = False,
     by: Sequence[str] = (),
+    n_rows: int | None = None,
 ) -> DataFrame:
     """Metrics of a scored table with ``prediction`` (and ``score``) columns, one row per ``by``."""
     by = list(by)
@@ -238,7 +248,7 @@ def evaluate(
         return plain
     if not binary:
         return plain.withColumn("auroc", F.lit(None).cast("double"))
-    ranked = ranking_metrics(predictions, y, "score", positive, by).select(*by, "auroc")
+    ranked = ranking_metrics(predictions, y, "score", positive, by, n_rows=n_rows).select(*by, "auroc")
     if not by:
         # Both sides are one aggregate row each.
         value = ranked.first()

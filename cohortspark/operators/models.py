@@ -111,7 +111,7 @@ def _logistic(fit: _Fit):
         elasticNetParam=0.0,
         standardization=False,
         maxIter=p["max_iter"],
-        tol=1e-9,
+        tol=1e-8,
     ).fit(fit.rows)
 
 
@@ -221,7 +221,12 @@ def fit_model(spec: ModelSpec, train: DataFrame, features: Sequence[str], target
     make = CATALOGUE[spec.task][spec.name]
     params = dict(spec.params)
     components = params.pop("n_components", 32)
-    prep = fit_preprocessor(train, features, output=VECTOR, numeric_only=spec.name == "mlp")
+    extra = []
+    if spec.task == "regression":
+        y = F.col(f"`{target}`").cast("double")
+        extra = [F.stddev_pop(y).alias("pop"), F.stddev_samp(y).alias("samp")]
+    prep = fit_preprocessor(train, features, output=VECTOR, numeric_only=spec.name == "mlp", extra=extra)
+    n = prep.totals["n_rows"]
     stages = list(prep.model.stages)
     labels: tuple = ()
     if spec.task == "classification":
@@ -234,11 +239,6 @@ def fit_model(spec: ModelSpec, train: DataFrame, features: Sequence[str], target
     # Iterative solvers read the rows many times; lost blocks are rebuilt from the source.
     rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        stats = rows.agg(
-            F.count(F.lit(1)).alias("n"), F.stddev_pop(LABEL).alias("pop"), F.stddev_samp(LABEL).alias("samp")
-        ).first()
-        if not stats["n"]:
-            raise ValueError("there are no training rows")
         width = len(prep.slots)
         data = rows
         if spec.name.startswith("pca_then_"):
@@ -249,8 +249,10 @@ def fit_model(spec: ModelSpec, train: DataFrame, features: Sequence[str], target
             pca = PCA(k=width, inputCol=raw, outputCol=VECTOR).fit(rows.withColumnRenamed(VECTOR, raw))
             stages.append(pca)
             data = pca.transform(rows.withColumnRenamed(VECTOR, raw)).select(VECTOR, LABEL)
-        std = stats["pop"] if width <= 4096 else stats["samp"]
-        fit = _Fit(data, stats["n"], width, len(labels), std or 0.0, spec.seed, params)
+        std = 0.0
+        if spec.task == "regression":
+            std = (prep.totals["pop"] if width <= 4096 else prep.totals["samp"]) or 0.0
+        fit = _Fit(data, n, width, len(labels), std, spec.seed, params)
         core = make(fit)
     finally:
         rows.unpersist()

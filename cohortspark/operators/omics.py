@@ -11,6 +11,7 @@ from cohortspark.functions.missing import missing, present_double
 from cohortspark.operators.bounded import broadcast_if_small
 from cohortspark.operators.quantiles import exact_quantiles
 from cohortspark.roles import is_numeric_type
+from cohortspark.session import materialize
 
 
 def to_long(df: DataFrame, id: str, values: str, *, keep: Sequence[str] = ()) -> DataFrame:
@@ -129,26 +130,25 @@ def qc_summary(
 ) -> DataFrame:
     """Per sample: cells, genes, non-zero entries and the spread of per-cell totals.
 
-    Entries of the same (cell, gene) are summed first.  Genes per sample are
-    counted from the distinct pairs, so no task holds a sample's whole gene set.
+    Entries of the same (cell, gene) are summed first; counts are non-negative and
+    explicit zeros do not count as detected.  The per-cell table is written once and
+    read by both summaries; genes are counted from distinct (sample, gene) pairs,
+    which collapse before they are shuffled.
     """
-    entries = (
-        counts.groupBy(sample, cell, gene)
-        .agg(F.sum(count).cast("double").alias("umi"), F.max(marker.cast("int")).alias("is_marker"))
-        .where("umi <> 0")
+    seen = counts.where(F.col(count) != 0)
+    entries = seen.groupBy(sample, cell, gene).agg(
+        F.sum(count).cast("double").alias("umi"), F.max(marker.cast("int")).alias("is_marker")
     )
     cells = entries.groupBy(sample, cell).agg(
         F.count(F.lit(1)).alias("detected"),
         F.sum("umi").alias("umi"),
         F.sum(F.when(F.col("is_marker") == 1, F.col("umi")).otherwise(0.0)).alias("marker_umi"),
     )
-    cells = cells.withColumn("marker_fraction", F.col("marker_umi") / F.col("umi"))
+    cells = materialize(cells.withColumn("marker_fraction", F.col("marker_umi") / F.col("umi")), "cells")
     sizes = cells.groupBy(sample).agg(
         F.count(F.lit(1)).alias("cells"), F.sum("detected").alias("nnz")
     )
-    genes = (
-        entries.select(sample, gene).distinct().groupBy(sample).agg(F.count(F.lit(1)).alias("genes"))
-    )
+    genes = seen.select(sample, gene).distinct().groupBy(sample).agg(F.count(F.lit(1)).alias("genes"))
     long = cells.select(
         sample,
         F.expr(
@@ -202,14 +202,19 @@ def anova_scores(long: DataFrame, *, feature: str = "feature", value: str = "val
 def regression_scores(long: DataFrame, *, feature: str = "feature", value: str = "value", target: str = "target") -> DataFrame:
     """F statistic of the simple regression of the target on each feature."""
     v, y = F.col(value).cast("double"), F.col(target).cast("double")
-    stats = long.groupBy(feature).agg(F.count(v).alias("n"), F.corr(v, y).alias("r"))
-    r2 = F.col("r") * F.col("r")
+    stats = long.groupBy(feature).agg(
+        F.count(v).alias("n"),
+        F.covar_pop(v, y).alias("c"),
+        F.var_pop(v).alias("vx"),
+        F.var_pop(y).alias("vy"),
+    )
+    r2 = F.try_divide(F.col("c") * F.col("c"), F.col("vx") * F.col("vy"))
     return stats.select(feature, _ratio(r2 * (F.col("n") - 2), 1 - r2).alias("score"))
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
     """NULL when undefined (a constant feature), infinite for perfect separation."""
-    undefined = F.isnan(top) | F.isnan(bottom) | ((bottom <= 0) & (top <= 0))
+    undefined = top.isNull() | F.isnan(top) | F.isnan(bottom) | ((bottom <= 0) & (top <= 0))
     return F.when(undefined, F.lit(None).cast("double")).when(
         bottom <= 0, F.lit(float("inf"))
     ).otherwise(F.try_divide(top, bottom))

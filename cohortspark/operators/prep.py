@@ -12,7 +12,7 @@ from pyspark.ml.feature import (
     StringIndexerModel,
     VectorAssembler,
 )
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from cohortspark.functions.missing import missing, present_double
@@ -34,12 +34,19 @@ def _stacked(columns: dict[str, Column]) -> Column:
     ).alias("s")
 
 
-def column_medians(train: DataFrame, numeric: Sequence[str]) -> dict[str, float]:
-    """Exact medians; a column without any value has no entry."""
+def column_medians(
+    train: DataFrame, numeric: Sequence[str], distinct: dict[str, int] | None = None
+) -> dict[str, float]:
+    """Exact medians; a column without any value has no entry.
+
+    ``distinct`` are (approximate) distinct counts already known, which spare the
+    search its own look at the data.
+    """
     if not numeric:
         return {}
     long = train.select(_stacked({c: present_double(train, c) for c in numeric})).select("s.feature", "s.v")
-    rows = exact_quantiles(long, ["feature"], "v", {"median": 0.5}).collect()
+    most = max(distinct.values(), default=0) if distinct is not None else None
+    rows = exact_quantiles(long, ["feature"], "v", {"median": 0.5}, most_distinct=most).collect()
     return {r["feature"]: r["median"] for r in rows if r["median"] is not None}
 
 
@@ -54,23 +61,48 @@ class NumericFit:
         return value if self.median is None else F.coalesce(value, F.lit(self.median))
 
 
-def fit_numeric(train: DataFrame, numeric: Sequence[str], *, impute: bool = True) -> dict[str, NumericFit]:
-    """Median, then mean and population std of the imputed values; zero std becomes 1."""
-    medians = column_medians(train, numeric) if impute else dict.fromkeys(numeric)
-    usable = [c for c in numeric if c in medians]
-    if not usable:
-        return {}
-    aggs = []
-    for i, c in enumerate(usable):
-        x = NumericFit(medians[c], 0.0, 1.0).imputed(train, c)
-        aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}"), F.count_if(x.isNull()).alias(f"n{i}")]
+def fit_numeric(
+    train: DataFrame,
+    numeric: Sequence[str],
+    *,
+    impute: bool = True,
+    extra: Sequence[Column] = (),
+) -> tuple[dict[str, NumericFit], Row]:
+    """Median, then mean and population std of the imputed values; zero std becomes 1.
+
+    The moments of the imputed column follow from those of the present values, so
+    one aggregate serves all columns, and ``extra`` aggregates ride along.
+    """
+    aggs = [F.count(F.lit(1)).alias("n_rows"), *extra]
+    for i, c in enumerate(numeric):
+        x = present_double(train, c)
+        aggs += [
+            F.count(x).alias(f"c{i}"),
+            F.avg(x).alias(f"m{i}"),
+            F.var_pop(x).alias(f"v{i}"),
+            F.approx_count_distinct(x).alias(f"d{i}"),
+        ]
     row = train.agg(*aggs).first()
-    gaps = [c for i, c in enumerate(usable) if row[f"n{i}"]]
-    if gaps:
-        raise ValueError(f"missing values in {gaps} and no imputation")
-    return {
-        c: NumericFit(medians[c], row[f"m{i}"], row[f"s{i}"] or 1.0) for i, c in enumerate(usable)
-    }
+    n = row["n_rows"]
+    if not impute:
+        gaps = [c for i, c in enumerate(numeric) if row[f"c{i}"] < n]
+        if gaps:
+            raise ValueError(f"missing values in {gaps} and no imputation")
+    distinct = {c: row[f"d{i}"] for i, c in enumerate(numeric) if row[f"c{i}"]}
+    medians = column_medians(train, list(distinct), distinct) if impute else {}
+    fits = {}
+    for i, c in enumerate(numeric):
+        seen = row[f"c{i}"]
+        if not seen:
+            continue
+        mean, variance, median = row[f"m{i}"], row[f"v{i}"], medians.get(c)
+        if seen < n:
+            filled = n - seen
+            whole = (seen * mean + filled * median) / n
+            variance = (seen * (variance + (mean - whole) ** 2) + filled * (median - whole) ** 2) / n
+            mean = whole
+        fits[c] = NumericFit(median, mean, variance**0.5 or 1.0)
+    return fits, row
 
 
 @dataclass(frozen=True)
@@ -166,6 +198,7 @@ class FittedPrep:
     model: PipelineModel
     slots: tuple[str, ...]
     output: str
+    totals: Row
 
 
 def fit_preprocessor(
@@ -174,16 +207,18 @@ def fit_preprocessor(
     *,
     output: str = "features",
     numeric_only: bool = False,
+    extra: Sequence[Column] = (),
 ) -> FittedPrep:
     """Numeric: median impute, standardise.  Others: mode impute, one-hot.
 
     ``numeric_only`` is the neural variant: standardise without imputing, and text
-    features are an error.
+    features are an error.  ``extra`` aggregates of the training rows are returned in
+    ``totals``, next to ``n_rows``.
     """
     numeric, categorical = typed_features(train, features)
     if numeric_only and categorical:
         raise ValueError(f"numeric features only; encode {categorical} first")
-    numbers = fit_numeric(train, numeric, impute=not numeric_only)
+    numbers, totals = fit_numeric(train, numeric, impute=not numeric_only, extra=extra)
     texts = fit_categorical(train, categorical)
     if not numbers and not texts:
         raise ValueError("no usable feature columns")
@@ -215,7 +250,7 @@ def fit_preprocessor(
         stages.append(encoder_model)
         inputs += hot
     stages.append(VectorAssembler(inputCols=inputs, outputCol=output, handleInvalid="keep"))
-    return FittedPrep(PipelineModel(stages), tuple(slots), output)
+    return FittedPrep(PipelineModel(stages), tuple(slots), output, totals)
 
 
 def apply_prep(prep: FittedPrep, df: DataFrame) -> DataFrame:

@@ -35,20 +35,27 @@ def exact_quantiles(
     quantiles: dict[str, float],
     *,
     distinct_limit: int | None = None,
+    most_distinct: int | None = None,
 ) -> DataFrame:
-    """One row per group of ``by`` with the interpolated quantiles; missing values are skipped."""
+    """One row per group of ``by`` with the interpolated quantiles; missing values are skipped.
+
+    ``most_distinct`` is the caller's (approximate) largest number of distinct values
+    in a group, if known.
+    """
     limit = DISTINCT_LIMIT if distinct_limit is None else distinct_limit
     v = F.col(value).cast("double")
-    rows = long.where(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("v"))
+    rows = long.where(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("__v"))
+    if most_distinct is not None and most_distinct <= limit:
+        return _small(rows, by, quantiles)
     big = (
         rows.groupBy(*by)
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.approx_count_distinct("v").alias("d"),
-            F.min("v").alias("lo"),
-            F.max("v").alias("hi"),
+            F.count(F.lit(1)).alias("__n"),
+            F.approx_count_distinct("__v").alias("__d"),
+            F.min("__v").alias("__lo"),
+            F.max("__v").alias("__hi"),
         )
-        .where(F.col("d") > limit)
+        .where(F.col("__d") > limit)
     )
     heads = big.collect()  # at most rows / limit groups
     if not heads:
@@ -71,8 +78,8 @@ def exact_quantiles(
 
 def _small(rows: DataFrame, by: list[str], quantiles: dict[str, float]) -> DataFrame:
     # Counting equal values first keeps a value that fills a third of the rows out of the shuffle.
-    counted = rows.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c"))
-    aggs = [F.percentile("v", q, F.col("c")).alias(name) for name, q in quantiles.items()]
+    counted = rows.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    aggs = [F.percentile("__v", q, F.col("__c")).alias(name) for name, q in quantiles.items()]
     return counted.groupBy(*by).agg(*aggs)
 
 
@@ -83,7 +90,7 @@ class _Large:
         key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema)
         if by:
             table = spark.createDataFrame(
-                [(*[h[b] for b in by], i) for i, h in enumerate(heads)], key_schema + ", g int"
+                [(*[h[b] for b in by], i) for i, h in enumerate(heads)], key_schema + ", __g int"
             )
             self.keys = F.broadcast(table)
             match = None
@@ -92,10 +99,10 @@ class _Large:
                 match = c if match is None else match & c
             self.match = match
             self.tagged = (
-                rows.alias("r").join(self.keys.alias("k"), match).select("k.g", "r.v")
+                rows.alias("r").join(self.keys.alias("k"), match).select(F.col("k.__g").alias("g"), F.col("r.__v").alias("v"))
             )
         else:
-            self.tagged = rows.select(F.lit(0).alias("g"), "v")
+            self.tagged = rows.select(F.lit(0).alias("g"), F.col("__v").alias("v"))
 
     def others(self) -> DataFrame:
         return self.rows.alias("r").join(self.keys.alias("k"), self.match, "left_anti")
@@ -104,11 +111,11 @@ class _Large:
         wanted = {}
         for i, h in enumerate(self.heads):
             for name, q in quantiles.items():
-                position = q * (h["n"] - 1)
+                position = q * (h["__n"] - 1)
                 low = math.floor(position)
-                wanted[i, name] = (low, min(low + 1, h["n"] - 1), position - low)
+                wanted[i, name] = (low, min(low + 1, h["__n"] - 1), position - low)
         ranks = {
-            (i, k): _Rank(i, k, self.heads[i]["lo"], self.heads[i]["hi"])
+            (i, k): _Rank(i, k, self.heads[i]["__lo"], self.heads[i]["__hi"])
             for (i, _), (a, b, _) in wanted.items()
             for k in (a, b)
         }

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from cohortspark.functions.keys import shuffle_key, time_micros
 from cohortspark.operators.bounded import broadcast_if_small
-from cohortspark.operators.cuts import banded, cut_points
+from cohortspark.operators.cuts import cut_points, label_rows
 from cohortspark.roles import SplitConfig
 
 TRAIN, VALIDATION, TEST, DEVELOPMENT = "train", "validation", "test", "development"
@@ -55,8 +55,7 @@ def group_split(df: DataFrame, group: str, config: SplitConfig | None = None) ->
         return {None: [test, test + validation]}
 
     cuts = cut_points(groups, order, ranks, null_key="group labels contain missing values")
-    label = banded(df, order, cuts.keys[None], (TEST, VALIDATION, TRAIN))
-    return df.withColumn("split", label)
+    return label_rows(df, "split", order, cuts, (TEST, VALIDATION, TRAIN))
 
 
 def random_split(df: DataFrame, id: str, config: SplitConfig | None = None) -> DataFrame:
@@ -71,7 +70,7 @@ def random_split(df: DataFrame, id: str, config: SplitConfig | None = None) -> D
         return {None: [test, test + validation]}
 
     cuts = cut_points(df, order, ranks, null_key="row ids contain missing values")
-    return df.withColumn("split", banded(df, order, cuts.keys[None], (TEST, VALIDATION, TRAIN)))
+    return label_rows(df, "split", order, cuts, (TEST, VALIDATION, TRAIN))
 
 
 def proportional_quotas(counts: dict[Any, int], total: int) -> dict[Any, int]:
@@ -110,17 +109,7 @@ def stratified_split(
     cuts = cut_points(
         df, order, ranks, stratum=F.col(target), null_key="row ids contain missing values"
     )
-    return df.withColumn("split", by_stratum(df, target, order, cuts, (TEST, VALIDATION, TRAIN)))
-
-
-def by_stratum(df, column, order, cuts, labels):
-    """Banded label of each row under the cuts of its own stratum."""
-    chain = None
-    for stratum, keys in cuts.keys.items():
-        hit = F.col(column) == F.lit(stratum)
-        label = banded(df, order, keys, labels)
-        chain = F.when(hit, label) if chain is None else chain.when(hit, label)
-    return chain if chain is not None else F.lit(labels[-1])
+    return label_rows(df, "split", order, cuts, (TEST, VALIDATION, TRAIN), stratum=target)
 
 
 def holdout_split(
@@ -151,8 +140,8 @@ def holdout_split(
         return {None: [math.ceil(validation_fraction * sizes[None])]}
 
     cuts = cut_points(groups, order, ranks, null_key="group labels contain missing values")
-    inner = banded(df, order, cuts.keys[None], (VALIDATION, TRAIN))
-    return df.withColumn("split", F.when(held_out, F.lit(TEST)).otherwise(inner))
+    inner = label_rows(df, "split", order, cuts, (VALIDATION, TRAIN))
+    return inner.withColumn("split", F.when(held_out, F.lit(TEST)).otherwise(F.col("split")))
 
 
 def leave_one_level_out(
@@ -190,9 +179,9 @@ def leave_one_level_out(
         development, order, ranks, stratum=F.col("level"), null_key="group labels contain missing values"
     )
     rows = df.select(F.col(id), F.col(group).alias("g"), F.col(column).alias("own"), held)
-    inner = by_stratum(rows, "level", order, cuts, (VALIDATION, TRAIN))
-    label = F.when(F.col("own").eqNullSafe(F.col("level")), F.lit(TEST)).otherwise(inner)
-    return rows.select("level", id, label.alias("split"))
+    inner = label_rows(rows, "split", order, cuts, (VALIDATION, TRAIN), stratum="level")
+    label = F.when(F.col("own").eqNullSafe(F.col("level")), F.lit(TEST)).otherwise(F.col("split"))
+    return inner.select("level", id, label.alias("split"))
 
 
 def _half_even(x: float) -> int:
@@ -225,7 +214,7 @@ def forward_split(
         return {None: [max(0, n - validation - test), max(0, n - test)]}
 
     cuts = cut_points(df, order, ranks)
-    return df.withColumn("split", banded(df, order, cuts.keys[None], (TRAIN, VALIDATION, TEST)))
+    return label_rows(df, "split", order, cuts, (TRAIN, VALIDATION, TEST))
 
 
 def _parsed_time(df: DataFrame, time: str):
@@ -257,7 +246,7 @@ def temporal_split(
     if group is None:
         order = {"time": micros, "tie": F.col(id)}
         cuts = cut_points(df, order, ranks, null_key=unparseable)
-        return df.withColumn("split", banded(df, order, cuts.keys[None], (DEVELOPMENT, TEST)))
+        return label_rows(df, "split", order, cuts, (DEVELOPMENT, TEST))
 
     if not df.where(micros.isNull()).isEmpty():
         raise ValueError(unparseable)
@@ -266,9 +255,7 @@ def temporal_split(
     )
     order = {"time": F.col("last_seen"), "tie": F.col(group)}
     cuts = cut_points(last, order, ranks)
-    labelled = last.select(
-        F.col(group), banded(last, order, cuts.keys[None], (DEVELOPMENT, TEST)).alias("split")
-    )
+    labelled = label_rows(last, "split", order, cuts, (DEVELOPMENT, TEST)).select(group, "split")
     # The group table grows with the data, so it is broadcast only after a size check;
     # beyond that AQE picks the join and splits a hot group.
     newest = broadcast_if_small(labelled.where(F.col("split") == TEST))

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from cohortspark.operators.audit import missing_required_columns, require_definition_fits, require_gates
 from cohortspark.operators.fingerprint import fingerprint
-from cohortspark.operators.metrics import higher_is_better, melt_metrics
+from cohortspark.operators.metrics import higher_is_better
 from cohortspark.operators.models import build_model
 from cohortspark.operators.splits import group_split, holdout_split
-from cohortspark.plans.train import TrainingResult, as_dicts, metric_rows, train
+from cohortspark.plans.train import TrainingResult, metric_dicts, train
 from cohortspark.roles import (
     INTERNAL_SPLIT_POLICIES,
     TRAINING_TASKS,
@@ -116,12 +116,13 @@ def run_model_matrix(
     for name in models:
         spec = build_model(definition.task, name, seed=seed, **(params or {}).get(name, {}))
         model = spec.fit(rows.where("split = 'train'"), features, definition.target)
-        wide = metric_rows(model, rows.where("split = 'validation'"), definition.target, ["split"])
+        held = rows.where("split = 'validation'")
+        metrics = metric_dicts(model, held, definition.target, "split", sizes["n_validation"])["validation"]
         head = (dataset or definition.benchmark_id, definition.benchmark_id, definition.version, name)
         tail = (sizes["n_train"], sizes["n_validation"], sizes["n_test"], digest)
-        for r in melt_metrics(wide, ["split"]).collect():
-            out.append((*head, "validation", r["metric"], r["value"], *tail))
-            out.append((*head, "test", r["metric"], None, *tail))
+        for metric, value in metrics.items():
+            out.append((*head, "validation", metric, value, *tail))
+            out.append((*head, "test", metric, None, *tail))
     return df.sparkSession.createDataFrame(out, RESULT_SCHEMA)
 
 
@@ -173,7 +174,6 @@ def run_matrix_job(
 
 __all__ = [
     "BenchmarkRun",
-    "as_dicts",
     "best_run",
     "matrix_sizes",
     "matrix_split",

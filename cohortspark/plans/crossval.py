@@ -64,21 +64,26 @@ def _score_folds(spec: ModelSpec, name: str, folded: DataFrame, features, target
         held = folded.where(F.col("fold") == fold).select(target, "fold", *features)
         part = model.transform(held)
         scored = part if scored is None else scored.unionByName(part, allowMissingColumns=True)
-    model = models[0]
-    wide = evaluate(
-        scored.drop(*features),
-        task=spec.task,
-        y=target,
-        positive=model.positive,
-        binary=len(model.labels) == 2,
-        by=["fold"],
-    )
     sizes = {r["fold"]: r["count"] for r in folded.groupBy("fold").count().collect()}
     n = sum(sizes.values())
-    rows = [
-        (name, r["fold"], n - sizes[r["fold"]], sizes[r["fold"]], r["metric"], r["value"])
-        for r in melt_metrics(wide, ["fold"]).collect()
-    ]
+    model = models[0]
+    scored = scored.drop(*features).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        wide = evaluate(
+            scored,
+            task=spec.task,
+            y=target,
+            positive=model.positive,
+            binary=len(model.labels) == 2,
+            by=["fold"],
+            n_rows=n,
+        )
+        rows = [
+            (name, r["fold"], n - sizes[r["fold"]], sizes[r["fold"]], r["metric"], r["value"])
+            for r in melt_metrics(wide, ["fold"]).collect()
+        ]
+    finally:
+        scored.unpersist()
     return folded.sparkSession.createDataFrame(rows, FOLD_SCHEMA)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from time import monotonic
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,19 +37,25 @@ def split_cohort(cohort: Cohort, config: TrainingConfig) -> DataFrame:
     )
 
 
-def metric_rows(model: FittedModel, rows: DataFrame, target: str, by: list[str]) -> DataFrame:
-    return evaluate(
-        model.transform(rows),
-        task=model.task,
-        y=target,
-        positive=model.positive,
-        binary=len(model.labels) == 2,
-        by=by,
-    )
-
-
-def as_dicts(table: DataFrame, key: str) -> dict:
-    return {r[key]: {c: r[c] for c in table.columns if c != key} for r in table.collect()}
+def metric_dicts(
+    model: FittedModel, rows: DataFrame, target: str, by: str, n_rows: int | None = None
+) -> dict[str, dict[str, float | None]]:
+    """Score ``rows`` once and return the metrics per value of ``by``."""
+    scored = model.transform(rows.select(by, target, *model.features)).drop(*model.features)
+    scored.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        table = evaluate(
+            scored,
+            task=model.task,
+            y=target,
+            positive=model.positive,
+            binary=len(model.labels) == 2,
+            by=[by],
+            n_rows=n_rows,
+        )
+        return {r[by]: {c: r[c] for c in table.columns if c != by} for r in table.collect()}
+    finally:
+        scored.unpersist()
 
 
 def train(cohort: Cohort, config: TrainingConfig, *, check_gates: bool = False) -> TrainingResult:
@@ -61,9 +68,9 @@ def train(cohort: Cohort, config: TrainingConfig, *, check_gates: bool = False)
         require_gates(rows, id=roles.id, group=roles.group)
     spec = build_model(config.task, config.model, seed=config.seed, **config.model_params)
     model = spec.fit(rows.where("split = 'train'"), features, roles.target)
-    seen = rows.where(F.col("split").isin("train", "validation"))
-    metrics = as_dicts(metric_rows(model, seen, roles.target, ["split"]), "split")
     sizes = {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}
+    seen = rows.where(F.col("split").isin("train", "validation"))
+    metrics = metric_dicts(model, seen, roles.target, "split", sum(sizes.values()))
     return TrainingResult(
         model=model,
         splits=rows.select(roles.id, "split"),
@@ -84,5 +91,4 @@ def evaluate_held_out_test(result: TrainingResult, cohort: Cohort) -> dict[str,
         raise ValueError("the table's fingerprint differs from the one used for training")
     # The split is a function of the row's own keys, so it is assigned anew instead of joined.
     rows = split_cohort(Cohort(cohort.df, roles), result.config).where("split = 'test'")
-    row = metric_rows(result.model, rows, roles.target, []).first()
-    return row.asDict()
+    return metric_dicts(result.model, rows, roles.target, "split", sum(result.split_sizes.values()))["test"]

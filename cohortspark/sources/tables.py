@@ -66,11 +66,13 @@ def _reader(spark: SparkSession, sep: str, multiline: bool):
 
 
 def _integral(text: Column) -> Column:
-    return text.rlike(r"^\s*[+-]?[0-9]+\s*$") & text.try_cast("bigint").isNotNull()
+    return text.try_cast("bigint").isNotNull()
 
 
 def _floating(text: Column) -> Column:
-    return ~text.rlike(r"[0-9.][dDfF]\s*$") & text.try_cast("double").isNotNull()
+    """A number; Java's trailing type letters (``1d``, ``1f``) are text here."""
+    suffixed = F.lower(F.substring(F.trim(text), -1, 1)).isin("d", "f") & ~F.lower(text).contains("inf")
+    return text.try_cast("double").isNotNull() & ~suffixed
 
 
 def _boolean(text: Column) -> Column:
@@ -82,19 +84,23 @@ def infer_types(text: DataFrame) -> T.StructType:
     aggs = []
     for i, name in enumerate(text.columns):
         c = F.col(f"`{name}`")
-        aggs += [
-            F.count(c).alias(f"n{i}"),
-            F.count_if(_integral(c)).alias(f"i{i}"),
-            F.count_if(_floating(c)).alias(f"f{i}"),
-            F.count_if(_boolean(c)).alias(f"b{i}"),
-        ]
+        kind = (
+            F.when(c.isNull(), F.lit(None).cast("int"))
+            .when(_integral(c), 0)
+            .when(_floating(c), 1)
+            .when(_boolean(c), 2)
+            .otherwise(3)
+        )
+        aggs += [F.min(kind).alias(f"lo{i}"), F.max(kind).alias(f"hi{i}")]
     row = text.agg(*aggs).first()
     fields = []
     for i, name in enumerate(text.columns):
-        n = row[f"n{i}"]
-        if n == 0 or row[f"f{i}"] == n:
-            dtype = T.LongType() if n and row[f"i{i}"] == n else T.DoubleType()
-        elif row[f"b{i}"] == n:
+        low, high = row[f"lo{i}"], row[f"hi{i}"]
+        if high is None or (low, high) in ((0, 1), (1, 1)):
+            dtype: T.DataType = T.DoubleType()
+        elif high == 0:
+            dtype = T.LongType()
+        elif low == 2 and high == 2:
             dtype = T.BooleanType()
         else:
             dtype = T.StringType()
