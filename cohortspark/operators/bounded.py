@@ -11,11 +11,11 @@ BROADCAST_ROWS = 100_000
 def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Broadcast ``df`` if it has at most ``limit`` rows, else leave the join to AQE.
 
-    The check reads at most ``limit + 1`` rows, and a table that passes is held by
-    the driver, so its plan is not run again inside the join.
+    The check takes at most ``limit + 1`` rows to the driver, partition by partition;
+    a table that passes is kept there, so its plan is not run again inside the join.
     """
     limit = BROADCAST_ROWS if limit is None else limit
-    rows = df.limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
+    rows = df.take(limit + 1)
+    if len(rows) > limit:
         return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema))
+    return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema, verifySchema=False))

@@ -22,11 +22,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortspark.functions.keys import hex_number
+from cohortspark.functions.keys import hash_bucket, hex_number
 from cohortspark.functions.literals import sql_literal
+from cohortspark.operators.bounded import broadcast_if_small
 
 BINS = 4096
 RANKABLE = 200_000
+MOST_STRATA = 200
 STRING_BLOCKS = 8  # text keys are narrowed seven bytes at a time
 
 Ranks = Callable[[dict[Any, int]], dict[Any, list[int]]]
@@ -136,6 +138,15 @@ def _step(search: _Search, bins: list[tuple[int, int, int]]) -> _Search:
     raise AssertionError("rank lies outside its window")
 
 
+def stratum_totals(df: DataFrame, stratum: str, key: Column) -> DataFrame:
+    """Rows, and rows with a key, per stratum."""
+    return (
+        df.select(F.col(stratum).alias("stratum"), key.alias("key"))
+        .groupBy("stratum")
+        .agg(F.count(F.lit(1)).alias("n"), F.count("key").alias("keyed"))
+    )
+
+
 def cut_points(
     df: DataFrame,
     order: dict[str, Column],
@@ -144,23 +155,22 @@ def cut_points(
     stratum: Column | None = None,
     null_key: str | None = None,
     rankable: int | None = None,
+    totals: list | None = None,
 ) -> Cuts:
     """Keys at the wanted 1-based ranks of ``df`` ordered by ``order`` within ``stratum``.
 
     ``wanted`` maps the row count per stratum to the ranks to look up.  A rank of
     0 has no key and yields ``None``.  With ``null_key`` a NULL in the first order
-    column is an error with that message.
+    column is an error with that message.  ``totals`` are the ``stratum_totals``, if
+    already known.
     """
     rankable = RANKABLE if rankable is None else rankable
     names = tuple(order)
     stratified = stratum is not None
     strat = stratum if stratified else F.lit(None).cast("string")
     keyed = df.select(strat.alias("stratum"), *[c.alias(n) for n, c in order.items()])
-    totals = (
-        keyed.groupBy("stratum")
-        .agg(F.count(F.lit(1)).alias("n"), F.count(names[0]).alias("keyed"))
-        .collect()
-    )
+    if totals is None:
+        totals = stratum_totals(keyed, "stratum", F.col(names[0])).collect()
     if null_key and any(r["n"] != r["keyed"] for r in totals):
         raise ValueError(null_key)
     sizes = {r["stratum"]: r["n"] for r in totals}
@@ -237,6 +247,54 @@ def _banded(cols: Sequence[str], keys: Sequence[tuple | None], labels: Sequence[
     return f"case {' '.join(arms)} else {last} end" if arms else last
 
 
+def label_strata(
+    df: DataFrame,
+    name: str,
+    order: dict[str, Column],
+    wanted: Ranks,
+    labels: Sequence[Any],
+    stratum: str,
+    *,
+    null_key: str | None = None,
+) -> DataFrame:
+    """``label_rows`` within every value of ``stratum``, in an order led by a hash ``key``.
+
+    With few strata their cuts become conditions on the row.  With many, rows are
+    numbered inside (stratum, hash bucket) windows and compared with the ranks of
+    their stratum, which are joined in.
+    """
+    per_stratum = stratum_totals(df, stratum, order["key"])
+    totals = per_stratum.take(MOST_STRATA + 1)
+    if len(totals) <= MOST_STRATA:
+        cuts = cut_points(df, order, wanted, stratum=F.col(stratum), null_key=null_key, totals=totals)
+        return label_rows(df, name, order, cuts, labels, stratum=stratum)
+
+    totals = per_stratum.collect()  # one row per class
+    if null_key and any(r["n"] != r["keyed"] for r in totals):
+        raise ValueError(null_key)
+    sizes = {r["stratum"]: r["n"] for r in totals}
+    ranks = wanted(dict(sizes))
+    held = {f"__order_{n}": c for n, c in order.items()}
+    keyed = df.withColumns(held)
+    keyed = keyed.withColumn("__bucket", hash_bucket(F.col("__order_key"), max(sizes.values()), RANKABLE))
+    inside = Window.partitionBy(stratum, "__bucket").orderBy(*held)
+    ranked = keyed.withColumn("__rank", F.row_number().over(inside))
+    earlier = Window.partitionBy(stratum).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        keyed.groupBy(stratum, "__bucket")
+        .agg(F.count(F.lit(1)).alias("__m"))
+        .withColumn("__before", F.coalesce(F.sum("__m").over(earlier), F.lit(0)))
+        .drop("__m")
+    )
+    table = df.sparkSession.createDataFrame(
+        list(ranks.items()), f"`{stratum}` {df.schema[stratum].dataType.simpleString()}, __cuts array<bigint>"
+    )
+    joined = ranked.join(offsets, [stratum, "__bucket"]).join(broadcast_if_small(table), stratum)
+    passed = F.size(F.filter("__cuts", lambda c: c < F.col("__rank") + F.col("__before")))
+    label = F.element_at(F.array(*[F.lit(v) for v in labels]), passed + 1)
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], label.alias(name))
+
+
 def label_rows(
     df: DataFrame,
     name: str,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions.keys import hash_bucket, shuffle_key
 from cohortspark.operators.bounded import broadcast_if_small
-from cohortspark.operators.cuts import cut_points, label_rows
+from cohortspark.operators.cuts import cut_points, label_rows, label_strata
 from cohortspark.operators.splits import _require, _shuffled
 
 RANKED_TOGETHER = 200_000
@@ -72,10 +72,9 @@ def stratified_kfold(df: DataFrame, id: str, target: str, k: int = 5, *, seed: i
             for label, per_fold in stratified_allocation(sizes, k).items()
         }
 
-    cuts = cut_points(
-        df, order, ranks, stratum=F.col(target), null_key="row ids contain missing values"
+    return label_strata(
+        df, "fold", order, ranks, _labels(k), target, null_key="row ids contain missing values"
     )
-    return label_rows(df, "fold", order, cuts, _labels(k), stratum=target)
 
 
 def pack_size_classes(class_counts: dict[int, int], k: int) -> list[tuple[int, int, list[int]]]:

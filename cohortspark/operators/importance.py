@@ -8,7 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions.keys import hash_bucket, shuffle_key
-from cohortspark.operators.metrics import classification_metrics, ranking_metrics, regression_metrics
+from cohortspark.operators.metrics import (
+    classification_metrics,
+    ranking_metrics,
+    regression_metrics,
+    score_edges,
+)
 
 BUCKET_ROWS = 100_000
 
@@ -25,7 +30,9 @@ SCORINGS = {
 }
 
 
-def with_donors(df: DataFrame, id: str, columns: Sequence[str], repeats: int, *, seed: int = 42) -> DataFrame:
+def with_donors(
+    df: DataFrame, id: str, columns: Sequence[str], repeats: int, *, seed: int = 42, n_rows: int | None = None
+) -> DataFrame:
     """Every row once per repeat, with a ``donor`` row of a random permutation.
 
     Within a repeat all rows are put in a seeded random order and each takes the
@@ -35,7 +42,7 @@ def with_donors(df: DataFrame, id: str, columns: Sequence[str], repeats: int, *,
     """
     if repeats < 1:
         raise ValueError("at least one repeat is needed")
-    rows = df.count()
+    rows = df.count() if n_rows is None else n_rows
     each = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
     keyed = each.withColumn(
         "__key", shuffle_key(seed, F.concat(F.col("repeat").cast("string"), F.lit(":"), F.col(id).cast("string")))
@@ -46,13 +53,15 @@ def with_donors(df: DataFrame, id: str, columns: Sequence[str], repeats: int, *,
     return keyed.withColumn("donor", donor).drop("__key")
 
 
-def _scores(df: DataFrame, scoring: str, target: str, positive, by: Sequence[str]) -> DataFrame:
+def _scores(
+    df: DataFrame, scoring: str, target: str, positive, by: Sequence[str], edges: list[float] | None = None
+) -> DataFrame:
     if scoring not in SCORINGS:
         raise ValueError(f"scoring must be one of {sorted(SCORINGS)}, got {scoring!r}")
     metric = SCORINGS[scoring]
     name = metric.lstrip("-")
     if name == "auroc":
-        table = ranking_metrics(df, target, "score", positive, by)
+        table = ranking_metrics(df, target, "score", positive, by, edges=edges)
     elif name in ("r2", "rmse", "mae"):
         table = regression_metrics(df, target, "prediction", by)
     else:
@@ -79,8 +88,14 @@ def permutation_importance(
     """
     features = list(features)
     rows = df.select(id, target, *features)
-    base = _scores(scorer(rows), scoring, target, positive, []).first()["value"]
-    mixed = with_donors(rows, id, features, n_repeats, seed=seed)
+    n_rows = rows.count()
+    scored = scorer(rows)
+    edges = None
+    if SCORINGS.get(scoring) == "auroc":
+        # Shuffled rows are scored once: their ranking bins come from the unshuffled scores.
+        edges = score_edges(scored, "score", n_rows * len(features) * n_repeats)
+    base = _scores(scored, scoring, target, positive, [], edges).first()["value"]
+    mixed = with_donors(rows, id, features, n_repeats, seed=seed, n_rows=n_rows)
     which = F.explode(F.array(*[F.lit(f) for f in features])).alias("feature")
     spread = mixed.select("*", which)
     shuffled = spread.select(
@@ -90,7 +105,7 @@ def permutation_importance(
         target,
         *[F.when(F.col("feature") == f, F.col(f"donor.`{f}`")).otherwise(F.col(f"`{f}`")).alias(f) for f in features],
     )
-    scores = _scores(scorer(shuffled), scoring, target, positive, ["feature", "repeat"])
+    scores = _scores(scorer(shuffled), scoring, target, positive, ["feature", "repeat"], edges)
     drop = F.lit(base) - F.col("value")
     return (
         scores.groupBy("feature")

@@ -61,8 +61,8 @@ def sensitivity_specificity(df: DataFrame, y: str, prediction: str, positive, by
     )
 
 
-def _binned(df: DataFrame, score: str, n_rows: int | None) -> DataFrame:
-    """Scores in ascending bins small enough to be sorted in one task each.
+def score_edges(df: DataFrame, score: str, n_rows: int | None = None) -> list[float]:
+    """Inner edges that cut ``n_rows`` scores into bins small enough to be sorted in one task.
 
     Edges are quantiles of the rows (a mergeable sketch); since equal scores are
     merged before ranking, a bin never holds much more than its share of distinct ones.
@@ -71,65 +71,91 @@ def _binned(df: DataFrame, score: str, n_rows: int | None) -> DataFrame:
         n_rows = df.count()
     bins = min(MOST_BINS, -(-n_rows // RANKED_TOGETHER))
     if bins < 2:
-        return df.withColumn("bin", F.lit(0.0))
+        return []
     marks = [i / bins for i in range(1, bins)]
-    edges = df.agg(F.percentile_approx(score, marks, 10_000).alias("e")).first()["e"]
-    splits = [-float("inf"), *sorted(set(edges or ())), float("inf")]
-    if len(splits) < 3:
-        return df.withColumn("bin", F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol=score, outputCol="bin").transform(df)
+    return sorted(set(df.agg(F.percentile_approx(score, marks, 10_000).alias("e")).first()["e"] or ()))
 
 
 def score_ladder(
-    df: DataFrame, y: str, score: str, positive, by: Sequence[str] = (), *, n_rows: int | None = None
+    df: DataFrame,
+    y: str,
+    score: str,
+    positive,
+    by: Sequence[str] = (),
+    *,
+    n_rows: int | None = None,
+    edges: list[float] | None = None,
 ) -> DataFrame:
     """Distinct scores with their positives and negatives and the totals at lower scores.
 
-    ``n_rows`` is an upper bound of the rows, if known, and spares a count.
+    ``n_rows`` is an upper bound of the rows, if known, and spares a count; ``edges``
+    are bin edges known from a similar table.
     """
     by = list(by)
     rows = df.select(*by, (F.col(y) == F.lit(positive)).alias("pos"), F.col(score).cast("double").alias("score"))
-    rows = _binned(rows.where(F.col("score").isNotNull() & ~F.isnan("score") & F.col("pos").isNotNull()), "score", n_rows)
-    counted = rows.groupBy(*by, "bin", "score").agg(
-        F.count_if(F.col("pos")).alias("pos"), F.count_if(~F.col("pos")).alias("neg")
-    )
-    inside = Window.partitionBy(*by, "bin").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ladder = counted.withColumns(
-        {
-            "pos_below": F.coalesce(F.sum("pos").over(inside), F.lit(0)),
-            "neg_below": F.coalesce(F.sum("neg").over(inside), F.lit(0)),
-        }
-    )
+    rows = rows.where(F.col("score").isNotNull() & ~F.isnan("score") & F.col("pos").isNotNull())
+    if edges is None:
+        edges = score_edges(rows, "score", n_rows)
+    counts = [F.count_if(F.col("pos")).alias("pos"), F.count_if(~F.col("pos")).alias("neg")]
+
+    def below(column: str, window) -> Column:
+        return F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    if not edges:
+        counted = rows.groupBy(*by, "score").agg(*counts)
+        group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+        climb = group.orderBy("score")
+        return counted.select(
+            *by,
+            "score",
+            "pos",
+            "neg",
+            below("pos", climb).alias("pos_below"),
+            below("neg", climb).alias("neg_below"),
+            F.sum("pos").over(group).alias("all_pos"),
+            F.sum("neg").over(group).alias("all_neg"),
+        )
+
+    splits = [-float("inf"), *edges, float("inf")]
+    binned = Bucketizer(splits=splits, inputCol="score", outputCol="bin").transform(rows)
+    counted = binned.groupBy(*by, "bin", "score").agg(*counts)
+    climb = Window.partitionBy(*by, "bin").orderBy("score")
+    ladder = counted.withColumns({"pos_in": below("pos", climb), "neg_in": below("neg", climb)})
     totals = counted.groupBy(*by, "bin").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
-    key = [*by, F.lit(0)]
-    lower = Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*key)
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # at most MOST_BINS rows each
     offsets = totals.select(
         *by,
         "bin",
-        F.coalesce(F.sum("p").over(lower), F.lit(0)).alias("p_off"),
-        F.coalesce(F.sum("q").over(lower), F.lit(0)).alias("q_off"),
-        F.sum("p").over(whole).alias("all_pos"),
-        F.sum("q").over(whole).alias("all_neg"),
+        below("p", group.orderBy("bin")).alias("p_off"),
+        below("q", group.orderBy("bin")).alias("q_off"),
+        F.sum("p").over(group).alias("all_pos"),
+        F.sum("q").over(group).alias("all_neg"),
     )
-    joined = ladder.join(offsets, [*by, "bin"])
-    return joined.select(
+    # The ladder is already partitioned by (by, bin) for its window, so this join moves only the offsets.
+    return ladder.join(offsets, [*by, "bin"]).select(
         *by,
         "score",
         "pos",
         "neg",
-        (F.col("pos_below") + F.col("p_off")).alias("pos_below"),
-        (F.col("neg_below") + F.col("q_off")).alias("neg_below"),
+        (F.col("pos_in") + F.col("p_off")).alias("pos_below"),
+        (F.col("neg_in") + F.col("q_off")).alias("neg_below"),
         "all_pos",
         "all_neg",
     )
 
 
 def ranking_metrics(
-    df: DataFrame, y: str, score: str, positive, by: Sequence[str] = (), *, n_rows: int | None = None
+    df: DataFrame,
+    y: str,
+    score: str,
+    positive,
+    by: Sequence[str] = (),
+    *,
+    n_rows: int | None = None,
+    edges: list[float] | None = None,
 ) -> DataFrame:
     """AUROC (ties count one half) and average precision of a binary score."""
-    ladder = score_ladder(df, y, score, positive, by, n_rows=n_rows)
+    ladder = score_ladder(df, y, score, positive, by, n_rows=n_rows, edges=edges)
     wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
     reached_pos = F.col("all_pos") - F.col("pos_below")
     reached = reached_pos + F.col("all_neg") - F.col("neg_below")

@@ -207,9 +207,14 @@ def build_model(task: str, name: str, *, seed: int = 42, **params) -> ModelSpec:
     return ModelSpec(name, task, params, seed)
 
 
+MOST_CLASSES = 10_000
+
+
 def class_labels(train: DataFrame, target: str) -> tuple:
     """Sorted classes; a missing target is an error."""
-    found = [r["y"] for r in train.select(F.col(target).alias("y")).distinct().collect()]
+    found = [r["y"] for r in train.select(F.col(f"`{target}`").alias("y")).distinct().take(MOST_CLASSES + 1)]
+    if len(found) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes: {target!r} looks like a regression target")
     if any(v is None or v != v for v in found):
         raise ValueError("the target has missing values")
     if len(found) < 2:

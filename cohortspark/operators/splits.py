@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from cohortspark.functions.keys import shuffle_key, time_micros
 from cohortspark.operators.bounded import broadcast_if_small
-from cohortspark.operators.cuts import cut_points, label_rows
+from cohortspark.operators.cuts import cut_points, label_rows, label_strata
 from cohortspark.roles import SplitConfig
 
 TRAIN, VALIDATION, TEST, DEVELOPMENT = "train", "validation", "test", "development"
@@ -106,10 +106,9 @@ def stratified_split(
         second = proportional_quotas({c: n - first[c] for c, n in sizes.items()}, validation)
         return {c: [first[c], first[c] + second[c]] for c in sizes}
 
-    cuts = cut_points(
-        df, order, ranks, stratum=F.col(target), null_key="row ids contain missing values"
+    return label_strata(
+        df, "split", order, ranks, (TEST, VALIDATION, TRAIN), target, null_key="row ids contain missing values"
     )
-    return label_rows(df, "split", order, cuts, (TEST, VALIDATION, TRAIN), stratum=target)
 
 
 def holdout_split(

@@ -10,6 +10,7 @@ import pyarrow.feather as feather
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from cohortspark.sources.paths import require_path, suffix_of
 
@@ -145,18 +146,23 @@ def _feather_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield from table.to_batches(max_chunksize=10_000)
 
 
+def _feather_schemas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for content in batch.column("content"):
+            schema = feather.read_table(io.BytesIO(content.as_py())).schema
+            yield pa.RecordBatch.from_pydict({"schema": [schema.serialize().to_pybytes()]})
+
+
 def load_feather(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Feather files, one task each; the schema comes from the first file unless given."""
+    """Feather files, one task each; a task reads the schema from one file unless given."""
     require_path(spark, path)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.feather").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.feather").load(path).select("content")
     if schema is None:
-        head = files.select("content").first()
+        head = files.mapInArrow(_feather_schemas, "schema binary").first()
         if head is None:
             raise FileNotFoundError(path)
-        from pyspark.sql.pandas.types import from_arrow_schema
-
-        schema = from_arrow_schema(feather.read_table(io.BytesIO(head["content"])).schema)
-    return files.select("content").mapInArrow(_feather_batches, schema)
+        schema = from_arrow_schema(pa.ipc.read_schema(pa.py_buffer(bytes(head["schema"]))))
+    return files.mapInArrow(_feather_batches, schema)
 
 
 def load_table(spark: SparkSession, path: str, *, sep: str | None = None, schema=None) -> DataFrame:

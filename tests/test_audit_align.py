@@ -77,7 +77,7 @@ def test_definition_parsing():
 
 
 def test_gates(spark):
-    df = spark.createDataFrame([(1, "a", "train"), (2, "a", "test"), (2, "b", None)], "id int, g string, split string")
+    df = spark.createDataFrame([(1, "a", "train"), (2, "a", "test"), (2, "b", None), (3, "b", "test")], "id int, g string, split string")
     got = {r["gate"]: r["violations"] for r in audit.protocol_gates(df, id="id", group="g").collect()}
     assert got == {"row_in_one_partition": 1, "every_row_assigned": 1, "group_in_one_partition": 1}
     with pytest.raises(AssertionError):

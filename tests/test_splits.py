@@ -164,3 +164,15 @@ def test_assigning_rows_needs_no_shuffle(cohort):
     for name in ("group", "random", "stratified", "forward"):
         plan = SPLITTERS[name](cohort)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("rankable", [5, 200_000])
+def test_many_strata_take_the_joined_path(cohort, monkeypatch, rankable):
+    from cohortspark.operators import folds
+
+    want = assignment(splits.stratified_split(cohort, "id", "cls"))
+    want_folds = assignment(folds.stratified_kfold(cohort, "id", "cls", 4), column="fold")
+    monkeypatch.setattr(cuts, "MOST_STRATA", 2)
+    monkeypatch.setattr(cuts, "RANKABLE", rankable)
+    assert assignment(splits.stratified_split(cohort, "id", "cls")) == want
+    assert assignment(folds.stratified_kfold(cohort, "id", "cls", 4), column="fold") == want_folds
