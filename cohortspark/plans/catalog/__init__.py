@@ -2,6 +2,7 @@
 
 from cohortspark.plans.catalog import (  # noqa: F401
     assignments,
+    closed_forms,
     contracts,
     features,
     fitted,
