@@ -179,7 +179,7 @@ def qc_summary(
 
 
 def anova_scores(long: DataFrame, *, feature: str = "feature", value: str = "value", label: str = "label") -> DataFrame:
-    """One-way ANOVA F per feature of a long table that carries the label."""
+    """``(feature, score, mean, std)``: one-way ANOVA F per feature of a long table with a label."""
     v = F.col(value).cast("double")
     cells = long.groupBy(feature, label).agg(
         F.count(v).alias("n"), F.avg(v).alias("m"), F.var_pop(v).alias("s")
@@ -196,20 +196,28 @@ def anova_scores(long: DataFrame, *, feature: str = "feature", value: str = "val
     )
     msb = between / (F.col("k") - 1)
     msw = F.col("within") / (F.col("n") - F.col("k"))
-    return grand.select(feature, _ratio(msb, msw).alias("score"))
+    return grand.select(
+        feature,
+        _ratio(msb, msw).alias("score"),
+        F.col("gm").alias("mean"),
+        F.sqrt((F.col("within") + between) / F.col("n")).alias("std"),
+    )
 
 
 def regression_scores(long: DataFrame, *, feature: str = "feature", value: str = "value", target: str = "target") -> DataFrame:
-    """F statistic of the simple regression of the target on each feature."""
+    """``(feature, score, mean, std)``: F of the simple regression of the target on each feature."""
     v, y = F.col(value).cast("double"), F.col(target).cast("double")
     stats = long.groupBy(feature).agg(
         F.count(v).alias("n"),
+        F.avg(v).alias("mean"),
         F.covar_pop(v, y).alias("c"),
         F.var_pop(v).alias("vx"),
         F.var_pop(y).alias("vy"),
     )
     r2 = F.try_divide(F.col("c") * F.col("c"), F.col("vx") * F.col("vy"))
-    return stats.select(feature, _ratio(r2 * (F.col("n") - 2), 1 - r2).alias("score"))
+    return stats.select(
+        feature, _ratio(r2 * (F.col("n") - 2), 1 - r2).alias("score"), "mean", F.sqrt("vx").alias("std")
+    )
 
 
 def _ratio(top: Column, bottom: Column) -> Column:

@@ -112,15 +112,18 @@ def fit_supervised(
     if task not in TRAINING_TASKS:
         raise ValueError(f"task must be one of {TRAINING_TASKS}, got {task!r}")
     long = to_long(train, id, values, keep=[target]).withColumn("value", _clean(F.col("value")))
-    medians = exact_quantiles(long, ["feature"], "value", {"median": 0.5})
-    gaps = long.groupBy("feature").agg(F.max(F.col("value").isNull()).alias("gap"))
-    per_feature = {
-        r["feature"]: (r["median"], r["gap"]) for r in gaps.join(medians, "feature", "left").collect()
-    }
-    usable = {p: m for p, (m, _) in per_feature.items() if m is not None}
+    stats = (
+        long.groupBy("feature")
+        .agg(F.max(F.col("value").isNull()).alias("gap"), F.approx_count_distinct("value").alias("d"))
+        .collect()
+    )
+    most = max((r["d"] for r in stats), default=0)
+    medians = exact_quantiles(long, ["feature"], "value", {"median": 0.5}, most_distinct=most).collect()
+    usable = {r["feature"]: r["median"] for r in medians}
+    gaps = {r["feature"] for r in stats if r["gap"]}
     # Slot numbers: values first, then the flags of the positions that had a gap.
     value_slots = sorted(usable)
-    flag_slots = [p for p in sorted(per_feature) if per_feature[p][1]]
+    flag_slots = sorted(gaps)
     base = [(p, False, usable[p]) for p in value_slots] + [(p, True, 0.0) for p in flag_slots]
     raw = [Slot(p, f, m, 0.0, 1.0) for p, f, m in base]
     slotted = train.select(
@@ -130,10 +133,7 @@ def fit_supervised(
         scores = anova_scores(slotted, label=target)
     else:
         scores = regression_scores(slotted, target=target)
-    moments = slotted.groupBy("feature").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
-    best = top_features(scores, k).join(moments, "feature").collect()
-    slots = [
-        Slot(raw[r["feature"]].position, raw[r["feature"]].flag, raw[r["feature"]].median, r["m"], r["s"] or 1.0)
-        for r in sorted(best, key=lambda r: r["feature"])
-    ]
+    best = sorted(top_features(scores, k).collect(), key=lambda r: r["feature"])
+    picked = [(raw[r["feature"]], r["mean"], r["std"]) for r in best]
+    slots = [Slot(s.position, s.flag, s.median, mean, std or 1.0) for s, mean, std in picked]
     return _fit_pca(train, values, slots, n_components)

@@ -66,14 +66,17 @@ def _reader(spark: SparkSession, sep: str, multiline: bool):
     )
 
 
+# The grammar is matched first: a failing cast to a number costs an exception per cell.
+INTEGRAL = r"^\s*[+-]?[0-9]+\s*$"
+FLOATING = r"^\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$|^\s*[+-]?([iI]nf|[iI]nfinity|INF|INFINITY)\s*$"
+
+
 def _integral(text: Column) -> Column:
-    return text.try_cast("bigint").isNotNull()
+    return text.rlike(INTEGRAL) & text.try_cast("bigint").isNotNull()
 
 
 def _floating(text: Column) -> Column:
-    """A number; Java's trailing type letters (``1d``, ``1f``) are text here."""
-    suffixed = F.lower(F.substring(F.trim(text), -1, 1)).isin("d", "f") & ~F.lower(text).contains("inf")
-    return text.try_cast("double").isNotNull() & ~suffixed
+    return text.rlike(FLOATING)
 
 
 def _boolean(text: Column) -> Column:
