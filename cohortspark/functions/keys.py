@@ -46,10 +46,11 @@ def hash60(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
-def time_micros(col: Column, dtype: T.DataType) -> Column:
-    """A time-like column as BIGINT: microseconds for dates and timestamps.
+def time_order(col: Column, dtype: T.DataType) -> Column:
+    """A time-like column as something that sorts in time, missing values as NULL.
 
-    Zone-free timestamps are read in the session zone, which this package keeps at UTC.
+    Dates and timestamps become BIGINT microseconds (zone-free ones are read in the
+    session zone, which this package keeps at UTC); numbers and text keep their order.
     """
     if isinstance(dtype, (T.DateType, T.TimestampNTZType)):
         return F.unix_micros(col.cast("timestamp"))
@@ -57,4 +58,8 @@ def time_micros(col: Column, dtype: T.DataType) -> Column:
         return F.unix_micros(col)
     if isinstance(dtype, T.IntegralType):
         return col.cast("bigint")
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return F.when(~F.isnan(col), col.cast("double"))
+    if isinstance(dtype, (T.DecimalType, T.StringType)):
+        return col
     raise TypeError(f"cannot order rows in time by a {dtype.simpleString()} column")

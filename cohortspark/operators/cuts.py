@@ -65,6 +65,12 @@ def _text_block(col: Column, block: int) -> Column:
     return F.conv(piece, 16, 10).cast("bigint")
 
 
+def _fraction_digits(x: Column) -> list[Column]:
+    """Whole part and fraction; what these cannot tell apart is ranked at the end."""
+    held = F.greatest(F.least(x, F.lit(9e18)), F.lit(-9e18))
+    return [F.floor(held).cast("bigint"), F.floor((held - F.floor(held)) * F.lit(2.0**53)).cast("bigint")]
+
+
 def _digits(keyed: DataFrame, names: Sequence[str]) -> list[Column]:
     """Order-preserving integers, most significant first.  A ``key`` column is hex text."""
     out: list[Column] = []
@@ -73,6 +79,8 @@ def _digits(keyed: DataFrame, names: Sequence[str]) -> list[Column]:
             out.append(hex_number(F.col(name)))
         elif isinstance(keyed.schema[name].dataType, T.StringType):
             out += [_text_block(F.col(name), b) for b in range(STRING_BLOCKS)]
+        elif isinstance(keyed.schema[name].dataType, T.FractionalType):
+            out += _fraction_digits(F.col(name).cast("double"))
         else:
             out.append(F.col(name).cast("bigint"))
     return out

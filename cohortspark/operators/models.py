@@ -148,7 +148,7 @@ def _boosted_classes(fit: _Fit):
     booster = GBTClassifier(**_boosting_params(fit))
     if fit.classes == 2:
         return booster.fit(fit.rows)
-    return OneVsRest(classifier=booster, featuresCol=VECTOR, labelCol=LABEL, parallelism=fit.classes).fit(fit.rows)
+    return OneVsRest(classifier=booster, featuresCol=VECTOR, labelCol=LABEL, parallelism=min(fit.classes, 4)).fit(fit.rows)
 
 
 def _boosted_values(fit: _Fit):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortspark.functions.keys import shuffle_key, time_micros
+from cohortspark.functions.keys import shuffle_key, time_order
 from cohortspark.operators.bounded import broadcast_if_small
 from cohortspark.operators.cuts import cut_points, label_rows, label_strata
 from cohortspark.roles import SplitConfig
@@ -199,10 +199,11 @@ def forward_split(
     _require(df, id, time)
     if min(validation_fraction, test_fraction) <= 0 or validation_fraction + test_fraction >= 1:
         raise ValueError("split fractions must be positive and sum to less than 1")
-    micros = time_micros(F.col(time), df.schema[time].dataType)
+    when = time_order(F.col(time), df.schema[time].dataType)
+    kind = df.select(when.alias("t")).schema["t"].dataType.simpleString()
     order = {
-        "late": F.when(micros.isNull(), 1).otherwise(0).cast("bigint"),
-        "time": F.coalesce(micros, F.lit(0).cast("bigint")),
+        "late": F.when(when.isNull(), 1).otherwise(0).cast("bigint"),
+        "time": F.coalesce(when, F.lit("" if kind == "string" else 0).cast(kind)),
         "tie": F.col(id),
     }
 
@@ -217,11 +218,11 @@ def forward_split(
 
 
 def _parsed_time(df: DataFrame, time: str):
-    """Time as microseconds; text is parsed leniently, so NULL means unparseable."""
+    """Time in its order; text is parsed leniently, so NULL means missing or unparseable."""
     dtype = df.schema[time].dataType
     if isinstance(dtype, T.StringType):
         return F.unix_micros(F.try_to_timestamp(F.col(time)))
-    return time_micros(F.col(time), dtype)
+    return time_order(F.col(time), dtype)
 
 
 def temporal_split(

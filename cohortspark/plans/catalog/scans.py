@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.feather as feather
-from pyarrow import fs as arrow_fs
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from cohortspark.roles import Cohort, Roles
 from cohortspark.session import scratch_path
 from cohortspark.sources.files import file_checksums, verify_files
 from cohortspark.sources.manifests import CardFields, dataset_card, load_sample_manifest
+from cohortspark.sources.paths import arrow_store
 from cohortspark.sources.predictions import (
     duplicate_predictions,
     evaluation_table,
@@ -85,7 +85,7 @@ def scan_feather(spark, sf_dir):
 
         held = list(batches)
         if held:
-            store, root = arrow_fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+            store, root = arrow_store(path)
             store.create_dir(root, recursive=True)
             name = f"{root}/part-{TaskContext.get().partitionId():05d}.feather"
             with store.open_output_stream(name) as out:

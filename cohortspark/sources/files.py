@@ -6,10 +6,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortspark.sources.paths import arrow_store
+
 IN_MEMORY = 512 * 1024 * 1024
 CHUNK = 8 * 1024 * 1024
 
@@ -18,8 +19,7 @@ def _digest_stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         digests = []
         for path in frame["path"]:
-            uri = path if "://" in path else path.replace("file:", "file://", 1)
-            store, inner = arrow_fs.FileSystem.from_uri(uri)
+            store, inner = arrow_store(path)
             digest = hashlib.sha256()
             with store.open_input_stream(inner) as stream:
                 while chunk := stream.read(CHUNK):

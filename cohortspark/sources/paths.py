@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
+from pyarrow import fs as arrow_fs
 from pyspark.sql import SparkSession
 
 
@@ -33,3 +34,11 @@ def write_text(spark: SparkSession, path: str, text: str, *, overwrite: bool = F
         out.write(bytearray(text.encode("utf-8")))
     finally:
         out.close()
+
+
+def arrow_store(path: str):
+    """The Arrow file system of a path, for use inside tasks, and the path within it."""
+    uri = path.replace("s3a://", "s3://", 1)
+    if "://" not in uri:
+        uri = "file://" + uri.removeprefix("file:")
+    return arrow_fs.FileSystem.from_uri(uri)

@@ -10,7 +10,7 @@ from cohortspark.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("4", shuffle_partitions=4)
+    session = local_session("8", shuffle_partitions=2)
     yield session
     session.stop()
 

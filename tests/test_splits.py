@@ -176,3 +176,29 @@ def test_many_strata_take_the_joined_path(cohort, monkeypatch, rankable):
     monkeypatch.setattr(cuts, "RANKABLE", rankable)
     assert assignment(splits.stratified_split(cohort, "id", "cls")) == want
     assert assignment(folds.stratified_kfold(cohort, "id", "cls", 4), column="fold") == want_folds
+
+
+@pytest.mark.parametrize("kind", ["double", "decimal(12,3)", "string", "date", "timestamp", "smallint"])
+@pytest.mark.parametrize("rankable", [3, 200_000])
+def test_any_sortable_time_column(spark, monkeypatch, kind, rankable):
+    monkeypatch.setattr(cuts, "RANKABLE", rankable)
+    monkeypatch.setattr(cuts, "BINS", 16)
+    step = F.col("id") * 7919 % 97
+    times = {
+        "double": F.when(F.col("id") % 10 == 0, float("nan")).otherwise((step - 40) / 16.0),
+        "decimal(12,3)": (step - 40) / 8,
+        "string": F.concat(F.lit("t"), F.lpad(step.cast("string"), 3, "0")),
+        "date": F.date_add(F.lit("2020-01-01").cast("date"), step.cast("int")),
+        "timestamp": F.timestamp_seconds(step * 3600),
+        "smallint": step,
+    }
+    df = spark.range(90).withColumn("t", times[kind].cast(kind))
+    got = assignment(splits.forward_split(df, "id", "t"))
+    pdf = df.toPandas()
+    order = list(pdf.sort_values(["t", "id"], na_position="last")["id"])
+    assert [got[i] for i in order] == ["train"] * 54 + ["validation"] * 18 + ["test"] * 18
+
+
+def test_unsortable_time_is_an_error(spark):
+    with pytest.raises(TypeError, match="order rows"):
+        splits.forward_split(spark.range(5).withColumn("t", F.array("id")), "id", "t")
