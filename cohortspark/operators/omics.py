@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.functions.missing import missing, present_double
+from cohortspark.functions.missing import present_double
 from cohortspark.operators.bounded import broadcast_if_small
 from cohortspark.operators.quantiles import exact_quantiles
 from cohortspark.roles import is_numeric_type
@@ -233,12 +233,3 @@ def top_features(scores: DataFrame, k: int, *, feature: str = "feature") -> Data
     if k < 1:
         raise ValueError("k must be positive")
     return scores.orderBy(F.desc_nulls_last("score"), F.asc(feature)).limit(k)
-
-
-def missing_count(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
-    """Missing values per column from one aggregate."""
-    if not columns:
-        return {}
-    row = df.agg(*[F.count_if(missing(df, c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    return {c: row[f"c{i}"] for i, c in enumerate(columns)}
-
