@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.llm.exact_dedup import exact_groups
 from cohortspark.llm.line_dedup import HOST, MIN_PAGES, RATIO, drop_site_lines, lines_sql
+from cohortspark.llm.mixing import mix
+from cohortspark.llm.packing import digests, pack
 from cohortspark.llm.sharding import shard
 
 QUERIES = {}
@@ -52,6 +55,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_site_lines(table(spark, sf_dir, "pages")).select("page_id", "host", "n_lines", "n_dropped", "kept_text")
 
 
+@query("op3_packing")
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 @query(
     "op6_exact_dedup",
     """
@@ -64,6 +72,13 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op8_mixing")
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source weighs the square root of its number of documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mix(docs)
+
+
 @query("op9_sharding")
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, _ = shard(table(spark, sf_dir, "documents"), shards=8)
