@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cohortspark.llm.exact_dedup import exact_groups
 from cohortspark.llm.line_dedup import HOST, MIN_PAGES, RATIO, drop_site_lines, lines_sql
 from cohortspark.llm.mixing import mix
+from cohortspark.llm.mtree import build_index, quantized, search
 from cohortspark.llm.packing import digests, pack
 from cohortspark.llm.sharding import shard
 
@@ -60,6 +61,26 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+@query(
+    "op4_topk_search",
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS vec FROM embeddings
+      WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+      SELECT q.vec_id AS query_id, c.vec_id,
+        list_sum(list_transform(range(1, len(q.vec) + 1), lambda i: q.vec[i] * c.vec[i]))::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.vec) = len(c.vec)),
+    r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+    SELECT * FROM r WHERE rank <= 5
+    """,
+)
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = quantized(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return search(build_index(vectors), vectors.filter("vec_id % 50 = 0"), k=5)
+
+
 @query(
     "op6_exact_dedup",
     """
