@@ -205,7 +205,9 @@ def _pages(frame: pd.DataFrame) -> list[dict]:
 def search(index: DataFrame, queries: DataFrame, k: int = 5, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score of the k best for each row of ``queries`` (vec_id and vec)."""
     blocks = max(1, -(-queries.count() // query_rows))
-    trees = index.filter("page = 0").select("tree", F.split("tree", "-")[0].cast("int").alias("dims"))
+    trees = index.filter("page = 0").select(
+        F.concat("tree", F.lit("")).alias("meets"), F.split("tree", "-")[0].cast("int").alias("dims")
+    )
     asked = queries.select(
         F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), "vec_id", "vec", F.size("vec").alias("dims")
     ).join(trees, "dims")
@@ -221,7 +223,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, query_rows: int = Q
 
     found = (
         there.groupBy("tree", "block")
-        .cogroup(asked.groupBy("tree", "block"))
+        .cogroup(asked.groupBy("meets", "block"))
         .applyInPandas(walk, "query_id long, vec_id long, score long")
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
