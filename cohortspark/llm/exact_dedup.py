@@ -21,6 +21,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.llm.rows import kept_rows
 from cohortspark.session import materialize
 
 #: A chunk ends at white space before one of a few letters, found at 384 characters or later; where there is
@@ -90,22 +91,5 @@ def exact_groups(
 def drop_exact_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with all its columns and one row for each distinct text."""
     groups = materialize(exact_groups(docs, id_column, text_column), "exact_groups")
-    by_key = (
-        groups.filter("group_size > 1")
-        .groupBy("doc_id", "text_sha256")
-        .agg(F.max("kept").alias("stays"), F.count("*").alias("copies"))
-    )
-    keyed = docs.withColumns(
-        {"__id": docs[id_column], "__sha": F.sha2(F.coalesce(docs[text_column], F.lit("")), 256)}
-    )
-
-    def matched(keys: DataFrame, how: str) -> DataFrame:
-        keys = keys.select(F.col("doc_id").alias("__key"), F.col("text_sha256").alias("__key_sha"))
-        on = keyed["__id"].eqNullSafe(keys["__key"]) & (keyed["__sha"] == keys["__key_sha"])
-        return keyed.join(keys, on, how)
-
-    repeated = by_key.filter("stays and copies > 1")
-    rest = matched(by_key.filter("not stays or copies > 1"), "left_anti")
-    if not repeated.isEmpty():
-        rest = rest.unionByName(matched(repeated, "left_semi").dropDuplicates(["__id", "__sha"]))
-    return rest.drop("__id", "__sha")
+    sha = F.sha2(F.coalesce(docs[text_column], F.lit("")), 256)
+    return kept_rows(docs, id_column, sha, groups.withColumnRenamed("text_sha256", "tag"))

@@ -156,6 +156,7 @@ def build_index(
 ) -> DataFrame:
     """All pages of all trees, as a written table; ``vectors`` has vec_id and vec."""
     vectors = materialize(vectors.select("vec_id", "vec", F.size("vec").alias("dims")), "vectors")
+    pivots = min(pivots, -(-vectors.count() // tree_rows))
     near = vectors.select("dims", "vec").orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
     chosen = {d: _matrix([r["vec"] for r in near if r["dims"] == d]) for d in {r["dims"] for r in near}}
 

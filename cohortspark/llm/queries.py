@@ -10,6 +10,7 @@ from cohortspark.llm.exact_dedup import exact_groups
 from cohortspark.llm.line_dedup import HOST, MIN_PAGES, RATIO, drop_site_lines, lines_sql
 from cohortspark.llm.mixing import mix
 from cohortspark.llm.mtree import build_index, quantized, search
+from cohortspark.llm.near_dedup import near_groups
 from cohortspark.llm.packing import digests, pack
 from cohortspark.llm.sharding import shard
 
@@ -81,6 +82,11 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(build_index(vectors), vectors.filter("vec_id % 50 = 0"), k=5)
 
 
+@query("op5_near_dedup")
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), words=3, percent=85).drop("tag")
+
+
 @query(
     "op6_exact_dedup",
     """
