@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.llm.exact_dedup import exact_groups
+from cohortspark.llm.hmm import score
 from cohortspark.llm.line_dedup import HOST, MIN_PAGES, RATIO, drop_site_lines, lines_sql
 from cohortspark.llm.mixing import mix
 from cohortspark.llm.mtree import build_index, quantized, search
@@ -120,3 +121,15 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "virtual_slot",
         F.col("version").alias("map_version"),
     )
+
+
+def remainder_of_id(of: int):
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(of))
+
+
+@query("op10_lm_scoring")
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score(table(spark, sf_dir, "documents"), train=remainder_of_id(10) != 0)
+    return scored.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )

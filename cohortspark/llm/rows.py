@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.session import scratch_path
+
 
 def kept_rows(docs: DataFrame, id_column: str, tag: Column, flags: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``flags`` (doc_id, tag, kept: one row per row of ``docs``) keeps, with all their columns.
@@ -24,3 +26,10 @@ def kept_rows(docs: DataFrame, id_column: str, tag: Column, flags: DataFrame) ->
     if not repeated.isEmpty():
         rest = rest.unionByName(matched(repeated, "left_semi").dropDuplicates(["__id", "__tag"]))
     return rest.drop("__id", "__tag")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``materialize`` with a closer compression, for large tables that are read a few times."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
