@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.llm.chains import in_batches, recursions
 from cohortspark.llm.near_dedup import words_of
 from cohortspark.llm.packing import steps
 from cohortspark.llm.rows import written
@@ -35,8 +36,8 @@ STATES, FREQUENT, AFFIX_CLASSES = 8, 2000, 2048
 ROUNDS, SAMPLE_TEXTS, SAMPLE_ROUNDS = 2, 400, 15
 #: Added to every count.
 ADD = 0.1
-#: A dictionary is closed beyond so many words; texts are run through the model so many tokens at a time.
-BLOCK_WORDS, BATCH_TOKENS = 500_000, 300_000
+#: A dictionary is closed beyond so many words.
+BLOCK_WORDS = 500_000
 END_CLASS = 0
 
 
@@ -106,65 +107,24 @@ def affix_class(word: Column, frequent: int, classes: int) -> Column:
     return (F.lit(frequent + 1) + F.pmod(ends, F.lit(classes))).cast("int")
 
 
-def in_batches(lengths: np.ndarray, limit: int = BATCH_TOKENS) -> Iterator[np.ndarray]:
-    """Texts, longest first, so many that their tokens stay within the limit (or one longer text)."""
-    order, held, first = np.argsort(-lengths, kind="stable"), 0, 0
-    for i, text in enumerate(order):
-        if held and held + lengths[text] > limit:
-            yield order[first:i]
-            held, first = 0, i
-        held += int(lengths[text])
-    if len(order):
-        yield order[first:]
-
-
-def forward(
-    model: Model, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, counts: list[np.ndarray] | None = None
-) -> np.ndarray:
-    """log10 likelihood of the class sequences of texts (longest first).
-
-    With ``counts`` (start, move, emit) the backward recursion follows, and expected counts are added there.
-    """
-    longest = int(lengths[0])
-    alive = np.searchsorted(-lengths, -np.arange(longest), "left")  # texts longer than t
-    at = np.concatenate([[0], np.cumsum(alive)])
-    seen = np.concatenate([flat[starts[: alive[t]] + t] for t in range(longest)])
-    out = model.emit.T[seen]
-    alpha, scale = np.empty_like(out), np.empty(len(seen))
-    now = np.broadcast_to(model.start, (alive[0], len(model.start)))
-    for t in range(longest):
-        a, b = at[t], at[t + 1]
-        now = now * out[a:b] if t == 0 else (now[: b - a] @ model.move) * out[a:b]
-        s = now.sum(axis=1)
-        now = now / s[:, None]
-        alpha[a:b], scale[a:b] = now, s
-    text = np.concatenate([np.arange(n) for n in alive])
-    likelihood = np.bincount(text, weights=np.log10(scale), minlength=len(lengths))
-    if counts is not None:
-        beta = np.empty_like(out)
-        back = np.ones((alive[0], len(model.start)))
-        turned = model.move.T
-        for t in range(longest - 1, -1, -1):
-            a, b = at[t], at[t + 1]
-            if t < longest - 1:
-                n = at[t + 2] - b
-                back[:n] = (beta[b : b + n] * out[b : b + n] / scale[b : b + n, None]) @ turned
-            beta[a:b] = back[: b - a]
-        gamma = alpha * beta
-        counts[0] += gamma[: alive[0]].sum(axis=0)
-        later = np.arange(alive[0], len(seen))
-        before = later - np.repeat(alive[:-1], alive[1:]) if longest > 1 else later
-        counts[1] += alpha[before].T @ (beta[later] * out[later] / scale[later, None]) * model.move
-        for s in range(len(model.start)):
-            counts[2][s] += np.bincount(seen, weights=gamma[:, s], minlength=counts[2].shape[1])
-    return likelihood
+def likelihoods(model: Model, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """log10 likelihood of each class sequence."""
+    starts, out = np.cumsum(lengths) - lengths, np.zeros(len(lengths))
+    table = np.ascontiguousarray(model.emit.T)
+    for some in in_batches(lengths):
+        out[some] = recursions(model.start, model.move, table, flat, starts[some], lengths[some]).likelihood
+    return out / np.log(10)
 
 
 def expected(model: Model, flat: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-    ends = np.cumsum(lengths)
+    starts, table = np.cumsum(lengths) - lengths, np.ascontiguousarray(model.emit.T)
     counts = [np.zeros_like(model.start), np.zeros_like(model.move), np.zeros_like(model.emit)]
-    for texts in in_batches(lengths):
-        forward(model, flat, (ends - lengths)[texts], lengths[texts], counts)
+    for some in in_batches(lengths):
+        done = recursions(model.start, model.move, table, flat, starts[some], lengths[some], backward=True)
+        counts[0] += done.gamma[: done.first].sum(axis=0)
+        counts[1] += done.moves
+        for s in range(len(model.start)):
+            counts[2][s] += np.bincount(done.seen, weights=done.gamma[:, s], minlength=counts[2].shape[1])
     return counts
 
 
@@ -294,10 +254,7 @@ def score(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, lengths = _sequences(batch.column(5).to_pylist())
-            starts, scores = np.cumsum(lengths) - lengths, batch.column(4).to_numpy().copy()
-            if len(lengths):
-                for some in in_batches(lengths):
-                    scores[some] += forward(model, flat, starts[some], lengths[some])
+            scores = batch.column(4).to_numpy() + likelihoods(model, flat, lengths)
             columns = [batch.column(i) for i in range(4)]
             columns = [*columns, batch.column(6), pa.array(scores)]
             yield pa.RecordBatch.from_arrays(

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.llm.exact_dedup import exact_groups
 from cohortspark.llm.hmm import score
+from cohortspark.llm.language_id import fitted, labelled
 from cohortspark.llm.line_dedup import HOST, MIN_PAGES, RATIO, drop_site_lines, lines_sql
 from cohortspark.llm.mixing import mix
 from cohortspark.llm.mtree import build_index, quantized, search
@@ -19,6 +20,10 @@ QUERIES = {}
 ORACLES: dict[str, str] = {}
 
 
+def remainder_of_id(of: int) -> Column:
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(of))
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -100,6 +105,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = remainder_of_id(4)
+    found = labelled(docs.select("doc_id", "text"), fitted(docs, fold != 2))
+    return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 @query("op8_mixing")
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source weighs the square root of its number of documents."""
@@ -123,10 +136,6 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def remainder_of_id(of: int):
-    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(of))
-
-
 @query("op10_lm_scoring")
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score(table(spark, sf_dir, "documents"), train=remainder_of_id(10) != 0)
