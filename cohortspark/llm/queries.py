@@ -15,6 +15,7 @@ from cohortspark.llm.mtree import build_index, quantized, search
 from cohortspark.llm.near_dedup import near_groups
 from cohortspark.llm.packing import digests, pack
 from cohortspark.llm.sharding import shard
+from cohortspark.llm.suffix_dedup import drop_repeats
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query(
     "op2_line_dedup",
     rf"""
