@@ -198,11 +198,11 @@ def labelled(docs: DataFrame, field: Field | None, text_column: str = "text", ru
     """``docs`` with lang_pred and lang_score, and with ``runs`` also lang_runs: words (from 0, between white space) first to last
     of the text that are most probably of one language; words without letters join the run around them."""
     added = ["lang_pred", "lang_score"] + ["lang_runs"] * runs
-    kept = [c for c in docs.columns if c not in added]
-    plain = docs.select(*kept, docs[text_column].cast("string").alias("__text"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in added]
+    plain = docs.select(*kept, docs[text_column].cast("string").alias("text of this operator"))
     schema = T.StructType(
         [
-            *plain.drop("__text").schema.fields,
+            *plain.schema.fields[:-1],
             T.StructField("lang_pred", T.StringType()),
             T.StructField("lang_score", T.DoubleType()),
             *([T.StructField("lang_runs", RUNS)] if runs else []),

@@ -81,20 +81,21 @@ def drop_site_lines(
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
 ) -> DataFrame:
-    """All columns of ``pages``, then host, n_lines, n_dropped and kept_text."""
-    sited = pages.withColumns({"__host": host_of(pages[url_column]), "__html": pages[html_column]})
-    plain = sited.select(F.col("__host").alias("host"), F.col("__html").alias("html"))
-    bad = boilerplate(plain, ratio, min_pages).groupBy("host").agg(F.collect_set("line").alias("__bad"))
-    bad = bad.select(F.col("host").alias("__site"), "__bad")
-    joined = sited.join(bad, F.col("__host") == F.col("__site"), "left").withColumns(
-        {"__lines": lines_of(F.col("__html")), "__bad": F.coalesce("__bad", F.array().cast("array<string>"))}
+    """All columns of ``pages``, then host, n_lines, n_dropped and kept_text, which replace columns of those names."""
+    sited = pages.select(
+        F.struct("*").alias("all"), host_of(pages[url_column]).alias("host"), pages[html_column].alias("html")
     )
-    kept = F.filter("__lines", lambda x: ~F.array_contains(F.col("__bad"), x))
-    out = joined.withColumn("__kept", kept)
-    return out.select(
-        *[out[c] for c in pages.columns if c not in ("host", "n_lines", "n_dropped", "kept_text")],
-        F.col("__host").alias("host"),
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size("__kept")).cast("long").alias("n_dropped"),
-        F.when(F.col("__html").isNotNull(), F.array_join("__kept", "\n")).alias("kept_text"),
+    bad = boilerplate(sited.select("host", "html"), ratio, min_pages).groupBy("host").agg(F.collect_set("line").alias("bad"))
+    joined = sited.join(bad.withColumnRenamed("host", "site"), F.col("host") == F.col("site"), "left")
+    joined = joined.withColumns(
+        {"lines": lines_of(F.col("html")), "bad": F.coalesce("bad", F.array().cast("array<string>"))}
+    )
+    joined = joined.withColumn("kept", F.filter("lines", lambda x: ~F.array_contains(F.col("bad"), x)))
+    added = ("host", "n_lines", "n_dropped", "kept_text")
+    return joined.select(
+        *[F.col("all").getField(c).alias(c) for c in pages.columns if c not in added],
+        "host",
+        F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
+        F.when(F.col("html").isNotNull(), F.array_join("kept", "\n")).alias("kept_text"),
     )

@@ -95,7 +95,21 @@ def phases_of(blocks: Mapping[str, int], weights: Mapping[str, float], period: i
     return out
 
 
-def mix(
+ADDED = ("mix_block", "mix_phase", "mix_slot", "mix_release", "mix_deadline", "mix_position")
+
+
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, **options) -> DataFrame:
+    """All columns of ``docs``, then ``ADDED``, which replace columns of those names.
+
+    Positions count from 0 without gaps. Inside a source the documents are in a hashed order of their ids. Without
+    ``weights`` a source weighs its number of documents to the power ``TEMPERATURE``; the key of a NULL source is ``None``.
+    ``options`` are those of ``scheduled``.
+    """
+    own = [F.col("all").getField(c).alias(c) for c in docs.columns if c not in ADDED]
+    return scheduled(docs, weights, **options).select(*own, *ADDED)
+
+
+def scheduled(
     docs: DataFrame,
     weights: Mapping[str, float] | None = None,
     source_column: str = "source",
@@ -103,20 +117,15 @@ def mix(
     block_rows: int = BLOCK_ROWS,
     period: int = PERIOD,
 ) -> DataFrame:
-    """All columns of ``docs``, then mix_block, mix_phase, mix_slot, mix_release, mix_deadline and mix_position.
-
-    Positions count from 0 without gaps. Inside a source the documents are in a hashed order of their ids. Without
-    ``weights`` a source weighs its number of documents to the power ``TEMPERATURE``; the key of a NULL source is ``None``.
-    """
+    """all (the row of ``docs``) and ``ADDED``."""
     spark = docs.sparkSession
     source = docs[source_column].cast("string")
-    keyed = docs.withColumns(
-        {
-            "__source": F.when(source.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), source)),
-            "__id": docs[id_column],
-        }
+    keyed = docs.select(
+        F.struct("*").alias("all"),
+        F.when(source.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), source)).alias("source"),
+        docs[id_column].alias("id"),
     )
-    counts = {r["__source"]: r["count"] for r in keyed.groupBy("__source").count().collect()}
+    counts = {r["source"]: r["count"] for r in keyed.groupBy("source").count().collect()}
     if weights is None:
         weighed = {s: n**TEMPERATURE for s, n in counts.items()}
     else:
@@ -140,26 +149,26 @@ def mix(
             (s, [(i, p.start, p.period, p.first[s], p.slots[s]) for i, p in enumerate(phases) if s in p.slots])
             for s in counts
         ],
-        "__of string, __phases array<struct<phase int, start long, period long, first long, slots array<int>>>",
+        "of string, phases array<struct<phase int, start long, period long, first long, slots array<int>>>",
     )
-    ranked = with_positions(keyed, ["__source"], [F.col("__id")], "__rank")
+    ranked = with_positions(keyed, ["source"], [F.col("id")], "rank")
     gaps = F.array(*[F.struct(F.lit(a).cast("long").alias("slot"), F.lit(b).alias("rows")) for a, b in short])
-    block = F.floor(F.col("__rank") / block_rows).cast("long")
-    out = ranked.join(F.broadcast(table), F.col("__source") == F.col("__of")).withColumn("mix_block", block)
-    out = out.withColumn("__p", F.element_at(F.filter("__phases", lambda p: p["first"] <= F.col("mix_block")), -1))
-    own, share = F.col("mix_block") - F.col("__p.first"), F.size("__p.slots").cast("long")
+    block = F.floor(F.col("rank") / block_rows).cast("long")
+    out = ranked.join(F.broadcast(table), F.col("source") == F.col("of")).withColumn("mix_block", block)
+    out = out.withColumn("p", F.element_at(F.filter("phases", lambda p: p["first"] <= F.col("mix_block")), -1))
+    own, share = F.col("mix_block") - F.col("p.first"), F.size("p.slots").cast("long")
     slot = (
-        F.col("__p.start")
-        + F.expr("(mix_block - __p.first) div size(__p.slots)") * F.col("__p.period")
-        + F.element_at("__p.slots", (F.pmod(own, share) + 1).cast("int"))
+        F.col("p.start")
+        + F.expr("(mix_block - p.first) div size(p.slots)") * F.col("p.period")
+        + F.element_at("p.slots", (F.pmod(own, share) + 1).cast("int"))
     )
     out = out.withColumns(
         {
-            "mix_phase": F.col("__p.phase"),
+            "mix_phase": F.col("p.phase"),
             "mix_slot": slot,
-            "mix_release": F.col("__p.start") + F.expr("((mix_block - __p.first) * __p.period) div size(__p.slots)"),
-            "mix_deadline": F.col("__p.start")
-            + F.ceil((own + 1) * F.col("__p.period") / F.size("__p.slots")).cast("long"),
+            "mix_release": F.col("p.start") + F.expr("((mix_block - p.first) * p.period) div size(p.slots)"),
+            "mix_deadline": F.col("p.start")
+            + F.ceil((own + 1) * F.col("p.period") / F.size("p.slots")).cast("long"),
         }
     )
     lost = F.lit(0).cast("long")
@@ -167,14 +176,11 @@ def mix(
         lost = F.aggregate(
             gaps, lost, lambda n, g: n + F.when(g["slot"] < F.col("mix_slot"), g["rows"]).otherwise(0).cast("long")
         )
-    position = F.col("mix_slot") * block_rows + F.pmod(F.col("__rank"), F.lit(block_rows)) - lost
-    added = ("mix_block", "mix_phase", "mix_slot", "mix_release", "mix_deadline", "mix_position")
-    out = out.withColumn("mix_position", position.cast("long"))
-    return out.select(*[c for c in docs.columns if c not in added], *added)
+    position = F.col("mix_slot") * block_rows + F.pmod(F.col("rank"), F.lit(block_rows)) - lost
+    return out.withColumn("mix_position", position.cast("long")).select("all", *ADDED)
 
 
 def in_mixed_order(docs: DataFrame, weights: Mapping[str, float] | None = None, **options) -> DataFrame:
     """``docs`` with its own columns, rows in the order of the mixture: by range over the files, sorted inside."""
-    mixed = materialize(mix(docs, weights, **options), "mixed")
-    ordered = mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position")
-    return ordered.select(*docs.columns)
+    mixed = materialize(scheduled(docs, weights, **options).select("all", "mix_position"), "mixed")
+    return mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select("all.*")

@@ -6,10 +6,12 @@ n positions with m agreements the posterior probability that the similarity reac
 P(Binomial(n + 1, threshold) <= m), and the pair is given up once that falls below ``miss``. What survives is compared on the
 full sets. Links are closed to components.
 
-Buckets may be huge, so pairs are not listed: each bucket is compared with a leader, and after that only nodes outside the
-bucket's largest component are compared with its members of other components, a growing number of them per round until all
-are settled. Every pair of a bucket is then either compared or in one component. With 32 bands of 7 rows a pair at
-similarity 0.85 shares no bucket with probability 4e-6, and ``miss`` bounds the loss after that.
+Buckets may be huge, so pairs are not listed: each bucket is compared with a leader, the member that shares most with others. Buckets
+whose members are one component after that are settled. In the others all are near their leader, so what a node does not share with it is small, and linked nodes have
+much of that in common: smaller buckets follow from it exactly (see ``delta_buckets``), in which nodes are compared with
+members of other components, a growing number of them per round until every bucket is settled. Every pair of a bucket is then compared or in one
+component. With 32 bands of 7 rows a pair at similarity 0.85 shares no bucket with probability 4e-6 (0.8: 5e-4), and ``miss`` bounds the loss
+after that.
 
 Defined cases: a text of fewer than ``words`` words is one shingle; a NULL text or one without words has the empty set and is
 linked with nothing; ids may be NULL or repeat (the smallest id of a component stands for it, NULL only where there is no other;
@@ -37,8 +39,10 @@ from cohortspark.session import materialize
 BANDS, BAND_ROWS, BATCH = 32, 7, 32
 #: Chosen probability of giving up a pair that reaches the threshold.
 MISS = 1e-7
-#: Nodes of a bucket that become leaders in the second round, and the factor per further round.
+#: Factor by which the leaders per bucket grow from round to round.
 LEADERS = 8
+#: Hashed counters for the order of shingles.
+COUNTERS = 1 << 18
 
 _draw = np.random.default_rng(20240607)
 _A = _draw.integers(0, 1 << 31, BANDS * BAND_ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -212,6 +216,142 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long")
 
 
+def deltas(still: DataFrame, hubs: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """What each node of an open bucket does not have in common with the leader (hub) of that bucket.
+
+    hub_size, size (of the sets), outside (not of the hub's component), hub, node, delta (shingles, hashed with the hub).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, own, found = [], [], []
+            for hub, left, right in zip(batch.column(1).to_pylist(), batch.column(3), batch.column(4), strict=True):
+                c, x = (np.frombuffer(s.as_buffer(), np.uint64) for s in (left, right))
+                found.append(_mixed(np.setxor1d(c, x, assume_unique=True) + np.uint64(hub * int(_M[50]) % 2**64)).tobytes())
+                sizes.append(len(c))
+                own.append(len(x))
+            columns = [pa.array(sizes, pa.int64()), pa.array(own, pa.int64()), *(batch.column(i) for i in range(3))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.binary())], names=names)
+
+    names = ["hub_size", "size", "outside", "hub", "node", "delta"]
+    met = hubs.select(F.col("bucket").alias("in"), F.col("node").alias("hub"))
+    pairs = still.join(met, F.col("bucket") == F.col("in")).select("hub", "node").distinct()
+    for name in ("hub", "node"):
+        of = labels.select(F.col("node").alias("of"), F.col("label").alias(f"{name}_label"))
+        own = sets.select(F.col("node").alias("has"), F.col("shingles").alias(f"{name}_set"))
+        pairs = pairs.join(of, F.col(name) == F.col("of"), "left").drop("of")
+        pairs = pairs.join(own, F.col(name) == F.col("has")).drop("has")
+    outside = F.coalesce("node_label", "node") != F.coalesce("hub_label", "hub")
+    pairs = pairs.select(outside.alias("outside"), "hub", "node", "hub_set", "node_set")
+    return materialize(
+        pairs.mapInArrow(run, "hub_size long, size long, outside boolean, hub long, node long, delta binary"), "deltas"
+    )
+
+
+def delta_buckets(delta: DataFrame, percent: int) -> DataFrame:
+    """bucket, node, weight, asks, meets: buckets in which every linked pair of two components that share a hub meets, one
+    that asks (outside the hub's component) with one that it meets.
+
+    Take x, y linked and x outside the component of the hub c, with dx, dy what they do not share with c. The sets x and y differ
+    in B = f (|x| + |y|) shingles at most, f = (100 - p) / (100 + p), so dx and dy have t = (|dx| + |dy| - B) / 2 in common at least.
+    As x is not linked with c, |dx| > f (|x| + |c|), so t > (|dy| + f (|c| - |y|)) / 2; and as |dy| >= |dx| - B, t >= |dx| - B.
+    In any one order, dx and dy then share one of the first |d| - t + 1 shingles of each, with the second bound for x, which asks, and
+    the first for y, which is met. Rare ones come first (by a count of ``COUNTERS`` hashed counters); any order gives the same links.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for cell in batch.column(0):
+                np.add.at(total, (np.frombuffer(cell.as_buffer(), np.uint64) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["at", "n"])
+
+    counted = delta.select("delta").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    order = np.zeros(COUNTERS, np.int64)  # a fixed size, whatever the input
+    order[counted["at"].to_numpy()] = counted["n"].to_numpy()
+    f = (100 - percent) / (100 + percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, found, asking, meeting = [], [], [], []
+            columns = (batch.column(i).to_pylist() for i in (0, 1, 2, 4))
+            for c, n, outside, node, cell in zip(*columns, batch.column(5), strict=True):
+                d = np.frombuffer(cell.as_buffer(), np.uint64)
+                met = int(np.ceil((len(d) + f * (c - n)) / 2 - 1e-6))
+                ask = int(np.ceil(len(d) - f * (n + 100 * n / percent) - 1e-6))
+                meets, asks = (max(0, len(d) - max(1, t) + 1) for t in (met, ask))
+                asks = asks if outside else 0
+                most = max(meets, asks)
+                first = np.lexsort((d, order[(d % np.uint64(COUNTERS)).astype(np.int64)]))
+                found.append(d[first[:most]])
+                nodes.append(np.full(len(found[-1]), node))
+                asking.append(np.arange(len(found[-1])) < asks)
+                meeting.append(np.arange(len(found[-1])) < meets)
+            if nodes:
+                four = [np.concatenate(x) for x in (found, nodes, asking, meeting)]
+                four[0] = four[0].view(np.int64)
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, four)), names=["bucket", "node", "asks", "meets"])
+
+    return shared_buckets(delta.mapInArrow(run, "bucket long, node long, asks boolean, meets boolean"))
+
+
+def shared_buckets(members: DataFrame) -> DataFrame:
+    """Of (bucket, node, asks, meets) the rows whose bucket has one that asks and others that are met, with the weight of
+    the node: how much it shares with others."""
+    members = materialize(members, "bucketed")
+    shared = members.groupBy(F.col("bucket").alias("at")).agg(F.count("*").alias("n"), F.max("asks").alias("asked"))
+    shared = shared.filter("n > 1 and asked").drop("asked")
+    members = materialize(members.join(shared, F.col("bucket") == F.col("at")).drop("at"), "members")
+    # The middle of a group of near copies agrees with most of them: it should lead.
+    weight = members.groupBy(F.col("node").alias("of")).agg(F.sum("n").alias("weight"))
+    members = members.join(weight, F.col("node") == F.col("of")).select("bucket", "node", "weight", "asks", "meets")
+    return materialize(members, "weighed")
+
+
+class Comparison:
+    """Rounds of comparing the members of buckets that ask with those they meet, until all are compared or connected."""
+
+    def __init__(self, facts: DataFrame, sets: DataFrame, percent: int, miss: float):
+        self.facts, self.sets, self.percent, self.miss = facts, sets, percent, miss
+        self.links = facts.sparkSession.createDataFrame([], "a long, b long")
+        self.labels = facts.sparkSession.createDataFrame([], "node long, label long")
+
+    def open(self, members: DataFrame) -> DataFrame:
+        """The rows of buckets where a row that asks has yet to meet one of another component; ``open`` marks such askers."""
+        of = self.labels.select(F.col("node").alias("of"), "label")
+        now = members.join(of, F.col("node") == F.col("of"), "left").withColumn("label", F.coalesce("label", "node")).drop("of")
+        ends = now.filter("meets").groupBy(F.col("bucket").alias("in"))
+        ends = ends.agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        now = now.join(ends, F.col("bucket") == F.col("in")).drop("in")
+        now = now.withColumn("open", F.expr("asks and (label <> low or label <> high)"))
+        asked = now.groupBy(F.col("bucket").alias("in")).agg(F.max("open").alias("any")).filter("any")
+        now = now.join(asked.drop("any"), F.col("bucket") == F.col("in"))
+        return materialize(now.drop("in", "low", "high"), "open")
+
+    def one_round(self, now: DataFrame, leaders: int) -> DataFrame:
+        """Compare ``leaders`` of the open askers of each bucket with all that they meet; they are returned."""
+        first = Window.partitionBy("bucket").orderBy(F.desc("weight"), "node")
+        lead = now.filter("open").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= leaders)
+        lead = materialize(lead.select("bucket", "node", "label"), "leaders")
+        ask = lead.select(F.col("bucket").alias("in"), F.col("node").alias("a"), F.col("label").alias("of"))
+        pairs = now.filter("meets").join(ask, (F.col("bucket") == F.col("in")) & (F.col("label") != F.col("of")))
+        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        alive = survivors(pairs, self.facts, self.percent / 100, self.miss)
+        self.links = self.links.unionByName(materialize(confirmed(alive, self.sets, self.percent), "confirmed"))
+        self.labels = materialize(components(self.links), "labels")
+        return lead
+
+    def settle(self, members: DataFrame) -> None:
+        leaders = 1
+        while not (now := self.open(members)).isEmpty():
+            lead = self.one_round(now, leaders).select(F.col("bucket").alias("in"), F.col("node").alias("done"))
+            was = (F.col("bucket") == F.col("in")) & (F.col("node") == F.col("done"))
+            members = now.join(lead, was, "left").withColumn("asks", F.col("asks") & F.col("done").isNull())
+            members = members.select("bucket", "node", "weight", "asks", "meets")
+            leaders *= LEADERS
+
+
 def near_groups(
     docs: DataFrame,
     words: int = 5,
@@ -226,52 +366,19 @@ def near_groups(
     classes = materialize(classes, "classes")
     nodes = known.join(classes.select("node"), known["row"] == classes["node"])
     facts = nodes.select("node", "doc_id", "tag", "key", "n_shingles", "signature")
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    members = materialize(
-        members.join(shared.select(F.col("bucket").alias("at"), "leader"), F.col("bucket") == F.col("at")).drop("at"),
-        "members",
-    )
-    pairs = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    rest = members.filter("node <> leader").select("bucket", "node")
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
-    sets, leaders = None, LEADERS
-    labels = None
-    while True:
-        alive = materialize(survivors(pairs, facts, percent / 100, miss), "survivors")
-        wanted = alive.select(F.col("a").alias("node")).unionByName(alive.select(F.col("b").alias("node"))).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("node"), "node", "left_anti")
-        more = materialize(
-            full_sets(docs, facts.drop("signature").join(wanted, "node"), id_column, text_column, words), "sets"
-        )
-        sets = more if sets is None else sets.unionByName(more)
-        links = links.unionByName(materialize(confirmed(alive, sets, percent), "confirmed"))
-        labels = materialize(components(links), "labels")
-        # What is open: nodes outside their bucket's largest component that were no leaders yet.
-        of = labels.select(F.col("node").alias("labelled"), "label")
-        now = rest.join(of, F.col("node") == F.col("labelled"), "left").select(
-            "bucket", "node", F.coalesce("label", "node").alias("label")
-        )
-        largest = now.groupBy("bucket", "label").count()
-        largest = largest.groupBy(F.col("bucket").alias("in")).agg(
-            F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("parts")
-        )
-        now = now.join(largest.filter("parts > 1"), F.col("bucket") == F.col("in")).drop("in", "parts")
-        now = materialize(now, "open")
-        if now.isEmpty():
-            break
-        first = Window.partitionBy("bucket").orderBy("node")
-        lead = now.filter("label <> main").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= leaders)
-        lead = materialize(lead.select("bucket", "node", "label"), "leaders")
-        met = lead.select(F.col("bucket").alias("in"), F.col("node").alias("a"), F.col("label").alias("of"))
-        pairs = now.join(met, F.col("bucket") == F.col("in")).filter("label <> of")
-        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        rest = now.select("bucket", "node").join(lead.select("bucket", "node"), ["bucket", "node"], "left_anti")
-        leaders *= LEADERS
+    both = F.lit(True).alias("asks"), F.lit(True).alias("meets")
+    members = shared_buckets(nodes.select("node", F.explode("bands").alias("bucket"), *both))
+    wanted = facts.drop("signature").join(members.select("node").distinct(), "node")
+    sets = materialize(full_sets(docs, wanted, id_column, text_column, words), "sets")
+    compare = Comparison(facts, sets, percent, miss)
+    hubs = compare.one_round(compare.open(members), 1)
+    still = compare.open(members.join(hubs.select("bucket", "node"), ["bucket", "node"], "left_anti"))
+    if not still.isEmpty():
+        # Buckets that hold several components: what their nodes do not share with the leader decides.
+        compare.settle(delta_buckets(deltas(still, hubs, compare.labels, sets), percent))
     rows = known.select("row", "doc_id", "tag", "n_shingles", "key")
     rows = rows.join(classes, "key", "left")  # documents without shingles have no class
-    of = labels.select(F.col("node").alias("labelled"), "label")
+    of = compare.labels.select(F.col("node").alias("labelled"), "label")
     rows = rows.join(of, F.col("node") == F.col("labelled"), "left")
     rows = rows.select("row", "doc_id", "tag", "n_shingles", F.coalesce("label", "node").alias("group"))
     rows = materialize(rows, "grouped")

@@ -14,18 +14,18 @@ def kept_rows(docs: DataFrame, id_column: str, tag: Column, flags: DataFrame) ->
     Rows are told apart by id and ``tag``, a hash of their text. Of rows that agree in both, one stays if one is kept.
     """
     keys = flags.groupBy("doc_id", "tag").agg(F.max("kept").alias("stays"), F.count("*").alias("copies"))
-    keyed = docs.withColumns({"__id": docs[id_column], "__tag": tag})
+    # The row travels as one column, so its own names clash with nothing.
+    keyed = docs.select(F.struct("*").alias("all"), docs[id_column].alias("id"), tag.alias("own_tag"))
 
     def matched(some: DataFrame, how: str) -> DataFrame:
-        some = some.select(F.col("doc_id").alias("__key"), F.col("tag").alias("__key_tag"))
-        on = keyed["__id"].eqNullSafe(some["__key"]) & (keyed["__tag"] == some["__key_tag"])
-        return keyed.join(some, on, how)
+        on = keyed["id"].eqNullSafe(some["doc_id"]) & (keyed["own_tag"] == some["tag"])
+        return keyed.join(some.select("doc_id", "tag"), on, how)
 
     repeated = keys.filter("stays and copies > 1")
     rest = matched(keys.filter("not stays or copies > 1"), "left_anti")
     if not repeated.isEmpty():
-        rest = rest.unionByName(matched(repeated, "left_semi").dropDuplicates(["__id", "__tag"]))
-    return rest.drop("__id", "__tag")
+        rest = rest.unionByName(matched(repeated, "left_semi").dropDuplicates(["id", "own_tag"]))
+    return rest.select("all.*")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
