@@ -198,8 +198,10 @@ def labelled(docs: DataFrame, field: Field | None, text_column: str = "text", ru
     """``docs`` with lang_pred and lang_score, and with ``runs`` also lang_runs: words (from 0, between white space) first to last
     of the text that are most probably of one language; words without letters join the run around them."""
     added = ["lang_pred", "lang_score"] + ["lang_runs"] * runs
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in added]
-    plain = docs.select(*kept, docs[text_column].cast("string").alias("text of this operator"))
+    kept = [c for c in docs.columns if c not in added]
+    # Arrow functions take columns by name: give them plain ones on the way.
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]
+    plain = docs.select(*own, docs[text_column].cast("string").alias("text"))
     schema = T.StructType(
         [
             *plain.schema.fields[:-1],
@@ -224,7 +226,8 @@ def labelled(docs: DataFrame, field: Field | None, text_column: str = "text", ru
                     columns.append(pa.array(spans, kind))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return plain.mapInArrow(run, schema)
+    back = [F.col(f"c{i}").alias(c) for i, c in enumerate(kept)]
+    return plain.mapInArrow(run, schema).select(*back, *added)
 
 
 def _label(texts: pa.Array, field: Field | None, runs: bool) -> tuple[list[str], list[float], list]:

@@ -11,7 +11,7 @@ leaves out pages and entries whose stored distances rule them out by the triangl
 
 Every vector is indexed; pivots only decide which tree it lies in, never whether it is found.
 
-Defined cases: vectors that are NULL or hold a NULL or non-finite component, and rows without an id, take no part; vectors of
+Defined cases: vectors that are NULL or empty or hold a NULL or non-finite component, and rows without an id, take no part; vectors of
 different lengths are never compared; equal scores go to the smaller id; rows that repeat an id count as candidates one by one, but
 never for a query with that id; with fewer than k candidates all are returned; an empty table gives an empty result.
 Products are exact while their terms sum to less than 2^53.
@@ -41,7 +41,7 @@ def whole_numbers(vector: Column, scale: int = SCALE) -> Column:
     """floor(scale x) of each component; NULL where the vector takes no part."""
     doubles = F.transform(vector, lambda x: x.cast("double"))
     bad = F.exists(doubles, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(vector.isNotNull() & ~bad, F.transform(doubles, lambda x: F.floor(x * scale).cast("long")))
+    return F.when(vector.isNotNull() & (F.size(vector) > 0) & ~bad, F.transform(doubles, lambda x: F.floor(x * scale).cast("long")))
 
 
 def quantized(rows: DataFrame, id_column: str, vector_column: str, scale: int = SCALE) -> DataFrame:
