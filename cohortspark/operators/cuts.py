@@ -24,12 +24,11 @@ from pyspark.sql import types as T
 
 from cohortspark.functions.keys import hash_bucket, hex_number
 from cohortspark.functions.literals import sql_literal
-from cohortspark.operators.bounded import broadcast_if_small
 
 BINS = 4096
 RANKABLE = 200_000
 MOST_STRATA = 200
-STRING_BLOCKS = 8  # text keys are narrowed seven bytes at a time
+TEXT_BLOCK = 7  # bytes of a text key that are narrowed at a time, to the end of the longest text
 
 Ranks = Callable[[dict[Any, int]], dict[Any, list[int]]]
 
@@ -61,7 +60,7 @@ class Cuts:
 
 def _text_block(col: Column, block: int) -> Column:
     raw = F.hex(F.encode(col, "UTF-8"))
-    piece = F.rpad(F.substring(raw, 1 + 14 * block, 14), 14, "0")
+    piece = F.rpad(F.substring(raw, 1 + 2 * TEXT_BLOCK * block, 2 * TEXT_BLOCK), 2 * TEXT_BLOCK, "0")
     return F.conv(piece, 16, 10).cast("bigint")
 
 
@@ -71,14 +70,23 @@ def _fraction_digits(x: Column) -> list[Column]:
     return [F.floor(held).cast("bigint"), F.floor((held - F.floor(held)) * F.lit(2.0**53)).cast("bigint")]
 
 
-def _digits(keyed: DataFrame, names: Sequence[str]) -> list[Column]:
+def _text_blocks(keyed: DataFrame, names: Sequence[str]) -> dict[str, int]:
+    """How many blocks the longest text of each text column has: one aggregate."""
+    texts = [n for n in names if n != "key" and isinstance(keyed.schema[n].dataType, T.StringType)]
+    if not texts:
+        return {}
+    row = keyed.agg(*[F.max(F.octet_length(n)).alias(n) for n in texts]).first()
+    return {n: -(-(row[n] or 0) // TEXT_BLOCK) for n in texts}
+
+
+def _digits(keyed: DataFrame, names: Sequence[str], blocks: dict[str, int]) -> list[Column]:
     """Order-preserving integers, most significant first.  A ``key`` column is hex text."""
     out: list[Column] = []
     for name in names:
         if name == "key":
             out.append(hex_number(F.col(name)))
         elif isinstance(keyed.schema[name].dataType, T.StringType):
-            out += [_text_block(F.col(name), b) for b in range(STRING_BLOCKS)]
+            out += [_text_block(F.col(name), b) for b in range(blocks.get(name, 0))]
         elif isinstance(keyed.schema[name].dataType, T.FractionalType):
             out += _fraction_digits(F.col(name).cast("double"))
         else:
@@ -185,10 +193,11 @@ def cut_points(
     if not stratified and not sizes:
         sizes = {None: 0}
     ranks = wanted(dict(sizes))
-    digits = _digits(keyed, names)
     searches = {
         (s, r): _Search(s, r, r, sizes[s]) for s, rs in ranks.items() for r in rs if 0 < r <= sizes[s]
     }
+    large = any(s.size > rankable for s in searches.values())
+    digits = _digits(keyed, names, _text_blocks(keyed, names) if large else {})
     while True:
         busy = {
             k: s for k, s in searches.items() if s.size > rankable and len(s.fixed) < len(digits)
@@ -297,7 +306,7 @@ def label_strata(
     table = df.sparkSession.createDataFrame(
         list(ranks.items()), f"`{stratum}` {df.schema[stratum].dataType.simpleString()}, __cuts array<bigint>"
     )
-    joined = ranked.join(offsets, [stratum, "__bucket"]).join(broadcast_if_small(table), stratum)
+    joined = ranked.join(offsets, [stratum, "__bucket"]).join(table, stratum)
     passed = F.size(F.filter("__cuts", lambda c: c < F.col("__rank") + F.col("__before")))
     label = F.element_at(F.array(*[F.lit(v) for v in labels]), passed + 1)
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], label.alias(name))

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions.keys import hash_bucket, shuffle_key
-from cohortspark.operators.bounded import broadcast_if_small
 from cohortspark.operators.cuts import cut_points, label_rows, label_strata
 from cohortspark.operators.splits import _require, _shuffled
 
@@ -154,7 +153,7 @@ def group_folds(df: DataFrame, group: str, k: int = 5, *, seed: int = 42) -> Dat
 
 def group_kfold(df: DataFrame, group: str, k: int = 5, *, seed: int = 42) -> DataFrame:
     folds = group_folds(df, group, k, seed=seed).drop("n_rows")
-    return df.join(broadcast_if_small(folds), group).select(*df.columns, "fold")
+    return df.join(folds, group).select(*df.columns, "fold")
 
 
 def fold_table(df: DataFrame, id: str, *, target: str, group: str | None, task: str, k: int, seed: int = 42) -> DataFrame:

@@ -37,8 +37,10 @@ def with_donors(
 
     Within a repeat all rows are put in a seeded random order and each takes the
     values of its successor (the last those of the first), so every row donates
-    exactly once.  The order is cut into hash buckets and closed inside each, which
-    keeps the window distributed.  All features share it: one shuffle per repeat.
+    exactly once.  The order is cut into hash buckets to keep the window distributed;
+    the last row of a bucket takes the first of the next bucket, so the ring is one
+    at any size and does not depend on the buckets.  All features share it: one
+    shuffle per repeat.
     """
     if repeats < 1:
         raise ValueError("at least one repeat is needed")
@@ -46,11 +48,19 @@ def with_donors(
     each = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
     keyed = each.withColumn(
         "__key", shuffle_key(seed, F.concat(F.col("repeat").cast("string"), F.lit(":"), F.col(id).cast("string")))
-    )
-    ring = Window.partitionBy("repeat", hash_bucket(F.col("__key"), rows, BUCKET_ROWS)).orderBy("__key", id)
+    ).withColumn("__bucket", hash_bucket(F.col("__key"), rows, BUCKET_ROWS))
     values = F.struct(*[F.col(f"`{c}`") for c in columns])
-    donor = F.coalesce(F.lead(values).over(ring), F.first(values).over(ring))
-    return keyed.withColumn("donor", donor).drop("__key")
+    # The head of every bucket, seen from the bucket before it: one row per bucket and repeat.
+    heads = keyed.groupBy("repeat", "__bucket").agg(F.min_by(values, F.struct("__key", id)).alias("__head"))
+    after = Window.partitionBy("repeat").orderBy("__bucket")
+    whole = after.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    following = F.coalesce(F.lead("__head").over(after), F.first("__head").over(whole))
+    heads = heads.select("repeat", "__bucket", following.alias("__following"))
+    ring = Window.partitionBy("repeat", "__bucket").orderBy("__key", id)
+    ringed = keyed.withColumns({"__next": F.lead(values).over(ring), "__last": F.lead("__key").over(ring).isNull()})
+    joined = ringed.join(heads, ["repeat", "__bucket"])
+    donor = F.when(F.col("__last"), F.col("__following")).otherwise(F.col("__next"))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], "repeat", donor.alias("donor"))
 
 
 def _scores(

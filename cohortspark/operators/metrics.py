@@ -1,7 +1,8 @@
 """Metrics of prediction tables, computed from small count tables.
 
 Every function takes ``by`` columns (split, fold, model ...) and returns one row
-per combination.  Undefined values are NULL.
+per combination.  Undefined values are NULL; a metric of labels and scores is
+undefined where any of them is missing.
 """
 
 from __future__ import annotations
@@ -73,7 +74,8 @@ def score_edges(df: DataFrame, score: str, n_rows: int | None = None) -> list[fl
     if bins < 2:
         return []
     marks = [i / bins for i in range(1, bins)]
-    return sorted(set(df.agg(F.percentile_approx(score, marks, 10_000).alias("e")).first()["e"] or ()))
+    known = df.where(~F.isnan(score))
+    return sorted(set(known.agg(F.percentile_approx(score, marks, 10_000).alias("e")).first()["e"] or ()))
 
 
 def score_ladder(
@@ -88,15 +90,23 @@ def score_ladder(
 ) -> DataFrame:
     """Distinct scores with their positives and negatives and the totals at lower scores.
 
+    Rows with a missing score or label count in ``missing`` of a row of their own (score NaN).
+
     ``n_rows`` is an upper bound of the rows, if known, and spares a count; ``edges``
     are bin edges known from a similar table.
     """
     by = list(by)
     rows = df.select(*by, (F.col(y) == F.lit(positive)).alias("pos"), F.col(score).cast("double").alias("score"))
-    rows = rows.where(F.col("score").isNotNull() & ~F.isnan("score") & F.col("pos").isNotNull())
+    gone = F.col("score").isNull() | F.isnan("score") | F.col("pos").isNull()
+    rows = rows.withColumn("gone", gone).withColumn("score", F.when(gone, float("nan")).otherwise(F.col("score")))
     if edges is None:
         edges = score_edges(rows, "score", n_rows)
-    counts = [F.count_if(F.col("pos")).alias("pos"), F.count_if(~F.col("pos")).alias("neg")]
+    kept = ~F.col("gone")
+    counts = [
+        F.count_if(kept & F.col("pos")).alias("pos"),
+        F.count_if(kept & ~F.col("pos")).alias("neg"),
+        F.count_if("gone").alias("missing"),
+    ]
 
     def below(column: str, window) -> Column:
         return F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -110,6 +120,7 @@ def score_ladder(
             "score",
             "pos",
             "neg",
+            "missing",
             below("pos", climb).alias("pos_below"),
             below("neg", climb).alias("neg_below"),
             F.sum("pos").over(group).alias("all_pos"),
@@ -117,7 +128,7 @@ def score_ladder(
         )
 
     splits = [-float("inf"), *edges, float("inf")]
-    binned = Bucketizer(splits=splits, inputCol="score", outputCol="bin").transform(rows)
+    binned = Bucketizer(splits=splits, inputCol="score", outputCol="bin", handleInvalid="keep").transform(rows)
     counted = binned.groupBy(*by, "bin", "score").agg(*counts)
     climb = Window.partitionBy(*by, "bin").orderBy("score")
     ladder = counted.withColumns({"pos_in": below("pos", climb), "neg_in": below("neg", climb)})
@@ -137,6 +148,7 @@ def score_ladder(
         "score",
         "pos",
         "neg",
+        "missing",
         (F.col("pos_in") + F.col("p_off")).alias("pos_below"),
         (F.col("neg_in") + F.col("q_off")).alias("neg_below"),
         "all_pos",
@@ -159,18 +171,19 @@ def ranking_metrics(
     wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
     reached_pos = F.col("all_pos") - F.col("pos_below")
     reached = reached_pos + F.col("all_neg") - F.col("neg_below")
-    precision = F.sum(F.col("pos") * reached_pos / reached)
-    pairs = F.max("all_pos").cast("double") * F.max("all_neg")
+    precision = F.sum(F.try_divide(F.col("pos") * reached_pos, reached))
+    pairs = F.when(F.sum("missing") == 0, F.max("all_pos").cast("double") * F.max("all_neg"))
     return ladder.groupBy(*by).agg(
         F.try_divide(wins, pairs).alias("auroc"),
-        F.when(pairs > 0, precision / F.max("all_pos")).alias("auprc"),
+        F.when(pairs > 0, F.try_divide(precision, F.max("all_pos"))).alias("auprc"),
     )
 
 
 def auroc(df: DataFrame, y: str, score: str, positive=None, by: Sequence[str] = ()) -> DataFrame:
     """AUROC with the larger label as positive by default; NULL unless there are two classes."""
     if positive is None:
-        labels = sorted(r["y"] for r in df.select(F.col(y).alias("y")).distinct().limit(3).collect())
+        known = df.select(F.col(y).alias("y")).where("y is not null")
+        labels = sorted(r["y"] for r in known.distinct().limit(3).collect())
         if len(labels) != 2:
             return df.groupBy(*by).agg(F.lit(None).cast("double").alias("auroc"))
         positive = labels[1]
@@ -194,8 +207,17 @@ def regression_metrics(df: DataFrame, y: str, prediction: str, by: Sequence[str]
 
 
 def brier(df: DataFrame, y: str, probability: str, positive=1, by: Sequence[str] = ()) -> DataFrame:
-    gap = F.col(probability) - F.when(F.col(y) == F.lit(positive), 1.0).otherwise(0.0)
-    return df.groupBy(*by).agg(F.avg(gap * gap).alias("brier"))
+    p = F.col(probability).cast("double")
+    gap = p - _hit(y, positive)
+    return df.groupBy(*by).agg(F.when(F.count_if(_missing(y, p)) == 0, F.avg(gap * gap)).alias("brier"))
+
+
+def _hit(y: str, positive) -> Column:
+    return F.when(F.col(y) == F.lit(positive), 1.0).when(F.col(y).isNotNull(), 0.0)
+
+
+def _missing(y: str, p: Column) -> Column:
+    return F.col(y).isNull() | p.isNull() | F.isnan(p)
 
 
 def bin_edges(bins: int) -> list[float]:
@@ -209,13 +231,13 @@ def calibration_bins(
 ) -> DataFrame:
     """Reliability table over equal-width bins ``[low, high)``, the last one closed.
 
-    Bin 0 collects probabilities outside [0, 1].
+    Bin 0 collects probabilities outside [0, 1], bin -1 rows without a label or probability.
     """
     edges = bin_edges(bins)
     p = F.col(probability).cast("double")
-    hit = F.when(F.col(y) == F.lit(positive), 1.0).otherwise(0.0)
+    hit = _hit(y, positive)
     place = sum((F.when(p >= e, 1).otherwise(0) for e in edges[1:-1]), F.lit(1))
-    placed = df.withColumn("bin", F.when(p.between(0.0, 1.0), place).otherwise(0))
+    placed = df.withColumn("bin", F.when(_missing(y, p), -1).when(p.between(0.0, 1.0), place).otherwise(0))
     return placed.groupBy(*by, "bin").agg(
         F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_probability"), F.avg(hit).alias("observed_rate")
     )
@@ -226,7 +248,7 @@ def ece(df: DataFrame, y: str, probability: str, *, bins: int = 10, positive=1,
     table = calibration_bins(df, y, probability, bins=bins, positive=positive, by=by)
     gap = F.abs(F.col("mean_probability") - F.col("observed_rate"))
     weighted = F.sum(F.when(F.col("bin") > 0, F.col("n") * gap).otherwise(0.0))
-    return table.groupBy(*by).agg((weighted / F.sum("n")).alias("ece"))
+    return table.groupBy(*by).agg(F.when(F.min("bin") >= 0, weighted / F.sum("n")).alias("ece"))
 
 
 def cv_aggregate(long: DataFrame, by: Sequence[str] = ("model", "metric"), value: str = "value") -> DataFrame:

@@ -1,9 +1,10 @@
-"""Multilayer perceptron regression, trained data-parallel.
+"""Multilayer perceptron regression on summed gradients.
 
-Spark ML has no neural regressor.  Every round each partition makes one pass of
-minibatch Adam over its own rows from the shared weights; the row-weighted mean
-of the results is the next set of shared weights.  Training stops early when the
-squared error on a held-out tenth of the rows no longer improves.
+Spark ML has no neural regressor.  Every step is one job: each task sums loss and gradient
+of its rows at the shared weights, the sums are added up, and a limited-memory BFGS
+step on the driver (whose state is a few vectors as long as the model) gives the next
+weights.  The fit depends on the rows, not on how they are partitioned.  Training stops
+early when the squared error on a held-out tenth of the rows no longer improves.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-BATCH = 200
 PATIENCE = 10
 TOLERANCE = 1e-4
 HELD_OUT = 10  # one row in ten
-MOST_PARTITIONS = 256
+MEMORY = 10  # earlier steps that shape the next one
+DIGITS = 13  # of a summed gradient; the order of summation shows in the ones after
 
 
 def shapes(sizes: list[int]) -> list[tuple[int, int]]:
@@ -58,62 +59,64 @@ def forward(x: np.ndarray, layers) -> list[np.ndarray]:
     return outs
 
 
-def gradient(x: np.ndarray, y: np.ndarray, flat: np.ndarray, sizes: list[int], l2: float) -> np.ndarray:
-    """Of half the mean squared error plus the weight penalty."""
+def gradient_sum(x: np.ndarray, y: np.ndarray, flat: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Gradient of half the squared error, then that error, summed over the rows."""
     layers = unpack(flat, sizes)
     outs = forward(x, layers)
-    delta = (outs[-1] - y[:, None]) / len(y)
+    delta = outs[-1] - y[:, None]
+    error = 0.5 * float((delta * delta).sum())
     parts: list[np.ndarray] = []
     for i in range(len(layers) - 1, -1, -1):
-        w = layers[i][0]
-        parts = [(outs[i].T @ delta + l2 * w / len(y)).ravel(), delta.sum(axis=0), *parts]
+        parts = [(outs[i].T @ delta).ravel(), delta.sum(axis=0), *parts]
         if i:
-            delta = (delta @ w.T) * (outs[i] > 0)
-    return np.concatenate(parts)
-
-
-class Adam:
-    """Weights with their running moments, fed one block of rows at a time."""
+            delta = (delta @ layers[i][0].T) * (outs[i] > 0)
+    return np.append(np.concatenate(parts), error)
 
-    def __init__(self, flat: np.ndarray, sizes: list[int], rate: float, l2: float, seed: int):
-        self.flat, self.sizes, self.rate, self.l2 = flat.copy(), sizes, rate, l2
-        self.m, self.v, self.t = np.zeros_like(flat), np.zeros_like(flat), 0
-        self.rng = np.random.default_rng(seed)
 
-    def learn(self, x: np.ndarray, y: np.ndarray) -> None:
-        order = self.rng.permutation(len(y))
-        for at in range(0, len(y), BATCH):
-            pick = order[at : at + BATCH]
-            g = gradient(x[pick], y[pick], self.flat, self.sizes, self.l2)
-            self.t += 1
-            self.m = 0.9 * self.m + 0.1 * g
-            self.v = 0.999 * self.v + 0.001 * g * g
-            step = self.m / (1 - 0.9**self.t)
-            self.flat -= self.rate * step / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
-
-
-def _one_round(rows: DataFrame, flat: np.ndarray, sizes, rate: float, seed: int, l2: float) -> np.ndarray:
+def _evaluate(rows: DataFrame, flat: np.ndarray, sizes: list[int], l2: float) -> tuple[float, np.ndarray, float]:
+    """Penalised loss and gradient on the learning rows and the loss on the held-out ones: one job."""
     shared = rows.sparkSession.sparkContext.broadcast(flat)  # as long as the model
 
-    def local_pass(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """One batch at a time, so a task's memory does not grow with its partition."""
-        adam, seen = Adam(shared.value, sizes, rate, l2, seed), 0
+        total, held, seen, apart = np.zeros(len(shared.value) + 1), 0.0, 0, 0
         for frame in frames:
-            if len(frame):
-                adam.learn(np.stack(frame["x"].to_numpy()), frame["y"].to_numpy(dtype=float))
-                seen += len(frame)
-        if seen:
-            yield pd.DataFrame({"pos": np.arange(len(adam.flat)), "w": adam.flat * seen, "n": float(seen)})
-
-    summed = (
-        rows.select("x", "y")
-        .mapInPandas(local_pass, "pos int, w double, n double")
-        .groupBy("pos")
-        .agg((F.sum("w") / F.sum("n")).alias("w"))
-    )
-    got = summed.toPandas().sort_values("pos")
+            for part, some in frame.groupby(frame["part"] == 0):
+                x, y = np.stack(some["x"].to_numpy()), some["y"].to_numpy(dtype=float)
+                if part:
+                    gap = forward(x, unpack(shared.value, sizes))[-1][:, 0] - y
+                    held, apart = held + float((gap * gap).sum()), apart + len(y)
+                else:
+                    total, seen = total + gradient_sum(x, y, shared.value, sizes), seen + len(y)
+        values = np.concatenate([total, [seen, held, apart]])
+        yield pd.DataFrame({"pos": np.arange(len(values)), "v": values})
+
+    summed = rows.mapInPandas(sums, "pos int, v double").groupBy("pos").agg(F.sum("v").alias("v")).toPandas()
     shared.destroy()
-    return got["w"].to_numpy()
+    values = summed.sort_values("pos")["v"].to_numpy()
+    n, held, apart = values[-3:]
+    weights = np.concatenate(
+        [np.append(np.ones(a * b), np.zeros(b)) for a, b in shapes(sizes)]
+    )  # the penalty leaves the offsets alone
+    slope = (values[:-4] + l2 * weights * flat) / n
+    scale = 10.0 ** (np.floor(np.log10(np.abs(slope).max() or 1.0)) + 1)
+    loss = (values[-4] + 0.5 * l2 * float((weights * flat * flat).sum())) / n
+    return loss, np.round(slope / scale, DIGITS) * scale, held / apart if apart else 2 * loss
+
+
+def _direction(slope: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Downhill by the two-loop recursion over the remembered (move, change of slope) pairs."""
+    q, saved = slope.copy(), []
+    for move, change in reversed(steps):
+        a = (move @ q) / (move @ change)
+        q -= a * change
+        saved.append(a)
+    if steps:
+        move, change = steps[-1]
+        q *= (move @ change) / (change @ change)
+    for (move, change), a in zip(steps, reversed(saved), strict=True):
+        q += (a - (change @ q) / (move @ change)) * move
+    return -q
 
 
 def _score_column(flat: np.ndarray, sizes: list[int], shift: float, scale: float):
@@ -157,7 +160,6 @@ def fit_mlp(
     *,
     hidden: tuple[int, ...] = (128, 64),
     max_iter: int = 300,
-    learning_rate: float = 1e-3,
     l2: float = 1e-4,
     seed: int = 42,
 ) -> MLPRegressionModel:
@@ -168,28 +170,36 @@ def fit_mlp(
         F.avg("y").alias("m"), F.stddev_pop("y").alias("s"), F.max(F.size("x")).alias("d")
     ).first()
     shift, scale = head["m"], head["s"] or 1.0
-    part = F.pmod(F.xxhash64("x", "y", F.lit(seed)), F.lit(HELD_OUT))
+    # Standardised values differ in their last digits with the order of summation; the choice must not.
+    part = F.pmod(F.xxhash64(F.transform("x", lambda v: F.round(v, 6)), "y", F.lit(seed)), F.lit(HELD_OUT))
     scaled = base.select("x", ((F.col("y") - shift) / scale).alias("y"), part.alias("part"))
-    held = scaled.where("part = 0")
-    if held.isEmpty():
-        held = scaled
-    learn = scaled.where("part <> 0")
-    if learn.isEmpty():
-        learn = scaled
-    learn = learn.coalesce(MOST_PARTITIONS)
+    if scaled.where("part <> 0").isEmpty():
+        scaled = scaled.withColumn("part", F.lit(1).cast("bigint"))
     sizes = [head["d"], *hidden, 1]
     flat = initial(sizes, seed)
-    best, best_loss, stale, done = flat, np.inf, 0, 0
-    for round_ in range(max_iter):
-        flat = _one_round(learn, flat, sizes, learning_rate, seed + 1000 * round_, l2)
-        done += 1
-        gap = _score_column(flat, sizes, 0.0, 1.0)(F.col("x")) - F.col("y")
-        loss = held.agg(F.avg(gap * gap).alias("loss")).first()["loss"]
-        stale = 0 if loss < best_loss - TOLERANCE else stale + 1
-        if loss < best_loss:
-            best, best_loss = flat, loss
-        if stale > PATIENCE:
+    loss, slope, held = _evaluate(scaled, flat, sizes, l2)
+    best, best_held, stale, done, steps = flat, held, 0, 0, []
+    while done < max_iter and stale <= PATIENCE and np.abs(slope).max() > 1e-7:
+        way = _direction(slope, steps)
+        if way @ slope >= 0:
+            way, steps = -slope, []
+        length, found = (1.0 if steps else min(1.0, 1.0 / np.abs(slope).sum())), None
+        while length > 1e-10 and done < max_iter:
+            done += 1
+            found = _evaluate(scaled, flat + length * way, sizes, l2)
+            if found[0] <= loss + 1e-4 * length * (way @ slope):
+                break
+            length, found = length / 2, None
+        if found is None:
             break
+        move, change = length * way, found[1] - slope
+        if move @ change > 1e-12 * (change @ change):
+            steps = [*steps[-(MEMORY - 1) :], (move, change)]
+        flat = flat + move
+        loss, slope, held = found
+        stale = 0 if held < best_held - TOLERANCE else stale + 1
+        if held < best_held:
+            best, best_held = flat, held
     model = MLPRegressionModel()
     model._set(
         featuresCol=features,

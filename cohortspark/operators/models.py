@@ -31,7 +31,7 @@ VECTOR = "__features"
 LOGISTIC = {"C": 1.0, "max_iter": 2000}
 RIDGE = {"alpha": 1.0}
 BOOSTING = {"max_iter": 100, "learning_rate": 0.1, "max_bins": 255, "min_samples_leaf": 20, "max_depth": 5}
-NEURAL = {"hidden": (128, 64), "max_iter": 300, "learning_rate": 1e-3}
+NEURAL = {"hidden": (128, 64), "max_iter": 300}
 
 
 @dataclass(frozen=True)
@@ -174,7 +174,6 @@ def _neural_values(fit: _Fit):
         LABEL,
         hidden=tuple(p["hidden"]),
         max_iter=p["max_iter"],
-        learning_rate=p["learning_rate"],
         seed=fit.seed,
     )
 
@@ -195,6 +194,19 @@ CATALOGUE: dict[str, dict[str, Callable[[_Fit], Any]]] = {
 }
 
 
+#: The parameters that each model reads.
+PARAMETERS: dict[tuple[str, str], tuple[str, ...]] = {
+    ("classification", "logistic_regression"): tuple(LOGISTIC),
+    ("classification", "hist_gradient_boosting"): tuple(BOOSTING),
+    ("classification", "mlp"): tuple(NEURAL),
+    ("classification", "pca_then_logistic_regression"): (*LOGISTIC, "n_components"),
+    ("classification", "pca_then_mlp"): (*NEURAL, "n_components"),
+    ("regression", "ridge"): tuple(RIDGE),
+    ("regression", "hist_gradient_boosting"): tuple(BOOSTING),
+    ("regression", "mlp"): tuple(NEURAL),
+}
+
+
 def available_models(task: str) -> tuple[str, ...]:
     if task not in CATALOGUE:
         raise ValueError(f"task must be one of {TRAINING_TASKS}, got {task!r}")
@@ -204,17 +216,15 @@ def available_models(task: str) -> tuple[str, ...]:
 def build_model(task: str, name: str, *, seed: int = 42, **params) -> ModelSpec:
     if name not in available_models(task):
         raise KeyError(f"no {task} model {name!r}; there are {available_models(task)}")
+    read = PARAMETERS[task, name]
+    if unread := sorted(set(params) - set(read)):
+        raise ValueError(f"{name} ({task}) does not read {unread}; it reads {list(read)}")
     return ModelSpec(name, task, params, seed)
 
 
-MOST_CLASSES = 10_000
-
-
 def class_labels(train: DataFrame, target: str) -> tuple:
     """Sorted classes; a missing target is an error."""
-    found = [r["y"] for r in train.select(F.col(f"`{target}`").alias("y")).distinct().take(MOST_CLASSES + 1)]
-    if len(found) > MOST_CLASSES:
-        raise ValueError(f"more than {MOST_CLASSES} classes: {target!r} looks like a regression target")
+    found = [r["y"] for r in train.select(F.col(f"`{target}`").alias("y")).distinct().collect()]
     if any(v is None or v != v for v in found):
         raise ValueError("the target has missing values")
     if len(found) < 2:

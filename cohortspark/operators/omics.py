@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions.missing import present_double
-from cohortspark.operators.bounded import broadcast_if_small
 from cohortspark.operators.quantiles import exact_quantiles
 from cohortspark.roles import is_numeric_type
 from cohortspark.session import materialize
@@ -52,7 +51,7 @@ def variance_filter(
     kept = feature_moments(long, feature=feature, value=value, n_samples=n_samples).where(
         F.col("variance") > min_variance
     )
-    return long.join(broadcast_if_small(kept.select(feature)), feature, "left_semi").select(*long.columns)
+    return long.join(kept.select(feature), feature, "left_semi").select(*long.columns)
 
 
 def zscore_features(long: DataFrame, *, feature: str = "feature", value: str = "value") -> DataFrame:
@@ -63,7 +62,7 @@ def zscore_features(long: DataFrame, *, feature: str = "feature", value: str = "
     v = F.col(value).cast("double")
     stats = long.groupBy(feature).agg(F.avg(v).alias("mean_"), F.stddev_pop(v).alias("std_"))
     unit = F.when(F.col("std_") == 0.0, 1.0).otherwise(F.col("std_"))
-    scaled = long.join(broadcast_if_small(stats), feature).withColumn(value, (v - F.col("mean_")) / unit)
+    scaled = long.join(stats, feature).withColumn(value, (v - F.col("mean_")) / unit)
     return scaled.select(*long.columns)
 
 
@@ -101,7 +100,7 @@ def pseudobulk(
     if group not in obs.columns:
         raise KeyError(f"column {group!r} is not in the observation table")
     cells = obs.where(F.col(group).isNotNull()).select(cell, group)
-    joined = counts.select(cell, gene, count).join(broadcast_if_small(cells), cell)
+    joined = counts.select(cell, gene, count).join(cells, cell)
     return joined.groupBy(group, gene).agg(F.sum(count).alias(count))
 
 

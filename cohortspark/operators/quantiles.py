@@ -14,7 +14,6 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.operators.bounded import broadcast_if_small
 
 DISTINCT_LIMIT = 500_000
 GRID = 1000
@@ -94,7 +93,7 @@ class _Large:
             table = spark.createDataFrame(
                 [(*[h[b] for b in by], i) for i, h in enumerate(heads)], key_schema + ", __g int"
             )
-            self.keys = broadcast_if_small(table)
+            self.keys = table
             match = None
             for b in by:
                 c = F.col(f"r.`{b}`").eqNullSafe(F.col(f"k.`{b}`"))

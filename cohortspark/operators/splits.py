@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortspark.functions.keys import shuffle_key, time_order
-from cohortspark.operators.bounded import broadcast_if_small
 from cohortspark.operators.cuts import cut_points, label_rows, label_strata
 from cohortspark.roles import SplitConfig
 
@@ -256,9 +255,8 @@ def temporal_split(
     order = {"time": F.col("last_seen"), "tie": F.col(group)}
     cuts = cut_points(last, order, ranks)
     labelled = label_rows(last, "split", order, cuts, (DEVELOPMENT, TEST)).select(group, "split")
-    # The group table grows with the data, so it is broadcast only after a size check;
-    # beyond that AQE picks the join and splits a hot group.
-    newest = broadcast_if_small(labelled.where(F.col("split") == TEST))
+    # AQE picks the join by the measured size and splits a hot group.
+    newest = labelled.where(F.col("split") == TEST)
     joined = df.join(newest, group, "left")
     return joined.withColumn("split", F.coalesce("split", F.lit(DEVELOPMENT))).select(*df.columns, "split")
 

@@ -33,12 +33,14 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can see.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, local runs) a fresh temporary folder is taken.
+    The cluster names it in ``spark.checkpoint.dir``. Only a ``local`` master, where driver
+    and executors are one process, gets a fresh temporary folder where that is unset.
     """
     context = spark.sparkContext
     named = spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()
     if not named:
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors of {context.master} share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)

@@ -112,6 +112,13 @@ def infer_types(text: DataFrame) -> T.StructType:
     return T.StructType(fields)
 
 
+def _fitting(field: T.StructField) -> Column:
+    text = F.col(f"`{field.name}`")
+    value = text.try_cast(field.dataType)
+    told = F.concat(F.lit(f"column {field.name} is no {field.dataType.simpleString()}: "), text)
+    return F.when(text.isNull() | value.isNotNull(), value).otherwise(F.raise_error(told)).alias(field.name)
+
+
 def load_csv(
     spark: SparkSession,
     path: str,
@@ -122,24 +129,40 @@ def load_csv(
 ) -> DataFrame:
     """Delimited text with a header; missing-value texts become NULL.
 
-    Pass ``schema`` to skip the inference pass.  ``multiline`` admits line breaks
-    inside quotes, at the price of one task per file.
+    Pass ``schema`` to skip the inference pass; a cell that does not fit it is an
+    error, and so is a file whose header differs from the first one's.  ``multiline``
+    admits line breaks inside quotes, at the price of one task per file.
     """
     require_path(spark, path)
     head = _reader(spark, sep, multiline).option("header", False).csv(path).first()
     if head is None:
         raise ValueError(f"{path} has no header")
     names = _unique_names(list(head))
-    plain = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    raw = _reader(spark, sep, multiline).option("header", True).schema(plain).csv(path)
+    places = [f"c{i}" for i in range(len(names))]
+    read = _reader(spark, sep, multiline)
+    if names == list(head):
+        # The reader compares this schema with the header of every file it opens.
+        plain = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        raw = read.option("header", True).option("enforceSchema", False).schema(plain).csv(path).toDF(*places)
+    else:
+        plain = T.StructType([T.StructField(c, T.StringType()) for c in places])
+        lines = read.option("header", False).schema(plain).csv(path).select("*", "_metadata.file_path")
+        same = F.lit(True)
+        for c, text in zip(places, head, strict=True):
+            same = same & F.col(c).eqNullSafe(F.lit(text))
+        other = lines.groupBy("file_path").agg(F.max(same).alias("same")).where("not same").first()
+        if other is not None:
+            raise ValueError(f"the header of {other['file_path']} differs from {list(head)}")
+        raw = read.option("header", True).schema(plain).csv(path)
     text = raw.select(
         *[F.when(~F.col(f"c{i}").isin(*NA_TEXTS), F.col(f"c{i}")).alias(n) for i, n in enumerate(names)]
     )
     if schema is None:
         schema = infer_types(text)
-    elif isinstance(schema, str):
+        return text.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema])
+    if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    return text.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema])
+    return text.select(*[_fitting(f) for f in schema])
 
 
 def _feather_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.operators import align, audit
-from cohortspark.roles import BenchmarkDefinition, Cohort, DatasetSpec, FeatureManifest, Roles
+from cohortspark.roles import BenchmarkDefinition, Cohort, Roles
 
 
 def test_report_counts_duplicates_and_missing_targets(spark):
@@ -59,7 +59,7 @@ def test_definition_needs_its_columns_filled(spark):
     holes = df.withColumn("target", F.when(F.col("target") == 1, 1))
     with pytest.raises(ValueError, match="target"):
         audit.require_definition_fits(holes, definition)
-    with pytest.raises(ValueError, match="grouping"):
+    with pytest.raises(ValueError, match="2 in animal_id"):
         audit.require_definition_fits(df.withColumn("animal_id", F.lit(None).cast("string")), definition)
 
 
@@ -92,26 +92,18 @@ def test_required_columns_and_conditions(spark):
         audit.condition_filter(df, "c", ["MI"], ["MI"])
 
 
-def test_roles_and_manifest(spark):
+def test_roles(spark):
     df = spark.createDataFrame([(1, "g", 0.5, True, "t", 1)], "sample_id int, group_id string, x double, b boolean, c string, y int")
     roles = Roles("sample_id", "y", "group_id")
     assert Cohort(df, roles).features().columns == ["x", "b", "c"]
-    manifest = FeatureManifest.of(df, roles)
-    assert manifest.numeric == ("x", "b") and manifest.categorical == ("c",)
-    with pytest.raises(ValueError):
-        FeatureManifest(("a",), ("a",), ("a",))
-    with pytest.raises(ValueError):
-        FeatureManifest(("a",), ("b",))
     with pytest.raises(KeyError):
         Cohort(df, Roles("sample_id", "absent"))
     with pytest.raises(ValueError):
         Cohort(df.limit(0), roles)
-    spec = DatasetSpec("d", "tabular", "y")
-    assert spec.annotate(df).schema["y"].metadata["role"] == "target"
-    with pytest.raises(ValueError):
-        DatasetSpec(" ", "tabular", "y")
-    with pytest.raises(ValueError):
-        DatasetSpec("d", "audio", "y")
+    noted = roles.annotate(df).schema
+    assert noted["y"].metadata == {"role": "target", "modality": "tabular"} and noted["x"].metadata["role"] == "feature"
+    with pytest.raises(ValueError, match="audio"):
+        Roles("sample_id", "y", modality="audio")
 
 
 def test_alignment(spark):

@@ -70,3 +70,16 @@ def test_labels_with_quotes_and_backslashes(spark):
     out = label_rows(df, "band", order, found, (1, 2), stratum="s")
     counts = {(r["s"], r["band"]): r["count"] for r in out.groupBy("s", "band").count().collect()}
     assert counts == {("o'b\\x", 1): 1, ("o'b\\x", 2): 3, ("plain", 1): 3, ("plain", 2): 1}
+
+
+def test_long_common_prefixes_are_narrowed_to_the_end(spark):
+    rows = [("x" * 60 + f"{i:05d}",) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id string")
+    seen = []
+    rank_rest = cuts_module._rank_rest
+    try:
+        cuts_module._rank_rest = lambda keyed, d, n, searches, s: seen.extend(x.size for x in searches.values()) or rank_rest(keyed, d, n, searches, s)
+        found = located(df, {"id": F.col("id")}, {None: [1500]}, rankable=100)
+    finally:
+        cuts_module._rank_rest = rank_rest
+    assert found.keys[None] == [rows[1499]] and max(seen) <= 100

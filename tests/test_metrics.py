@@ -98,3 +98,19 @@ def test_fold_summary(spark):
     assert got["m", "b"] == (2.0, None)
     assert got["n", "a"] == (5.0, 0.0)
     assert not metrics.higher_is_better("rmse") and metrics.higher_is_better("auroc")
+
+
+def test_missing_labels_and_scores_leave_metrics_undefined(spark):
+    whole = [(i, i % 2, 0.1 + 0.2 * (i % 4), "full") for i in range(12)]
+    gaps = [(1, 1, None, "score"), (2, 0, 0.5, "score"), (3, None, 0.9, "label"), (4, 1, 0.9, "label"), (5, 0, 0.1, "label"), (6, 1, float("nan"), "nan"), (7, 0, 0.2, "nan")]
+    df = spark.createDataFrame(whole + gaps, "id int, y int, p double, part string")
+    for table, name in (
+        (metrics.ranking_metrics(df, "y", "p", 1, ["part"]), "auroc"),
+        (metrics.ranking_metrics(df, "y", "p", 1, ["part"], edges=[0.25, 0.5]), "auprc"),
+        (metrics.brier(df, "y", "p", 1, ["part"]), "brier"),
+        (metrics.ece(df, "y", "p", by=["part"]), "ece"),
+    ):
+        found = {r["part"]: r[name] for r in table.collect()}
+        assert found.pop("full") is not None and set(found.values()) == {None}, name
+    bins = metrics.calibration_bins(df, "y", "p", by=["part"]).where("bin = -1").collect()
+    assert sorted((r["part"], r["n"]) for r in bins) == [("label", 1), ("nan", 1), ("score", 1)]

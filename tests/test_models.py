@@ -137,10 +137,11 @@ def test_mlp_gradient_matches_finite_differences():
     def loss(w):
         layers = mlp.unpack(w, sizes)
         out = mlp.forward(x, layers)[-1][:, 0]
-        penalty = sum((m**2).sum() for m, _ in layers)
-        return 0.5 * ((out - y) ** 2).mean() + 0.5 * 0.3 * penalty / len(y)
+        return 0.5 * ((out - y) ** 2).sum()
 
-    g = mlp.gradient(x, y, flat, sizes, 0.3)
+    g = mlp.gradient_sum(x, y, flat, sizes)
+    assert np.isclose(g[-1], loss(flat))
+    g = g[:-1]
     for i in range(0, len(flat), 3):
         step = np.zeros_like(flat)
         step[i] = 1e-6
@@ -149,7 +150,7 @@ def test_mlp_gradient_matches_finite_differences():
 
 def test_mlp_regressor_learns_and_persists(cohort, scratch):
     rows = cohort.where("a is not null")
-    spec = build_model("regression", "mlp", hidden=(16, 8), max_iter=40, learning_rate=0.02)
+    spec = build_model("regression", "mlp", hidden=(16, 8), max_iter=60)
     model = spec.fit(rows, ["a", "b"], "z")
     scored = model.transform(rows).toPandas()
     assert np.corrcoef(scored["prediction"], scored["z"])[0, 1] > 0.9
@@ -245,3 +246,28 @@ def test_importance_finds_the_used_feature(cohort):
     clf = build_model("classification", "logistic_regression").fit(rows, ["a", "b"], "y")
     ranked = importance.model_importance(clf, rows, "id", "y", scoring="roc_auc", n_repeats=2).collect()
     assert ranked[0]["feature"] == "a"
+
+
+def test_ring_of_donors_does_not_depend_on_the_buckets(cohort, monkeypatch):
+    found = []
+    for bucket in (10, 100_000):
+        monkeypatch.setattr(importance, "BUCKET_ROWS", bucket)
+        rows = importance.with_donors(cohort.select("id", "b"), "id", ["id"], 2).collect()
+        found.append(sorted((r["repeat"], r["id"], r["donor"]["id"]) for r in rows))
+    assert found[0] == found[1]
+
+
+def test_mlp_regression_does_not_depend_on_the_partitions(cohort):
+    rows = cohort.where("a is not null")
+    weights = []
+    for n in (3, 17):
+        model = build_model("regression", "mlp", hidden=(8,), max_iter=25).fit(rows.repartition(n), ["a", "b"], "z")
+        weights.append(model.core.getOrDefault(model.core.weights))
+    assert max(abs(a - b) for a, b in zip(*weights, strict=True)) < 1e-9
+
+
+def test_parameters_that_a_model_does_not_read_are_errors():
+    with pytest.raises(ValueError, match="learning_rate"):
+        build_model("classification", "mlp", learning_rate=0.1)
+    with pytest.raises(ValueError, match="alpah"):
+        build_model("regression", "ridge", alpah=1.0)

@@ -208,3 +208,32 @@ def test_fingerprints(spark):
     assert fingerprint(joined) != fingerprint(apart)
     with pytest.raises(KeyError):
         fingerprint(a, "absent")
+
+
+def test_cells_and_headers_that_do_not_fit_are_errors(spark, scratch):
+    Path(scratch, "a.csv").write_text("a,b\n1,x\noops,y\n")
+    assert [r["a"] for r in tables.load_csv(spark, f"{scratch}/a.csv").collect()] == ["1", "oops"]
+    with pytest.raises(Exception, match="column a is no bigint: oops"):
+        tables.load_csv(spark, f"{scratch}/a.csv", schema="a bigint, b string").collect()
+    both = Path(scratch, "both")
+    both.mkdir()
+    (both / "1.csv").write_text("a,b\n1,2\n")
+    (both / "2.csv").write_text("b,a\n3,4\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        tables.load_csv(spark, f"{both}/*.csv", schema="a bigint, b bigint").collect()
+
+
+def test_a_file_that_is_no_image_is_an_error(spark, scratch):
+    Path(scratch, "x.png").write_bytes(b"no image")
+    with pytest.raises(Exception, match="not a readable image"):
+        images.load_images(spark, scratch).collect()
+
+
+def test_scratch_folder_on_a_cluster_must_be_named():
+    from types import SimpleNamespace
+
+    from cohortspark.session import shared_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: d)))
