@@ -28,7 +28,6 @@ def line_cohort(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("double")
     return (
         table(spark, sf_dir, "events")
-        .where("event_id % 10 <> 0")
         .select("event_id", "user_id", (F.col("value") * 0.1 + k).alias("y"), k.alias("x"))
     )
 
@@ -37,7 +36,7 @@ ROWS_SQL = """
 rows_ AS (
   SELECT event_id, user_id, value * 0.1::double + cast(json_extract_string(props, '$.k') AS double) AS y,
          cast(json_extract_string(props, '$.k') AS double) AS x
-  FROM events WHERE event_id % 10 <> 0
+  FROM events
 )"""
 
 SPLIT_SQL = f"""

@@ -13,9 +13,11 @@ from cohortspark.operators.audit import (
     id_audit,
     integrity_report,
     integrity_warnings,
+    missing_required_columns,
     protocol_gates,
     split_overlap,
 )
+from cohortspark.operators.omics import obs_table
 from cohortspark.operators.splits import random_split
 from cohortspark.plans.benchmark import matrix_union
 from cohortspark.plans.catalog.registry import bigint, key_sql, query, r6, table
@@ -128,17 +130,21 @@ def condition_filter_query(spark, sf_dir):
     return condition_filter(events, "event_type", ["error", "view"], ["signup"])
 
 
+def doubled(labels):
+    """Every label, under twice its id, so that either side has ids that the other lacks."""
+    return labels.withColumn("doc_id", 2 * F.col("doc_id"))
+
+
 @query(
     "align_modalities",
     """
     SELECT d.doc_id, d.lang, d.n_chars, l.n_chars AS labels__n_chars, l.quality
-    FROM documents d JOIN (SELECT doc_id, quality, quality + toxic AS n_chars FROM labels) l USING (doc_id)
-    WHERE d.doc_id % 2 = 0
+    FROM documents d JOIN (SELECT 2 * doc_id AS doc_id, quality, quality + toxic AS n_chars FROM labels) l USING (doc_id)
     """,
 )
 def align_modalities_query(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", "lang", "n_chars")
-    labels = table(spark, sf_dir, "labels").select(
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    labels = doubled(table(spark, sf_dir, "labels")).select(
         "doc_id", "quality", (F.col("quality") + F.col("toxic")).alias("n_chars")
     )
     return align_modalities({"documents": documents, "labels": labels}, "doc_id")
@@ -146,8 +152,8 @@ def align_modalities_query(spark, sf_dir):
 
 def _merge(how: str):
     def run(spark, sf_dir):
-        documents = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", "lang", "n_chars")
-        labels = table(spark, sf_dir, "labels")
+        documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+        labels = doubled(table(spark, sf_dir, "labels"))
         return merge_modalities(
             [modality_table(documents, "text", id="doc_id"), modality_table(labels, "label", id="doc_id")], how
         )
@@ -160,7 +166,8 @@ for _how, _join in {"inner": "INNER", "left": "LEFT", "right": "RIGHT", "outer":
         f"merge_{_how}",
         f"""
         SELECT doc_id, d.lang AS text__lang, d.n_chars AS text__n_chars, l.quality AS label__quality, l.toxic AS label__toxic
-        FROM (SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 2 = 0) d {_join} JOIN labels l USING (doc_id)
+        FROM (SELECT doc_id, lang, n_chars FROM documents) d
+        {_join} JOIN (SELECT 2 * doc_id AS doc_id, quality, toxic FROM labels) l USING (doc_id)
         """,
     )(_merge(_how))
 
@@ -223,14 +230,14 @@ def split_disjoint(spark, sf_dir):
 @query(
     "group_intersect",
     """
-    SELECT user_id FROM events WHERE event_type = 'error' AND event_id % 3 = 0
-    INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase' AND event_id % 3 = 1
+    SELECT user_id FROM events WHERE event_type = 'error'
+    INTERSECT SELECT user_id + 1 AS user_id FROM events WHERE event_type <> 'error'
     """,
 )
 def group_intersect_query(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    left = events.where("event_type = 'error' and event_id % 3 = 0")
-    right = events.where("event_type = 'purchase' and event_id % 3 = 1")
+    left = events.where("event_type = 'error'")
+    right = events.where("event_type <> 'error'").withColumn("user_id", F.col("user_id") + 1)
     return group_intersect(left, right, "user_id")
 
 
@@ -268,3 +275,33 @@ def matrix_union_query(spark, sf_dir):
         bigint(F.count(F.lit(1)), "n")
     )
     return matrix_union([orders.withColumn("dataset", F.lit("orders")), events.withColumn("dataset", F.lit("events"))])
+
+
+@query(
+    "required_columns",
+    """
+    SELECT 'region' AS absent, count(*) AS n_rows FROM events UNION ALL SELECT 'study_id', count(*) FROM events
+    """,
+)
+def required_columns_query(spark, sf_dir):
+    """The required columns that the events lack, with the number of rows that lack them."""
+    events = table(spark, sf_dir, "events")
+    absent = missing_required_columns(events, ["event_id", "study_id", "user_id", "region"])
+    return events.groupBy().agg(F.count("*").alias("n_rows")).select(
+        F.explode(F.array(*[F.lit(c) for c in absent])).alias("absent"), "n_rows"
+    )
+
+
+@query(
+    "obs_table",
+    """
+    SELECT o_orderkey AS cell_id, o_orderpriority, o_totalprice, coalesce(n, 0) AS n_lines
+    FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
+    """,
+)
+def obs_table_query(spark, sf_dir):
+    """Orders as cells: their metadata under a unique id."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_lines"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    obs = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
+    return obs_table(obs.fillna(0, ["n_lines"]), "o_orderkey", "cell_id")

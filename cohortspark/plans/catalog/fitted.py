@@ -78,20 +78,19 @@ def impute_mode(spark, sf_dir):
 
 @query(
     "one_hot",
-    "WITH "
-    + BASE_SQL
-    + """
-    SELECT event_id, """
-    + ", ".join(
-        f"coalesce((kind = '{v}')::int, 0) AS \"kind={v}\"" for v in ("click", "error", "purchase", "signup", "view")
-    )
-    + " FROM base",
+    f"""
+    WITH {BASE_SQL}, known AS (SELECT DISTINCT kind FROM base WHERE train AND kind IS NOT NULL)
+    SELECT event_id, coalesce('kind=' || known.kind, '') AS hot, (SELECT count(*) FROM known) AS width
+    FROM base LEFT JOIN known ON base.kind = known.kind
+    """,
 )
 def one_hot(spark, sf_dir):
+    """The columns that are 1, and how many columns there are."""
     rows = base(spark, sf_dir)
-    usual = rows.where("train and kind not like 'rare%'")
-    out = prep.one_hot(rows, usual, "kind")
-    return out.select("event_id", *[f"`{c}`" for c in out.columns if c.startswith("kind=")])
+    out = prep.one_hot(rows, rows.where("train"), "kind")
+    columns = [c for c in out.columns if c.startswith("kind=")]
+    hot = F.concat_ws(",", *[F.when(F.col(f"`{c}`") == 1, c) for c in columns])
+    return out.select("event_id", hot.alias("hot"), F.lit(len(columns)).cast("bigint").alias("width"))
 
 
 @query(

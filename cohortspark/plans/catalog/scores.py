@@ -175,7 +175,7 @@ LONG_SQL = """
 f AS (
   SELECT event_type AS model, 'm' || (user_id % 3) AS metric, user_id % 5 + 1 AS fold,
          CASE WHEN user_id % 5 = 3 AND event_type = 'view' THEN NULL ELSE avg(value) END AS value
-  FROM events WHERE event_type <> 'click' OR user_id % 5 = 0 GROUP BY 1, 2, 3, user_id % 5
+  FROM events GROUP BY 1, 2, 3, user_id % 5
 ),
 a AS (
   SELECT model, metric, avg(value) AS mean, CASE WHEN count(*) = 1 THEN 0 ELSE stddev_samp(value) END AS std, count(*) AS folds
@@ -184,7 +184,7 @@ a AS (
 
 
 def fold_metrics(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("event_type <> 'click' or user_id % 5 = 0")
+    rows = table(spark, sf_dir, "events")
     out = rows.groupBy(
         F.col("event_type").alias("model"),
         F.concat(F.lit("m"), F.col("user_id") % 3).alias("metric"),

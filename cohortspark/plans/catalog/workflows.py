@@ -44,8 +44,14 @@ def event_cohort(spark, sf_dir):
 
 def event_values(spark, sf_dir):
     """The same events with a numeric target."""
-    return event_cohort(spark, sf_dir).where("value is not null").select(
-        "event_id", "user_id", F.col("value").alias("y"), "k", "hour", (F.col("value") * 0.5 + F.col("k")).alias("mix")
+    k = F.get_json_object("props", "$.k").cast("double")
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        "user_id",
+        F.col("value").alias("y"),
+        k.alias("k"),
+        F.hour("ts").cast("double").alias("hour"),
+        (F.col("value") * 0.5 + k).alias("mix"),
     )
 
 
@@ -131,22 +137,24 @@ def _fitted_scores(task: str, name: str, **params):
     return run
 
 
-query("gbt_classifier")(_fitted_scores("classification", "hist_gradient_boosting", max_iter=20))
-query("gbt_regressor")(_fitted_scores("regression", "hist_gradient_boosting", max_iter=20))
-query("mlp_classifier")(_fitted_scores("classification", "mlp", max_iter=60))
-query("mlp_regressor")(_fitted_scores("regression", "mlp", max_iter=15))
-query("pca_logistic")(_fitted_scores("classification", "pca_then_logistic_regression", n_components=3))
-query("pca_mlp")(_fitted_scores("classification", "pca_then_mlp", n_components=3, max_iter=40))
+query("gbt_classifier")(_fitted_scores("classification", "hist_gradient_boosting"))
+query("gbt_regressor")(_fitted_scores("regression", "hist_gradient_boosting"))
+query("mlp_classifier")(_fitted_scores("classification", "mlp"))
+query("mlp_regressor")(_fitted_scores("regression", "mlp"))
+query("pca_logistic")(_fitted_scores("classification", "pca_then_logistic_regression"))
+query("pca_mlp")(_fitted_scores("classification", "pca_then_mlp"))
 query("ridge_scores")(_fitted_scores("regression", "ridge"))
 
 
 @query("gbt_multiclass")
 def gbt_multiclass(spark, sf_dir):
+    """All rows, labels and positions; ten classes make ten boosters, so each has ten rounds."""
+    places = range(64)
     rows = table(spark, sf_dir, "embeddings").select(
-        "vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)]
-    ).where("label < 3")
-    spec = build_model("classification", "hist_gradient_boosting", max_iter=5, min_samples_leaf=5)
-    model = spec.fit(rows, [f"x{i}" for i in range(8)], "label")
+        "vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in places]
+    )
+    spec = build_model("classification", "hist_gradient_boosting", max_iter=10)
+    model = spec.fit(rows, [f"x{i}" for i in places], "label")
     return model.transform(rows).select("vec_id", "label", "prediction")
 
 
@@ -168,7 +176,7 @@ def cv_folds_regression(spark, sf_dir):
 @query("cv_scores")
 def cv_scores(spark, sf_dir):
     spec = build_model("classification", "logistic_regression")
-    out = cross_validated_scores(spec, quality_cohort(spark, sf_dir), QUALITY_ROLES, cv=4, scoring="roc_auc")
+    out = cross_validated_scores(spec, quality_cohort(spark, sf_dir), QUALITY_ROLES, cv=5, scoring="roc_auc")
     frame = spark.createDataFrame([(out["mean"], out["std"], len(out["scores"]))], "mean double, std double, folds int")
     return rounded(frame, "folds")
 
@@ -180,14 +188,14 @@ def select_model_query(spark, sf_dir):
         "shrunk": build_model("regression", "ridge", alpha=5000.0),
     }
     roles = Roles("event_id", "y", "user_id")
-    _, ranking, _ = select_model(candidates, event_values(spark, sf_dir), roles, primary_metric="rmse", n_splits=3)
+    _, ranking, _ = select_model(candidates, event_values(spark, sf_dir), roles, primary_metric="rmse", n_splits=5)
     return rounded(ranking, "model", "metric", "folds")
 
 
 @query("grid_search")
 def grid_search_query(spark, sf_dir):
     spec = build_model("classification", "logistic_regression")
-    result = grid_search(spec, quality_cohort(spark, sf_dir), QUALITY_ROLES, {"C": [0.01, 1.0]}, cv=3)
+    result = grid_search(spec, quality_cohort(spark, sf_dir), QUALITY_ROLES, {"C": [0.01, 1.0]}, cv=5)
     return rounded(result.results, "model", "metric", "folds")
 
 
@@ -196,7 +204,7 @@ def _calibrated(method: str):
         rows = group_split(quality_cohort(spark, sf_dir), "source")
         spec = build_model("classification", "logistic_regression")
         features = QUALITY_ROLES.features(rows.drop("split"))
-        fitted = calibrate(spec, rows.where("split = 'train'"), "doc_id", features, "quality", method=method, cv=3)
+        fitted = calibrate(spec, rows.where("split = 'train'"), "doc_id", features, "quality", method=method, cv=5)
         return fitted.transform(rows).select("doc_id", "quality", "split", "prediction", "score")
 
     return run
@@ -242,7 +250,6 @@ def model_matrix(spark, sf_dir):
         id="event_id",
         models=["logistic_regression", "hist_gradient_boosting", "mlp"],
         exclude=("ts",),
-        params={"hist_gradient_boosting": {"max_iter": 5}, "mlp": {"max_iter": 20}},
     )
     return rounded(out, *[c for c in out.columns if c != "value"])
 
