@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.session import materialize
+
 RATIO = 0.3
 MIN_PAGES = 5
 
@@ -86,6 +88,8 @@ def drop_site_lines(
         F.struct("*").alias("all"), host_of(pages[url_column]).alias("host"), pages[html_column].alias("html")
     )
     bad = boilerplate(sited.select("host", "html"), ratio, min_pages).groupBy("host").agg(F.collect_set("line").alias("bad"))
+    # Written first: the pages of a hot host then meet a small table where they are, or a join that AQE can split.
+    bad = materialize(bad, "boilerplate")
     joined = sited.join(bad.withColumnRenamed("host", "site"), F.col("host") == F.col("site"), "left")
     joined = joined.withColumns(
         {"lines": lines_of(F.col("html")), "bad": F.coalesce("bad", F.array().cast("array<string>"))}
