@@ -79,6 +79,8 @@ def exact_groups(
         .agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size"))
         .filter("group_size > 1")
     )
+    # Written, so that the join below is one of two tables, whose hot keys AQE can split.
+    groups = materialize(groups, "copies")
     return recipes.join(groups, "recipe", "left").select(
         "doc_id",
         F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
