@@ -14,6 +14,13 @@ def _star(links: DataFrame) -> DataFrame:
     return links.join(least.withColumnRenamed("node", "at"), F.col("node") == F.col("at")).drop("at")
 
 
+def _all_stars(pairs: DataFrame) -> bool:
+    """Whether every node has one smaller node beside it at most, and that one has none."""
+    if not pairs.groupBy("a").count().filter("count > 1").isEmpty():
+        return False
+    return pairs.join(pairs.select(F.col("b").alias("center")), F.col("a") == F.col("center"), "left_semi").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label of every node that has a link; the label is the smallest node reachable.
 
@@ -21,8 +28,8 @@ def components(links: DataFrame) -> DataFrame:
     shared folder, so a lost executor never sets the rounds back.
     """
     pairs = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs, state = materialize(pairs, "links"), None
-    while True:
+    pairs = materialize(pairs, "links")
+    while not _all_stars(pairs):
         both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
             pairs.select(F.col("b").alias("node"), F.col("a").alias("other"))
         )
@@ -33,10 +40,6 @@ def components(links: DataFrame) -> DataFrame:
             stars.select(F.col("node").alias("a"), F.col("least").alias("b"))
         )
         pairs = materialize(small.filter("a <> b").distinct(), "links")
-        now = pairs.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.col("a") % 1000003)).first()
-        if now == state:
-            break
-        state = now
     roots = pairs.select(F.col("b").alias("node")).distinct()
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(
         roots.select("node", F.col("node").alias("label"))

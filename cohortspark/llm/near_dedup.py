@@ -40,7 +40,7 @@ BANDS, BAND_ROWS, BATCH = 32, 7, 32
 #: Chosen probability of giving up a pair that reaches the threshold.
 MISS = 1e-7
 #: Factor by which the leaders per bucket grow from round to round.
-LEADERS = 8
+LEADERS = 32
 #: Hashed counters for the order of shingles.
 COUNTERS = 1 << 18
 
@@ -217,7 +217,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def deltas(still: DataFrame, hubs: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """What each node of an open bucket does not have in common with the leader (hub) of that bucket.
+    """What each node of an open bucket does not have in common with the hub: of the component of that bucket's leader, the
+    leader that shares most with others.
 
     hub_size, size (of the sets), outside (not of the hub's component), hub, node, delta (shingles, hashed with the hub).
     """
@@ -234,15 +235,21 @@ def deltas(still: DataFrame, hubs: DataFrame, labels: DataFrame, sets: DataFrame
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.binary())], names=names)
 
     names = ["hub_size", "size", "outside", "hub", "node", "delta"]
-    met = hubs.select(F.col("bucket").alias("in"), F.col("node").alias("hub"))
-    pairs = still.join(met, F.col("bucket") == F.col("in")).select("hub", "node").distinct()
+    # One hub per component: the leader that shares most with others.
+    led = hubs.groupBy("node").agg(F.max("weight").alias("weight"))
+    led = led.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    led = led.select("node", "weight", F.coalesce("label", "node").alias("hub_label"))
+    best = led.groupBy("hub_label").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
+    met = hubs.select("bucket", F.col("node").alias("leader")).join(
+        led.select(F.col("node").alias("leader"), "hub_label"), "leader"
+    )
+    met = met.join(best, "hub_label").select(F.col("bucket").alias("in"), "hub", "hub_label")
+    pairs = still.join(met, F.col("bucket") == F.col("in")).select("hub", "hub_label", "node", "label").distinct()
     for name in ("hub", "node"):
-        of = labels.select(F.col("node").alias("of"), F.col("label").alias(f"{name}_label"))
         own = sets.select(F.col("node").alias("has"), F.col("shingles").alias(f"{name}_set"))
-        pairs = pairs.join(of, F.col(name) == F.col("of"), "left").drop("of")
         pairs = pairs.join(own, F.col(name) == F.col("has")).drop("has")
-    outside = F.coalesce("node_label", "node") != F.coalesce("hub_label", "hub")
-    pairs = pairs.select(outside.alias("outside"), "hub", "node", "hub_set", "node_set")
+    outside = F.col("label") != F.col("hub_label")
+    pairs = pairs.filter("hub <> node").select(outside.alias("outside"), "hub", "node", "hub_set", "node_set")
     return materialize(
         pairs.mapInArrow(run, "hub_size long, size long, outside boolean, hub long, node long, delta binary"), "deltas"
     )
@@ -333,13 +340,15 @@ class Comparison:
         """Compare ``leaders`` of the open askers of each bucket with all that they meet; they are returned."""
         first = Window.partitionBy("bucket").orderBy(F.desc("weight"), "node")
         lead = now.filter("open").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= leaders)
-        lead = materialize(lead.select("bucket", "node", "label"), "leaders")
+        lead = materialize(lead.select("bucket", "node", "label", "weight"), "leaders")
         ask = lead.select(F.col("bucket").alias("in"), F.col("node").alias("a"), F.col("label").alias("of"))
         pairs = now.filter("meets").join(ask, (F.col("bucket") == F.col("in")) & (F.col("label") != F.col("of")))
         pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         alive = survivors(pairs, self.facts, self.percent / 100, self.miss)
-        self.links = self.links.unionByName(materialize(confirmed(alive, self.sets, self.percent), "confirmed"))
-        self.labels = materialize(components(self.links), "labels")
+        found = materialize(confirmed(alive, self.sets, self.percent), "confirmed")
+        if not found.isEmpty():
+            self.links = self.links.unionByName(found)
+            self.labels = materialize(components(self.links), "labels")
         return lead
 
     def settle(self, members: DataFrame) -> None:
@@ -365,13 +374,15 @@ def near_groups(
     classes = known.filter("n_shingles > 0").groupBy("key").agg(F.min("row").alias("node"))
     classes = materialize(classes, "classes")
     nodes = known.join(classes.select("node"), known["row"] == classes["node"])
-    facts = nodes.select("node", "doc_id", "tag", "key", "n_shingles", "signature")
     both = F.lit(True).alias("asks"), F.lit(True).alias("meets")
     members = shared_buckets(nodes.select("node", F.explode("bands").alias("bucket"), *both))
-    wanted = facts.drop("signature").join(members.select("node").distinct(), "node")
-    sets = materialize(full_sets(docs, wanted, id_column, text_column, words), "sets")
+    # Only nodes that share a bucket are looked at again: their facts and full sets are written once.
+    met = members.select(F.col("node").alias("row")).distinct()
+    facts = known.join(met, "row").select(F.col("row").alias("node"), "doc_id", "tag", "key", "n_shingles", "signature")
+    facts = materialize(facts, "facts")
+    sets = materialize(full_sets(docs, facts, id_column, text_column, words), "sets")
     compare = Comparison(facts, sets, percent, miss)
-    hubs = compare.one_round(compare.open(members), 1)
+    hubs = compare.one_round(members.withColumns({"label": F.col("node"), "open": F.lit(True)}), 1)
     still = compare.open(members.join(hubs.select("bucket", "node"), ["bucket", "node"], "left_anti"))
     if not still.isEmpty():
         # Buckets that hold several components: what their nodes do not share with the leader decides.
