@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm.positions import with_positions
-from cohortspark.session import materialize
 
 BLOCK_ROWS = 16
 PERIOD = 1000
@@ -182,5 +181,5 @@ def scheduled(
 
 def in_mixed_order(docs: DataFrame, weights: Mapping[str, float] | None = None, **options) -> DataFrame:
     """``docs`` with its own columns, rows in the order of the mixture: by range over the files, sorted inside."""
-    mixed = materialize(scheduled(docs, weights, **options).select("all", "mix_position"), "mixed")
+    mixed = scheduled(docs, weights, **options).select("all", "mix_position")
     return mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select("all.*")
