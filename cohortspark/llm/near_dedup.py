@@ -383,7 +383,8 @@ def near_groups(
     sets = materialize(full_sets(docs, facts, id_column, text_column, words), "sets")
     compare = Comparison(facts, sets, percent, miss)
     hubs = compare.one_round(members.withColumns({"label": F.col("node"), "open": F.lit(True)}), 1)
-    still = compare.open(members.join(hubs.select("bucket", "node"), ["bucket", "node"], "left_anti"))
+    rest = members.join(hubs.select("bucket", "node"), ["bucket", "node"], "left_anti")
+    still = compare.open(materialize(rest, "rest"))  # read three times
     if not still.isEmpty():
         # Buckets that hold several components: what their nodes do not share with the leader decides.
         compare.settle(delta_buckets(deltas(still, hubs, compare.labels, sets), percent))
