@@ -1,13 +1,13 @@
 """Sources interleaved to target weights by Pfair scheduling.
 
 Each source is cut into blocks of ``block_rows`` documents. With weight w, block k (from 0) of a source is released at
-slot floor(k / w) and due at slot ceil((k + 1) / w); the released block with the earliest deadline takes each slot. After any number of slots a source then
-has had less than one block more or less than its weight asks for.
+slot floor(k / w) and due at slot ceil((k + 1) / w); the released block with the earliest deadline takes each slot. After any number of slots of a
+phase a source then has had less than one block more or less than its weight asks for.
 
-Weights are whole shares of a period of Q slots, so the schedule repeats every Q slots and only one period is computed, on the
-driver; where a block goes is a formula. When a source has no blocks left, the rest go on with their weights scaled
-up: a new phase. No document is dropped or repeated. The driver holds a count per source and one period per phase
-(at most sources x Q numbers); it never sees a document.
+Weights are whole shares of ``PERIOD``, which is as fine as the doubles they come from, so windows follow the weights given
+for any number of documents. The driver places block after block, in memory for one number per block; where a document
+goes is then looked up. When a source has no blocks left, the rest go on with their weights scaled up: a new phase. No
+document is dropped or repeated, and the driver never sees one.
 
 Defined cases: a NULL source is a source of its own; NULL or absent weights mean no place among the targets and are an error, as
 are weights that are not positive; the last block of a source may be short; repeated rows and NULL ids take places of their own;
@@ -17,8 +17,12 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import math
+from array import array
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from fractions import Fraction
+from itertools import count, islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +30,10 @@ from pyspark.sql import functions as F
 from cohortspark.llm.positions import with_positions
 
 BLOCK_ROWS = 16
-PERIOD = 1000
+#: Sum of the whole shares that weights are turned into.
+PERIOD = 10**17
+#: Blocks of a source in one row of the schedule.
+CHUNK = 256
 #: Weight of a source by default: its number of documents to this power.
 TEMPERATURE = 0.5
 
@@ -35,47 +42,55 @@ def shares_of(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, i
     """Whole shares of a period, at least 1 each, by largest remainder."""
     if any(not w > 0 for w in weights.values()):
         raise ValueError("weights must be positive")
-    period, total = max(period, 4 * len(weights)), sum(weights.values())
-    spare = period - len(weights)
-    exact = {s: spare * w / total for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
+    period = max(period, 4 * len(weights))
+    parts = {s: Fraction(w) for s, w in weights.items()}
+    unit = math.lcm(*(x.denominator for x in parts.values()))
+    whole = {s: x.numerator * (unit // x.denominator) for s, x in parts.items()}
+    spare, total = period - len(weights), sum(whole.values())
+    exact = {s: divmod(spare * n, total) for s, n in whole.items()}
+    out = {s: 1 + n for s, (n, _) in exact.items()}
     short = period - sum(out.values())
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[:short]:
+    for s in sorted(exact, key=lambda s: (-exact[s][1], s))[:short]:
         out[s] += 1
     return out
 
 
-def period_slots(shares: Mapping[str, int]) -> dict[str, list[int]]:
-    """The slots of one period that each source takes, by earliest deadline first."""
+def turns(shares: Mapping[str, int]) -> Iterator[str]:
+    """The source of each slot from 0 on, without end, by earliest deadline first."""
     period = sum(shares.values())
-    slots: dict[str, list[int]] = {s: [] for s in shares}
+    placed = dict.fromkeys(shares, 0)
     waiting = [(0, s) for s in sorted(shares)]
     heapq.heapify(waiting)
     ready: list[tuple[int, str]] = []
-    for slot in range(period):
+    for slot in count():
         while waiting and waiting[0][0] <= slot:
             _, s = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(len(slots[s]) + 1) * period // shares[s]), s))
+            heapq.heappush(ready, (-(-(placed[s] + 1) * period // shares[s]), s))
         _, s = heapq.heappop(ready)
+        yield s
+        placed[s] += 1
+        heapq.heappush(waiting, (placed[s] * period // shares[s], s))
+
+
+def period_slots(shares: Mapping[str, int]) -> dict[str, list[int]]:
+    """The slots of one period that each source takes."""
+    slots: dict[str, list[int]] = {s: [] for s in shares}
+    for slot, s in enumerate(islice(turns(shares), sum(shares.values()))):
         slots[s].append(slot)
-        if len(slots[s]) < shares[s]:
-            heapq.heappush(waiting, (len(slots[s]) * period // shares[s], s))
     return slots
 
 
 @dataclass(frozen=True)
 class Phase:
-    """From slot ``start`` on, with ``first[s]`` blocks of source s already placed."""
+    """From slot ``start`` on, with ``first[s]`` blocks of source s already placed; ``slots`` count from ``start``."""
 
     start: int
-    period: int
+    shares: dict[str, int]
     first: dict[str, int]
-    slots: dict[str, list[int]]
+    slots: dict[str, array]
 
     def slot(self, source: str, block: int) -> int:
-        own = self.slots[source]
-        rounds, place = divmod(block - self.first[source], len(own))
-        return self.start + rounds * self.period + own[place]
+        return self.start + self.slots[source][block - self.first[source]]
 
 
 def phases_of(blocks: Mapping[str, int], weights: Mapping[str, float], period: int = PERIOD) -> list[Phase]:
@@ -84,16 +99,37 @@ def phases_of(blocks: Mapping[str, int], weights: Mapping[str, float], period: i
     start, out = 0, []
     while active := [s for s in blocks if placed[s] < blocks[s]]:
         shares = shares_of({s: weights[s] for s in active}, period)
-        phase = Phase(start, sum(shares.values()), {s: placed[s] for s in active}, period_slots(shares))
-        end = min(phase.slot(s, blocks[s]) for s in active)
-        for s in active:
-            rounds, rest = divmod(end - start, phase.period)
-            placed[s] += rounds * shares[s] + sum(x < rest for x in phase.slots[s])
+        phase = Phase(start, shares, {s: placed[s] for s in active}, {s: array("q") for s in active})
+        for slot, s in enumerate(turns(shares)):
+            if placed[s] == blocks[s]:
+                break
+            phase.slots[s].append(slot)
+            placed[s] += 1
         out.append(phase)
-        start = end
+        start += slot
     return out
 
 
+def schedule_rows(phases: list[Phase]) -> Iterator[tuple]:
+    """Of each ``CHUNK`` blocks of a source: source, chunk, slots, and the phases these blocks fall into."""
+    parts: dict[str, list[tuple[int, Phase]]] = {}
+    for i, p in enumerate(phases):
+        for s, own in p.slots.items():
+            if own:
+                parts.setdefault(s, []).append((i, p))
+    for s, held in parts.items():
+        slots = array("q")
+        for _, p in held:
+            slots.extend(p.start + x for x in p.slots[s])
+        spans: dict[int, list[tuple]] = {}
+        for i, p in held:
+            row = (i, p.start, sum(p.shares.values()), p.first[s], p.shares[s])
+            for chunk in range(p.first[s] // CHUNK, (p.first[s] + len(p.slots[s]) - 1) // CHUNK + 1):
+                spans.setdefault(chunk, []).append(row)
+        for chunk, found in spans.items():
+            yield s, chunk, slots[chunk * CHUNK : (chunk + 1) * CHUNK].tolist(), found
+
+
 ADDED = ("mix_block", "mix_phase", "mix_slot", "mix_release", "mix_deadline", "mix_position")
 
 
@@ -135,39 +171,29 @@ def scheduled(
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
     phases = phases_of(blocks, weighed, period)
 
-    def holder(s: str, block: int) -> Phase:
-        return [p for p in phases if s in p.slots and p.first[s] <= block][-1]
-
-    short = sorted(
-        (holder(s, blocks[s] - 1).slot(s, blocks[s] - 1), blocks[s] * block_rows - n)
-        for s, n in counts.items()
-        if n % block_rows
-    )
+    last = {s: p.start + own[-1] for p in phases for s, own in p.slots.items() if own}
+    short = sorted((last[s], blocks[s] * block_rows - n) for s, n in counts.items() if n % block_rows)
     table = spark.createDataFrame(
-        [
-            (s, [(i, p.start, p.period, p.first[s], p.slots[s]) for i, p in enumerate(phases) if s in p.slots])
-            for s in counts
-        ],
-        "of string, phases array<struct<phase int, start long, period long, first long, slots array<int>>>",
+        list(schedule_rows(phases)),
+        "of string, chunk long, slots array<long>, "
+        "phases array<struct<phase int, start long, period long, first long, share long>>",
     )
     ranked = with_positions(keyed, ["source"], [F.col("id")], "rank")
     gaps = F.array(*[F.struct(F.lit(a).cast("long").alias("slot"), F.lit(b).alias("rows")) for a, b in short])
     block = F.floor(F.col("rank") / block_rows).cast("long")
-    out = ranked.join(F.broadcast(table), F.col("source") == F.col("of")).withColumn("mix_block", block)
+    out = ranked.withColumn("mix_block", block)
+    at = (F.col("source") == F.col("of")) & (F.expr(f"mix_block div {CHUNK}") == F.col("chunk"))
+    out = out.join(F.broadcast(table), at)
     out = out.withColumn("p", F.element_at(F.filter("phases", lambda p: p["first"] <= F.col("mix_block")), -1))
-    own, share = F.col("mix_block") - F.col("p.first"), F.size("p.slots").cast("long")
-    slot = (
-        F.col("p.start")
-        + F.expr("(mix_block - p.first) div size(p.slots)") * F.col("p.period")
-        + F.element_at("p.slots", (F.pmod(own, share) + 1).cast("int"))
-    )
+    # Shares have up to 18 digits: their products with block numbers need decimals.
+    windows = "cast({} as decimal(19, 0)) * cast(p.period as decimal(18, 0))"
     out = out.withColumns(
         {
             "mix_phase": F.col("p.phase"),
-            "mix_slot": slot,
-            "mix_release": F.col("p.start") + F.expr("((mix_block - p.first) * p.period) div size(p.slots)"),
+            "mix_slot": F.element_at("slots", (F.pmod("mix_block", F.lit(CHUNK)) + 1).cast("int")),
+            "mix_release": F.col("p.start") + F.expr(f"({windows.format('mix_block - p.first')}) div p.share"),
             "mix_deadline": F.col("p.start")
-            + F.ceil((own + 1) * F.col("p.period") / F.size("p.slots")).cast("long"),
+            + F.expr(f"({windows.format('mix_block - p.first + 1')} + p.share - 1) div p.share"),
         }
     )
     lost = F.lit(0).cast("long")

@@ -52,3 +52,29 @@ def test_missing_and_bad_weights(make_docs):
 
 def test_empty_table(make_docs):
     assert mix(make_docs([])).collect() == [] and in_mixed_order(make_docs([])).collect() == []
+
+
+def test_deviation_from_the_given_weights_over_the_whole_first_phase():
+    blocks = {"hot": 20_000, **{f"s{k}": 40_000 // 19 for k in range(19)}, "rare": 40}
+    weights = {s: n**0.5 for s, n in blocks.items()} | {"rare": 0.01}
+    phase = phases_of(blocks, weights)[0]
+    end = sum(len(own) for own in phase.slots.values())
+    assert end > 30_000
+    for s, own in phase.slots.items():
+        share = weights[s] / sum(weights.values())
+        for k, slot in enumerate(own):
+            assert abs(k - slot * share) < 1 and abs(k + 1 - (slot + 1) * share) < 1
+        assert abs(len(own) - end * share) < 1
+
+
+def test_windows_of_exact_weights(make_docs):
+    docs = make_docs([(i, "t", None, "hot" if i % 3 else f"s{i % 7}") for i in range(3000)])
+    weights = {"hot": 0.4, **{f"s{k}": 0.6 / 7 + k / 1e6 for k in range(7)}}
+    found = mix(docs, weights, block_rows=2).collect()
+    assert sorted(r["mix_position"] for r in found) == list(range(3000))
+    assert all(r["mix_release"] <= r["mix_slot"] < r["mix_deadline"] for r in found)
+    first = [r for r in found if r["mix_phase"] == 0]
+    for r in first:
+        share = weights[r["source"]] / sum(weights.values())
+        assert abs(r["mix_release"] - r["mix_block"] / share) < 1 + 1e-6
+        assert abs(r["mix_deadline"] - (r["mix_block"] + 1) / share) < 1 + 1e-6
