@@ -218,7 +218,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def deltas(still: DataFrame, hubs: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """What each node of an open bucket does not have in common with the hub: of the component of that bucket's leader, the
-    leader that shares most with others.
+    leader that shares most with others (of equal ones the smallest, as in a bucket).
 
     hub_size, size (of the sets), outside (not of the hub's component), hub, node, delta (shingles, hashed with the hub).
     """
@@ -235,11 +235,11 @@ def deltas(still: DataFrame, hubs: DataFrame, labels: DataFrame, sets: DataFrame
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.binary())], names=names)
 
     names = ["hub_size", "size", "outside", "hub", "node", "delta"]
-    # One hub per component: the leader that shares most with others.
+    # One hub per component: its first leader in the order that picks the leaders, so no other leader of the component is before it.
     led = hubs.groupBy("node").agg(F.max("weight").alias("weight"))
     led = led.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     led = led.select("node", "weight", F.coalesce("label", "node").alias("hub_label"))
-    best = led.groupBy("hub_label").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
+    best = led.groupBy("hub_label").agg(F.min_by("node", F.struct(-F.col("weight"), "node")).alias("hub"))
     met = hubs.select("bucket", F.col("node").alias("leader")).join(
         led.select(F.col("node").alias("leader"), "hub_label"), "leader"
     )

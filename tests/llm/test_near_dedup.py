@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from cohortspark.llm import near_dedup
@@ -111,3 +112,14 @@ def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(20, 40)] + [(39, 5), (7, 7), (300, 200), (200, 300)]
     found = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {**dict.fromkeys(range(100, 161), 100), **dict.fromkeys([5, *range(20, 40)], 5), 200: 200, 300: 200}
+
+
+def test_hub_and_leaders_have_one_order(spark):
+    """1 and 2 weigh the same, are one component, and 2 is a plain member of the bucket that 1 leads."""
+    hubs = spark.createDataFrame([(10, 1, 5), (20, 2, 5)], "bucket long, node long, weight long")
+    labels = spark.createDataFrame([(1, 1), (2, 1)], "node long, label long")
+    still = spark.createDataFrame([(10, 2, 1), (10, 3, 3), (20, 3, 3)], "bucket long, node long, label long")
+    cell = lambda *x: bytearray(np.array(x, np.uint64).tobytes())
+    sets = spark.createDataFrame([(1, cell(1, 2, 3)), (2, cell(1, 2, 4)), (3, cell(1, 5, 6))], "node long, shingles binary")
+    found = near_dedup.deltas(still, hubs, labels, sets).select("hub", "node", "outside").collect()
+    assert sorted(map(tuple, found)) == [(1, 2, False), (1, 3, True)]
