@@ -3,7 +3,8 @@
 A word's features are its affixes (one to three letters at either end), its inner n-grams of two to four bytes, and itself if it
 is in the lexicon of words that the labelled sample repeats. Weights of affixes and n-grams live in a table of fixed size; moves
 between languages have weights too. Forward-backward gives each word's posterior, a text's language is the one
-with the largest sum over its words, and the score is that sum's share.
+with the largest sum over its words, and the score is that sum's share. How sure the words are, whatever their languages, is the mean
+of each word's largest posterior.
 
 The field is fitted by gradient steps on a bounded sample: at most ``SAMPLE_TEXTS`` labelled texts per language. Half of the training sequences are
 pieces of different texts put together, so that moves inside a text are learned. Whole texts are labelled, in their tasks;
@@ -11,7 +12,7 @@ only the fitted weights are sent there.
 
 Defined cases: a NULL text, or one without a letter, is ``und`` with score 0; words without letters take part in no vote; NULL
 labels are not learned; without any label every text is ``und``; equal sums go to the first language by name; repeated rows and NULL
-ids are rows like others; an empty table gives an empty result. The columns ``lang_pred`` and ``lang_score`` (and ``lang_runs``)
+ids are rows like others; an empty table gives an empty result. The columns ``lang_pred`` and ``lang_score`` (and ``lang_runs``, ``lang_sure``)
 replace input columns of those names; all others pass through.
 """
 
@@ -194,10 +195,11 @@ RUNS = T.ArrayType(
 )
 
 
-def labelled(docs: DataFrame, field: Field | None, text_column: str = "text", runs: bool = False) -> DataFrame:
-    """``docs`` with lang_pred and lang_score, and with ``runs`` also lang_runs: words (from 0, between white space) first to last
+def labelled(docs: DataFrame, field: Field | None, text_column: str = "text", runs: bool = False, sure: bool = False) -> DataFrame:
+    """``docs`` with lang_pred and lang_score, with ``sure`` also lang_sure (the mean of the words' largest posteriors, 0 without
+    words), and with ``runs`` also lang_runs: words (from 0, between white space) first to last
     of the text that are most probably of one language; words without letters join the run around them."""
-    added = ["lang_pred", "lang_score"] + ["lang_runs"] * runs
+    added = ["lang_pred", "lang_score"] + ["lang_runs"] * runs + ["lang_sure"] * sure
     kept = [c for c in docs.columns if c not in added]
     # Arrow functions take columns by name: give them plain ones on the way.
     own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]
@@ -208,6 +210,7 @@ def labelled(docs: DataFrame, field: Field | None, text_column: str = "text", ru
             T.StructField("lang_pred", T.StringType()),
             T.StructField("lang_score", T.DoubleType()),
             *([T.StructField("lang_runs", RUNS)] if runs else []),
+            *([T.StructField("lang_sure", T.DoubleType())] if sure else []),
         ]
     )
 
@@ -219,21 +222,24 @@ def labelled(docs: DataFrame, field: Field | None, text_column: str = "text", ru
             for _, texts in steps(iter([numbers])):
                 own = batch.slice(start, len(texts)).select(list(range(last)))
                 start += len(texts)
-                pred, score, spans = _label(texts, field, runs)
+                pred, score, spans, certain = _label(texts, field, runs)
                 columns = [*own.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())]
                 if runs:
                     kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("lang", pa.string())]))
                     columns.append(pa.array(spans, kind))
+                if sure:
+                    columns.append(pa.array(certain, pa.float64()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     back = [F.col(f"c{i}").alias(c) for i, c in enumerate(kept)]
     return plain.mapInArrow(run, schema).select(*back, *added)
 
 
-def _label(texts: pa.Array, field: Field | None, runs: bool) -> tuple[list[str], list[float], list]:
+def _label(texts: pa.Array, field: Field | None, runs: bool) -> tuple[list[str], list[float], list, list[float]]:
     pred, score, spans = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in range(len(texts))]
+    certain = [0.0] * len(texts)
     if field is None:
-        return pred, score, spans
+        return pred, score, spans, certain
     words, letter, at, ends = words_in(texts)
     voting = letter[at] if len(at) else np.empty(0, bool)
     place = np.flatnonzero(voting)  # words with letters only, in order
@@ -249,9 +255,11 @@ def _label(texts: pa.Array, field: Field | None, runs: bool) -> tuple[list[str],
                 [np.bincount(done.of, weights=g, minlength=len(some)) for g in done.gamma.T], axis=1
             ) / lengths[some][:, None]
             best = votes.argmax(axis=1)
+            largest = np.bincount(done.of, weights=done.gamma.max(axis=1), minlength=len(some)) / lengths[some]
             for i, text in enumerate(rows[some]):
                 pred[text] = field.languages[best[i]]
                 score[text] = float(min(1.0, votes[i, best[i]]))
+                certain[text] = float(min(1.0, largest[i]))
             if runs:
                 state = done.gamma.argmax(axis=1)
                 order = np.lexsort((done.place, done.of))
@@ -263,4 +271,4 @@ def _label(texts: pa.Array, field: Field | None, runs: bool) -> tuple[list[str],
                         spans[text].append(
                             {"first": int(where[a]), "last": int(where[b - 1]), "lang": field.languages[state[mine[a]]]}
                         )
-    return pred, score, spans
+    return pred, score, spans, certain

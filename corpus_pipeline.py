@@ -1,6 +1,6 @@
 """From raw documents to packed training sequences, stage by stage.
 
-1. ``language``: texts without a recognisable language go (no letter, or under half of the words agree on one).
+1. ``language``: texts without a recognisable language go (no letter, or words that are unsure of theirs); texts of several languages stay.
 2. ``exact``: of equal texts the one with the largest id stays.
 3. ``near``: of documents linked by five-word shingles at a similarity of 0.8 or more one stays per group.
 4. ``mix``: documents are put in the order of the mixture; each source weighs the square root of its number of documents.
@@ -23,14 +23,14 @@ from cohortspark.llm.packing import digests, pack
 from cohortspark.llm.queries import remainder_of_id
 from cohortspark.session import materialize
 
-#: Share of a text's words that its language must win.
-LEAST_SCORE = 0.5
+#: What the mean of the words' largest posteriors must reach.
+LEAST_SURE = 0.5
 TOKENIZER = "word_bpe_49k.json"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = labelled(docs, fitted(docs, remainder_of_id(4) != 2))
-    kept = found.filter(f"lang_pred <> 'und' AND lang_score >= {LEAST_SCORE}")
+    found = labelled(docs, fitted(docs, remainder_of_id(4) != 2), sure=True)
+    kept = found.filter(f"lang_pred <> 'und' AND lang_sure >= {LEAST_SURE}")
     return kept.select(*docs.columns)
 
 

@@ -58,3 +58,12 @@ def test_odd_rows_and_run(spark, make_docs, prose, tmp_path):
 def test_empty_table(spark, make_docs, tmp_path):
     make_docs([]).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_text_of_three_languages_stays(spark, make_docs, prose):
+    letters = {"xx": "abcdef", "yy": "ghijkl", "zz": "mnopqr"}
+    rows = [(i, prose(i, 60, letters[k]), k, "s") for i, k in enumerate(list(letters) * 20)]
+    mixed = " ".join(prose(900 + n, n, x) for n, x in zip((40, 35, 25), letters.values(), strict=True))
+    rows += [(100, mixed, None, "s"), (101, "123", None, "s")]
+    found = {r["doc_id"] for r in corpus_pipeline.language(spark, make_docs(rows), SF).collect()}
+    assert found == set(range(60)) | {100}
