@@ -57,8 +57,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts in order, A-Z lower-cased, and the end of each text in them."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
-    flat = split.flatten()
+    split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    flat = pc.ascii_lower(split.flatten())
     full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     ends = np.concatenate([[0], np.cumsum(full)])[split.offsets.to_numpy()]
     return (flat if full.all() else flat.filter(pa.array(full))), ends

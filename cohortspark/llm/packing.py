@@ -85,8 +85,12 @@ def word_tokens(path: str) -> WordTokens:
     return _known[path]
 
 
-def steps(batches: Iterator[pa.RecordBatch], step_bytes: int = STEP_BYTES) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """Ids and texts, a bounded number of bytes at a time (or one longer text)."""
+def steps(batches: Iterator[pa.RecordBatch], step_bytes: int | None = None) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts, a bounded number of bytes at a time (or one longer text); ``STEP_BYTES`` unless said otherwise.
+
+    Texts own their bytes: some kernels misread arrays that begin inside a buffer.
+    """
+    step_bytes = step_bytes or STEP_BYTES
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -94,7 +98,7 @@ def steps(batches: Iterator[pa.RecordBatch], step_bytes: int = STEP_BYTES) -> It
         while start < len(texts):
             base = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, base + step_bytes, "right")))
-            yield ids.slice(start, stop - start), texts.slice(start, stop - start)
+            yield ids.slice(start, stop - start), pa.concat_arrays([texts.slice(start, stop - start)])
             start = stop
 
 

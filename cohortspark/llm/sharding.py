@@ -50,9 +50,11 @@ def initial_map(slot_bytes: list[int], shards: int) -> SlotMap:
 def rebalanced(old: SlotMap, slot_bytes: list[int], shards: int | None = None) -> SlotMap:
     """The next version: slots leave the heaviest shard for the lightest while that evens the two out.
 
-    With more shards than before the new ones start empty; with fewer, the slots of the removed shards are dealt first.
+    With more shards than before the new ones start empty and only they receive; with fewer, the slots of the removed
+    shards are dealt first.
     """
     shards = shards or old.shards
+    receive = range(old.shards, shards) if shards > old.shards else range(shards)
     held: list[list[int]] = [[] for _ in range(shards)]
     homeless, loads = [], [0] * shards
     for slot, shard in enumerate(old.shard_of):
@@ -69,7 +71,7 @@ def rebalanced(old: SlotMap, slot_bytes: list[int], shards: int | None = None) -
         slots.sort(key=lambda s: (slot_bytes[s], s))
     while True:
         heavy = max(range(shards), key=lambda s: (loads[s], -s))
-        light = min(range(shards), key=lambda s: (loads[s], s))
+        light = min(receive, key=lambda s: (loads[s], s))
         gap = loads[heavy] - loads[light]
         fits = [s for s in held[heavy] if 0 < 2 * slot_bytes[s] <= gap]
         if not fits:

@@ -38,3 +38,17 @@ def prose():
         return " ".join("".join(draw.choices(letters, k=draw.randint(2, 8))) for _ in range(n))
 
     return text
+
+
+@pytest.fixture
+def long_texts():
+    """About 40 MB in 80 texts, more than four steps of a reading task; each text from 40 on is a near copy of one before."""
+    draw, rows = random.Random(8), []
+    for i in range(40):
+        rows.append((i, " ".join(chr(65 + i % 26) + f"{draw.getrandbits(400):x}" for _ in range(5000 + i))))
+    for i in range(40):
+        words = rows[i][1].swapcase().split(" ") if i % 2 else rows[i][1].split(" ")
+        for _ in range(i):
+            words[draw.randrange(len(words))] = f"w{draw.getrandbits(30)}"
+        rows.append((40 + i, " ".join(words)))
+    return rows

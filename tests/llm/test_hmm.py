@@ -42,6 +42,13 @@ def test_base_and_counts(make_docs, clashing, prose, monkeypatch):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_counts_of_many_steps_in_a_task(make_docs, long_texts):
+    want, total = base(long_texts, lambda i: i % 5 != 0)
+    found = score(make_docs(long_texts, 1), F.col("doc_id") % 5 != 0, states=2, frequent=40, affix_classes=16).collect()
+    got = Counter((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 4)) for r in found)
+    assert got == Counter((i, n, k, round(s, 4)) for i, n, k, s in want) and {r["train_tokens"] for r in found} == {total}
+
+
 def test_model_is_a_distribution(make_docs, spark):
     """The probabilities of all texts of up to two of the known words, and of what is beyond, sum to 1."""
     train = [(i, t) for i, t in enumerate(["a b", "a a b", "b", "c a", "", "b a"])]

@@ -2,11 +2,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cohortspark.llm import near_dedup
 from cohortspark.llm.components import components
-from cohortspark.llm.near_dedup import drop_near_copies, least_agreements, near_groups
+from cohortspark.llm.near_dedup import drop_near_copies, least_agreements, near_groups, words_of
+from cohortspark.llm.packing import steps
 
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 
@@ -64,6 +66,29 @@ def test_equals_brute_force(make_docs, clashing, prose, words, percent):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
 
 
+def test_words_of_every_step(prose):
+    texts = [None if i % 17 == 0 else prose(i, i % 90).title() + " Ä\tB\x0bc" * (i % 3) for i in range(900)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(900)), pa.array(texts)], names=["id", "text"]).slice(50)
+    found, n = [], 0
+    for ids, some in steps(iter([batch]), 5000):
+        flat, ends = words_of(some)
+        found += [flat[a:b].to_pylist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        n += 1
+    want = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) for t in texts[50:]]
+    assert found == want and n > 20
+
+
+def test_many_steps_in_a_task(make_docs, long_texts):
+    """More text in one task than a step takes: every copy is found, equal texts share a component."""
+    rows = long_texts + [(100 + i, t) for i, t in long_texts[::3]]  # equal texts
+    want = brute(rows, 3, 85)
+    found = near_groups(make_docs(rows, 1), words=3, percent=85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == want
+    of = {r["doc_id"]: r["component_id"] for r in found}
+    assert all(of[i] == of[100 + i] for i, _ in long_texts[::3])
+    assert sum(c < 40 for i, (_, c) in want.items() if 40 <= i < 80) == 40
+
+
 def test_open_buckets_are_settled_exactly(make_docs, prose, monkeypatch):
     """One band of one row: everything of the group shares buckets, and few of it are linked through the leader."""
     base = prose(5, 120)
