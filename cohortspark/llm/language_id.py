@@ -37,6 +37,8 @@ BUCKETS = 1 << 16
 LEXICON_TEXTS = 3
 PIECE_WORDS, SEQUENCE_WORDS = 16, 64
 STEPS, RATE, SHRINK = 40, 0.1, 1e-4
+#: Bytes of text that are labelled at a time: features and posteriors take about fifty times as much.
+LABEL_BYTES = 2 << 20
 #: What is trimmed from the ends of a word: ASCII punctuation and digits.
 TRIM = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
 
@@ -203,10 +205,12 @@ def labelled(docs: DataFrame, field: Field | None, text_column: str = "text", ru
     kept = [c for c in docs.columns if c not in added]
     # Arrow functions take columns by name: give them plain ones on the way.
     own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]
-    plain = docs.select(*own, docs[text_column].cast("string").alias("text"))
+    carried = text_column in kept and docs.schema[text_column].dataType == T.StringType()
+    at = kept.index(text_column) if carried else len(kept)  # the text travels once
+    plain = docs.select(*own, *([] if carried else [docs[text_column].cast("string").alias("text")]))
     schema = T.StructType(
         [
-            *plain.schema.fields[:-1],
+            *plain.schema.fields[: len(kept)],
             T.StructField("lang_pred", T.StringType()),
             T.StructField("lang_score", T.DoubleType()),
             *([T.StructField("lang_runs", RUNS)] if runs else []),
@@ -217,10 +221,9 @@ def labelled(docs: DataFrame, field: Field | None, text_column: str = "text", ru
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             start = 0
-            last = batch.num_columns - 1
-            numbers = pa.RecordBatch.from_arrays([pa.nulls(len(batch)), batch.column(last)], names=["i", "text"])
-            for _, texts in steps(iter([numbers])):
-                own = batch.slice(start, len(texts)).select(list(range(last)))
+            numbers = pa.RecordBatch.from_arrays([pa.nulls(len(batch)), batch.column(at)], names=["i", "text"])
+            for _, texts in steps(iter([numbers]), LABEL_BYTES):
+                own = batch.slice(start, len(texts)).select(list(range(len(kept))))
                 start += len(texts)
                 pred, score, spans, certain = _label(texts, field, runs)
                 columns = [*own.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())]
