@@ -16,6 +16,7 @@ from cohortspark.llm.near_dedup import near_groups
 from cohortspark.llm.packing import digests, pack
 from cohortspark.llm.sharding import shard
 from cohortspark.llm.suffix_dedup import drop_repeats
+from cohortspark.llm.token_counts import token_counts
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -149,3 +150,8 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@query("op11_token_counts")
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
