@@ -17,6 +17,7 @@ from cohortspark.llm.packing import digests, pack
 from cohortspark.llm.sharding import shard
 from cohortspark.llm.suffix_dedup import drop_repeats
 from cohortspark.llm.token_counts import token_counts
+from cohortspark.llm.trie import rerooted, sequences, trie
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -155,3 +156,8 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_token_counts")
 def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+@query("op12_prefix_trie")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie(rerooted(sequences(table(spark, sf_dir, "conversations"), family=5)))
