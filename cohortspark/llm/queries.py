@@ -10,6 +10,7 @@ from cohortspark.llm.exact_dedup import exact_groups
 from cohortspark.llm.hmm import score
 from cohortspark.llm.language_id import fitted, labelled
 from cohortspark.llm.line_dedup import HOST, MIN_PAGES, RATIO, drop_site_lines, lines_sql
+from cohortspark.llm.merkle import folded, manifest, proof_digest, row_digest
 from cohortspark.llm.mixing import mix
 from cohortspark.llm.mtree import build_index, quantized, search
 from cohortspark.llm.near_dedup import near_groups
@@ -161,3 +162,24 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_prefix_trie")
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie(rerooted(sequences(table(spark, sf_dir, "conversations"), family=5)))
+
+
+@query("op13_merkle_manifest")
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some rows are held against the manifest with a changed count of characters."""
+    docs = table(spark, sf_dir, "documents")
+    names = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = [F.try_add(F.col(c), F.lit(1)) if c == "n_chars" else F.col(c) for c in names]
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    claimed = F.when(tampered & F.col("n_chars").isNotNull(), row_digest(changed))
+    found = manifest(docs, [F.col(c) for c in names], F.col("lang"), F.col("doc_id"), {"claimed": claimed}).proofs()
+    found = found.withColumn("folded_root", folded(F.coalesce("also_claimed", "leaf"), F.col("proof")))
+    return found.select(
+        F.col("key").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        proof_digest(F.col("proof")).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
