@@ -11,7 +11,6 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
     OneVsRest,
 )
 from pyspark.ml.feature import PCA, SQLTransformer
@@ -31,7 +30,7 @@ VECTOR = "__features"
 LOGISTIC = {"C": 1.0, "max_iter": 2000}
 RIDGE = {"alpha": 1.0}
 BOOSTING = {"max_iter": 100, "learning_rate": 0.1, "max_bins": 255, "min_samples_leaf": 20, "max_depth": 5}
-NEURAL = {"hidden": (128, 64), "max_iter": 300}
+NEURAL = {"hidden": (128, 64), "max_iter": 300, "learning_rate": None, "early_stopping": True, "tol": 1e-4}
 
 
 @dataclass(frozen=True)
@@ -155,27 +154,17 @@ def _boosted_values(fit: _Fit):
     return GBTRegressor(**_boosting_params(fit)).fit(fit.rows)
 
 
-def _neural_classes(fit: _Fit):
+def _neural(fit: _Fit, classes: int | None):
     p = {**NEURAL, **fit.params}
-    return MultilayerPerceptronClassifier(
-        featuresCol=VECTOR,
-        labelCol=LABEL,
-        layers=[fit.width, *p["hidden"], fit.classes],
-        maxIter=p["max_iter"],
-        seed=fit.seed,
-    ).fit(fit.rows)
+    return mlp.fit_mlp(fit.rows, VECTOR, LABEL, classes=classes, seed=fit.seed, **{**p, "hidden": tuple(p["hidden"])})
+
+
+def _neural_classes(fit: _Fit):
+    return _neural(fit, fit.classes)
 
 
 def _neural_values(fit: _Fit):
-    p = {**NEURAL, **fit.params}
-    return mlp.fit_mlp(
-        fit.rows,
-        VECTOR,
-        LABEL,
-        hidden=tuple(p["hidden"]),
-        max_iter=p["max_iter"],
-        seed=fit.seed,
-    )
+    return _neural(fit, None)
 
 
 CATALOGUE: dict[str, dict[str, Callable[[_Fit], Any]]] = {

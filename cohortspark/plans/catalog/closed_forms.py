@@ -170,8 +170,8 @@ def cv_ridge(spark, sf_dir):
 @query(
     "cv_scores_ridge",
     f"""
-    WITH RECURSIVE {_cv_sql([1.0], 3)}
-    SELECT round(-mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std, 3::int AS folds FROM agg WHERE metric = 'rmse'
+    WITH RECURSIVE {_cv_sql([1.0], 5)}
+    SELECT round(-mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std, 5::int AS folds FROM agg WHERE metric = 'rmse'
     """,
 )
 def cv_scores_ridge(spark, sf_dir):
@@ -179,7 +179,6 @@ def cv_scores_ridge(spark, sf_dir):
         build_model("regression", "ridge"),
         line_cohort(spark, sf_dir),
         ROLES,
-        cv=3,
         scoring="neg_root_mean_squared_error",
     )
     frame = spark.createDataFrame([(out["mean"], out["std"], len(out["scores"]))], "mean double, std double, folds int")
@@ -189,7 +188,7 @@ def cv_scores_ridge(spark, sf_dir):
 @query(
     "select_ridge",
     f"""
-    WITH RECURSIVE {_cv_sql([1.0, 5000.0], 3)}
+    WITH RECURSIVE {_cv_sql([1.0, 5000.0], 5)}
     SELECT CASE a WHEN 0 THEN 'strong' ELSE 'shrunk' END AS model, metric, round(mean, 6) + 0.0 AS mean,
            round(std, 6) + 0.0 AS std, folds, a = (SELECT a FROM agg WHERE metric = 'rmse' ORDER BY mean LIMIT 1) AS chosen
     FROM agg WHERE metric = 'rmse'
@@ -200,16 +199,14 @@ def select_ridge(spark, sf_dir):
         "strong": build_model("regression", "ridge", alpha=1.0),
         "shrunk": build_model("regression", "ridge", alpha=5000.0),
     }
-    best, ranking, _ = select_model(
-        candidates, line_cohort(spark, sf_dir), ROLES, primary_metric="rmse", n_splits=3
-    )
+    best, ranking, _ = select_model(candidates, line_cohort(spark, sf_dir), ROLES, primary_metric="rmse")
     return rounded(ranking, "model", "metric", "folds").withColumn("chosen", F.col("model") == best)
 
 
 @query(
     "grid_search_ridge",
     f"""
-    WITH RECURSIVE {_cv_sql([5000.0, 1.0, 100.0], 3)},
+    WITH RECURSIVE {_cv_sql([5000.0, 1.0, 100.0], 5)},
     top AS (SELECT a, mean FROM agg WHERE metric = 'rmse' ORDER BY mean, a LIMIT 1),
     whole AS (SELECT count(*) AS n, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, covar_pop(x, y) AS c FROM rows_)
     SELECT event_id, alpha, round(-top.mean, 6) + 0.0 AS best_score,
@@ -220,7 +217,7 @@ def select_ridge(spark, sf_dir):
 def grid_search_ridge(spark, sf_dir):
     rows = line_cohort(spark, sf_dir)
     spec = build_model("regression", "ridge")
-    found = grid_search(spec, rows, ROLES, {"alpha": [5000.0, 1.0, 100.0]}, cv=3)
+    found = grid_search(spec, rows, ROLES, {"alpha": [5000.0, 1.0, 100.0]})
     out = found.model.transform(rows).select(
         "event_id",
         F.lit(found.best_params["alpha"]).alias("alpha"),
@@ -314,3 +311,23 @@ def benchmark_definitions(spark, sf_dir):
     return table_.select("benchmark_id", F.concat(F.lit("["), F.concat_ws(", ", "problems"), F.lit("]")).alias("problems"))
 
 
+
+
+@query(
+    "mlp_onehot",
+    """
+    SELECT l_returnflag, count(*) AS n, CASE WHEN avg(CAST(l_linestatus = 'O' AS INT)) > 0.5 THEN 'O' ELSE 'F' END AS prediction,
+           round(avg(CAST(l_linestatus = 'O' AS INT)), 3) + 0.0 AS score
+    FROM lineitem GROUP BY 1
+    """,
+)
+def mlp_onehot(spark, sf_dir):
+    """Where the inputs only tell groups apart, a network without early stopping comes to each group's share of the class."""
+    lines = table(spark, sf_dir, "lineitem")
+    flags = {f"is_{v}": (F.col("l_returnflag") == v).cast("int") for v in ("A", "N", "R")}
+    rows = lines.select("l_returnflag", "l_linestatus", *[c.alias(n) for n, c in flags.items()])
+    spec = build_model("classification", "mlp", hidden=(8,), early_stopping=False, tol=0.0)
+    scored = spec.fit(rows, list(flags), "l_linestatus").transform(rows)
+    return scored.groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).alias("n"), F.max("prediction").alias("prediction"), (F.round(F.max("score"), 3) + 0.0).alias("score")
+    )

@@ -236,7 +236,7 @@ def permutation_multiset(spark, sf_dir):
 @query(
     "permutation_importance_linear",
     f"""
-    WITH {_donor_sql(3)},
+    WITH {_donor_sql(10)},
     s AS (
       SELECT repeat, 'value' AS feature, 2 * value + 0.5 * k AS y, 2 * value_d + 0.5 * k AS p FROM d
       UNION ALL SELECT repeat, 'k', 2 * value + 0.5 * k, 2 * value + 0.5 * k_d FROM d
@@ -254,5 +254,5 @@ def permutation_importance_linear(spark, sf_dir):
     def linear(df):
         return df.withColumn("prediction", 2 * F.col("value") + 0.5 * F.col("k"))
 
-    out = permutation_importance(linear, rows, "event_id", ["value", "k"], "y", scoring="r2", n_repeats=3)
+    out = permutation_importance(linear, rows, "event_id", ["value", "k"], "y", scoring="r2")
     return rounded(out, "feature")

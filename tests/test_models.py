@@ -148,6 +148,72 @@ def test_mlp_gradient_matches_finite_differences():
         assert g[i] == pytest.approx((loss(flat + step) - loss(flat - step)) / 2e-6, abs=1e-5)
 
 
+def test_class_gradient_matches_finite_differences():
+    rng = np.random.default_rng(2)
+    sizes, x, y = [3, 5, 4], rng.normal(size=(9, 3)), rng.integers(0, 4, 9)
+    flat = mlp.initial(sizes, 1)
+
+    def loss(w):
+        p = mlp.probabilities(mlp.forward(x, mlp.unpack(w, sizes))[-1])
+        return -np.log(p[np.arange(9), y]).sum()
+
+    g = mlp.gradient_sum(x, y.astype(float), flat, sizes)
+    assert np.isclose(g[-1], loss(flat))
+    for i in range(0, len(flat), 3):
+        step = np.zeros_like(flat)
+        step[i] = 1e-6
+        assert g[i] == pytest.approx((loss(flat + step) - loss(flat - step)) / 2e-6, abs=1e-5)
+
+
+def three_classes(spark, n=600):
+    """Class by the angle of a point: no straight line tells them apart."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(n, 2))
+    kind = ((np.arctan2(x[:, 1], x[:, 0]) + np.pi) / (2 * np.pi) * 6).astype(int) % 3
+    return spark.createDataFrame([(i, float(a), float(b), "xyz"[k]) for i, ((a, b), k) in enumerate(zip(x, kind, strict=True))], "id int, a double, b double, y string")
+
+
+@pytest.mark.parametrize("rate", [None, 0.03])
+def test_mlp_classifier_learns_whatever_the_partitions(spark, rate, scratch):
+    rows = three_classes(spark)
+    spec = build_model("classification", "mlp", hidden=(16,), max_iter=80, learning_rate=rate)
+    models = [spec.fit(rows.repartition(n), ["a", "b"], "y") for n in (3, 17)]
+    weights = [m.core.getOrDefault(m.core.weights) for m in models]
+    assert max(abs(a - b) for a, b in zip(*weights, strict=True)) < 1e-9
+    scored = models[0].transform(rows).toPandas()
+    assert (scored["prediction"] == scored["y"]).mean() > 0.85
+    models[0].core.write().save(f"{scratch}/net")
+    again = mlp.MLPClassificationModel.load(f"{scratch}/net")
+    vec = prep.apply_prep(prep.fit_preprocessor(rows, ["a", "b"], output="__features", numeric_only=True), rows)
+    got = again.transform(vec).select("id", "prediction", "probability").toPandas().set_index("id")
+    assert all("xyz"[int(got.loc[r.id, "prediction"])] == r.prediction for r in scored.itertuples())
+    assert np.allclose([p.toArray().sum() for p in got["probability"]], 1.0)
+
+
+def test_two_classes_have_scores_and_margins(cohort):
+    rows = cohort.where("a is not null")
+    model = build_model("classification", "mlp", hidden=(4,), max_iter=20).fit(rows, ["a", "b"], "y")
+    scored = model.margins(model.transform(rows)).toPandas()
+    assert np.allclose(scored["score"], 1 / (1 + np.exp(-scored["margin"])))
+    assert ((scored["score"] > 0.5) == (scored["prediction"] == 1)).all()
+
+
+def test_rate_and_early_stopping_act(spark):
+    rows = three_classes(spark, 200).withColumn("noise", F.pmod(F.xxhash64("id"), F.lit(3)).cast("string"))
+    def fit(target, **params):
+        core = build_model("classification", "mlp", hidden=(32,), **params).fit(rows, ["a", "b"], target).core
+        return core.getOrDefault(core.rounds), np.array(core.getOrDefault(core.weights))
+
+    slow, fast = (fit("y", max_iter=5, learning_rate=r)[1] for r in (0.001, 0.1))
+    start = mlp.initial([2, 32, 3], 42)
+    assert np.abs(fast - start).max() > 20 * np.abs(slow - start).max() > 0
+    stopped, going = (fit("noise", max_iter=60, early_stopping=e) for e in (True, False))
+    assert stopped[0] < going[0]
+    for wrong in ({"learning_rate": 0.0}, {"max_iter": 0}):
+        with pytest.raises(ValueError):
+            fit("y", **wrong)
+
+
 def test_mlp_regressor_learns_and_persists(cohort, scratch):
     rows = cohort.where("a is not null")
     spec = build_model("regression", "mlp", hidden=(16, 8), max_iter=60)
@@ -268,6 +334,6 @@ def test_mlp_regression_does_not_depend_on_the_partitions(cohort):
 
 def test_parameters_that_a_model_does_not_read_are_errors():
     with pytest.raises(ValueError, match="learning_rate"):
-        build_model("classification", "mlp", learning_rate=0.1)
+        build_model("classification", "logistic_regression", learning_rate=0.1)
     with pytest.raises(ValueError, match="alpah"):
         build_model("regression", "ridge", alpah=1.0)
