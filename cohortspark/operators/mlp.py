@@ -267,13 +267,13 @@ def _outputs(flat: np.ndarray, sizes: list[int]) -> Callable[[Column], Column]:
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def predict(x: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(x), dtype=object)
+        out: list[list[float] | None] = [None] * len(x)
         known = np.flatnonzero(x.notna().to_numpy())
         if len(known):
             z = forward(np.stack(x.iloc[known].to_numpy()), unpack(np.asarray(weights), sizes))[-1]
             for i, row in zip(known, z, strict=True):
-                out.iat[i] = row
-        return out
+                out[i] = row.tolist()
+        return pd.Series(out, dtype=object)
 
     return predict
 

@@ -1,30 +1,49 @@
-"""Preprocessing fitted on training rows only, as persistable Spark ML stages."""
+"""Preprocessing fitted on training rows only, as persistable Spark ML stages.
+
+Features are columns, or arrays of numbers that hold a feature per position (a gene, a pixel). The positions of an array are
+fitted together, in long form and as vectors: plans do not grow with their number.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import (
     OneHotEncoder,
     SQLTransformer,
     StringIndexerModel,
     VectorAssembler,
+    VectorSizeHint,
 )
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.stat import Summarizer
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortspark.functions.missing import missing, present_double
 from cohortspark.operators.quantiles import exact_quantiles
 from cohortspark.roles import is_numeric_type
 
 
-def typed_features(df: DataFrame, features: Sequence[str]) -> tuple[list[str], list[str]]:
-    """Numeric (and boolean) features, and all others as categorical."""
-    numeric = [c for c in features if is_numeric_type(df.schema[c].dataType)]
-    known = set(numeric)
-    return numeric, [c for c in features if c not in known]
+def is_array_type(dtype: T.DataType) -> bool:
+    """Whether a column holds a number per position."""
+    return isinstance(dtype, VectorUDT) or (isinstance(dtype, T.ArrayType) and is_numeric_type(dtype.elementType))
+
+
+def typed_features(df: DataFrame, features: Sequence[str]) -> tuple[list[str], list[str], list[str]]:
+    """Numeric (and boolean) features, arrays of numbers, and all others as categorical."""
+    kinds = {c: df.schema[c].dataType for c in features}
+    numeric = [c for c in features if is_numeric_type(kinds[c])]
+    arrays = [c for c in features if is_array_type(kinds[c])]
+    known = {*numeric, *arrays}
+    return numeric, arrays, [c for c in features if c not in known]
 
 
 def _stacked(columns: dict[str, Column]) -> Column:
@@ -105,6 +124,81 @@ def fit_numeric(
     return fits, row
 
 
+def present_doubles(df: DataFrame, name: str) -> Column:
+    """The array as doubles, NULL where a position is missing; NULL where the array is."""
+    whole = F.col(f"`{name}`")
+    if isinstance(df.schema[name].dataType, VectorUDT):
+        whole = vector_to_array(whole)
+    return F.transform(whole.cast("array<double>"), lambda x: F.when(~F.isnan(x), x))
+
+
+def _constant(values: Sequence[float]) -> Column:
+    """One constant instead of thousands of literals."""
+    return F.from_json(F.lit(json.dumps(list(values))), "array<double>")
+
+
+@dataclass(frozen=True)
+class ArrayFit:
+    """Per position: median (0 where there is no value), mean and 1 / std of the imputed values (0: the position says nothing)."""
+
+    medians: tuple[float, ...]
+    means: tuple[float, ...]
+    factors: tuple[float, ...]
+
+
+def fit_array(train: DataFrame, name: str, *, impute: bool = True) -> ArrayFit:
+    """Medians from the long form (position, value), moments of the imputed vectors from one summary."""
+    v = present_doubles(train, name)
+    gaps = F.exists(v, lambda x: x.isNull())
+    head = train.agg(
+        F.min(F.size(v)).alias("least"),
+        F.max(F.size(v)).alias("most"),
+        F.count_if(v.isNull() | F.coalesce(gaps, F.lit(True))).alias("gaps"),
+        F.count(F.lit(1)).alias("n"),
+    ).first()
+    width = head["most"]
+    if not width or head["least"] != width:
+        raise ValueError(f"the arrays of {name!r} have {head['least']} to {width} positions")
+    if head["gaps"] and not impute:
+        raise ValueError(f"missing values in {[name]} and no imputation")
+    medians = [0.0] * width
+    seen = set(range(width))
+    if impute:
+        long = train.select(F.posexplode(v).alias("position", "v")).where("v is not null")
+        # As many rows as the model has slots.
+        found = exact_quantiles(long, ["position"], "v", {"median": 0.5}).collect()
+        seen = {r["position"] for r in found}
+        for r in found:
+            medians[r["position"]] = r["median"]
+    filled = F.transform(v, lambda x, i: F.coalesce(x, F.get(_constant(medians), i)))
+    whole = train.select(array_to_vector(F.coalesce(filled, _constant(medians))).alias("v"))
+    row = whole.agg(Summarizer.metrics("mean", "variance").summary(F.col("v")).alias("s")).first()["s"]
+    shrink = (head["n"] - 1) / head["n"]  # the summary's variance is the sample's
+    std = [(max(x, 0.0) * shrink) ** 0.5 or 1.0 for x in row["variance"]]
+    means = [float(x) for x in row["mean"]]
+    factors = [1.0 / s if i in seen else 0.0 for i, s in enumerate(std)]
+    return ArrayFit(tuple(medians), tuple(means), tuple(factors))
+
+
+class ArrayScaler(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """Adds the imputed and standardised positions of an array as a vector. An array that is NULL or too short is filled up."""
+
+    inputCol = Param(Params._dummy(), "inputCol", "array of numbers", TypeConverters.toString)
+    outputCol = Param(Params._dummy(), "outputCol", "vector", TypeConverters.toString)
+    medians = Param(Params._dummy(), "medians", "what a missing position gets", TypeConverters.toListFloat)
+    means = Param(Params._dummy(), "means", "per position", TypeConverters.toListFloat)
+    factors = Param(Params._dummy(), "factors", "per position", TypeConverters.toListFloat)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        medians, means, factors = (_constant(self.getOrDefault(p)) for p in (self.medians, self.means, self.factors))
+        value = F.coalesce(present_doubles(dataset, self.getOrDefault(self.inputCol)), F.array().cast("array<double>"))
+
+        def scaled(median: Column, i: Column) -> Column:
+            return (F.coalesce(F.get(value, i), median) - F.get(means, i)) * F.get(factors, i)
+
+        return dataset.withColumn(self.getOrDefault(self.outputCol), array_to_vector(F.transform(medians, scaled)))
+
+
 @dataclass(frozen=True)
 class CategoricalFit:
     mode: str
@@ -209,18 +303,19 @@ def fit_preprocessor(
     numeric_only: bool = False,
     extra: Sequence[Column] = (),
 ) -> FittedPrep:
-    """Numeric: median impute, standardise.  Others: mode impute, one-hot.
+    """Numeric columns and array positions: median impute, standardise.  Others: mode impute, one-hot.
 
     ``numeric_only`` is the neural variant: standardise without imputing, and text
     features are an error.  ``extra`` aggregates of the training rows are returned in
     ``totals``, next to ``n_rows``.
     """
-    numeric, categorical = typed_features(train, features)
+    numeric, arrays, categorical = typed_features(train, features)
     if numeric_only and categorical:
         raise ValueError(f"numeric features only; encode {categorical} first")
     numbers, totals = fit_numeric(train, numeric, impute=not numeric_only, extra=extra)
     texts = fit_categorical(train, categorical)
-    if not numbers and not texts:
+    whole = {c: fit_array(train, c, impute=not numeric_only) for c in arrays}
+    if not numbers and not texts and not whole:
         raise ValueError("no usable feature columns")
 
     stages = []
@@ -231,6 +326,13 @@ def fit_preprocessor(
         picks.append(f"{_numeric_sql(train, name, fit)} as __num_{i}")
         inputs.append(f"__num_{i}")
         slots.append(name)
+    for i, (name, fit) in enumerate(whole.items()):
+        scaler = ArrayScaler()
+        scaler._set(inputCol=name, outputCol=f"__arr_{i}", medians=fit.medians, means=fit.means, factors=fit.factors)
+        # The assembler reads the width from the column's metadata.
+        stages += [scaler, VectorSizeHint(inputCol=f"__arr_{i}", size=len(fit.medians), handleInvalid="optimistic")]
+        inputs.append(f"__arr_{i}")
+        slots += [f"{name}[{k}]" for k in range(len(fit.medians))]
     for i, (name, fit) in enumerate(texts.items()):
         mode = fit.mode.replace("\\", "\\\\").replace("'", "\\'")
         picks.append(f"coalesce(cast(`{name}` as string), '{mode}') as __cat_{i}")

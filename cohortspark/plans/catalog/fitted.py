@@ -256,3 +256,66 @@ def permutation_importance_linear(spark, sf_dir):
 
     out = permutation_importance(linear, rows, "event_id", ["value", "k"], "y", scoring="r2")
     return rounded(out, "feature")
+
+
+def _holed(spark, sf_dir):
+    """Embeddings with a missing position in nine."""
+    holes = F.transform(
+        F.col("embedding").cast("array<double>"), lambda x, i: F.when((F.col("vec_id") + 5 * i) % 9 != 0, x)
+    )
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", holes.alias("v"))
+
+
+HOLED_SQL = """
+    long AS (
+      SELECT vec_id, i, CASE WHEN (vec_id + 5 * i) % 9 <> 0 THEN embedding[i + 1]::double END AS x
+      FROM embeddings, (SELECT unnest(range(0, (SELECT max(len(embedding)) FROM embeddings))) AS i)
+    ),
+    med AS (SELECT i, quantile_cont(x, 0.5) AS m FROM long WHERE vec_id % 4 <> 0 GROUP BY 1),
+    filled AS (SELECT vec_id, i, coalesce(x, m) AS x FROM long JOIN med USING (i)),
+    mom AS (SELECT i, avg(x) AS mu, stddev_pop(x) AS sd FROM filled WHERE vec_id % 4 <> 0 GROUP BY 1)"""
+
+
+@query(
+    "preprocess_array",
+    f"""
+    WITH {HOLED_SQL}
+    SELECT vec_id, i::int AS position, round((x - mu) / sd, 6) + 0.0 AS x FROM filled JOIN mom USING (i)
+    """,
+)
+def preprocess_array(spark, sf_dir):
+    """Every position of an array column imputed and standardised by the training rows."""
+    rows = _holed(spark, sf_dir)
+    fitted = prep.fit_preprocessor(rows.where("vec_id % 4 <> 0"), ["v"])
+    out = prep.apply_prep(fitted, rows).select("vec_id", F.posexplode(vector_to_array("features")).alias("position", "x"))
+    return out.select("vec_id", "position", r6("x", "x"))
+
+
+@query(
+    "ridge_array",
+    """
+    WITH s AS (
+      SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice AS y, l_orderkey % 5 <> 0 AS train,
+             l_quantity AS a, l_discount AS b FROM lineitem),
+    m AS (
+      SELECT count(*) AS n, avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb, avg(y) AS my,
+             corr(a, b) * count(*) AS c, covar_pop(a, y) / stddev_pop(a) * count(*) AS ca,
+             covar_pop(b, y) / stddev_pop(b) * count(*) AS cb
+      FROM s WHERE train),
+    w AS (
+      SELECT *, ((n + 3) * ca - c * cb) / ((n + 3) * (n + 3) - c * c) AS wa,
+             ((n + 3) * cb - c * ca) / ((n + 3) * (n + 3) - c * c) AS wb FROM m)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+           round(my + wa * (a - ma) / sa + wb * (b - mb) / sb, 4) + 0.0 AS prediction
+    FROM s, w
+    """,
+)
+def ridge_array(spark, sf_dir):
+    """Two features in one array; the penalised normal equations have a closed form."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", pack(["l_quantity", "l_discount"]).alias("v")
+    )
+    model = build_model("regression", "ridge", alpha=3.0).fit(rows.where("l_orderkey % 5 <> 0"), ["v"], "l_extendedprice")
+    return model.transform(rows).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.round("prediction", 4) + 0.0).alias("prediction")
+    )

@@ -149,12 +149,8 @@ query("ridge_scores")(_fitted_scores("regression", "ridge"))
 @query("gbt_multiclass")
 def gbt_multiclass(spark, sf_dir):
     """All rows, labels and positions; ten classes make ten boosters of the default 100 rounds each."""
-    places = range(64)
-    rows = table(spark, sf_dir, "embeddings").select(
-        "vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in places]
-    )
-    spec = build_model("classification", "hist_gradient_boosting")
-    model = spec.fit(rows, [f"x{i}" for i in places], "label")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    model = build_model("classification", "hist_gradient_boosting").fit(rows, ["embedding"], "label")
     return model.transform(rows).select("vec_id", "label", "prediction")
 
 

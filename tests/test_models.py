@@ -1,9 +1,12 @@
+import time
+
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from cohortspark.operators import calibration, importance, mlp, prep, reduce
+from cohortspark.operators import calibration, importance, mlp, models, prep, reduce
 from cohortspark.operators.models import available_models, build_model
 
 
@@ -337,3 +340,66 @@ def test_parameters_that_a_model_does_not_read_are_errors():
         build_model("classification", "logistic_regression", learning_rate=0.1)
     with pytest.raises(ValueError, match="alpah"):
         build_model("regression", "ridge", alpah=1.0)
+
+
+def arrays(spark, n, width, seed=5):
+    """Rows with missing positions, NULL arrays, one position without any value and one that is constant."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, width)) * rng.integers(1, 9, width) + rng.integers(-3, 3, width)
+    x[:, 1] = 7.0
+    y = x[:, 2] - 2 * x[:, 3] + rng.normal(size=n)
+    rows = []
+    for i in range(n):
+        v = [None if k == 0 or (i + k) % 11 == 0 else float(x[i, k]) for k in range(width)]
+        v = None if i % 29 == 0 else [float("nan") if k == 5 and i % 3 == 0 else t for k, t in enumerate(v)]
+        rows.append((i, v, float(y[i]), "ab"[int(y[i] > 0)]))
+    return spark.createDataFrame(rows, "id int, v array<double>, z double, y string")
+
+
+def test_models_on_an_array_equal_those_on_its_positions(spark, scratch):
+    rows = arrays(spark, 300, 64)
+    flat = rows.select("id", "z", "y", *[F.get("v", F.lit(k)).alias(f"x{k}") for k in range(64)])
+    names = [f"x{k}" for k in range(64)]
+    for task, name, target in (("regression", "ridge", "z"), ("classification", "logistic_regression", "y")):
+        whole = build_model(task, name).fit(rows.where("id % 3 <> 0"), ["v"], target)
+        single = build_model(task, name).fit(flat.where("id % 3 <> 0"), names, target)
+        column = "prediction" if task == "regression" else "score"
+        got, want = (m.transform(d).orderBy("id").toPandas()[column] for m, d in ((whole, rows), (single, flat)))
+        assert np.allclose(got, want, atol=1e-5)
+        assert whole.slots[:2] == ("v[0]", "v[1]") and len(whole.slots) == 64
+    whole.pipeline.write().save(f"{scratch}/pipeline")
+    again = PipelineModel.load(f"{scratch}/pipeline").transform(rows).select("id", "probability").orderBy("id").toPandas()
+    assert np.allclose([p[1] for p in again["probability"]], got)
+
+
+def test_every_model_takes_arrays(spark):
+    rows = arrays(spark, 200, 8).withColumn("v", F.transform("v", lambda x: F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0)))).where("v is not null")
+    rows = rows.withColumn("color", F.when(F.col("id") % 2 == 0, "red").otherwise("blue"))
+    for task, target in (("regression", "z"), ("classification", "y")):
+        for name in models.CATALOGUE[task]:
+            small = {"hist_gradient_boosting": {"max_iter": 3}, "mlp": {"max_iter": 3, "hidden": (4,)}, "pca_then_mlp": {"max_iter": 3, "hidden": (4,)}}
+            features = ["v"] if name == "mlp" else ["v", "color"]
+            out = build_model(task, name, **small.get(name, {})).fit(rows, features, target).transform(rows)
+            assert out.where("prediction is null").count() == 0 and out.columns[:5] == rows.columns
+
+
+def test_plans_do_not_grow_with_the_positions(spark):
+    sizes = []
+    for width in (50, 5000):
+        rows = arrays(spark, 40, width)
+        model = build_model("regression", "ridge").fit(rows, ["v"], "z") if width == 50 else None
+        fitted = prep.fit_preprocessor(rows, ["v"])
+        started = time.monotonic()
+        out = prep.apply_prep(fitted, rows)
+        plan = out._jdf.queryExecution().optimizedPlan()
+        sizes.append((plan.numberedTreeString().count("\n"), time.monotonic() - started))
+        assert len(fitted.slots) == width and (model is None or len(model.slots) == 50)
+    assert sizes[0][0] == sizes[1][0] and sizes[1][1] < 3.0
+
+
+def test_arrays_of_unequal_length_or_with_gaps_are_errors(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0], 1.0), (2, [1.0], 2.0)], "id int, v array<double>, z double")
+    with pytest.raises(ValueError, match="1 to 2 positions"):
+        build_model("regression", "ridge").fit(rows, ["v"], "z")
+    with pytest.raises(ValueError, match="missing values"):
+        build_model("regression", "mlp").fit(arrays(spark, 40, 6), ["v"], "z")
