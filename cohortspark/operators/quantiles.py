@@ -1,32 +1,22 @@
-"""Exact quantiles per group at any group size.
+"""Exact quantiles per group at any group size and any number of groups.
 
-``percentile`` keeps every distinct value of a group in one task, which is fine
-until a group has many of them.  Larger groups are narrowed first: a mergeable
-sketch brackets each wanted rank, one pass counts the rows below the bracket, and
-only the values inside it are ranked.
+``percentile`` keeps every distinct value of a group in one task, which is fine until a group has many of them. Larger groups are
+narrowed first: every wanted rank of every such group is a row of a table with the bracket of values that holds it. A round joins the values
+with that table, counts what lies before, in and after a candidate bracket that a mergeable sketch proposed, and keeps the part that holds
+the rank, whichever it is, so a sketch's error costs a round and never the result. Only values of brackets with few distinct ones are
+ranked. The driver sees neither groups nor ranks, only whether some are left.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass, replace
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortspark.session import materialize
 
 DISTINCT_LIMIT = 500_000
-GRID = 1000
-ACCURACY = 10_000
-
-
-@dataclass(frozen=True)
-class _Rank:
-    group: int
-    k: int
-    lo: float
-    hi: float
-    slack: int = 2
+#: Points of the sketch that proposes brackets, its accuracy, and points left and right of the rank that a bracket takes in.
+GRID, ACCURACY, SLACK = 1000, 10_000, 2
 
 
 def exact_quantiles(
@@ -48,33 +38,30 @@ def exact_quantiles(
     rows = long.where(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("__v"))
     if most_distinct is not None and most_distinct <= limit:
         return _small(rows, by, quantiles)
-    big = (
-        rows.groupBy(*by)
-        .agg(
-            F.count(F.lit(1)).alias("__n"),
-            F.approx_count_distinct("__v").alias("__d"),
-            F.min("__v").alias("__lo"),
-            F.max("__v").alias("__hi"),
-        )
-        .where(F.col("__d") > limit)
-    )
-    heads = big.collect()  # at most rows / limit groups
-    if not heads:
-        return _small(rows, by, quantiles)
-    spark = long.sparkSession
-    large = _Large(spark, rows, by, heads, limit)
-    solved = large.solve(quantiles)
-    names = list(quantiles)
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema]
-        + [f"`{n}` double" for n in names]
-    )
-    done = spark.createDataFrame(
-        [(*[h[b] for b in by], *[solved[i, n] for n in names]) for i, h in enumerate(heads)], schema
+    keys = by or ["__all"]
+    if not by:
+        rows = rows.withColumn("__all", F.lit(0))
+    sizes = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.approx_count_distinct("__v").alias("__d"),
+        F.min("__v").alias("__lo"),
+        F.max("__v").alias("__hi"),
     )
+    large = materialize(sizes.where(F.col("__d") > limit).withColumn("__g", F.monotonically_increasing_id()), "large")
+    if large.isEmpty():
+        return _small(rows, keys, quantiles).select(*by, *quantiles)
+    match = None
+    for k in keys:
+        one = F.col(f"r.`{k}`").eqNullSafe(F.col(f"k.`{k}`"))
+        match = one if match is None else match & one
+    tagged = rows.alias("r").join(large.alias("k"), match).select(F.col("k.__g").alias("g"), F.col("r.__v").alias("v"))
+    solved = _solve(materialize(tagged, "values"), large, quantiles, limit).withColumnRenamed("g", "__of")
+    names = [solved[f"`{n}`"] for n in quantiles]
+    done = large.join(solved, F.col("__g") == F.col("__of")).select(*by, *names)
     if not by:
         return done
-    return _small(large.others(), by, quantiles).unionByName(done)
+    others = rows.alias("r").join(large.alias("k"), match, "left_anti")
+    return _small(others, by, quantiles).unionByName(done)
 
 
 def _small(rows: DataFrame, by: list[str], quantiles: dict[str, float]) -> DataFrame:
@@ -84,100 +71,79 @@ def _small(rows: DataFrame, by: list[str], quantiles: dict[str, float]) -> DataF
     return counted.groupBy(*by).agg(*aggs)
 
 
-class _Large:
-    def __init__(self, spark, rows, by, heads, limit):
-        self.spark, self.by, self.heads, self.limit = spark, by, heads, limit
-        self.rows = rows
-        key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema)
-        if by:
-            table = spark.createDataFrame(
-                [(*[h[b] for b in by], i) for i, h in enumerate(heads)], key_schema + ", __g int"
-            )
-            self.keys = table
-            match = None
-            for b in by:
-                c = F.col(f"r.`{b}`").eqNullSafe(F.col(f"k.`{b}`"))
-                match = c if match is None else match & c
-            self.match = match
-            self.tagged = (
-                rows.alias("r").join(self.keys.alias("k"), match).select(F.col("k.__g").alias("g"), F.col("r.__v").alias("v"))
-            )
-        else:
-            self.tagged = rows.select(F.lit(0).alias("g"), F.col("__v").alias("v"))
-
-    def others(self) -> DataFrame:
-        return self.rows.alias("r").join(self.keys.alias("k"), self.match, "left_anti")
-
-    def solve(self, quantiles: dict[str, float]) -> dict[tuple[int, str], float]:
-        wanted = {}
-        for i, h in enumerate(self.heads):
-            for name, q in quantiles.items():
-                position = q * (h["__n"] - 1)
-                low = math.floor(position)
-                wanted[i, name] = (low, min(low + 1, h["__n"] - 1), position - low)
-        ranks = {
-            (i, k): _Rank(i, k, self.heads[i]["__lo"], self.heads[i]["__hi"])
-            for (i, _), (a, b, _) in wanted.items()
-            for k in (a, b)
-        }
-        values = self._values(ranks)
-        out = {}
-        for (i, name), (a, b, share) in wanted.items():
-            low, high = values[i, a], values[i, b]
-            out[i, name] = low + share * (high - low)
-        return out
-
-    def _bracketed(self, ranks) -> DataFrame:
-        states = self.spark.createDataFrame(
-            [(r.group, r.k, r.lo, r.hi) for r in ranks], "g int, k bigint, lo double, hi double"
-        )
-        return self.tagged.join(F.broadcast(states), "g").where(F.col("v") <= F.col("hi"))
-
-    def _values(self, ranks: dict) -> dict:
-        grid = [i / GRID for i in range(GRID + 1)]
-        open_, ready, below, last = dict(ranks), {}, {}, {}
-        while open_:
-            inside = F.when(F.col("v") >= F.col("lo"), F.col("v"))
-            looked = (
-                self._bracketed(open_.values())
-                .groupBy("g", "k")
-                .agg(
-                    F.count_if(F.col("v") < F.col("lo")).alias("below"),
-                    F.count(inside).alias("n"),
-                    F.approx_count_distinct(inside).alias("d"),
-                    F.percentile_approx(inside, grid, ACCURACY).alias("grid"),
-                )
-                .collect()
-            )
-            found = {(r["g"], r["k"]): r for r in looked}
-            for key in list(open_):
-                r, state = found.get(key), open_[key]
-                if r is None or not r["below"] <= state.k < r["below"] + r["n"]:
-                    # The sketch missed: take the previous bracket again, cut less tightly.
-                    state, r = last[key]
-                    state = replace(state, slack=state.slack * 4)
-                elif state.lo == state.hi or r["d"] <= self.limit:
-                    ready[key], below[key] = open_.pop(key), r["below"]
-                    continue
-                last[key] = (state, r)
-                at = (state.k - r["below"]) / r["n"] * GRID
-                lo = max(0, math.floor(at) - state.slack)
-                hi = min(GRID, math.ceil(at) + state.slack)
-                nxt = replace(state, lo=r["grid"][lo], hi=r["grid"][hi])
-                if (nxt.lo, nxt.hi) == (state.lo, state.hi):
-                    ready[key], below[key] = open_.pop(key), r["below"]
-                else:
-                    open_[key] = nxt
-        upto = Window.partitionBy("g", "k").orderBy("v")
-        counted = (
-            self._bracketed(ready.values())
-            .where(F.col("v") >= F.col("lo"))
-            .groupBy("g", "k", "v")
-            .agg(F.count(F.lit(1)).alias("c"))
-            .withColumn("reach", F.sum("c").over(upto))
-        )
-        offsets = self.spark.createDataFrame(
-            [(g, k, k - below[g, k]) for g, k in ready], "g int, k bigint, local bigint"
-        )
-        hit = counted.join(F.broadcast(offsets), ["g", "k"]).where(F.col("reach") > F.col("local"))
-        return {(r["g"], r["k"]): r["v"] for r in hit.groupBy("g", "k").agg(F.min("v").alias("v")).collect()}
+def _wanted(large: DataFrame, quantiles: dict[str, float]) -> DataFrame:
+    """g, name, low, high, share: the quantile lies at ``share`` between the values of ranks ``low`` and ``high`` (from 0)."""
+    asked = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(q)).alias("q")) for n, q in quantiles.items()])
+    each = large.select(F.col("__g").alias("g"), F.col("__n").alias("n"), F.explode(asked).alias("a"))
+    position = F.col("a.q") * (F.col("n") - 1)
+    low = F.floor(position)
+    return each.select("g", "a.name", low.alias("low"), F.least(low + 1, F.col("n") - 1).alias("high"), (position - low).alias("share"))
+
+
+def _solve(tagged: DataFrame, large: DataFrame, quantiles: dict[str, float], limit: int) -> DataFrame:
+    """g and a column per quantile, from all values (g, v) of the large groups."""
+    wanted = _wanted(large, quantiles)
+    ranks = wanted.select("g", F.explode(F.array("low", "high")).alias("k")).distinct()
+    ends = large.select(F.col("__g").alias("g"), F.col("__lo").alias("lo"), F.col("__hi").alias("hi"))
+    open_ = ranks.join(ends, "g").select("g", "k", "lo", "hi", F.col("lo").alias("from"), F.col("hi").alias("to"))
+    found = None
+    while True:
+        looked = materialize(_look(tagged, open_, limit), "brackets")
+        ready = looked.where("ready").select("g", "k", "lo", "hi", "below")
+        found = ready if found is None else found.unionByName(ready)
+        open_ = looked.where("not ready").select("g", "k", "lo", "hi", "from", "to")
+        if open_.isEmpty():
+            break
+    inside = tagged.join(found, "g").where("v >= lo and v <= hi")
+    counted = inside.groupBy("g", "k", "below", "v").agg(F.count(F.lit(1)).alias("c"))
+    upto = Window.partitionBy("g", "k").orderBy("v")  # few distinct values
+    counted = counted.withColumn("reach", F.col("below") + F.sum("c").over(upto)).where("reach > k")
+    values = materialize(counted.groupBy("g", "k").agg(F.min("v").alias("v")), "ranked")
+    low, high = (values.select(F.col("g").alias(f"g_{e}"), F.col("k").alias(f"k_{e}"), F.col("v").alias(e)) for e in ("left", "right"))
+    met = wanted.join(low, (F.col("g") == F.col("g_left")) & (F.col("low") == F.col("k_left")))
+    met = met.join(high, (F.col("g") == F.col("g_right")) & (F.col("high") == F.col("k_right")))
+    value = F.col("left") + F.col("share") * (F.col("right") - F.col("left"))
+    return met.groupBy("g").agg(*[F.max(F.when(F.col("name") == n, value)).alias(n) for n in quantiles])
+
+
+def _look(tagged: DataFrame, open_: DataFrame, limit: int) -> DataFrame:
+    """One round for the brackets ``open_``: g, k, the bracket lo to hi that is left, the candidate inside it, ready, below.
+
+    A bracket is ready if it has few distinct values (or one); ``below`` then counts the values before it.
+    """
+    v = F.col("v")
+    before, after = v < F.col("from"), v > F.col("to")
+    inside = F.when(~before & ~after, v)
+    seen = tagged.join(open_, "g").where("v <= hi").groupBy("g", "k", "lo", "hi", "from", "to").agg(
+        F.count_if(before).alias("below"),
+        F.count(inside).alias("n"),
+        F.approx_count_distinct(inside).alias("d"),
+        F.max(F.when(before & (v >= F.col("lo")), v)).alias("left"),
+        F.min(F.when(after, v)).alias("right"),
+        F.percentile_approx(inside, [i / GRID for i in range(GRID + 1)], ACCURACY).alias("grid"),
+    )
+    k, below, n = F.col("k"), F.col("below"), F.col("n")
+    hit = (below <= k) & (k < below + n)
+    lo = F.when(hit, F.col("from")).when(k < below, F.col("lo")).otherwise(F.col("right"))
+    hi = F.when(hit, F.col("to")).when(k < below, F.col("left")).otherwise(F.col("hi"))
+    kept = seen.select("g", "k", lo.alias("lo"), hi.alias("hi"), hit.alias("hit"), "below", "n", "d", "grid")
+    at = F.try_divide(k - below, n) * GRID  # nothing in the candidate: no proposal
+
+    def point(i: Column) -> Column:
+        return F.get("grid", F.greatest(F.lit(0), F.least(F.lit(GRID), i)).cast("int"))
+
+    first, last = point(F.floor(at) - SLACK), point(F.ceil(at) + SLACK)
+    # A candidate as wide as the bracket would not narrow it.
+    same = (first == F.col("lo")) & (last == F.col("hi"))
+    ready = F.col("hit") & ((F.col("lo") == F.col("hi")) | (F.col("d") <= limit) | same)
+    proposed = F.col("hit") & ~ready
+    return kept.select(
+        "g",
+        "k",
+        "lo",
+        "hi",
+        F.when(proposed, first).otherwise(F.col("lo")).alias("from"),
+        F.when(proposed, last).otherwise(F.col("hi")).alias("to"),
+        ready.alias("ready"),
+        "below",
+    )
