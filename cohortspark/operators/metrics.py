@@ -268,7 +268,7 @@ def melt_metrics(wide: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 # Which way each metric improves.
-LOWER_IS_BETTER = ("mae", "rmse", "brier", "ece")
+LOWER_IS_BETTER = ("mae", "rmse", "brier", "brier_score", "ece")
 
 
 def higher_is_better(metric: str) -> bool:
@@ -302,3 +302,37 @@ def evaluate(
         value = ranked.first()
         return plain.withColumn("auroc", F.lit(value["auroc"] if value else None).cast("double"))
     return plain.join(ranked, by, "left")
+
+
+# The metrics that every evaluation has, and those that a definition may declare on top.
+STANDARD = {"classification": ("accuracy", "balanced_accuracy", "f1_macro", "auroc"), "regression": ("mae", "rmse", "r2")}
+DECLARABLE = ("auprc", "sensitivity", "specificity", "brier_score", "ece")
+
+
+def undefined_metrics(names: Sequence[str], task: str) -> list[str]:
+    """The names that no evaluation of the task can report."""
+    known = STANDARD[task] + (DECLARABLE if task == "classification" else ())
+    return sorted(set(names) - set(known))
+
+
+def declared_metrics(
+    predictions: DataFrame, names: Sequence[str], *, y: str, positive, by: Sequence[str], n_rows: int | None = None
+) -> DataFrame | None:
+    """The declared metrics beyond the standard ones, one row per ``by``; NULL where the model has no scores."""
+    by, wanted = list(by), [n for n in DECLARABLE if n in names]
+    if not wanted:
+        return None
+    out = predictions.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).drop("__n")
+    scored = "score" in predictions.columns and positive is not None
+    parts = []
+    if positive is not None and {"sensitivity", "specificity"} & set(wanted):
+        parts.append(sensitivity_specificity(predictions, y, "prediction", positive, by))
+    if scored and "auprc" in wanted:
+        parts.append(ranking_metrics(predictions, y, "score", positive, by, n_rows=n_rows).select(*by, "auprc"))
+    if scored and "brier_score" in wanted:
+        parts.append(brier(predictions, y, "score", positive, by).withColumnRenamed("brier", "brier_score"))
+    if scored and "ece" in wanted:
+        parts.append(ece(predictions, y, "score", positive=positive, by=by))
+    for part in parts:
+        out = out.join(part, by, "left")
+    return out.select(*by, *[F.col(n) if n in out.columns else F.lit(None).cast("double").alias(n) for n in wanted])

@@ -118,17 +118,25 @@ def holdout_split(
     *,
     validation_fraction: float = 0.2,
     seed: int = 42,
+    crossing: str = "keep",
 ) -> DataFrame:
     """All rows of one metadata level are the test set; the rest is split by group.
 
-    Rows whose level is missing stay in development.
+    Rows whose level is missing stay in development. ``crossing="drop"`` leaves out the development rows of groups
+    that have rows of the level too, so that no group is on both sides.
     """
     _require(df, column, group)
+    if crossing not in ("keep", "drop"):
+        raise ValueError(f"crossing must be 'keep' or 'drop', got {crossing!r}")
     if not 0 < validation_fraction < 1:
         raise ValueError("validation_fraction must lie strictly between 0 and 1")
     held_out = F.col(column).eqNullSafe(F.lit(level))
     if df.where(held_out).isEmpty():
         raise ValueError(f"no rows have {column} = {level!r}")
+    if crossing == "drop":
+        out = df.where(held_out).select(F.col(group).alias("__held")).distinct()
+        inside = df.where(~held_out).join(out, F.col(group) == F.col("__held"), "left_anti")
+        df = inside.unionByName(df.where(held_out))
     groups = df.where(~held_out).select(group).distinct()
     order = _shuffled(seed, group)
 

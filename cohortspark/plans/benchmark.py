@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.operators.audit import missing_required_columns, require_definition_fits, require_gates
 from cohortspark.operators.fingerprint import fingerprint
-from cohortspark.operators.metrics import higher_is_better
+from cohortspark.operators.metrics import higher_is_better, undefined_metrics
 from cohortspark.operators.models import build_model
 from cohortspark.operators.splits import group_split, holdout_split
 from cohortspark.plans.train import TrainingResult, metric_dicts, train
@@ -23,6 +23,8 @@ from cohortspark.roles import (
     SplitConfig,
     TrainingConfig,
 )
+from cohortspark.sources.manifests import load_definition
+from cohortspark.sources.runs import save_results
 from cohortspark.sources.tables import load_table
 
 RESULT_SCHEMA = (
@@ -31,10 +33,12 @@ RESULT_SCHEMA = (
 )
 
 
-def _require_runnable(definition: BenchmarkDefinition) -> None:
+def _require_runnable(definition: BenchmarkDefinition, holdout: tuple[str, Any] | None = None) -> None:
     if definition.task not in TRAINING_TASKS:
         raise ValueError(f"a {definition.task!r} benchmark has no trainer")
-    if definition.split_policy not in INTERNAL_SPLIT_POLICIES:
+    if unknown := undefined_metrics(definition.metrics, definition.task):
+        raise ValueError(f"a {definition.task} benchmark cannot report {unknown}")
+    if holdout is None and definition.split_policy not in INTERNAL_SPLIT_POLICIES:
         raise ValueError(f"split policy {definition.split_policy!r} needs an explicit split")
 
 
@@ -54,11 +58,16 @@ def run_benchmark(
     seed: int = 42,
     exclude: Sequence[str] = (),
     source: str = "",
+    holdout: tuple[str, Any] | None = None,
     **model_params: Any,
 ) -> BenchmarkRun:
-    """Train one model under a definition's target, group and split policy."""
+    """Train one model under a definition's target, group and split policy; its declared metrics are reported.
+
+    ``holdout=(column, level)`` makes the rows of one level the test set, which any split policy accepts. The gates hold then
+    too: a group on both sides of the level is an error (``holdout_split`` can leave such rows out beforehand).
+    """
     require_definition_fits(df, definition)
-    _require_runnable(definition)
+    _require_runnable(definition, holdout)
     config = TrainingConfig(
         definition.task,
         model,
@@ -67,11 +76,18 @@ def run_benchmark(
         seed,
         SplitConfig(seed=seed),
         model_params,
+        holdout,
+        definition.metrics,
     )
-    cohort = Cohort(df, definition.roles(id, exclude))
+    cohort = Cohort(df, definition.roles(id, (*exclude, *_held_column(holdout))))
     return BenchmarkRun(definition, train(cohort, config, check_gates=True), source)
 
 
+def _held_column(holdout: tuple[str, Any] | None) -> tuple[str, ...]:
+    """What names the held-out level is no feature."""
+    return () if holdout is None else (holdout[0],)
+
+
 def matrix_split(df: DataFrame, definition: BenchmarkDefinition, seed: int = 42) -> DataFrame:
     return group_split(df, definition.group_key, SplitConfig(seed=seed, stratify=False))
 
@@ -97,18 +113,16 @@ def run_model_matrix(
     """Validation metrics of several models on one shared split; test values stay NULL.
 
     ``holdout=(column, level)`` replaces the internal group split by an explicit
-    level holdout, which any split policy accepts.
+    level holdout, which any split policy accepts. Every gate holds in both cases.
     """
     require_definition_fits(df, definition)
-    if definition.task not in TRAINING_TASKS:
-        raise ValueError(f"a {definition.task!r} benchmark has no trainer")
+    _require_runnable(definition, holdout)
     if holdout is None:
-        _require_runnable(definition)
         rows = matrix_split(df, definition, seed)
     else:
         rows = holdout_split(df, *holdout, definition.group_key, seed=seed)
-    require_gates(rows, id=id, group=definition.group_key if holdout is None else None)
-    roles = definition.roles(id, exclude)
+    require_gates(rows, id=id, group=definition.group_key)
+    roles = definition.roles(id, (*exclude, *_held_column(holdout)))
     features = roles.features(df)
     sizes = matrix_sizes(rows).first()
     digest = fingerprint(df, id)
@@ -117,7 +131,8 @@ def run_model_matrix(
         spec = build_model(definition.task, name, seed=seed, **(params or {}).get(name, {}))
         model = spec.fit(rows.where("split = 'train'"), features, definition.target)
         held = rows.where("split = 'validation'")
-        metrics = metric_dicts(model, held, definition.target, "split", sizes["n_validation"])["validation"]
+        n = sizes["n_validation"]
+        metrics = metric_dicts(model, held, definition.target, "split", n, definition.metrics)["validation"]
         head = (dataset or definition.benchmark_id, definition.benchmark_id, definition.version, name)
         tail = (sizes["n_train"], sizes["n_validation"], sizes["n_test"], digest)
         for metric, value in metrics.items():
@@ -150,26 +165,35 @@ def matrix_union(tables: Sequence[DataFrame]) -> DataFrame:
 def run_matrix_job(
     spark: SparkSession,
     paths: Mapping[str, str],
-    definition: BenchmarkDefinition,
+    definition: BenchmarkDefinition | str,
     *,
     id: str,
     models: Sequence[str],
     required: Sequence[str] = (),
     exclude: Sequence[str] = (),
+    output: str | None = None,
     **kwargs: Any,
 ) -> DataFrame:
-    """The matrix of every dataset; a missing table or required column stops the job."""
+    """The matrix of every dataset; a missing table or required column stops the job.
+
+    ``definition`` may be the path of one; ``output`` is where the result table is written.
+    """
+    if isinstance(definition, str):
+        definition = load_definition(spark, definition)
     tables = {name: load_table(spark, path) for name, path in paths.items()}
     for name, df in tables.items():
         absent = missing_required_columns(df, required)
         if absent:
             raise ValueError(f"{name}: required columns are missing: {absent}")
-    return matrix_union(
+    results = matrix_union(
         [
             run_model_matrix(df, definition, id=id, models=models, dataset=name, exclude=exclude, **kwargs)
             for name, df in tables.items()
         ]
     )
+    if output is not None:
+        save_results(results, output)
+    return results
 
 
 __all__ = [

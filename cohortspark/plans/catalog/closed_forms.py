@@ -6,10 +6,11 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from cohortspark.operators.metrics import declared_metrics
 from cohortspark.operators.models import build_model
 from cohortspark.operators.prep import apply_prep, fit_preprocessor
 from cohortspark.plans.benchmark import run_benchmark, run_model_matrix
-from cohortspark.plans.catalog.registry import key_sql, query, rounded, table
+from cohortspark.plans.catalog.registry import STUDY_SQL, key_sql, query, rounded, study_orders, table
 from cohortspark.plans.catalog.workflows import QUALITY_ROLES, metric_table, quality_cohort
 from cohortspark.plans.crossval import cross_validate, cross_validated_scores, grid_search, select_model
 from cohortspark.plans.train import evaluate_held_out_test, train
@@ -331,3 +332,75 @@ def mlp_onehot(spark, sf_dir):
     return scored.groupBy("l_returnflag").agg(
         F.count(F.lit(1)).alias("n"), F.max("prediction").alias("prediction"), (F.round(F.max("score"), 3) + 0.0).alias("score")
     )
+
+
+NESTED = BenchmarkDefinition(
+    "order-prices", "1.0", "regression", "y", "study_held_out", "o_custkey", metrics=("rmse", "mae", "r2")
+)
+
+
+@query(
+    "benchmark_holdout_ridge",
+    f"""
+    WITH {STUDY_SQL},
+    rows_ AS (
+      SELECT o_orderkey, o_custkey, r_name, o_totalprice / 1000 + month(o_orderdate) AS y, month(o_orderdate)::double AS x FROM study
+    ),
+    g AS (
+      SELECT o_custkey, row_number() OVER (ORDER BY {key_sql('o_custkey')}, o_custkey) AS r, count(*) OVER () AS n
+      FROM (SELECT DISTINCT o_custkey FROM rows_ WHERE r_name <> 'ASIA')
+    ),
+    s AS (
+      SELECT rows_.*, CASE WHEN r <= ceil(0.2::double * n) THEN 'validation' ELSE 'train' END AS split
+      FROM rows_ JOIN g USING (o_custkey) WHERE r_name <> 'ASIA'
+    ),
+    fit AS (
+      SELECT count(*) AS n, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, covar_pop(x, y) AS c FROM s WHERE split = 'train'
+    ),
+    e AS (SELECT split, y, y - (my + n * c / sx / (n + 1) * (x - mx) / sx) AS err FROM s, fit),
+    m AS (
+      SELECT split, avg(abs(err)) AS mae, sqrt(avg(err * err)) AS rmse, 1 - sum(err * err) / (count(*) * var_pop(y)) AS r2
+      FROM e GROUP BY split
+    )
+    SELECT split, 'mae' AS metric, round(mae, 6) + 0.0 AS value FROM m
+    UNION ALL SELECT split, 'rmse', round(rmse, 6) + 0.0 FROM m
+    UNION ALL SELECT split, 'r2', round(r2, 6) + 0.0 FROM m
+    """,
+)
+def benchmark_holdout_ridge(spark, sf_dir):
+    """A held-out study: customers lie in one region each, so the group gate holds."""
+    month = F.month("o_orderdate").cast("double")
+    rows = study_orders(spark, sf_dir).select(
+        "o_orderkey", "o_custkey", "r_name", (F.col("o_totalprice") / 1000 + month).alias("y"), month.alias("x")
+    )
+    run = run_benchmark(rows, NESTED, id="o_orderkey", model="ridge", holdout=("r_name", "ASIA"))
+    return metric_table(spark, run.result.metrics)
+
+
+@query(
+    "declared_metrics",
+    """
+    WITH s AS (
+      SELECT l_returnflag AS flag, l_linestatus = 'O' AS hit, CASE WHEN l_quantity > 25 THEN 'O' ELSE 'F' END AS h,
+             l_quantity / 50 AS p FROM lineitem),
+    b AS (SELECT *, least(floor(p * 10), 9) AS bin FROM s),
+    c AS (
+      SELECT flag, bin, count(*) AS n, abs(avg(p) - avg(hit::int)) AS gap FROM b GROUP BY 1, 2)
+    SELECT flag, round(brier, 6) + 0.0 AS brier_score, round(sens, 6) + 0.0 AS sensitivity, round(spec, 6) + 0.0 AS specificity,
+           round(ece, 6) + 0.0 AS ece
+    FROM (
+      SELECT flag, avg((p - hit::int) ** 2) AS brier, sum((hit AND h = 'O')::int)::double / nullif(sum(hit::int), 0) AS sens,
+             sum((NOT hit AND h = 'F')::int)::double / nullif(sum((NOT hit)::int), 0) AS spec FROM s GROUP BY 1)
+    JOIN (SELECT flag, sum(n * gap) / sum(n) AS ece FROM c GROUP BY 1) USING (flag)
+    """,
+)
+def declared_metrics_query(spark, sf_dir):
+    """The metrics that a definition may declare, of fixed scores per group."""
+    scored = table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("flag"),
+        F.col("l_linestatus").alias("y"),
+        F.when(F.col("l_quantity") > 25, "O").otherwise("F").alias("prediction"),
+        (F.col("l_quantity") / 50).alias("score"),
+    )
+    out = declared_metrics(scored, ["ece", "brier_score", "sensitivity", "specificity"], y="y", positive="O", by=["flag"])
+    return rounded(out, "flag")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from time import monotonic
 
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 
 from cohortspark.operators.audit import require_gates
 from cohortspark.operators.fingerprint import fingerprint
-from cohortspark.operators.metrics import evaluate
+from cohortspark.operators.metrics import declared_metrics, evaluate, undefined_metrics
 from cohortspark.operators.models import FittedModel, build_model
-from cohortspark.operators.splits import split_table
+from cohortspark.operators.splits import holdout_split, split_table
 from cohortspark.roles import Cohort, Roles, TrainingConfig
 
 
@@ -32,15 +33,27 @@ class TrainingResult:
 
 def split_cohort(cohort: Cohort, config: TrainingConfig) -> DataFrame:
     roles = cohort.roles
+    if config.holdout is not None:
+        share = config.split.test_size  # of the development groups
+        return holdout_split(
+            cohort.df, *config.holdout, roles.group, validation_fraction=share, seed=config.split.seed
+        )
     return split_table(
         cohort.df, roles.id, target=roles.target, group=roles.group, config=config.split, task=config.task
     )
 
 
 def metric_dicts(
-    model: FittedModel, rows: DataFrame, target: str, by: str, n_rows: int | None = None
+    model: FittedModel,
+    rows: DataFrame,
+    target: str,
+    by: str,
+    n_rows: int | None = None,
+    declared: Sequence[str] = (),
 ) -> dict[str, dict[str, float | None]]:
-    """Score ``rows`` once and return the metrics per value of ``by``."""
+    """Score ``rows`` once and return the metrics, with the declared ones, per value of ``by``."""
+    if unknown := undefined_metrics(declared, model.task):
+        raise ValueError(f"a {model.task} run cannot report {unknown}")
     scored = model.transform(rows.select(by, target, *model.features)).drop(*model.features)
     scored.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -53,6 +66,9 @@ def metric_dicts(
             by=[by],
             n_rows=n_rows,
         )
+        more = declared_metrics(scored, declared, y=target, positive=model.positive, by=[by], n_rows=n_rows)
+        if more is not None:
+            table = table.join(more, by)
         return {r[by]: {c: r[c] for c in table.columns if c != by} for r in table.collect()}
     finally:
         scored.unpersist()
@@ -70,7 +86,7 @@ def train(cohort: Cohort, config: TrainingConfig, *, check_gates: bool = False)
     model = spec.fit(rows.where("split = 'train'"), features, roles.target)
     sizes = {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}
     seen = rows.where(F.col("split").isin("train", "validation"))
-    metrics = metric_dicts(model, seen, roles.target, "split", sum(sizes.values()))
+    metrics = metric_dicts(model, seen, roles.target, "split", sum(sizes.values()), config.metrics)
     return TrainingResult(
         model=model,
         splits=rows.select(roles.id, "split"),
@@ -91,4 +107,5 @@ def evaluate_held_out_test(result: TrainingResult, cohort: Cohort) -> dict[str,
         raise ValueError("the table's fingerprint differs from the one used for training")
     # The split is a function of the row's own keys, so it is assigned anew instead of joined.
     rows = split_cohort(Cohort(cohort.df, roles), result.config).where("split = 'test'")
-    return metric_dicts(result.model, rows, roles.target, "split", sum(result.split_sizes.values()))["test"]
+    n = sum(result.split_sizes.values())
+    return metric_dicts(result.model, rows, roles.target, "split", n, result.config.metrics)["test"]

@@ -1,4 +1,4 @@
-"""File provenance: sizes and sha256 digests, checked against a manifest."""
+"""File provenance: sizes and sha256 digests, checked against a manifest or written as one."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.sources.paths import arrow_store
+from cohortspark.functions.accession import accession_urls
+from cohortspark.sources.paths import _handle, arrow_store
 
 IN_MEMORY = 512 * 1024 * 1024
 CHUNK = 8 * 1024 * 1024
@@ -28,13 +29,17 @@ def _digest_stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.assign(sha256=digests)
 
 
-def file_checksums(spark: SparkSession, path: str, pattern: str = "*", *, in_memory: int = IN_MEMORY) -> DataFrame:
-    """``(file, size_bytes, sha256)`` of every matching file.
+def file_checksums(
+    spark: SparkSession, path: str, pattern: str = "*", *, in_memory: int = IN_MEMORY, recursive: bool = False
+) -> DataFrame:
+    """``(file, size_bytes, sha256)`` of every matching file; ``file`` is its path below ``path``.
 
+    With ``recursive`` the folders below count too, so files of one name in two folders are two files.
     Files that fit in memory are hashed inside the JVM; larger ones are streamed in
     chunks by the task that owns them, so no file size is out of reach.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
+    files = reader.option("recursiveFileLookup", recursive).load(path)
     small = files.where(F.col("length") <= in_memory).select(
         "path", "length", F.sha2("content", 256).alias("sha256")
     )
@@ -44,9 +49,12 @@ def file_checksums(spark: SparkSession, path: str, pattern: str = "*", *, in_mem
         .mapInPandas(_digest_stream, "path string, length bigint, sha256 string")
     )
     both = small.unionByName(large)
-    return both.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("size_bytes"), "sha256"
-    )
+    fs, hadoop = _handle(spark, path)
+    root = fs.makeQualified(hadoop).toString().rstrip("/") + "/"
+    # A pattern or a single file has no folder to be below of.
+    below = F.when(F.startswith("path", F.lit(root)), F.substr("path", F.lit(len(root) + 1)))
+    name = F.coalesce(below, F.element_at(F.split("path", "/"), -1))
+    return both.select(name.alias("file"), F.col("length").alias("size_bytes"), "sha256")
 
 
 def verify_files(actual: DataFrame, expected: DataFrame) -> DataFrame:
@@ -58,3 +66,31 @@ def verify_files(actual: DataFrame, expected: DataFrame) -> DataFrame:
         .otherwise("mismatch")
     )
     return expected.join(got, "file", "left").withColumn("status", status)
+
+
+def acquisition_manifest(files: DataFrame, accessions: DataFrame, accession: str = "accession") -> DataFrame:
+    """What was acquired for each accession: (accession, kind, url, path, sha256, size_bytes), one row per archive file.
+
+    ``files`` are ``file_checksums``; a file belongs to the accession and kind whose archive URL ends in its name. Archive
+    files that are not there have NULL path, digest and size.
+    """
+    urls = accession_urls(accessions.select(accession).distinct(), accession)
+    kinds = urls.unpivot(["accession"], ["family_soft", "raw_tar"], "kind", "url").distinct()
+    kinds = kinds.withColumn("name", F.element_at(F.split("url", "/"), -1))
+    got = files.select(
+        F.element_at(F.split("file", "/"), -1).alias("own_name"), F.col("file").alias("path"), "sha256", "size_bytes"
+    )
+    joined = kinds.join(got, F.col("name") == F.col("own_name"), "left")
+    return joined.select("accession", "kind", "url", "path", "sha256", "size_bytes")
+
+
+def save_acquisitions(manifest: DataFrame, path: str) -> str:
+    """JSON lines with a folder per accession, readable back with ``load_acquisitions``."""
+    out = manifest.withColumn("of", F.col("accession"))
+    out.write.mode("errorifexists").option("ignoreNullFields", False).partitionBy("of").json(path)
+    return path
+
+
+def load_acquisitions(spark: SparkSession, path: str) -> DataFrame:
+    schema = "accession string, kind string, url string, path string, sha256 string, size_bytes bigint"
+    return spark.read.schema(schema).option("recursiveFileLookup", True).json(path)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
+from cohortspark.roles import Cohort, Roles
 from cohortspark.sources.paths import require_path, suffix_of
 
 # Cell texts read as missing.
@@ -228,3 +229,11 @@ def canonicalize_columns(df: DataFrame) -> DataFrame:
     for i, name in enumerate(df.columns):
         first.setdefault(name.strip().replace(" ", "_"), i)
     return positional.select(*[F.col(f"c{i}").alias(name) for name, i in first.items()])
+
+
+def load_cohort(spark: SparkSession, path: str, roles: Roles, **options) -> Cohort:
+    """A table file as a cohort whose roles were checked: rows, target and group columns must be there."""
+    table = load_table(spark, path, **options)
+    if roles.id not in table.columns:
+        raise KeyError(f"id column {roles.id!r} is not in the table")
+    return Cohort(roles.annotate(table), roles)

@@ -79,6 +79,46 @@ def test_checksums_small_and_streamed(spark, scratch):
     assert status == {"a.bin": "match", "b.bin": "mismatch", "c.bin": "missing"}
 
 
+def test_files_of_one_name_in_two_folders(spark, scratch):
+    for folder, body in (("a", b"1"), ("b", b"22"), (".", b"333")):
+        (Path(scratch) / folder).mkdir(exist_ok=True)
+        (Path(scratch) / folder / "x.bin").write_bytes(body)
+    out = files.file_checksums(spark, scratch, "*.bin", recursive=True)
+    assert {(r["file"], r["size_bytes"]) for r in out.collect()} == {("a/x.bin", 1), ("b/x.bin", 2), ("x.bin", 3)}
+    checked = files.verify_files(out, out.select("file", "sha256"))
+    assert checked.count() == 3 and {r["status"] for r in checked.collect()} == {"match"}
+    assert [r["file"] for r in files.file_checksums(spark, scratch + "/a/x.bin").collect()] == ["x.bin"]
+
+
+def test_acquisition_manifest_round_trip(spark, scratch):
+    (Path(scratch) / "raw").mkdir()
+    (Path(scratch) / "raw" / "GSE1234_RAW.tar").write_bytes(b"tar")
+    (Path(scratch) / "raw" / "notes.txt").write_bytes(b"other")
+    series = spark.createDataFrame([("gse1234",), ("GSE9",), ("gse1234",)], "accession string")
+    found = files.file_checksums(spark, scratch, recursive=True)
+    table = files.acquisition_manifest(found, series)
+    path = files.save_acquisitions(table, scratch + "/manifest")
+    rows = {(r["accession"], r["kind"]): r for r in files.load_acquisitions(spark, path).collect()}
+    assert set(rows) == {(a, k) for a in ("GSE1234", "GSE9") for k in ("family_soft", "raw_tar")}
+    got = rows["GSE1234", "raw_tar"]
+    assert (got["path"], got["size_bytes"], got["sha256"]) == ("raw/GSE1234_RAW.tar", 3, hashlib.sha256(b"tar").hexdigest())
+    assert got["url"].endswith("/GSE1nnn/GSE1234/suppl/GSE1234_RAW.tar") and rows["GSE9", "raw_tar"]["sha256"] is None
+    with pytest.raises(Exception, match="already exists"):
+        files.save_acquisitions(table, path)
+
+
+def test_a_csv_becomes_a_checked_cohort(spark, scratch):
+    from cohortspark.roles import Roles
+
+    Path(scratch + "/c.csv").write_text("id,y,g,x\n1,a,p,0.5\n2,b,q,\n")
+    cohort = tables.load_cohort(spark, scratch + "/c.csv", Roles("id", "y", "g"))
+    assert cohort.roles.features(cohort.df) == ["x"] and cohort.df.count() == 2
+    assert cohort.df.schema["y"].metadata["role"] == "target"
+    for wrong in (Roles("id", "z"), Roles("key", "y"), Roles("id", "y", "h")):
+        with pytest.raises(KeyError):
+            tables.load_cohort(spark, scratch + "/c.csv", wrong)
+
+
 def png(pixels: np.ndarray) -> bytes:
     height, width, _ = pixels.shape
 

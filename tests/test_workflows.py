@@ -1,8 +1,12 @@
+import json
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.operators.models import build_model
+from cohortspark.operators.splits import holdout_split
 from cohortspark.plans import benchmark, crossval
 from cohortspark.plans.train import evaluate_held_out_test, train
 from cohortspark.roles import BenchmarkDefinition, Cohort, Roles, TrainingConfig
@@ -127,6 +131,39 @@ def test_policies_and_tasks(prepared):
     assert set(run.result.metrics) == {"train", "validation"}
 
 
+def test_holdout_run_keeps_the_gates_and_reports_declared_metrics(prepared):
+    import dataclasses
+
+    study = dataclasses.replace(DEFINITION, split_policy="study_held_out", metrics=("auprc", "ece", "sensitivity", "brier_score"))
+    held = prepared.withColumn("study", F.when(F.col("x1") < 6, "B").otherwise("A"))
+    run = benchmark.run_benchmark(held, study, id="sample_id", holdout=("study", "B"))
+    assert run.result.split_sizes["test"] == 6 and "study" not in run.result.features
+    assert {"auprc", "ece", "sensitivity", "brier_score", "auroc"} <= set(run.result.metrics["validation"])
+    assert {r["sample_id"] for r in run.result.splits.where("split = 'test'").collect()} == {f"s{i}" for i in range(6)}
+    table = Cohort(held, run.result.roles)
+    assert set(evaluate_held_out_test(run.result, table)) == set(run.result.metrics["train"])
+    crossing = held.withColumn("biological_group_id", F.expr("concat('b', cast(x1 as int) % 12)"))
+    for call in (benchmark.run_benchmark, lambda *a, **k: benchmark.run_model_matrix(*a, models=["mlp"], **k)):
+        with pytest.raises(AssertionError, match="group_in_one_partition"):
+            call(crossing, study, id="sample_id", holdout=("study", "B"))
+    dropped = holdout_split(crossing, "study", "B", "biological_group_id", crossing="drop")
+    sides = dropped.groupBy("biological_group_id").agg(F.countDistinct("split").alias("n")).agg(F.max("n")).first()[0]
+    assert sides == 1 and dropped.where("split = 'test'").count() == 6
+    with pytest.raises(ValueError, match="cannot report"):
+        benchmark.run_benchmark(held, dataclasses.replace(study, metrics=("luck",)), id="sample_id", holdout=("study", "B"))
+
+
+def test_matrix_job_loads_its_definition_and_writes_its_table(spark, prepared, scratch):
+    prepared.write.parquet(f"{scratch}/one.parquet")
+    fields = {k: getattr(DEFINITION, k) for k in ("benchmark_id", "version", "task", "target", "split_policy", "group_key")}
+    Path(f"{scratch}/definition.json").write_text(json.dumps({**fields, "metrics": ["specificity"]}))
+    out = benchmark.run_matrix_job(
+        spark, {"one": f"{scratch}/one.parquet"}, f"{scratch}/definition.json", id="sample_id", models=["logistic_regression"], output=f"{scratch}/results"
+    )
+    again = spark.read.json(f"{scratch}/results")
+    assert again.count() == out.count() and {r["metric"] for r in again.collect()} >= {"specificity", "auroc"}
+
+
 def test_matrix_job_over_datasets(spark, prepared, scratch):
     paths = {}
     for name in ("one", "two"):
