@@ -22,12 +22,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortspark.functions.keys import hash_bucket, hex_number
+from cohortspark.functions.keys import hex_number
 from cohortspark.functions.literals import sql_literal
+from cohortspark.session import materialize
 
 BINS = 4096
 RANKABLE = 200_000
-MOST_STRATA = 200
+#: Rows of a stratum that are ranked for a cut.
+ROWS_TOGETHER = 2000
 TEXT_BLOCK = 7  # bytes of a text key that are narrowed at a time, to the end of the longest text
 
 Ranks = Callable[[dict[Any, int]], dict[Any, list[int]]]
@@ -264,50 +266,77 @@ def _banded(cols: Sequence[str], keys: Sequence[tuple | None], labels: Sequence[
     return f"case {' '.join(arms)} else {last} end" if arms else last
 
 
+def strata(df: DataFrame, stratum: str, key: Column, *, null_key: str | None = None) -> DataFrame:
+    """``(stratum, n)`` of every stratum, as a written table. A NULL key is an error with the message ``null_key``."""
+    totals = materialize(stratum_totals(df, stratum, key), "strata")
+    if null_key and not totals.where("n <> keyed").isEmpty():
+        raise ValueError(null_key)
+    return totals.select("stratum", "n")
+
+
+def running_total(table: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """``table`` with the sum of ``value`` over all rows before in ``order``; ranges are summed first, so no task sees all rows."""
+    ranged = table.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
+    ranged = materialize(ranged, "ranges")
+    sums = ranged.groupBy("__part").agg(F.sum(value).alias("__sum"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = sums.select(F.col("__part").alias("__of"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    joined = summed.join(starts, F.col("__part") == F.col("__of"))
+    return joined.select(*table.columns, (F.col("__start") + F.col("__inside")).alias(name))
+
+
+def stratum_cuts(df: DataFrame, order: dict[str, Column], ranks: DataFrame, stratum: Column) -> DataFrame:
+    """``(stratum, cuts)``: the order values at the wanted ranks of every stratum, NULL for rank 0.
+
+    ``ranks`` has stratum, n and ranks, the 1-based ranks in rising order. The order is led by a hash ``key``: one histogram over
+    prefixes of it, as long as the size of the stratum asks for, shows in which few rows a rank lies; only these are ranked.
+    """
+    names = list(order)
+    keyed = df.select(stratum.alias("stratum"), *[c.alias(n) for n, c in order.items()])
+    digits = F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("n") / F.lit(ROWS_TOGETHER)))).cast("int")
+    sized = ranks.select(F.col("stratum").alias("of"), digits.alias("digits"))
+    placed = keyed.join(sized, F.col("stratum") == F.col("of")).drop("of")
+    placed = placed.withColumn("bucket", F.substr("key", F.lit(1), F.col("digits"))).drop("digits")
+    upto = Window.partitionBy("stratum").orderBy("bucket")
+    counted = placed.groupBy("stratum", "bucket").agg(F.count(F.lit(1)).alias("m")).withColumn("reach", F.sum("m").over(upto))
+    wanted = ranks.select(F.col("stratum").alias("of"), F.posexplode("ranks").alias("i", "rank")).where("rank > 0")
+    hit = (F.col("stratum") == F.col("of")) & (F.col("rank") <= F.col("reach")) & (F.col("rank") > F.col("reach") - F.col("m"))
+    inside = counted.join(wanted, hit).select(
+        "of", F.col("bucket").alias("in_bucket"), "i", (F.col("rank") - F.col("reach") + F.col("m")).alias("local")
+    )
+    near = placed.join(inside, (F.col("stratum") == F.col("of")) & (F.col("bucket") == F.col("in_bucket")))
+    place = F.row_number().over(Window.partitionBy("stratum", "i").orderBy(*names))
+    found = near.withColumn("place", place).where("place = local").select("of", F.col("i").alias("at"), F.struct(*names).alias("cut"))
+    every = ranks.select("stratum", F.posexplode("ranks").alias("i", "rank"))
+    met = every.join(found, (F.col("stratum") == F.col("of")) & (F.col("i") == F.col("at")), "left")
+    return met.groupBy("stratum").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "cut"))), lambda x: x["cut"]).alias("cuts")
+    )
+
+
 def label_strata(
     df: DataFrame,
     name: str,
     order: dict[str, Column],
-    wanted: Ranks,
+    ranks: DataFrame,
     labels: Sequence[Any],
     stratum: str,
     *,
-    null_key: str | None = None,
+    ranked: DataFrame | None = None,
 ) -> DataFrame:
-    """``label_rows`` within every value of ``stratum``, in an order led by a hash ``key``.
+    """``label_rows`` within every value of ``stratum``, for any number of them.
 
-    With few strata their cuts become conditions on the row.  With many, rows are
-    numbered inside (stratum, hash bucket) windows and compared with the ranks of
-    their stratum, which are joined in.
+    ``ranks`` (stratum, n, ranks) stays a table, as do the cuts that follow from it; rows meet those of their stratum by a join.
+    The ranks count rows of ``ranked`` where that is another table (of groups) with the same columns to order by.
     """
-    per_stratum = stratum_totals(df, stratum, order["key"])
-    totals = per_stratum.take(MOST_STRATA + 1)
-    if len(totals) <= MOST_STRATA:
-        cuts = cut_points(df, order, wanted, stratum=F.col(stratum), null_key=null_key, totals=totals)
-        return label_rows(df, name, order, cuts, labels, stratum=stratum)
-
-    totals = per_stratum.collect()  # one row per class
-    if null_key and any(r["n"] != r["keyed"] for r in totals):
-        raise ValueError(null_key)
-    sizes = {r["stratum"]: r["n"] for r in totals}
-    ranks = wanted(dict(sizes))
+    cuts = materialize(stratum_cuts(df if ranked is None else ranked, order, ranks, F.col(stratum)), "cuts")
+    cuts = cuts.select(F.col("stratum").alias("__stratum"), F.col("cuts").alias("__cuts"))
     held = {f"__order_{n}": c for n, c in order.items()}
-    keyed = df.withColumns(held)
-    keyed = keyed.withColumn("__bucket", hash_bucket(F.col("__order_key"), max(sizes.values()), RANKABLE))
-    inside = Window.partitionBy(stratum, "__bucket").orderBy(*held)
-    ranked = keyed.withColumn("__rank", F.row_number().over(inside))
-    earlier = Window.partitionBy(stratum).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        keyed.groupBy(stratum, "__bucket")
-        .agg(F.count(F.lit(1)).alias("__m"))
-        .withColumn("__before", F.coalesce(F.sum("__m").over(earlier), F.lit(0)))
-        .drop("__m")
-    )
-    table = df.sparkSession.createDataFrame(
-        list(ranks.items()), f"`{stratum}` {df.schema[stratum].dataType.simpleString()}, __cuts array<bigint>"
-    )
-    joined = ranked.join(offsets, [stratum, "__bucket"]).join(table, stratum)
-    passed = F.size(F.filter("__cuts", lambda c: c < F.col("__rank") + F.col("__before")))
+    joined = df.withColumns(held).join(cuts, F.col(stratum) == F.col("__stratum"))
+    own = F.struct(*[F.col(h).alias(n) for h, n in zip(held, order, strict=True)])
+    passed = F.size(F.filter("__cuts", lambda c: c.isNull() | (own > c)))
     label = F.element_at(F.array(*[F.lit(v) for v in labels]), passed + 1)
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], label.alias(name))
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate
+from operator import add
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions.keys import hash_bucket, shuffle_key
-from cohortspark.operators.cuts import cut_points, label_rows, label_strata
+from cohortspark.operators.cuts import cut_points, label_rows, label_strata, running_total, strata
 from cohortspark.operators.splits import _require, _shuffled
+from cohortspark.session import materialize
 
 RANKED_TOGETHER = 200_000
 
@@ -40,19 +43,16 @@ def kfold(df: DataFrame, id: str, k: int = 5, *, seed: int = 42) -> DataFrame:
     return label_rows(df, "fold", order, cuts, _labels(k))
 
 
-def stratified_allocation(sizes: dict, k: int) -> dict:
-    """Rows of each class per fold: deal the class-sorted rows round-robin over the folds."""
-    out = {}
-    start = 0
-    for label in sorted(sizes):
-        n = sizes[label]
-        first = [(start + i) % k for i in range(k)]
-        per_fold = [0] * k
-        for i, fold in enumerate(first):
-            per_fold[fold] = n // k + (1 if i < n % k else 0)
-        out[label] = per_fold
-        start += n
-    return out
+def stratified_ranks(classes: DataFrame, k: int) -> DataFrame:
+    """``(stratum, n, ranks)``: the class-sorted rows are dealt round-robin over the folds; ranks end the folds 1 to k - 1."""
+    dealt = running_total(classes, "stratum", "n", "start")
+    turn = F.pmod(F.col("start"), F.lit(k))
+    per_fold = [
+        F.floor(F.col("n") / k) + F.when(F.pmod(F.lit(f) - turn, F.lit(k)) < F.pmod(F.col("n"), F.lit(k)), 1).otherwise(0)
+        for f in range(k)
+    ]
+    ends = [reduce(add, per_fold[: f + 1]).cast("bigint") for f in range(k - 1)]
+    return dealt.select("stratum", "n", F.array(*ends).alias("ranks"))
 
 
 def stratified_kfold(df: DataFrame, id: str, target: str, k: int = 5, *, seed: int = 42) -> DataFrame:
@@ -60,20 +60,13 @@ def stratified_kfold(df: DataFrame, id: str, target: str, k: int = 5, *, seed: i
     _check_k(k)
     _require(df, id, target)
     order = _shuffled(seed, id)
-
-    def ranks(sizes):
-        if None in sizes:
-            raise ValueError("cannot stratify on a missing target")
-        if not sizes or max(sizes.values()) < k:
-            raise ValueError(f"every class has fewer than {k} rows")
-        return {
-            label: list(accumulate(per_fold))[:-1]
-            for label, per_fold in stratified_allocation(sizes, k).items()
-        }
-
-    return label_strata(
-        df, "fold", order, ranks, _labels(k), target, null_key="row ids contain missing values"
-    )
+    classes = strata(df, target, order["key"], null_key="row ids contain missing values")
+    if not classes.where("stratum is null").isEmpty():
+        raise ValueError("cannot stratify on a missing target")
+    if classes.where(F.col("n") >= k).isEmpty():
+        raise ValueError(f"every class has fewer than {k} rows")
+    ranks = materialize(stratified_ranks(classes, k), "ranks")
+    return label_strata(df, "fold", order, ranks, _labels(k), target)
 
 
 def pack_size_classes(class_counts: dict[int, int], k: int) -> list[tuple[int, int, list[int]]]:

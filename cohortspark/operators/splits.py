@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortspark.functions.keys import shuffle_key, time_order
-from cohortspark.operators.cuts import cut_points, label_rows, label_strata
+from cohortspark.operators.cuts import cut_points, label_rows, label_strata, strata
 from cohortspark.roles import SplitConfig
+from cohortspark.session import materialize
 
 TRAIN, VALIDATION, TEST, DEVELOPMENT = "train", "validation", "test", "development"
+MOST_NAMED = 10  # labels in an error's text
 
 
 def _require(df: DataFrame, *columns: str) -> None:
@@ -72,16 +74,19 @@ def random_split(df: DataFrame, id: str, config: SplitConfig | None = None) -> D
     return label_rows(df, "split", order, cuts, (TEST, VALIDATION, TRAIN))
 
 
-def proportional_quotas(counts: dict[Any, int], total: int) -> dict[Any, int]:
-    """Share ``total`` over the classes by largest remainder (ties: smaller label)."""
-    n = sum(counts.values())
-    shares = {c: m * total / n for c, m in counts.items()}
-    quotas = {c: math.floor(s) for c, s in shares.items()}
-    spare = total - sum(quotas.values())
-    by_remainder = sorted(counts, key=lambda c: (quotas[c] - shares[c], c))
-    for c in by_remainder[:spare]:
-        quotas[c] += 1
-    return quotas
+def proportional_quotas(counts: DataFrame, total: int, name: str) -> DataFrame:
+    """``counts`` (stratum, n, ...) with the stratum's part of ``total``, by largest remainder (ties: smaller label).
+
+    The strata that get one more are those up to a cut in the order of their remainders, found like any other cut.
+    """
+    n = counts.agg(F.sum("n")).first()[0] or 0
+    share = F.col("n") * F.lit(total) / F.lit(n)
+    shared = materialize(counts.withColumn("__share", share).withColumn(name, F.floor("__share").cast("bigint")), "shares")
+    spare = total - shared.agg(F.sum(name)).first()[0]
+    order = {"gap": F.col(name) - F.col("__share"), "tie": F.col("stratum")}
+    cuts = cut_points(shared, order, lambda _: {None: [spare]})
+    more = label_rows(shared, "__more", order, cuts, (1, 0))
+    return materialize(more.select(*counts.columns, (F.col(name) + F.col("__more")).cast("bigint").alias(name)), "quotas")
 
 
 def stratified_split(
@@ -92,22 +97,21 @@ def stratified_split(
     _require(df, id, target)
     order = _shuffled(config.seed, id)
 
-    def ranks(sizes):
-        if None in sizes:
-            raise ValueError("cannot stratify on a missing target")
-        small = sorted(c for c, n in sizes.items() if n < 2)
-        if small:
-            raise ValueError(f"classes with fewer than 2 rows: {small}")
-        test, validation = holdout_sizes(sum(sizes.values()), config)
-        if min(test, validation) < len(sizes):
-            raise ValueError("a partition would be smaller than the number of classes")
-        first = proportional_quotas(sizes, test)
-        second = proportional_quotas({c: n - first[c] for c, n in sizes.items()}, validation)
-        return {c: [first[c], first[c] + second[c]] for c in sizes}
-
-    return label_strata(
-        df, "split", order, ranks, (TEST, VALIDATION, TRAIN), target, null_key="row ids contain missing values"
-    )
+    classes = strata(df, target, order["key"], null_key="row ids contain missing values")
+    if not classes.where("stratum is null").isEmpty():
+        raise ValueError("cannot stratify on a missing target")
+    small = sorted(r["stratum"] for r in classes.where("n < 2").limit(MOST_NAMED).collect())
+    if small:
+        raise ValueError(f"classes with fewer than 2 rows: {small}")
+    total, many = classes.agg(F.sum("n"), F.count("n")).first()
+    test, validation = holdout_sizes(total or 0, config)
+    if min(test, validation) < many:
+        raise ValueError("a partition would be smaller than the number of classes")
+    first = proportional_quotas(classes, test, "test")
+    rest = proportional_quotas(first.select("stratum", (F.col("n") - F.col("test")).alias("n"), "test"), validation, "validation")
+    whole = F.col("n") + F.col("test")
+    ranks = rest.select("stratum", whole.alias("n"), F.array("test", F.col("test") + F.col("validation")).alias("ranks"))
+    return label_strata(df, "split", order, ranks, (TEST, VALIDATION, TRAIN), target)
 
 
 def holdout_split(
@@ -173,19 +177,18 @@ def leave_one_level_out(
     development = (
         pairs.select("g", "own", held).where(~F.col("own").eqNullSafe(F.col("level"))).select("level", "g").distinct()
     )
+    development = materialize(development, "development")
     order = {"key": shuffle_key(seed, F.col("g")), "tie": F.col("g")}
-
-    def ranks(sizes):
-        short = sorted(str(v) for v in levels if sizes.get(v, 0) < 3)
-        if short:
-            raise ValueError(f"fewer than three development groups without {short}")
-        return {v: [math.ceil(validation_fraction * n)] for v, n in sizes.items()}
-
-    cuts = cut_points(
-        development, order, ranks, stratum=F.col("level"), null_key="group labels contain missing values"
-    )
+    sizes = strata(development, "level", order["key"], null_key="group labels contain missing values")
+    every = pairs.where("own is not null").select(F.col("own").alias("__level")).distinct()
+    sized = every.join(sizes, F.col("__level") == F.col("stratum"), "left").select("__level", F.coalesce("n", F.lit(0)).alias("n"))
+    short = sorted(str(r["__level"]) for r in sized.where("n < 3").limit(MOST_NAMED).collect())
+    if short:
+        raise ValueError(f"fewer than three development groups without {short}")
+    quota = F.ceil(F.lit(validation_fraction) * F.col("n")).cast("bigint")
+    ranks = sizes.select("stratum", "n", F.array(quota).alias("ranks"))
     rows = df.select(F.col(id), F.col(group).alias("g"), F.col(column).alias("own"), held)
-    inner = label_rows(rows, "split", order, cuts, (VALIDATION, TRAIN), stratum="level")
+    inner = label_strata(rows, "split", order, ranks, (VALIDATION, TRAIN), "level", ranked=development)
     label = F.when(F.col("own").eqNullSafe(F.col("level")), F.lit(TEST)).otherwise(F.col("split"))
     return inner.select("level", id, label.alias("split"))
 

@@ -77,6 +77,7 @@ def test_stratified_kfold_spreads_every_class(cohort):
     out = folds.stratified_kfold(cohort, "id", "cls", 4)
     for row in out.groupBy("cls", "fold").count().collect():
         assert row["count"] in ((100, 100) if row["cls"] == "a" else (25, 25))
-    allocated = folds.stratified_allocation({"a": 7, "b": 5}, 3)
+    classes = cohort.sparkSession.createDataFrame([("a", 7), ("b", 5)], "stratum string, n bigint")
+    ends = {r["stratum"]: r["ranks"] for r in folds.stratified_ranks(classes, 3).collect()}
     # a a a a a a a b b b b b dealt to folds 1 2 3 1 2 3 1 | 2 3 1 2 3
-    assert allocated == {"a": [3, 2, 2], "b": [1, 2, 2]}
+    assert ends == {"a": [3, 5], "b": [1, 3]}

@@ -1,10 +1,13 @@
 import datetime as dt
+import hashlib
 import math
+from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.operators import cuts, splits
+from cohortspark.operators import cuts, folds, splits
 from cohortspark.roles import SplitConfig
 
 
@@ -72,9 +75,14 @@ def test_stratified_split_keeps_class_shares(spark, cohort):
         splits.stratified_split(rare, "id", "cls")
 
 
-def test_quotas_are_largest_remainder():
-    assert splits.proportional_quotas({"a": 5, "b": 5, "c": 5}, 4) == {"a": 2, "b": 1, "c": 1}
-    assert sum(splits.proportional_quotas({"a": 7, "b": 2, "c": 91}, 33).values()) == 33
+def test_quotas_are_largest_remainder(spark):
+    def quotas(counts, total):
+        table = splits.proportional_quotas(spark.createDataFrame(list(counts.items()), "stratum string, n bigint"), total, "q")
+        return {r["stratum"]: r["q"] for r in table.collect()}
+
+    assert quotas({"a": 5, "b": 5, "c": 5}, 4) == {"a": 2, "b": 1, "c": 1}
+    assert quotas({"a": 4, "b": 8}, 3) == {"a": 1, "b": 2}
+    assert sum(quotas({"a": 7, "b": 2, "c": 91}, 33).values()) == 33
 
 
 def test_level_holdout(spark):
@@ -161,21 +169,80 @@ def test_layout_and_search_depth_do_not_matter(cohort, monkeypatch, name):
 
 
 def test_assigning_rows_needs_no_shuffle(cohort):
-    for name in ("group", "random", "stratified", "forward"):
+    for name in ("group", "random", "forward"):
         plan = SPLITTERS[name](cohort)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Join" not in plan
-
-
-@pytest.mark.parametrize("rankable", [5, 200_000])
-def test_many_strata_take_the_joined_path(cohort, monkeypatch, rankable):
-    from cohortspark.operators import folds
-
-    want = assignment(splits.stratified_split(cohort, "id", "cls"))
-    want_folds = assignment(folds.stratified_kfold(cohort, "id", "cls", 4), column="fold")
-    monkeypatch.setattr(cuts, "MOST_STRATA", 2)
-    monkeypatch.setattr(cuts, "RANKABLE", rankable)
-    assert assignment(splits.stratified_split(cohort, "id", "cls")) == want
-    assert assignment(folds.stratified_kfold(cohort, "id", "cls", 4), column="fold") == want_folds
+    plan = SPLITTERS["stratified"](cohort)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan  # rows meet a small table of cuts
+
+
+def reference_shares(rows, seed=42):
+    """Split of every (id, class) by largest remainders and the hash order, in memory."""
+    counts = Counter(c for _, c in rows)
+
+    def quotas(n, total):
+        share = {c: m * total / sum(n.values()) for c, m in n.items()}
+        out = {c: math.floor(x) for c, x in share.items()}
+        for c in sorted(n, key=lambda c: (out[c] - share[c], c))[: total - sum(out.values())]:
+            out[c] += 1
+        return out
+
+    test, validation = splits.holdout_sizes(len(rows), SplitConfig())
+    first = quotas(counts, test)
+    second = quotas({c: n - first[c] for c, n in counts.items()}, validation)
+    by_class, got = defaultdict(list), {}
+    for i, c in rows:
+        by_class[c].append((hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:15], i))
+    for c, own in by_class.items():
+        for r, (_, i) in enumerate(sorted(own)):
+            got[i] = "test" if r < first[c] else "validation" if r < first[c] + second[c] else "train"
+    return got
+
+
+def reference_folds(rows, k, seed=42):
+    order = sorted(rows, key=lambda x: (x[1], hashlib.md5(f"{seed}:{x[0]}".encode()).hexdigest()[:15], x[0]))
+    start, got, counts = 0, {}, Counter(c for _, c in rows)
+    at = 0
+    for c in sorted(counts):
+        n, per_fold = counts[c], [0] * k
+        for i in range(k):
+            per_fold[(start + i) % k] = n // k + (1 if i < n % k else 0)
+        for f, m in enumerate(per_fold):
+            for i, _ in order[at : at + m]:
+                got[i] = f + 1
+            at += m
+        start += n
+    return got
+
+
+@pytest.mark.parametrize(("classes", "together"), [(3, 2000), (7, 3), (10_000, 2000)])
+def test_any_number_of_strata(spark, monkeypatch, classes, together):
+    """One class holds a third of the rows, the others few each."""
+    monkeypatch.setattr(cuts, "ROWS_TOGETHER", together)
+    n = 6 * max(classes, 100)
+    rows = [(i, f"c{0 if i % 3 == 0 else i % classes:05d}") for i in range(n)]
+    df = spark.createDataFrame(rows, "id bigint, cls string").repartition(5)
+    assert assignment(splits.stratified_split(df, "id", "cls")) == reference_shares(rows)
+    assert assignment(folds.stratified_kfold(df, "id", "cls", 4), column="fold") == reference_folds(rows, 4)
+
+
+def test_strata_stay_off_the_driver(spark, monkeypatch):
+    """Neither classes nor cuts are collected: whatever comes to the driver is a total or one cut of the order of remainders."""
+    seen = []
+    collect = DataFrame.collect
+
+    def watched(self):
+        out = collect(self)
+        seen.append(len(out))
+        return out
+
+    monkeypatch.setattr(DataFrame, "collect", watched)
+    df = spark.range(30_000).select("id", (F.col("id") % 5000).alias("cls"))
+    out = splits.stratified_split(df, "id", "cls")
+    kept = folds.stratified_kfold(df, "id", "cls", 5)
+    assert max(seen, default=0) <= 2
+    assert sizes(out) == {"test": 6000, "validation": 6000, "train": 18_000}
+    assert sizes(kept, "fold") == dict.fromkeys(range(1, 6), 6000)
 
 
 @pytest.mark.parametrize("kind", ["double", "decimal(12,3)", "string", "date", "timestamp", "smallint"])
