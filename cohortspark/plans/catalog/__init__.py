@@ -6,6 +6,7 @@ from cohortspark.plans.catalog import (  # noqa: F401
     contracts,
     features,
     fitted,
+    saturated,
     scans,
     scores,
     workflows,
