@@ -159,12 +159,93 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
-@query("op12_prefix_trie")
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text."""
+    # The polynomial, bit-reversed, and the start value.
+    bits = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, i: xor(a >> 1, (a & 1) * 3988292384))"
+    codes = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {bits}), 4294967295)"
+
+
+@query(
+    "op12_prefix_trie",
+    f"""
+    WITH own AS (
+      SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, conv_id - conv_id % 5 AS base,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+      FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (SELECT DISTINCT conv_id, base, {crc32_sql("conv_id::varchar")} % 9 AS h FROM own),
+    turns AS (
+      SELECT c.conv_id, i, role, text FROM c JOIN own ON own.conv_id = c.base WHERE i <= h
+      UNION ALL SELECT c.conv_id, i, role, text FROM c JOIN own USING (conv_id) WHERE i > h),
+    paths AS (
+      SELECT conv_id, coalesce(list(strlen(role) || ':' || role || text ORDER BY i) FILTER (i IS NOT NULL), []) AS path,
+             coalesce(list(strlen(text) ORDER BY i) FILTER (i IS NOT NULL), []) AS sizes
+      FROM c LEFT JOIN turns USING (conv_id) GROUP BY conv_id),
+    visits AS (
+      SELECT conv_id, path[1:d] AS node, d, len(path) = d AS ended, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size
+      FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM paths)),
+    nodes AS (
+      SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size,
+             sha256(coalesce(string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256
+      FROM visits GROUP BY node, d),
+    kids AS (SELECT node[1:d - 1] AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+    under AS (
+      SELECT node[1:j] AS node, sum(leaf)::BIGINT AS n_leaves, sum((n_convs - 1) * size)::BIGINT AS saved_tokens
+      FROM (SELECT nodes.*, (n_children IS NULL)::int AS leaf, unnest(range(0, d + 1)) AS j FROM nodes LEFT JOIN kids USING (node)) GROUP BY 1)
+    SELECT n.conv_id, n.d::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+           n_leaves, saved_tokens, n.ends_sha256
+    FROM nodes n LEFT JOIN nodes up ON n.d > 0 AND up.node = n.node[1:n.d - 1] LEFT JOIN kids ON kids.node = n.node
+    JOIN under ON under.node = n.node
+    """,
+)
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie(rerooted(sequences(table(spark, sf_dir, "conversations"), family=5)))
 
 
-@query("op13_merkle_manifest")
+def _framed_sql(*fields: str) -> str:
+    parts = [f"CASE WHEN ({f}) IS NULL THEN '-' ELSE strlen(({f})::varchar) || ':' || ({f})::varchar END" for f in fields]
+    return f"sha256(concat({', '.join(parts)}))"
+
+
+_LEVEL_UP = "list_transform(range(0, (len(h) + 1) // 2), lambda i: sha256(concat(h[2 * i + 1], coalesce(h[2 * i + 2], ''))))"
+_STEP = """list(CASE WHEN (r >> lvl) % 2 = 1 THEN 'L' || h[r >> lvl] WHEN h[(r >> lvl) + 2] IS NOT NULL THEN 'R' || h[(r >> lvl) + 2]
+             ELSE '-' END ORDER BY lvl) FILTER (lvl IS NOT NULL)"""
+
+
+@query(
+    "op13_merkle_manifest",
+    f"""
+    WITH RECURSIVE d AS (
+      SELECT doc_id, lang, {_framed_sql("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+             CASE WHEN n_chars IS NOT NULL AND {crc32_sql("doc_id::varchar")} % 7 = 0
+                  THEN {_framed_sql("doc_id", "source", "lang", "n_chars + 1", "text")} END AS claimed
+      FROM documents),
+    leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r FROM d),
+    t AS (
+      SELECT lang, 0 AS lvl, list(leaf ORDER BY r) AS h FROM leaves GROUP BY lang
+      UNION ALL SELECT lang, lvl + 1, {_LEVEL_UP} FROM t WHERE len(h) > 1),
+    sub AS (SELECT lang, h[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS r FROM t WHERE len(h) = 1),
+    u AS (
+      SELECT 0 AS lvl, list(subroot ORDER BY r) AS h FROM sub
+      UNION ALL SELECT lvl + 1, {_LEVEL_UP} FROM u WHERE len(h) > 1),
+    upper_ AS (
+      SELECT lang, subroot, coalesce({_STEP}, []) AS steps FROM sub LEFT JOIN u ON len(h) > 1 GROUP BY lang, subroot),
+    lower_ AS (
+      SELECT leaves.doc_id, leaves.lang, leaf, claimed, r, coalesce({_STEP}, []) AS steps
+      FROM leaves LEFT JOIN t ON t.lang IS NOT DISTINCT FROM leaves.lang AND len(h) > 1 GROUP BY ALL),
+    both_ AS (
+      SELECT doc_id, leaf, subroot, (SELECT h[1] FROM u WHERE len(h) = 1) AS root, lower_.steps || upper_.steps AS steps,
+             coalesce(claimed, leaf) AS start
+      FROM lower_ JOIN upper_ ON lower_.lang IS NOT DISTINCT FROM upper_.lang),
+    f AS (
+      SELECT *, list_reduce(list_prepend(start, steps), lambda node, s: CASE s[1] WHEN 'L' THEN sha256(concat(s[2:], node))
+                WHEN 'R' THEN sha256(concat(node, s[2:])) ELSE sha256(node) END) AS folded_root FROM both_)
+    SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda s: s[2:]), '')) AS proof_sha256,
+           folded_root, folded_root = root AS verified
+    FROM f
+    """,
+)
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some rows are held against the manifest with a changed count of characters."""
     docs = table(spark, sf_dir, "documents")
