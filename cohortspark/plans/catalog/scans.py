@@ -127,7 +127,7 @@ def canonical_columns(spark, sf_dir):
 def role_projection(spark, sf_dir):
     roles = Roles("event_id", "is_error", "user_id", "ts")
     events = table(spark, sf_dir, "events").withColumn("is_error", F.col("event_type") == "error")
-    return Cohort(events, roles).features()
+    return Cohort(events, roles).view("feature")
 
 
 @query("modality_table", "SELECT doc_id, lang, source, n_chars FROM documents")

@@ -44,10 +44,16 @@ def load_definitions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_definition(spark: SparkSession, path: str) -> BenchmarkDefinition:
-    rows = spark.read.option("multiLine", True).schema(DEFINITION_SCHEMA).json(path).limit(2).collect()
+    """The one definition of a file; what ``load_definitions`` finds wrong with it is an error."""
+    rows = load_definitions(spark, path).limit(2).collect()
     if len(rows) != 1:
         raise ValueError(f"{path} must hold exactly one JSON object")
-    return BenchmarkDefinition.parse(rows[0].asDict())
+    found = rows[0].asDict()
+    found.pop("file")
+    if problems := found.pop("problems"):
+        raise ValueError(f"{path}: {', '.join(problems)}")
+    lists = {name: tuple(found[name] or ()) for name in ("modalities", "source_datasets", "metrics")}
+    return BenchmarkDefinition(**{**found, **lists, "test_labels_private": bool(found["test_labels_private"])})
 
 
 @dataclass(frozen=True)

@@ -1,19 +1,25 @@
+import json
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.operators import align, audit
 from cohortspark.roles import BenchmarkDefinition, Cohort, Roles
+from cohortspark.sources.manifests import load_definition
 
 
-def test_report_counts_duplicates_and_missing_targets(spark):
-    rows = [("s1", 1, 1.0, 5), ("s1", 2, None, 6), ("s2", 2, 0.0, 7)]
-    df = spark.createDataFrame(rows, "sample_id string, group_id int, target double, x int")
-    row = audit.integrity_report(df, target="target", group="group_id").first()
-    assert (row["n_rows"], row["n_features"], row["n_groups"]) == (3, 3, 2)
-    assert (row["duplicate_ids"], row["target_missing"]) == (1, 1)
-    assert row["missing_fraction"] == pytest.approx(1 / 12)
-    assert not row["ok"]
-    assert row["warnings"] == ["WARNING duplicate_ids=1", "ERROR target_missing=1"]
+def test_report_of_a_table_with_several_faults(spark):
+    """Five visits of three animals: one id three times, two unknown doses, one of them as NaN."""
+    visits = spark.sql(
+        "select * from values ('v7', 'rat', 2.5D, null), ('v7', 'rat', null, 1), ('v7', 'mouse', double('NaN'), 2), "
+        "('v8', 'mouse', 0.5D, 3), ('v9', 'hen', 4.0D, 4) as t(visit, animal, dose, weight)"
+    )
+    row = audit.integrity_report(visits, target="dose", id="visit", group="animal").first()
+    assert row["duplicate_ids"] == 2 and row["target_missing"] == 2 and row["n_groups"] == 3
+    assert (row["n_rows"], row["n_features"]) == (5, 3) and row["missing_fraction"] == pytest.approx(3 / 20)
+    assert row["warnings"] == ["WARNING duplicate_ids=2", "ERROR target_missing=2"] and not row["ok"]
+    assert audit.integrity_report(visits.where("visit > 'v7'"), target="dose", id="visit", group="animal").first()["ok"]
 
 
 def test_report_of_absent_columns_and_missing_ids(spark):
@@ -40,14 +46,17 @@ def test_report_of_an_empty_table(spark):
     assert (row["n_rows"], row["duplicate_ids"], row["target_missing"]) == (0, 0, 0)
 
 
-def test_group_overlap_is_an_error(spark):
-    left = spark.createDataFrame([(1,), (2,), (None,)], "g int")
-    right = spark.createDataFrame([(2,), (3,), (None,)], "g int")
-    with pytest.raises(AssertionError, match="1 groups"):
-        audit.require_no_group_overlap(left, right, "g")
-    audit.require_no_group_overlap(left, right.where("g = 3"), "g")
-    audit.require_no_group_overlap(left, right, None)
-    audit.require_no_group_overlap(left, right, "absent")
+def test_cages_on_both_sides_of_a_boundary(spark):
+    """Unknown cages are no overlap, and a table without the column has none."""
+    cages = spark.range(40).select((F.col("id") % 12).alias("cage"), F.when(F.col("id") % 5 != 0, F.col("id") % 12).alias("seen"))
+    early, late = cages.where("cage < 7"), cages.where("cage >= 5")
+    for column, shared in (("cage", 2), ("seen", 2)):
+        with pytest.raises(AssertionError, match=f"{shared} groups"):
+            audit.require_no_group_overlap(early, late, column)
+        assert audit.group_intersect(early, late, column).count() == shared
+        audit.require_no_group_overlap(early, late.where("cage > 6"), column)
+    for name in (None, "rack"):
+        audit.require_no_group_overlap(early, late, name)
 
 
 def test_definition_needs_its_columns_filled(spark):
@@ -63,17 +72,20 @@ def test_definition_needs_its_columns_filled(spark):
         audit.require_definition_fits(df.withColumn("animal_id", F.lit(None).cast("string")), definition)
 
 
-def test_definition_parsing():
-    with pytest.raises(ValueError, match="missing fields"):
-        BenchmarkDefinition.parse({"benchmark_id": "x"})
-    good = {
-        "benchmark_id": "x", "version": 1, "task": "detection", "target": "t", "split_policy": "s", "group_key": "g"
-    }
-    assert BenchmarkDefinition.parse(good).version == "1"
-    with pytest.raises(ValueError, match="task"):
-        BenchmarkDefinition.parse({**good, "task": "guessing"})
-    with pytest.raises(ValueError, match="object"):
-        BenchmarkDefinition.parse([good])
+def test_definition_files(spark, scratch):
+    def loaded(name, text):
+        Path(f"{scratch}/{name}.json").write_text(text)
+        return load_definition(spark, f"{scratch}/{name}.json")
+
+    whole = {k: f"<{k}>" for k in ("benchmark_id", "target", "split_policy", "group_key")} | {"version": 3, "task": "detection"}
+    found = loaded("whole", json.dumps({**whole, "metrics": ["ece"], "unknown": 1}))
+    assert (found.version, found.metrics, found.modalities, found.test_labels_private) == ("3", ("ece",), (), False)
+    with pytest.raises(ValueError, match="missing target, missing group_key"):
+        loaded("holes", json.dumps({k: v for k, v in whole.items() if k not in ("target", "group_key")}))
+    with pytest.raises(ValueError, match="unknown task"):
+        loaded("task", json.dumps({**whole, "task": "guessing"}))
+    with pytest.raises(ValueError, match="exactly one"):
+        loaded("two", json.dumps([whole, whole]))
 
 
 def test_gates(spark):
@@ -95,7 +107,8 @@ def test_required_columns_and_conditions(spark):
 def test_roles(spark):
     df = spark.createDataFrame([(1, "g", 0.5, True, "t", 1)], "sample_id int, group_id string, x double, b boolean, c string, y int")
     roles = Roles("sample_id", "y", "group_id")
-    assert Cohort(df, roles).features().columns == ["x", "b", "c"]
+    assert Cohort(df, roles).view("feature").columns == ["x", "b", "c"]
+    assert Cohort(df, roles).view("group", "time", "target").columns == ["group_id", "y"]
     with pytest.raises(KeyError):
         Cohort(df, Roles("sample_id", "absent"))
     with pytest.raises(ValueError):

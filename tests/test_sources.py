@@ -156,7 +156,7 @@ def test_definitions(spark, scratch):
     Path(f"{scratch}/good.json").write_text(json.dumps(good, indent=1))
     Path(f"{scratch}/bad.json").write_text(json.dumps({"benchmark_id": "y", "task": "guess"}))
     assert manifests.load_definition(spark, f"{scratch}/good.json").metrics == ("auroc",)
-    with pytest.raises(ValueError, match="missing fields"):
+    with pytest.raises(ValueError, match="missing version, missing target"):
         manifests.load_definition(spark, f"{scratch}/bad.json")
     table = {r["file"]: r["problems"] for r in manifests.load_definitions(spark, scratch).collect()}
     assert table["good.json"] == []
