@@ -68,6 +68,12 @@ def mlp_regressor_boolean(spark, sf_dir):
     )
 
 
+@query("logistic_boolean", f"WITH {PAIR_SQL} SELECT event_id, round(avg(hit) OVER (PARTITION BY b), 4) + 0.0 AS score FROM pair")
+def logistic_boolean(spark, sf_dir):
+    """With hardly any penalty the scores are the groups' shares."""
+    return scored(pair(spark, sf_dir), "classification", "logistic_regression", "hit", 4, C=1e9)
+
+
 @query("pca_logistic_boolean", f"WITH {PAIR_SQL} SELECT event_id, round(avg(hit) OVER (PARTITION BY b), 4) + 0.0 AS score FROM pair")
 def pca_logistic_boolean(spark, sf_dir):
     """One component of one feature; with hardly any penalty the scores are the groups' shares."""
