@@ -12,7 +12,7 @@ crc32(doc_id as text) mod 4 is not 2), never from the label of the text it judge
 Defined cases: a NULL, empty or letterless text goes in the first stage, so no later stage meets one; NULL labels are not learned from, and
 without any label every text goes; NULL sources are a source of their own; NULL ids are rows like others; of repeated rows one stays
 (``exact``), of rows with one id and different texts each is judged by itself; very long texts are judged whole and packed in pieces; extra columns of
-``documents``, whatever their names, are carried to the mix and dropped by ``pack``; an empty table gives no pieces.
+``documents``, whatever their names, are carried to the mix and dropped by ``pack`` (the classifier overwrites ``lang_pred``, ``lang_score``, ``lang_sure``); an empty table gives no pieces.
 """
 
 from __future__ import annotations
