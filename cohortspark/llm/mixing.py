@@ -157,7 +157,7 @@ def scheduled(
     source = docs[source_column].cast("string")
     keyed = docs.select(
         F.struct("*").alias("all"),
-        F.when(source.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), source)).alias("source"),
+        F.coalesce(F.concat(F.lit("="), source), F.lit("null")).alias("source"),
         docs[id_column].alias("id"),
     )
     counts = {r["source"]: r["count"] for r in keyed.groupBy("source").count().collect()}

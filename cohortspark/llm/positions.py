@@ -34,8 +34,10 @@ def with_positions(
         "__rank", F.row_number().over(Window.partitionBy(*on).orderBy("__key", *order)) - F.lit(1)
     )
     same = None
+    # Columns that hold no NULL meet by plain equality, which keeps the ranking's partitioning: rows move once.
+    full = {f.name for f in cut.schema if not f.nullable} | {"__part"}
     for c in on:
-        one = F.col(c).eqNullSafe(F.col(f"__at_{c}"))
+        one = F.col(c) == F.col(f"__at_{c}") if c in full else F.col(c).eqNullSafe(F.col(f"__at_{c}"))
         same = one if same is None else same & one
     return (
         ranked.join(starts, same)
