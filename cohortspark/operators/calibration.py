@@ -9,11 +9,11 @@ from typing import Any
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.operators.folds import stratified_kfold
+from cohortspark.operators.isotonic import Isotonic
 from cohortspark.operators.models import FittedModel, ModelSpec
 
 METHODS = ("sigmoid", "isotonic")
@@ -50,21 +50,6 @@ class Sigmoid:
         return df.withColumn(output, 1 / (1 + F.exp(-z)))
 
 
-@dataclass(frozen=True)
-class Isotonic:
-    model: IsotonicRegressionModel
-
-    @classmethod
-    def fit(cls, scored: DataFrame, target: str, positive: Any) -> Isotonic:
-        label = F.when(F.col(target) == F.lit(positive), 1.0).otherwise(0.0)
-        # Equal margins are pooled first, so the solver sees distinct scores only.
-        rows = scored.groupBy("margin").agg(F.avg(label).alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
-        return cls(IsotonicRegression(featuresCol="margin", labelCol="label", weightCol="w").fit(rows))
-
-    def apply(self, df: DataFrame, output: str) -> DataFrame:
-        return self.model.transform(df).withColumnRenamed("prediction", output)
-
-
 @dataclass(frozen=True)
 class CalibratedModel:
     """The mean of the calibrated probabilities of the fold models."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortspark.operators.calibration import calibrate
+from cohortspark.operators.isotonic import Isotonic
 from cohortspark.operators.models import BOOSTING, build_model
 from cohortspark.operators.reduce import fit_supervised, pack
 from cohortspark.plans.benchmark import run_matrix_job
@@ -118,6 +119,36 @@ def calibrated_isotonic_boolean(spark, sf_dir):
     return fitted.transform(rows).select("event_id", "prediction", r6("score", "score"))
 
 
+@query(
+    "isotonic_fit",
+    """
+    WITH m AS (
+      SELECT (DATE '2000-01-01' - l_shipdate::date)::double AS margin, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS pos
+      FROM lineitem GROUP BY 1
+    ),
+    c AS (
+      SELECT margin, n, row_number() OVER (ORDER BY margin) AS i,
+             sum(pos) OVER (ORDER BY margin)::double AS s, sum(n) OVER (ORDER BY margin)::double AS w
+      FROM m
+    ),
+    starts AS (SELECT i + 1 AS i, s, w FROM c UNION ALL SELECT 1, 0.0, 0.0),
+    low AS (
+      SELECT a.i AS start, c.i, min((c.s - a.s) / (c.w - a.w)) OVER (PARTITION BY a.i ORDER BY c.i DESC) AS mean
+      FROM starts a JOIN c ON c.i >= a.i
+    ),
+    fit AS (SELECT i, max(mean) AS p FROM low GROUP BY 1)
+    SELECT margin, n, round(p, 9) + 0.0 AS score FROM c JOIN fit USING (i)
+    """,
+)
+def isotonic_fit(spark, sf_dir):
+    """Share of returned lines by age, never falling: at every age the greatest mean from it backwards of the least mean onwards."""
+    margin = F.datediff(F.lit("2000-01-01").cast("date"), F.col("l_shipdate").cast("date")).cast("double")
+    lines = table(spark, sf_dir, "lineitem").select(margin.alias("margin"), "l_returnflag")
+    fitted = Isotonic.fit(lines, "l_returnflag", "R")
+    ages = lines.groupBy("margin").agg(F.count(F.lit(1)).alias("n"))
+    return fitted.apply(ages, "p").select("margin", "n", (F.round("p", 9) + 0.0).alias("score"))
+
+
 @query(
     "supervised_reduction_one",
     """
