@@ -1,12 +1,12 @@
 """Sources interleaved to target weights by Pfair scheduling.
 
-Each source is cut into blocks of ``block_rows`` documents. With weight w, block k (from 0) of a source is released at
+Each source is cut into blocks of ``BLOCK_ROWS`` documents, or of one ``MOST_BLOCKS``-th of the table where that is more. With weight w, block k (from 0) of a source is released at
 slot floor(k / w) and due at slot ceil((k + 1) / w); the released block with the earliest deadline takes each slot. After any number of slots of a
 phase a source then has had less than one block more or less than its weight asks for.
 
 Weights are whole shares of ``PERIOD``, which is as fine as the doubles they come from, so windows follow the weights given
-for any number of documents. The driver places block after block, in memory for one number per block; where a document
-goes is then looked up. When a source has no blocks left, the rest go on with their weights scaled up: a new phase. No
+for any number of documents. The driver places block after block: some 65,000 of them however many documents there are, so its memory
+and the schedule that is sent to the tasks do not grow with the table; where a document goes is then looked up. When a source has no blocks left, the rest go on with their weights scaled up: a new phase. No
 document is dropped or repeated, and the driver never sees one.
 
 Defined cases: a NULL source is a source of its own; NULL or absent weights mean no place among the targets and are an error, as
@@ -19,10 +19,11 @@ from __future__ import annotations
 import heapq
 import math
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from fractions import Fraction
-from itertools import count, islice
+from itertools import accumulate, count, islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,10 @@ from pyspark.sql import functions as F
 from cohortspark.llm.positions import with_positions
 
 BLOCK_ROWS = 16
+#: Blocks that a table is cut into at most, but for the last block of each source.
+MOST_BLOCKS = 65_536
+#: Numbers of a schedule up to which it is broadcast (a few MB); with more, which takes many sources, Spark picks the join.
+BROADCAST_NUMBERS = 8 * MOST_BLOCKS
 #: Sum of the whole shares that weights are turned into.
 PERIOD = 10**17
 #: Blocks of a source in one row of the schedule.
@@ -38,6 +43,10 @@ CHUNK = 256
 TEMPERATURE = 0.5
 
 
+def rows_of_a_block(documents: int) -> int:
+    return max(BLOCK_ROWS, -(-documents // MOST_BLOCKS))
+
+
 def shares_of(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
     """Whole shares of a period, at least 1 each, by largest remainder."""
     if any(not w > 0 for w in weights.values()):
@@ -110,13 +119,17 @@ def phases_of(blocks: Mapping[str, int], weights: Mapping[str, float], period: i
     return out
 
 
-def schedule_rows(phases: list[Phase]) -> Iterator[tuple]:
-    """Of each ``CHUNK`` blocks of a source: source, chunk, slots, and the phases these blocks fall into."""
+def schedule_rows(phases: list[Phase], counts: Mapping[str, int], block_rows: int) -> Iterator[tuple]:
+    """Of each ``CHUNK`` blocks of a source: source, chunk, slots, first positions, and the phases these blocks fall into."""
     parts: dict[str, list[tuple[int, Phase]]] = {}
     for i, p in enumerate(phases):
         for s, own in p.slots.items():
             if own:
                 parts.setdefault(s, []).append((i, p))
+    # Only the last block of a source may be short: what it lacks is missing from all positions after its slot.
+    last = {s: held[-1][1].start + held[-1][1].slots[s][-1] for s, held in parts.items()}
+    short = sorted((last[s], -counts[s] % block_rows) for s in parts)
+    at, lacking = [slot for slot, _ in short], [0, *accumulate(n for _, n in short)]
     for s, held in parts.items():
         slots = array("q")
         for _, p in held:
@@ -127,7 +140,8 @@ def schedule_rows(phases: list[Phase]) -> Iterator[tuple]:
             for chunk in range(p.first[s] // CHUNK, (p.first[s] + len(p.slots[s]) - 1) // CHUNK + 1):
                 spans.setdefault(chunk, []).append(row)
         for chunk, found in spans.items():
-            yield s, chunk, slots[chunk * CHUNK : (chunk + 1) * CHUNK].tolist(), found
+            own = slots[chunk * CHUNK : (chunk + 1) * CHUNK].tolist()
+            yield s, chunk, own, [x * block_rows - lacking[bisect_left(at, x)] for x in own], found
 
 
 ADDED = ("mix_block", "mix_phase", "mix_slot", "mix_release", "mix_deadline", "mix_position")
@@ -149,10 +163,10 @@ def scheduled(
     weights: Mapping[str, float] | None = None,
     source_column: str = "source",
     id_column: str = "doc_id",
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
     period: int = PERIOD,
 ) -> DataFrame:
-    """all (the row of ``docs``) and ``ADDED``."""
+    """all (the row of ``docs``) and ``ADDED``; blocks follow the size of the table unless ``block_rows`` is given."""
     spark = docs.sparkSession
     source = docs[source_column].cast("string")
     keyed = docs.select(
@@ -168,40 +182,38 @@ def scheduled(
         if missing := sorted(set(counts) - set(named)):
             raise ValueError(f"no weight for the sources {missing[:5]}")
         weighed = {s: named[s] for s in counts}
+    if block_rows is None:
+        block_rows = rows_of_a_block(sum(counts.values()))
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
     phases = phases_of(blocks, weighed, period)
 
-    last = {s: p.start + own[-1] for p in phases for s, own in p.slots.items() if own}
-    short = sorted((last[s], blocks[s] * block_rows - n) for s, n in counts.items() if n % block_rows)
+    placed = list(schedule_rows(phases, counts, block_rows))
     table = spark.createDataFrame(
-        list(schedule_rows(phases)),
-        "of string, chunk long, slots array<long>, "
+        placed,
+        "of string, chunk long, slots array<long>, starts array<long>, "
         "phases array<struct<phase int, start long, period long, first long, share long>>",
     )
+    if sum(2 * len(slots) + 5 * len(spans) for _, _, slots, _, spans in placed) <= BROADCAST_NUMBERS:
+        table = F.broadcast(table)
     ranked = with_positions(keyed, ["source"], [F.col("id")], "rank")
-    gaps = F.array(*[F.struct(F.lit(a).cast("long").alias("slot"), F.lit(b).alias("rows")) for a, b in short])
     block = F.floor(F.col("rank") / block_rows).cast("long")
     out = ranked.withColumn("mix_block", block)
     at = (F.col("source") == F.col("of")) & (F.expr(f"mix_block div {CHUNK}") == F.col("chunk"))
-    out = out.join(F.broadcast(table), at)
+    out = out.join(table, at)
     out = out.withColumn("p", F.element_at(F.filter("phases", lambda p: p["first"] <= F.col("mix_block")), -1))
+    place = (F.pmod("mix_block", F.lit(CHUNK)) + 1).cast("int")
     # Shares have up to 18 digits: their products with block numbers need decimals.
     windows = "cast({} as decimal(19, 0)) * cast(p.period as decimal(18, 0))"
     out = out.withColumns(
         {
             "mix_phase": F.col("p.phase"),
-            "mix_slot": F.element_at("slots", (F.pmod("mix_block", F.lit(CHUNK)) + 1).cast("int")),
+            "mix_slot": F.element_at("slots", place),
             "mix_release": F.col("p.start") + F.expr(f"({windows.format('mix_block - p.first')}) div p.share"),
             "mix_deadline": F.col("p.start")
             + F.expr(f"({windows.format('mix_block - p.first + 1')} + p.share - 1) div p.share"),
         }
     )
-    lost = F.lit(0).cast("long")
-    if short:
-        lost = F.aggregate(
-            gaps, lost, lambda n, g: n + F.when(g["slot"] < F.col("mix_slot"), g["rows"]).otherwise(0).cast("long")
-        )
-    position = F.col("mix_slot") * block_rows + F.pmod(F.col("rank"), F.lit(block_rows)) - lost
+    position = F.element_at("starts", place) + F.pmod(F.col("rank"), F.lit(block_rows))
     return out.withColumn("mix_position", position.cast("long")).select("all", *ADDED)
 
 

@@ -1,6 +1,13 @@
+from fractions import Fraction
+from math import ceil
+
 import pytest
+from pyspark.sql import functions as F
 
-from cohortspark.llm.mixing import in_mixed_order, mix, period_slots, phases_of, shares_of
+from cohortspark.llm import mixing
+from cohortspark.llm.mixing import in_mixed_order, mix, period_slots, phases_of, rows_of_a_block, schedule_rows, shares_of
+from cohortspark.llm.positions import PARTS
+from cohortspark.llm.queries import op8_mixing
 
 
 def test_deviation_stays_under_one_block():
@@ -78,3 +85,54 @@ def test_windows_of_exact_weights(make_docs):
         share = weights[r["source"]] / sum(weights.values())
         assert abs(r["mix_release"] - r["mix_block"] / share) < 1 + 1e-6
         assert abs(r["mix_deadline"] - (r["mix_block"] + 1) / share) < 1 + 1e-6
+
+
+def by_brute_force(held, block_rows):
+    """(doc_id, position) of every document: a slot goes to the released block with the earliest deadline."""
+    left = {s: [ids[i : i + block_rows] for i in range(0, len(ids), block_rows)] for s, ids in held.items()}
+    weights = {s: len(ids) ** 0.5 for s, ids in held.items()}
+    order = []
+    while left := {s: b for s, b in left.items() if b}:
+        shares = shares_of({s: weights[s] for s in left})
+        w = {s: Fraction(n, sum(shares.values())) for s, n in shares.items()}
+        taken, slot = dict.fromkeys(left, 0), 0
+        while True:
+            ready = [s for s in left if taken[s] / w[s] < slot + 1]
+            s = min(ready, key=lambda s: (ceil((taken[s] + 1) / w[s]), s))
+            if taken[s] == len(left[s]):
+                break
+            order += left[s][taken[s]]
+            taken[s], slot = taken[s] + 1, slot + 1
+        left = {s: b[taken[s] :] for s, b in left.items()}
+    return [(d, i) for i, d in enumerate(order)]
+
+
+@pytest.mark.parametrize("most", [65_536, 40])
+def test_whole_query_equals_brute_force(spark, monkeypatch, most):
+    sf_dir = "/root/testdata/sf0.01"
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", most)
+    monkeypatch.setattr(mixing, "BROADCAST_NUMBERS", 10 * most)
+    key = F.xxhash64("doc_id")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        "doc_id", "source", key.alias("key"), F.pmod(F.shiftright(key, 20), F.lit(PARTS)).alias("part")
+    )
+    held = {}
+    for r in sorted(rows.collect(), key=lambda r: (r["part"], r["key"], r["doc_id"])):
+        held.setdefault("null" if r["source"] is None else f"={r['source']}", []).append(r["doc_id"])
+    n = sum(map(len, held.values()))
+    got = sorted((r["doc_id"], r["mix_position"]) for r in op8_mixing(spark, sf_dir).collect())
+    assert got == sorted(by_brute_force(held, max(16, -(-n // most))))
+
+
+def test_schedule_is_as_large_for_a_billion_documents_as_for_a_million():
+    def numbers(n):
+        counts = {"hot": n // 3, **{f"s{k}": 2 * n // 3 // 19 for k in range(19)}}
+        rows = rows_of_a_block(n)
+        blocks = {s: -(-c // rows) for s, c in counts.items()}
+        placed = list(schedule_rows(phases_of(blocks, {s: c**0.5 for s, c in counts.items()}), counts, rows))
+        # Positions are whole: the blocks of all sources end where the documents do.
+        assert max(p + r for _, _, _, starts, _ in placed for p in starts for r in [rows]) >= sum(counts.values())
+        return sum(2 * len(slots) + 5 * len(spans) for _, _, slots, _, spans in placed)
+
+    million, billion = numbers(10**6), numbers(10**9)
+    assert billion < 1.1 * million < mixing.BROADCAST_NUMBERS
