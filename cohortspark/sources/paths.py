@@ -38,7 +38,9 @@ def write_text(spark: SparkSession, path: str, text: str, *, overwrite: bool = F
 
 def arrow_store(path: str):
     """The Arrow file system of a path, for use inside tasks, and the path within it."""
-    uri = path.replace("s3a://", "s3://", 1)
-    if "://" not in uri:
-        uri = "file://" + uri.removeprefix("file:")
-    return arrow_fs.FileSystem.from_uri(uri)
+    scheme, mark, rest = path.partition(":")
+    if not mark or "/" in scheme:
+        return arrow_fs.LocalFileSystem(), path
+    if scheme == "file":
+        return arrow_fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return arrow_fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterable, Iterator, Sequence
+from functools import partial
 
 import pyarrow as pa
-import pyarrow.feather as feather
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from cohortspark.roles import Cohort, Roles
-from cohortspark.sources.paths import require_path, suffix_of
+from cohortspark.session import materialize
+from cohortspark.sources.paths import arrow_store, require_path, suffix_of
 
 # Cell texts read as missing.
 NA_TEXTS = (
@@ -37,6 +37,9 @@ NA_TEXTS = (
     "nan",
     "null",
 )
+#: Bytes of a Feather file that a task reads at least, and tasks of one scan.
+RANGE_BYTES = 64 * 2**20
+MOST_RANGE_TASKS = 10_000
 SUFFIXES = (".csv", ".tsv", ".parquet", ".feather")
 
 
@@ -166,30 +169,59 @@ def load_csv(
     return text.select(*[_fitting(f) for f in schema])
 
 
-def _feather_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _opened(path: str) -> pa.ipc.RecordBatchFileReader:
+    store, name = arrow_store(path)
+    return pa.ipc.open_file(store.open_input_file(name))
+
+
+def _feather_ranges(batches: Iterator[pa.RecordBatch], range_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Of every file, from its footer: runs of record batches of about ``range_bytes`` each."""
     for batch in batches:
-        for content in batch.column("content"):
-            table = feather.read_table(io.BytesIO(content.as_py()))
-            yield from table.to_batches(max_chunksize=10_000)
+        for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+            n = _opened(path).num_record_batches
+            step = max(1, n * range_bytes // max(length, 1))
+            starts = list(range(0, n, step))
+            columns = {"path": [path] * len(starts), "start": starts, "stop": [min(s + step, n) for s in starts]}
+            yield pa.RecordBatch.from_pydict(
+                columns, schema=pa.schema([("path", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])
+            )
+
+
+def _feather_batches(ranges: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in ranges:
+        for row in batch.to_pylist():
+            reader = _opened(row["path"])
+            for i in range(row["start"], row["stop"]):
+                yield from pa.Table.from_batches([reader.get_batch(i)]).to_batches(max_chunksize=10_000)
 
 
 def _feather_schemas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for content in batch.column("content"):
-            schema = feather.read_table(io.BytesIO(content.as_py())).schema
-            yield pa.RecordBatch.from_pydict({"schema": [schema.serialize().to_pybytes()]})
+        for path in batch.column("path").to_pylist():
+            yield pa.RecordBatch.from_pydict({"schema": [_opened(path).schema.serialize().to_pybytes()]})
 
 
-def load_feather(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Feather files, one task each; a task reads the schema from one file unless given."""
+def load_feather(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, *, range_bytes: int = RANGE_BYTES
+) -> DataFrame:
+    """Feather files (version 2) of any size: a task reads a run of record batches of one file.
+
+    Files are opened where they lie by Arrow's file systems, never whole; footers tell where their batches are. The
+    schema is that of one file unless given.
+    """
     require_path(spark, path)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.feather").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.feather").load(path).select("path", "length")
     if schema is None:
-        head = files.mapInArrow(_feather_schemas, "schema binary").first()
+        head = files.select("path").mapInArrow(_feather_schemas, "schema binary").first()
         if head is None:
             raise FileNotFoundError(path)
         schema = from_arrow_schema(pa.ipc.read_schema(pa.py_buffer(bytes(head["schema"]))))
-    return files.mapInArrow(_feather_batches, schema)
+    # Listing and footers are read once; a table as small as this has to be told to spread.
+    footers = partial(_feather_ranges, range_bytes=range_bytes)
+    ranges = materialize(files.mapInArrow(footers, "path string, start long, stop long"), "feather")
+    tasks = max(1, min(MOST_RANGE_TASKS, ranges.count()))
+    spread = ranges.repartitionByRange(tasks, "path", "start")
+    return spread.mapInArrow(_feather_batches, schema)
 
 
 def load_table(spark: SparkSession, path: str, *, sep: str | None = None, schema=None) -> DataFrame:

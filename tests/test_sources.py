@@ -277,3 +277,18 @@ def test_scratch_folder_on_a_cluster_must_be_named():
     context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: d)))
+
+
+def test_one_feather_file_is_read_by_several_tasks(spark, scratch):
+    folder = f"{scratch}/with space"
+    Path(folder).mkdir()
+    names = pa.array([f"n{i % 7}" if i % 5 else None for i in range(10_000)]).dictionary_encode()
+    whole = pa.table({"i": list(range(10_000)), "name": names.cast(pa.string())})
+    feather.write_feather(whole, f"{folder}/big.feather", chunksize=500, compression="lz4")
+    feather.write_feather(whole.slice(0, 0), f"{folder}/none.feather")
+    df = tables.load_feather(spark, f"{folder}/*.feather", range_bytes=8_000)
+    rows = df.withColumn("task", F.spark_partition_id()).orderBy("i").collect()
+    assert [(r["i"], r["name"]) for r in rows] == list(zip(*whole.to_pydict().values(), strict=True))
+    assert len({r["task"] for r in rows}) > 3
+    assert tables.load_feather(spark, f"{folder}/none.feather", "i long, name string").collect() == []
+    assert df.agg(F.sum("i")).first()[0] == sum(range(10_000))
