@@ -6,8 +6,9 @@ count, so the model is a distribution over all words, known or not, while the ma
 
 1. Every task codes its documents against a dictionary of its own and counts the words in it.
 2. Counts are summed by word over all tasks; each dictionary gets its words' counts and classes back.
-3. Baum-Welch: each task turns its training texts into expected counts, their sums give the next matrices. The first matrices come from a
-   few rounds on a bounded sample of texts (``SAMPLE_TEXTS``); the rounds after that use every training text.
+3. Baum-Welch: each task turns its training texts into expected counts, their sums give the next matrices. The first matrices are the
+   class counts of all training texts, shifted a little from state to state; every round uses every training text, until a round
+   gains less than ``TOLERANCE`` a token.
 4. The scaled forward recursion gives each text's exact likelihood.
 
 Defined cases: NULL text is the empty text, which is one end token; NULL ids count as the text ""; without training texts the base
@@ -33,7 +34,8 @@ from cohortspark.llm.packing import steps
 from cohortspark.llm.rows import written
 
 STATES, FREQUENT, AFFIX_CLASSES = 8, 2000, 2048
-ROUNDS, SAMPLE_TEXTS, SAMPLE_ROUNDS = 2, 400, 15
+#: Rounds end when the mean log10 probability of a training token rose by less than this, and after ``ROUNDS`` at the latest.
+TOLERANCE, ROUNDS = 0.002, 20
 #: Added to every count.
 ADD = 0.1
 #: A dictionary is closed beyond so many words.
@@ -117,12 +119,14 @@ def likelihoods(model: Model, flat: np.ndarray, lengths: np.ndarray) -> np.ndarr
 
 
 def expected(model: Model, flat: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    """Counts of starts, moves and emissions, and the log10 likelihood of all sequences."""
     starts, table = np.cumsum(lengths) - lengths, np.ascontiguousarray(model.emit.T)
-    counts = [np.zeros_like(model.start), np.zeros_like(model.move), np.zeros_like(model.emit)]
+    counts = [np.zeros_like(model.start), np.zeros_like(model.move), np.zeros_like(model.emit), np.zeros(1)]
     for some in in_batches(lengths):
         done = recursions(model.start, model.move, table, flat, starts[some], lengths[some], backward=True)
         counts[0] += done.gamma[: done.first].sum(axis=0)
         counts[1] += done.moves
+        counts[3] += done.likelihood.sum() / np.log(10)
         for s in range(len(model.start)):
             counts[2][s] += np.bincount(done.seen, weights=done.gamma[:, s], minlength=counts[2].shape[1])
     return counts
@@ -132,20 +136,13 @@ def from_counts(counts: list[np.ndarray], add: float = ADD) -> Model:
     return Model(*[(c + add) / (c + add).sum(axis=-1, keepdims=True) for c in counts])
 
 
-def first_model(flat: np.ndarray, lengths: np.ndarray, states: int, classes: int, rounds: int, seed: int = 7) -> Model:
-    """States that tend to stay, each starting from its own random texts, then a few rounds on those texts."""
-    draw = np.random.default_rng(seed)
-    text = np.repeat(np.arange(len(lengths)), lengths)
-    emit = np.full((states, classes), 0.01) + 0.2 * np.bincount(flat, minlength=classes) / max(1, states)
-    group = draw.integers(0, states, max(1, len(lengths)))
-    for s in range(states):
-        emit[s] += np.bincount(flat[group[text] == s], minlength=classes)
-    stay = np.full((states, states), 0.02 / max(1, states - 1)) if states > 1 else np.zeros((1, 1))
-    np.fill_diagonal(stay, 0.98 if states > 1 else 1.0)
-    model = Model(np.full(states, 1 / states), stay, emit / emit.sum(axis=1, keepdims=True))
-    for _ in range(rounds if len(lengths) else 0):
-        model = from_counts(expected(model, flat, lengths))
-    return model
+def first_model(counts: np.ndarray, states: int, seed: int = 7) -> Model:
+    """States that tend to stay and emit classes by their ``counts``, each state half to one and a half times as often."""
+    lean = np.random.default_rng(seed).uniform(0.5, 1.5, (states, len(counts)))
+    emit = (counts + ADD) * lean
+    stay = np.full((states, states), 0.1 / max(1, states - 1)) if states > 1 else np.zeros((1, 1))
+    np.fill_diagonal(stay, 0.9 if states > 1 else 1.0)
+    return Model(np.full(states, 1 / states), stay, emit / emit.sum(axis=1, keepdims=True))
 
 
 def _sequences(cells: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -153,9 +150,13 @@ def _sequences(cells: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(cells), np.uint16).astype(np.int64), lengths
 
 
-def baum_welch(texts: DataFrame, model: Model) -> Model:
-    """One round: ``texts`` (classes) to expected counts per task, summed by cell, to the next model."""
-    sizes = [c.size for c in (model.start, model.move, model.emit)]
+def baum_welch(texts: DataFrame, model: Model) -> tuple[Model, float]:
+    """One round: ``texts`` (classes) to expected counts per task, summed by cell, to the next model.
+
+    The number is the log10 likelihood of all texts under ``model``.
+    """
+    shapes = [c.shape for c in (model.start, model.move, model.emit)] + [(1,)]
+    sizes = [int(np.prod(s)) for s in shapes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -173,10 +174,21 @@ def baum_welch(texts: DataFrame, model: Model) -> Model:
     flat = np.zeros(sum(sizes))
     for row in sums.collect():
         flat[row["cell"]] = row["n"]
-    parts = np.split(flat, np.cumsum(sizes)[:-1])
-    return from_counts(
-        [p.reshape(c.shape) for p, c in zip(parts, (model.start, model.move, model.emit), strict=True)]
-    )
+    parts = [p.reshape(s) for p, s in zip(np.split(flat, np.cumsum(sizes)[:-1]), shapes, strict=True)]
+    return from_counts(parts[:3]), float(parts[3][0])
+
+
+def learned(texts: DataFrame, model: Model, tokens: int, rounds: int, tolerance: float) -> Model:
+    """Rounds over all ``texts``, which hold so many ``tokens``, until one gained less than ``tolerance`` a token."""
+    if not tokens:
+        return from_counts([np.zeros_like(c) for c in (model.start, model.move, model.emit)])
+    before = None
+    for _ in range(rounds):
+        model, reached = baum_welch(texts, model)
+        if before is not None and reached - before < tolerance * tokens:
+            break
+        before = reached
+    return model
 
 
 def score(
@@ -188,7 +200,7 @@ def score(
     frequent: int = FREQUENT,
     affix_classes: int = AFFIX_CLASSES,
     rounds: int = ROUNDS,
-    sample_texts: int = SAMPLE_TEXTS,
+    tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``."""
     plain = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"), train.alias("train"))
@@ -246,10 +258,9 @@ def score(
         texts.groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(settle, kinds), "settled"
     )
     training = settled.filter("train")
-    sample = training.orderBy(F.xxhash64("classes"), F.xxhash64("doc_id")).select("classes").limit(sample_texts).collect()
-    model = first_model(*_sequences([bytes(r["classes"]) for r in sample]), states, n_classes, SAMPLE_ROUNDS)
-    for _ in range(rounds):
-        model = baum_welch(training, model)
+    totals = in_class[:, 0].copy()
+    totals[END_CLASS] = ends
+    model = learned(training.select("classes"), first_model(totals, states), known, rounds, tolerance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
