@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.operators import mlp
-from cohortspark.operators.prep import fit_preprocessor
+from cohortspark.operators.prep import FittedPrep, fit_preprocessor
 from cohortspark.roles import TRAINING_TASKS
 
 LABEL = "__label"
@@ -147,7 +147,7 @@ def _boosted_classes(fit: _Fit):
     booster = GBTClassifier(**_boosting_params(fit))
     if fit.classes == 2:
         return booster.fit(fit.rows)
-    return OneVsRest(classifier=booster, featuresCol=VECTOR, labelCol=LABEL, parallelism=min(fit.classes, 4)).fit(fit.rows)
+    return OneVsRest(classifier=booster, featuresCol=VECTOR, labelCol=LABEL, parallelism=min(fit.classes, SIDE_BY_SIDE)).fit(fit.rows)
 
 
 def _boosted_values(fit: _Fit):
@@ -221,17 +221,50 @@ def class_labels(train: DataFrame, target: str) -> tuple:
     return tuple(sorted(found))
 
 
-def fit_model(spec: ModelSpec, train: DataFrame, features: Sequence[str], target: str) -> FittedModel:
-    make = CATALOGUE[spec.task][spec.name]
-    params = dict(spec.params)
-    components = params.pop("n_components", 32)
+#: One-against-rest boosters that are trained side by side.
+SIDE_BY_SIDE = 4
+
+
+def bounded(rows: DataFrame, fits: int = 1) -> DataFrame:
+    """As many tasks as there are cores for one of ``fits`` fits that run side by side.
+
+    An iterative solver shuffles and returns something per task and step, so tasks that grow with the table would multiply it.
+    """
+    return rows.coalesce(max(1, -(-rows.sparkSession.sparkContext.defaultParallelism // fits)))
+
+
+@dataclass(frozen=True)
+class Prepared:
+    """Encoded training rows, which stay cached until ``release``; they serve every model of the same encoding."""
+
+    prep: FittedPrep
+    rows: DataFrame
+    task: str
+    numeric_only: bool
+    features: tuple[str, ...]
+    labels: tuple
+    fits: int
+
+    def release(self) -> None:
+        self.rows.unpersist()
+
+
+def numeric_only(spec: ModelSpec) -> bool:
+    return spec.name == "mlp"
+
+
+def _side_by_side(spec: ModelSpec, labels: tuple) -> int:
+    """Boosters of a model that are trained at the same time."""
+    return min(len(labels), SIDE_BY_SIDE) if spec.name == "hist_gradient_boosting" and len(labels) > 2 else 1
+
+
+def prepare(spec: ModelSpec, train: DataFrame, features: Sequence[str], target: str, *, fits: int = 1) -> Prepared:
+    """Fit the preprocessing and encode ``train``; ``fits`` of them are used side by side."""
     extra = []
     if spec.task == "regression":
         y = F.col(f"`{target}`").cast("double")
         extra = [F.stddev_pop(y).alias("pop"), F.stddev_samp(y).alias("samp")]
-    prep = fit_preprocessor(train, features, output=VECTOR, numeric_only=spec.name == "mlp", extra=extra)
-    n = prep.totals["n_rows"]
-    stages = list(prep.model.stages)
+    prep = fit_preprocessor(train, features, output=VECTOR, numeric_only=numeric_only(spec), extra=extra)
     labels: tuple = ()
     if spec.task == "classification":
         labels = class_labels(train, target)
@@ -239,27 +272,42 @@ def fit_model(spec: ModelSpec, train: DataFrame, features: Sequence[str], target
         encoded = train.withColumn(LABEL, (place - 1).cast("double"))
     else:
         encoded = train.withColumn(LABEL, F.col(f"`{target}`").cast("double"))
-    rows = prep.model.transform(encoded).select(VECTOR, LABEL)
+    rows = bounded(prep.model.transform(encoded).select(VECTOR, LABEL), fits * _side_by_side(spec, labels))
     # Iterative solvers read the rows many times; lost blocks are rebuilt from the source.
     rows.persist(StorageLevel.MEMORY_AND_DISK)
+    return Prepared(prep, rows, spec.task, numeric_only(spec), tuple(features), labels, fits)
+
+
+def fit_model(spec: ModelSpec, train: DataFrame, features: Sequence[str], target: str) -> FittedModel:
+    ready = prepare(spec, train, features, target)
     try:
-        width = len(prep.slots)
-        data = rows
-        if spec.name.startswith("pca_then_"):
-            width = min(components, width)
-            raw = "__raw"
-            stages.append(SQLTransformer(statement=f"select *, {VECTOR} as {raw} from __THIS__"))
-            stages.append(SQLTransformer(statement="select * except(" + VECTOR + ") from __THIS__"))
-            pca = PCA(k=width, inputCol=raw, outputCol=VECTOR).fit(rows.withColumnRenamed(VECTOR, raw))
-            stages.append(pca)
-            data = pca.transform(rows.withColumnRenamed(VECTOR, raw)).select(VECTOR, LABEL)
-        std = 0.0
-        if spec.task == "regression":
-            std = (prep.totals["pop"] if width <= 4096 else prep.totals["samp"]) or 0.0
-        fit = _Fit(data, n, width, len(labels), std, spec.seed, params)
-        core = make(fit)
+        return fit_prepared(spec, ready)
     finally:
-        rows.unpersist()
+        ready.release()
+
+
+def fit_prepared(spec: ModelSpec, ready: Prepared) -> FittedModel:
+    if (ready.task, ready.numeric_only) != (spec.task, numeric_only(spec)):
+        raise ValueError(f"the rows were not prepared for {spec.name} ({spec.task})")
+    make = CATALOGUE[spec.task][spec.name]
+    params = dict(spec.params)
+    components = params.pop("n_components", 32)
+    prep, labels, rows = ready.prep, ready.labels, ready.rows
+    stages = list(prep.model.stages)
+    width = len(prep.slots)
+    data = rows
+    if spec.name.startswith("pca_then_"):
+        width = min(components, width)
+        raw = "__raw"
+        stages.append(SQLTransformer(statement=f"select *, {VECTOR} as {raw} from __THIS__"))
+        stages.append(SQLTransformer(statement="select * except(" + VECTOR + ") from __THIS__"))
+        pca = PCA(k=width, inputCol=raw, outputCol=VECTOR).fit(rows.withColumnRenamed(VECTOR, raw))
+        stages.append(pca)
+        data = pca.transform(rows.withColumnRenamed(VECTOR, raw)).select(VECTOR, LABEL)
+    std = 0.0
+    if spec.task == "regression":
+        std = (prep.totals["pop"] if width <= 4096 else prep.totals["samp"]) or 0.0
+    core = make(_Fit(data, prep.totals["n_rows"], width, len(labels), std, spec.seed, params))
     return FittedModel(
-        spec.name, spec.task, tuple(features), prep.slots, PipelineModel([*stages, core]), labels
+        spec.name, spec.task, ready.features, prep.slots, PipelineModel([*stages, core]), labels
     )

@@ -403,3 +403,19 @@ def test_arrays_of_unequal_length_or_with_gaps_are_errors(spark):
         build_model("regression", "ridge").fit(rows, ["v"], "z")
     with pytest.raises(ValueError, match="missing values"):
         build_model("regression", "mlp").fit(arrays(spark, 40, 6), ["v"], "z")
+
+
+@pytest.mark.parametrize("classes, side", [(2, 1), (3, 3), (9, 4)])
+def test_solver_tasks_do_not_grow_with_the_table(spark, monkeypatch, classes, side):
+    cores = spark.sparkContext.defaultParallelism
+    seen = []
+
+    def stop(fit):
+        seen.append(fit.rows.rdd.getNumPartitions())
+        raise InterruptedError
+
+    monkeypatch.setitem(models.CATALOGUE["classification"], "hist_gradient_boosting", stop)
+    rows = spark.range(0, 600, 1, 40).selectExpr("id", "id % 7 as x", f"id % {classes} as y")
+    with pytest.raises(InterruptedError):
+        build_model("classification", "hist_gradient_boosting").fit(rows, ["x"], "y")
+    assert seen == [-(-cores // side)]
