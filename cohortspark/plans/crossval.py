@@ -20,7 +20,7 @@ from cohortspark.operators.metrics import (
     higher_is_better,
     melt_metrics,
 )
-from cohortspark.operators.models import FittedModel, ModelSpec
+from cohortspark.operators.models import FittedModel, ModelSpec, bounded, fit_prepared, numeric_only, prepare
 from cohortspark.roles import Roles
 
 PARALLEL_FITS = 4
@@ -51,20 +51,52 @@ def assign_folds(df: DataFrame, roles: Roles, task: str, k: int, seed: int = 42)
     return fold_table(df, roles.id, target=roles.target, group=roles.group, task=task, k=k, seed=seed)
 
 
-def _score_folds(spec: ModelSpec, name: str, folded: DataFrame, features, target, k) -> DataFrame:
-    """Fit the k models side by side, then score all held-out rows in one job."""
+def _cached_folds(df: DataFrame, roles: Roles, task: str, k: int, seed: int) -> DataFrame:
+    """Every pass of every fit returns something per task, so their number is bounded here."""
+    return bounded(assign_folds(df, roles, task, k, seed)).persist(StorageLevel.MEMORY_AND_DISK)
 
-    def fit(fold: int) -> FittedModel:
-        return spec.fit(folded.where(F.col("fold") != fold).drop("fold"), features, target)
 
-    with ThreadPoolExecutor(max_workers=PARALLEL_FITS) as pool:
+def _score_folds(candidates: Mapping[str, ModelSpec], folded: DataFrame, features, target, k) -> DataFrame:
+    """Fit every candidate on the k folds, folds side by side, then score all held-out rows of a candidate in one job.
+
+    The candidates of a fold share its preprocessing and encoded rows, as far as they read the same encoding.
+    """
+    # This also fills the cache, which side by side the fits would each do.
+    sizes = {r["fold"]: r["count"] for r in folded.groupBy("fold").count().collect()}
+    side = min(PARALLEL_FITS, k)
+
+    def fit(fold: int) -> dict[str, FittedModel]:
+        train = folded.where(F.col("fold") != fold).drop("fold")
+        out = {}
+        for _, names in itertools.groupby(sorted(candidates, key=_encoding(candidates)), key=_encoding(candidates)):
+            names = list(names)
+            ready = prepare(candidates[names[0]], train, features, target, fits=side)
+            try:
+                out.update({name: fit_prepared(candidates[name], ready) for name in names})
+            finally:
+                ready.release()
+        return out
+
+    with ThreadPoolExecutor(max_workers=side) as pool:
         models = list(pool.map(fit, range(1, k + 1)))
+    table = None
+    for name, spec in candidates.items():
+        part = _score_candidate(spec, name, [m[name] for m in models], folded, features, target, sizes)
+        table = part if table is None else table.unionByName(part)
+    return table
+
+
+def _encoding(candidates: Mapping[str, ModelSpec]):
+    """Sort key of candidate names: those that read the same encoded rows stand together."""
+    return lambda name: numeric_only(candidates[name])
+
+
+def _score_candidate(spec, name, models, folded, features, target, sizes) -> DataFrame:
     scored = None
     for fold, model in enumerate(models, start=1):
         held = folded.where(F.col("fold") == fold).select(target, "fold", *features)
         part = model.transform(held)
         scored = part if scored is None else scored.unionByName(part, allowMissingColumns=True)
-    sizes = {r["fold"]: r["count"] for r in folded.groupBy("fold").count().collect()}
     n = sum(sizes.values())
     model = models[0]
     scored = scored.drop(*features).persist(StorageLevel.MEMORY_AND_DISK)
@@ -96,9 +128,9 @@ def cross_validate(
     seed: int = 42,
     name: str | None = None,
 ) -> CVResult:
-    folded = assign_folds(df, roles, spec.task, n_splits, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    folded = _cached_folds(df, roles, spec.task, n_splits, seed)
     try:
-        table = _score_folds(spec, name or spec.name, folded, roles.features(df), roles.target, n_splits)
+        table = _score_folds({name or spec.name: spec}, folded, roles.features(df), roles.target, n_splits)
     finally:
         folded.unpersist()
     return CVResult(name or spec.name, spec.task, table)
@@ -144,25 +176,30 @@ def select_model(
     seed: int = 42,
 ) -> tuple[str, DataFrame, DataFrame]:
     """Best candidate name, the ranking and the full metric summary; all share one fold table."""
+    folded = _candidate_folds(candidates, df, roles, n_splits, seed)
+    try:
+        return _select(candidates, folded, roles.features(df), roles, primary_metric, n_splits, maximise)
+    finally:
+        folded.unpersist()
+
+
+def _candidate_folds(candidates, df, roles, n_splits, seed) -> DataFrame:
     if not candidates:
         raise ValueError("no candidates to select from")
     tasks = {spec.task for spec in candidates.values()}
     if len(tasks) != 1:
         raise ValueError("the candidates solve different tasks")
-    folded = assign_folds(df, roles, tasks.pop(), n_splits, seed).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        table = None
-        for name, spec in candidates.items():
-            part = _score_folds(spec, name, folded, roles.features(df), roles.target, n_splits)
-            table = part if table is None else table.unionByName(part)
-    finally:
-        folded.unpersist()
+    return _cached_folds(df, roles, tasks.pop(), n_splits, seed)
+
+
+def _select(candidates, folded, features, roles, metric, n_splits, maximise) -> tuple[str, DataFrame, DataFrame]:
+    table = _score_folds(candidates, folded, features, roles.target, n_splits)
     summary = cv_aggregate(table)
-    ranking = rank_candidates(summary, primary_metric, maximise=maximise)
+    ranking = rank_candidates(summary, metric, maximise=maximise)
     rows = ranking.collect()
     absent = sorted(set(candidates) - {r["model"] for r in rows if r["mean"] is not None})
     if absent:
-        raise KeyError(f"metric {primary_metric!r} is not available for {absent}")
+        raise KeyError(f"metric {metric!r} is not available for {absent}")
     return rows[0]["model"], ranking, summary
 
 
@@ -194,16 +231,16 @@ def grid_search(
     metric = SCORINGS[scoring or default]
     combinations = param_combinations(grid)
     candidates = {str(i): spec.with_params(**p) for i, p in enumerate(combinations)}
-    best, ranking, _ = select_model(
-        candidates,
-        df,
-        roles,
-        primary_metric=metric.lstrip("-"),
-        n_splits=cv,
-        maximise=not metric.startswith("-"),
-        seed=seed,
-    )
-    top = ranking.first()
+    features = roles.features(df)
+    folded = _candidate_folds(candidates, df, roles, cv, seed)
+    try:
+        best, ranking, _ = _select(
+            candidates, folded, features, roles, metric.lstrip("-"), cv, not metric.startswith("-")
+        )
+        top = ranking.first()
+        # The folds hold every row, and they are cached.
+        fitted = candidates[best].fit(folded.drop("fold"), features, roles.target)
+    finally:
+        folded.unpersist()
     sign = -1.0 if metric.startswith("-") else 1.0
-    fitted = candidates[best].fit(df, roles.features(df), roles.target)
     return GridResult(combinations[int(best)], sign * top["mean"], ranking, fitted)

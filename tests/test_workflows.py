@@ -182,3 +182,31 @@ def test_matrix_job_over_datasets(spark, prepared, scratch):
         benchmark.best_run(out, "auroc", split="test")
     with pytest.raises(ValueError):
         benchmark.matrix_union([])
+
+
+def test_candidates_of_a_fold_share_their_preparation(spark, monkeypatch):
+    from cohortspark.operators import models
+    from cohortspark.plans import crossval
+
+    prepared, tasks = [], []
+    plain, make = models.fit_preprocessor, models.CATALOGUE["regression"]["ridge"]
+
+    def counted(train, *args, **kwargs):
+        prepared.append(train.count())
+        return plain(train, *args, **kwargs)
+
+    def watched(fit):
+        tasks.append(fit.rows.rdd.getNumPartitions())
+        return make(fit)
+
+    monkeypatch.setattr(models, "fit_preprocessor", counted)
+    monkeypatch.setitem(models.CATALOGUE["regression"], "ridge", watched)
+    rows = spark.range(0, 200, 1, 30).selectExpr("id", "cast(id % 10 as double) as x", "cast(id % 10 * 2 + id % 3 as double) as y")
+    found = crossval.grid_search(
+        models.build_model("regression", "ridge"), rows, Roles("id", "y"), {"alpha": [1000.0, 1.0, 10.0]}, cv=3
+    )
+    assert len(prepared) == 4  # once a fold and once for the best model of all rows
+    assert sorted(prepared)[-1] == 200
+    assert found.best_params == {"alpha": 1.0} and len(tasks) == 10
+    cores = spark.sparkContext.defaultParallelism
+    assert max(tasks[:9]) <= -(-cores // 3)
