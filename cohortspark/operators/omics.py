@@ -12,6 +12,8 @@ from cohortspark.operators.quantiles import exact_quantiles
 from cohortspark.roles import is_numeric_type
 from cohortspark.session import materialize
 
+ENTRIES_A_TASK = 500_000
+
 
 def to_long(df: DataFrame, id: str, values: str, *, keep: Sequence[str] = ()) -> DataFrame:
     """One row per (sample, feature position)."""
@@ -118,6 +120,15 @@ def obs_table(obs: DataFrame, cell: str, id: str = "sample_id") -> DataFrame:
     return obs.withColumnRenamed(cell, id)
 
 
+def dealt_alike(entries: DataFrame, cell: str, cells: DataFrame, id: str) -> tuple[DataFrame, DataFrame]:
+    """Entries and their cells in tasks of about ``ENTRIES_A_TASK`` entries, so that a join and sums by cell need no other shuffle.
+
+    The number of tasks follows the rows, not the session: what one task holds does not grow with the table.
+    """
+    tasks = max(1, -(-entries.count() // ENTRIES_A_TASK))
+    return entries.repartition(tasks, cell), cells.repartition(tasks, id)
+
+
 def qc_summary(
     counts: DataFrame,
     *,

@@ -160,3 +160,16 @@ def test_feature_scores_match_numpy(spark):
     assert [r_["feature"] for r_ in omics.top_features(omics.anova_scores(long), 2).collect()] == [0, 1]
     with pytest.raises(ValueError):
         omics.top_features(long, 0)
+
+
+def test_entries_of_a_task_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(omics, "ENTRIES_A_TASK", 100)
+    for n, tasks in ((350, 4), (3500, 35)):
+        entries = spark.range(n).selectExpr("id % 90 as cell", "id as gene")
+        cells = spark.range(90).selectExpr("id", "id % 3 as sample")
+        dealt, other = omics.dealt_alike(entries, "cell", cells, "id")
+        joined = dealt.join(other.hint("merge"), F.col("cell") == F.col("id"))
+        summed = joined.groupBy("sample", "cell", "gene").count().groupBy("sample", "cell").count()
+        assert summed.rdd.getNumPartitions() == tasks
+        assert summed.count() == 90
+    assert omics.dealt_alike(entries.limit(0), "cell", cells, "id")[0].rdd.getNumPartitions() == 1
