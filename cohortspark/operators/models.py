@@ -25,6 +25,7 @@ from cohortspark.roles import TRAINING_TASKS
 
 LABEL = "__label"
 VECTOR = "__features"
+WEIGHT = "__weight"
 
 # The default settings of every baseline.
 LOGISTIC = {"C": 1.0, "max_iter": 2000}
@@ -99,6 +100,7 @@ class _Fit:
     label_std: float
     seed: int
     params: dict
+    repeats: bool = False
 
 
 def _logistic(fit: _Fit):
@@ -143,15 +145,33 @@ def _boosting_params(fit: _Fit) -> dict:
     }
 
 
+def _boosted(fit: _Fit, kind, params: dict):
+    if not fit.repeats:
+        return kind(**params).fit(fit.rows)
+    # Equal inputs stand as one row with their number as weight. Squared loss sees only the mean of their values: the spread
+    # around it lies in no split. A leaf's least number of rows becomes its least weight.
+    if fit.classes:
+        rows = fit.rows.groupBy(VECTOR, LABEL).agg(F.count(F.lit(1)).cast("double").alias(WEIGHT))
+    else:
+        rows = fit.rows.groupBy(VECTOR).agg(F.avg(LABEL).alias(LABEL), F.count(F.lit(1)).cast("double").alias(WEIGHT))
+    least = max(0.0, (params["minInstancesPerNode"] - 0.5) / fit.n)
+    params = {**params, "minInstancesPerNode": 1, "minWeightFractionPerNode": least, "weightCol": WEIGHT}
+    rows = bounded(rows).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return kind(**params).fit(rows)
+    finally:
+        rows.unpersist()
+
+
 def _boosted_classes(fit: _Fit):
-    booster = GBTClassifier(**_boosting_params(fit))
     if fit.classes == 2:
-        return booster.fit(fit.rows)
+        return _boosted(fit, GBTClassifier, _boosting_params(fit))
+    booster = GBTClassifier(**_boosting_params(fit))
     return OneVsRest(classifier=booster, featuresCol=VECTOR, labelCol=LABEL, parallelism=min(fit.classes, SIDE_BY_SIDE)).fit(fit.rows)
 
 
 def _boosted_values(fit: _Fit):
-    return GBTRegressor(**_boosting_params(fit)).fit(fit.rows)
+    return _boosted(fit, GBTRegressor, _boosting_params(fit))
 
 
 def _neural(fit: _Fit, classes: int | None):
@@ -243,12 +263,22 @@ class Prepared:
     numeric_only: bool
     features: tuple[str, ...]
     labels: tuple
+    inputs: float  # (approximate) bound of the different encoded rows
     fits: int
 
     def release(self) -> None:
         self.rows.unpersist()
 
 
+#: Boosting counts equal rows first where there are at least so many rows to a possible input.
+REPEATED = 20
+
+
+def _repeats(ready: Prepared) -> bool:
+    """Whether rows repeat: a bound of the different inputs, from the values of every feature, against the rows."""
+    return ready.inputs * max(1, len(ready.labels)) * REPEATED <= ready.prep.totals["n_rows"]
+
+
 def numeric_only(spec: ModelSpec) -> bool:
     return spec.name == "mlp"
 
@@ -275,7 +305,7 @@ def prepare(spec: ModelSpec, train: DataFrame, features: Sequence[str], target:
     rows = bounded(prep.model.transform(encoded).select(VECTOR, LABEL), fits * _side_by_side(spec, labels))
     # Iterative solvers read the rows many times; lost blocks are rebuilt from the source.
     rows.persist(StorageLevel.MEMORY_AND_DISK)
-    return Prepared(prep, rows, spec.task, numeric_only(spec), tuple(features), labels, fits)
+    return Prepared(prep, rows, spec.task, numeric_only(spec), tuple(features), labels, prep.inputs, fits)
 
 
 def fit_model(spec: ModelSpec, train: DataFrame, features: Sequence[str], target: str) -> FittedModel:
@@ -307,7 +337,7 @@ def fit_prepared(spec: ModelSpec, ready: Prepared) -> FittedModel:
     std = 0.0
     if spec.task == "regression":
         std = (prep.totals["pop"] if width <= 4096 else prep.totals["samp"]) or 0.0
-    core = make(_Fit(data, prep.totals["n_rows"], width, len(labels), std, spec.seed, params))
+    core = make(_Fit(data, prep.totals["n_rows"], width, len(labels), std, spec.seed, params, _repeats(ready)))
     return FittedModel(
         spec.name, spec.task, ready.features, prep.slots, PipelineModel([*stages, core]), labels
     )

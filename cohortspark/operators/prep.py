@@ -293,6 +293,8 @@ class FittedPrep:
     slots: tuple[str, ...]
     output: str
     totals: Row
+    #: Different encoded rows at most, by the (approximate) distinct values of every feature and its missing ones.
+    inputs: float = float("inf")
 
 
 def fit_preprocessor(
@@ -352,7 +354,12 @@ def fit_preprocessor(
         stages.append(encoder_model)
         inputs += hot
     stages.append(VectorAssembler(inputCols=inputs, outputCol=output, handleInvalid="keep"))
-    return FittedPrep(PipelineModel(stages), tuple(slots), output, totals)
+    inputs = float("inf") if whole else 1.0
+    for i in range(len(numeric)):
+        inputs *= totals[f"d{i}"] + 1
+    for fit in texts.values():
+        inputs *= len(fit.categories) + 1
+    return FittedPrep(PipelineModel(stages), tuple(slots), output, totals, inputs)
 
 
 def apply_prep(prep: FittedPrep, df: DataFrame) -> DataFrame:

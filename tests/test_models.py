@@ -419,3 +419,35 @@ def test_solver_tasks_do_not_grow_with_the_table(spark, monkeypatch, classes, si
     with pytest.raises(InterruptedError):
         build_model("classification", "hist_gradient_boosting").fit(rows, ["x"], "y")
     assert seen == [-(-cores // side)]
+
+
+@pytest.mark.parametrize("task, target", [("classification", "hit"), ("regression", "y")])
+def test_boosting_counts_equal_rows(spark, monkeypatch, task, target):
+    sizes, plain = [], models._boosted
+
+    def watched(fit, kind, params):
+        fitted = plain(fit, lambda **p: Watched(kind(**p)), params)
+        return fitted
+
+    class Watched:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def fit(self, rows):
+            sizes.append(rows.count())
+            return self.inner.fit(rows)
+
+    monkeypatch.setattr(models, "_boosted", watched)
+    # The level a = 4 has 15 rows, fewer than a leaf needs.
+    rows = spark.range(3000).selectExpr(
+        "id", "cast(if(id < 15, 4, id % 4) as double) as a", "if(id % 50 = 0, null, cast(id % 3 as double)) as b",
+        "cast(id * 7 % 11 < id % 4 * 3 as int) as hit", "id % 4 * 2.0 + id * 13 % 17 as y",
+    )
+    scored = {}
+    for repeated in (10, 10**9):
+        monkeypatch.setattr(models, "REPEATED", repeated)
+        out = build_model(task, "hist_gradient_boosting", max_iter=5).fit(rows, ["a", "b"], target).transform(rows)
+        value = "score" if task == "classification" else "prediction"
+        scored[repeated] = np.array([r[0] for r in out.orderBy("id").select(value).collect()])
+    assert sizes[0] <= 30 and sizes[1] == 3000
+    np.testing.assert_allclose(scored[10], scored[10**9], atol=1e-9)
