@@ -14,6 +14,8 @@ and its page is kept whole; repeated rows are pages of their own; an empty table
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,11 +66,11 @@ def lines_sql(html: str) -> str:
 
 
 def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, line, n_pages, host_pages of every boilerplate line; ``pages`` has host and html."""
+    """host, line, n_pages, host_pages of every boilerplate line; ``pages`` has host and lines."""
     sited = pages.filter(F.col("host").isNotNull())
     totals = sited.groupBy("host").agg(F.count("*").alias("host_pages")).filter(F.col("host_pages") >= min_pages)
     seen = (
-        sited.select("host", F.explode(F.array_distinct(lines_of(F.col("html")))).alias("line"))
+        sited.select("host", F.explode(F.array_distinct("lines")).alias("line"))
         .groupBy("host", "line")
         .agg(F.count("*").alias("n_pages"))
         .filter("n_pages > 1")
@@ -82,24 +84,26 @@ def drop_site_lines(
     html_column: str = "html",
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """All columns of ``pages``, then host, n_lines, n_dropped and kept_text, which replace columns of those names."""
+    """The columns ``keep`` of ``pages`` (all), then host, n_lines, n_dropped and kept_text, which replace columns of those names."""
+    added = ("host", "n_lines", "n_dropped", "kept_text")
+    own = [c for c in (pages.columns if keep is None else keep) if c not in added]
     sited = pages.select(
-        F.struct("*").alias("all"), host_of(pages[url_column]).alias("host"), pages[html_column].alias("html")
+        F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)]).alias("all"), host_of(pages[url_column]).alias("host"), pages[html_column].alias("html")
     )
-    bad = boilerplate(sited.select("host", "html"), ratio, min_pages).groupBy("host").agg(F.collect_set("line").alias("bad"))
+    # The patterns are the work: lines are taken once and written next to their pages.
+    sited = materialize(sited.select("all", "host", F.col("html").isNotNull().alias("given"), lines_of(F.col("html")).alias("lines")), "lines")
+    bad = boilerplate(sited, ratio, min_pages).groupBy("host").agg(F.collect_set("line").alias("bad"))
     # Written first: the pages of a hot host then meet a small table where they are, or a join that AQE can split.
     bad = materialize(bad, "boilerplate")
     joined = sited.join(bad.withColumnRenamed("host", "site"), F.col("host") == F.col("site"), "left")
-    joined = joined.withColumns(
-        {"lines": lines_of(F.col("html")), "bad": F.coalesce("bad", F.array().cast("array<string>"))}
-    )
+    joined = joined.withColumn("bad", F.coalesce("bad", F.array().cast("array<string>")))
     joined = joined.withColumn("kept", F.filter("lines", lambda x: ~F.array_contains(F.col("bad"), x)))
-    added = ("host", "n_lines", "n_dropped", "kept_text")
     return joined.select(
-        *[F.col("all").getField(c).alias(c) for c in pages.columns if c not in added],
+        *[F.col("all").getField(f"c{i}").alias(c) for i, c in enumerate(own)],
         "host",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
-        F.when(F.col("html").isNotNull(), F.array_join("kept", "\n")).alias("kept_text"),
+        F.when(F.col("given"), F.array_join("kept", "\n")).alias("kept_text"),
     )

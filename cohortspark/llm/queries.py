@@ -70,7 +70,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_site_lines(table(spark, sf_dir, "pages")).select("page_id", "host", "n_lines", "n_dropped", "kept_text")
+    return drop_site_lines(table(spark, sf_dir, "pages"), keep=["page_id"])
 
 
 @query("op3_packing")

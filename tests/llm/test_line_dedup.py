@@ -37,3 +37,20 @@ def test_small_hosts_repeated_rows_and_hidden_text(spark):
 
 def test_empty_table(spark):
     assert drop_site_lines(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_lines_of_a_page_are_taken_once(spark, monkeypatch):
+    from cohortspark.llm import line_dedup
+
+    uses, plain = [], line_dedup.lines_of
+    monkeypatch.setattr(line_dedup, "lines_of", lambda html: uses.append(1) or plain(html))
+    rows = [(i, f"http://a.b/{i}", f"<p>menu</p><p>page {i}</p>", "more") for i in range(6)] + [(6, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string, other string")
+    whole = line_dedup.drop_site_lines(pages)
+    assert len(uses) == 1
+    assert whole.columns == ["page_id", "url", "html", "other", "host", "n_lines", "n_dropped", "kept_text"]
+    assert [tuple(r)[:4] for r in whole.orderBy("page_id").collect()] == rows
+    few = line_dedup.drop_site_lines(pages, keep=["page_id"])
+    assert few.columns == ["page_id", "host", "n_lines", "n_dropped", "kept_text"]
+    assert sorted(tuple(r) for r in few.collect())[0] == (0, "a.b", 2, 1, "page 0")
+    assert few.where("page_id = 6").first()["kept_text"] is None
