@@ -127,8 +127,8 @@ def expected(model: Model, flat: np.ndarray, lengths: np.ndarray) -> list[np.nda
         counts[0] += done.gamma[: done.first].sum(axis=0)
         counts[1] += done.moves
         counts[3] += done.likelihood.sum() / np.log(10)
-        for s in range(len(model.start)):
-            counts[2][s] += np.bincount(done.seen, weights=done.gamma[:, s], minlength=counts[2].shape[1])
+        for s, weights in enumerate(np.ascontiguousarray(done.gamma.T)):
+            counts[2][s] += np.bincount(done.seen, weights=weights, minlength=counts[2].shape[1])
     return counts
 
 
