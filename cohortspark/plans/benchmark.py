@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +99,25 @@ def matrix_sizes(rows: DataFrame) -> DataFrame:
     )
 
 
+def _matrix_rows(df, rows, definition, id, features, models, dataset, seed, params) -> list[tuple]:
+    require_gates(rows, id=id, group=definition.group_key)
+    sizes = matrix_sizes(rows).first()
+    digest = fingerprint(df, id)
+    out = []
+    for name in models:
+        spec = build_model(definition.task, name, seed=seed, **(params or {}).get(name, {}))
+        model = spec.fit(rows.where("split = 'train'"), features, definition.target)
+        held = rows.where("split = 'validation'")
+        n = sizes["n_validation"]
+        metrics = metric_dicts(model, held, definition.target, "split", n, definition.metrics)["validation"]
+        head = (dataset or definition.benchmark_id, definition.benchmark_id, definition.version, name)
+        tail = (sizes["n_train"], sizes["n_validation"], sizes["n_test"], digest)
+        for metric, value in metrics.items():
+            out.append((*head, "validation", metric, value, *tail))
+            out.append((*head, "test", metric, None, *tail))
+    return out
+
+
 def run_model_matrix(
     df: DataFrame,
     definition: BenchmarkDefinition,
@@ -121,23 +141,15 @@ def run_model_matrix(
         rows = matrix_split(df, definition, seed)
     else:
         rows = holdout_split(df, *holdout, definition.group_key, seed=seed)
-    require_gates(rows, id=id, group=definition.group_key)
     roles = definition.roles(id, (*exclude, *_held_column(holdout)))
     features = roles.features(df)
-    sizes = matrix_sizes(rows).first()
-    digest = fingerprint(df, id)
-    out = []
-    for name in models:
-        spec = build_model(definition.task, name, seed=seed, **(params or {}).get(name, {}))
-        model = spec.fit(rows.where("split = 'train'"), features, definition.target)
-        held = rows.where("split = 'validation'")
-        n = sizes["n_validation"]
-        metrics = metric_dicts(model, held, definition.target, "split", n, definition.metrics)["validation"]
-        head = (dataset or definition.benchmark_id, definition.benchmark_id, definition.version, name)
-        tail = (sizes["n_train"], sizes["n_validation"], sizes["n_test"], digest)
-        for metric, value in metrics.items():
-            out.append((*head, "validation", metric, value, *tail))
-            out.append((*head, "test", metric, None, *tail))
+    # Every model and gate reads the split rows: they are computed once.
+    used = dict.fromkeys((id, definition.group_key, definition.target, *features))
+    rows = rows.select(*[F.col(f"`{c}`") for c in used if c is not None], "split").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        out = _matrix_rows(df, rows, definition, id, features, models, dataset, seed, params)
+    finally:
+        rows.unpersist()
     return df.sparkSession.createDataFrame(out, RESULT_SCHEMA)
 
 

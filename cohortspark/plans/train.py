@@ -80,13 +80,19 @@ def train(cohort: Cohort, config: TrainingConfig, *, check_gates: bool = False)
     roles = cohort.roles
     features = roles.features(cohort.df)
     rows = split_cohort(cohort, config)
-    if check_gates:
-        require_gates(rows, id=roles.id, group=roles.group)
-    spec = build_model(config.task, config.model, seed=config.seed, **config.model_params)
-    model = spec.fit(rows.where("split = 'train'"), features, roles.target)
-    sizes = {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}
-    seen = rows.where(F.col("split").isin("train", "validation"))
-    metrics = metric_dicts(model, seen, roles.target, "split", sum(sizes.values()), config.metrics)
+    # Gates, preprocessing, encoding and scores each read the cohort: its joins and cuts are computed once.
+    used = [c for c in dict.fromkeys((roles.id, roles.group, roles.target, *features)) if c is not None]
+    kept = rows.select(*[F.col(f"`{c}`") for c in used], "split").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if check_gates:
+            require_gates(kept, id=roles.id, group=roles.group)
+        spec = build_model(config.task, config.model, seed=config.seed, **config.model_params)
+        sizes = {r["split"]: r["count"] for r in kept.groupBy("split").count().collect()}
+        model = spec.fit(kept.where("split = 'train'"), features, roles.target)
+        seen = kept.where(F.col("split").isin("train", "validation"))
+        metrics = metric_dicts(model, seen, roles.target, "split", sum(sizes.values()), config.metrics)
+    finally:
+        kept.unpersist()
     return TrainingResult(
         model=model,
         splits=rows.select(roles.id, "split"),

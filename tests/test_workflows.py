@@ -210,3 +210,27 @@ def test_candidates_of_a_fold_share_their_preparation(spark, monkeypatch):
     assert found.best_params == {"alpha": 1.0} and len(tasks) == 10
     cores = spark.sparkContext.defaultParallelism
     assert max(tasks[:9]) <= -(-cores // 3)
+
+
+def test_cohort_of_a_run_is_computed_once(spark, monkeypatch):
+    from cohortspark.plans import train as train_plan
+
+    kind = type(spark.range(1))
+    kept, plain = [], kind.persist
+
+    def persist(df, *args):
+        kept.append(set(df.columns))
+        return plain(df, *args)
+
+    monkeypatch.setattr(kind, "persist", persist)
+    rows = spark.range(400).selectExpr(
+        "id", "concat('g', id % 40) as grp", "cast(id % 7 as double) as x", "cast(id % 7 * 2 + id % 3 as double) as y", "id as unused"
+    )
+    cohort = Cohort(rows, Roles("id", "y", "grp", exclude=("unused",)))
+    result = train_plan.train(cohort, TrainingConfig("regression", "ridge", "y", "grp"), check_gates=True)
+    assert kept[0] == {"id", "grp", "y", "x", "split"}
+    assert sum(result.split_sizes.values()) == 400 and result.splits.count() == 400
+    definition = BenchmarkDefinition("b", "1", "regression", "y", "subject", "grp")
+    kept.clear()
+    benchmark.run_model_matrix(rows, definition, id="id", models=["ridge"], exclude=("unused",))
+    assert kept[0] == {"id", "grp", "y", "x", "split"}
