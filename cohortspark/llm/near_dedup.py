@@ -9,8 +9,8 @@ full sets. Links are closed to components.
 Buckets may be huge, so pairs are not listed: each bucket is compared with a leader, the member that shares most with others. Buckets
 whose members are one component after that are settled. In the others all are near their leader, so what a node does not share with it is small, and linked nodes have
 much of that in common: smaller buckets follow from it exactly (see ``delta_buckets``), in which nodes are compared with
-members of other components, a growing number of them per round until every bucket is settled. Every pair of a bucket is then compared or in one
-component. With 32 bands of 7 rows a pair at similarity 0.85 shares no bucket with probability 4e-6 (0.8: 5e-4), and ``miss`` bounds the loss
+members of other components, a growing number of them per round until every bucket is settled. Nodes that counts of what they share with nobody
+rule out are not compared (see ``within_reach``). Every other pair of a bucket is then compared or in one component. With 32 bands of 7 rows a pair at similarity 0.85 shares no bucket with probability 4e-6 (0.8: 5e-4), and ``miss`` bounds the loss
 after that.
 
 Defined cases: a text of fewer than ``words`` words is one shingle; a NULL text or one without words has the empty set and is
@@ -255,6 +255,43 @@ def deltas(still: DataFrame, hubs: DataFrame, labels: DataFrame, sets: DataFrame
     )
 
 
+def within_reach(delta: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``delta`` that may have a link left, with asks and meets: whether the node may be linked as one outside the
+    hub's component, and whether such a node may be linked with it.
+
+    Of the shingles of a delta, let u be in no other delta of that hub, and n in others. Linked x and y differ in ux + uy + |nx - ny|
+    shingles at least and in f (|x| + |y|) at most, so with g = u - f |x|, gx + gy + |nx - ny| <= 0. Per hub and n only the least g
+    counts, so what is searched for a partner is at most as long as a set, however many nodes there are.
+    """
+    f = (100 - percent) / (100 + percent)
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.binary_length(batch.column(2)).to_numpy().astype(np.int64) // 8
+            found = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
+            owners = (pa.array(np.repeat(batch.column(i).to_numpy(), sizes)) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*owners, pa.array(found)], names=["hub", "node", "item"])
+
+    alone = delta.select("hub", "node", "delta").mapInArrow(items, "hub long, node long, item long").groupBy("item")
+    alone = alone.agg(F.count("*").alias("n"), F.min("hub").alias("hub"), F.min("node").alias("node")).filter("n = 1")
+    alone = alone.groupBy("hub", "node").agg(F.count("*").alias("u"))
+    own = delta.select("hub", "node", "outside", "size", F.expr("octet_length(delta) div 8").alias("all")).join(alone, ["hub", "node"], "left")
+    u = F.coalesce("u", F.lit(0))
+    own = materialize(own.select("hub", "node", "outside", (F.col("all") - u).alias("n"), (u - F.lit(f) * F.col("size")).alias("g")), "own")
+    least = own.groupBy("hub", "n").agg(F.min("g").alias("any"), F.min(F.when(F.col("outside"), F.col("g"))).alias("asker"))
+    upto = Window.partitionBy("hub").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    since = Window.partitionBy("hub").orderBy("n").rowsBetween(0, Window.unboundedFollowing)
+    best = [
+        F.least(F.min(F.col(c) - F.col("n")).over(upto) + F.col("n"), F.min(F.col(c) + F.col("n")).over(since) - F.col("n")).alias(c)
+        for c in ("any", "asker")
+    ]
+    own = own.join(least.select("hub", "n", *best), ["hub", "n"])
+    asks = (F.col("outside") & (F.col("g") + F.col("any") <= 1e-6)).alias("asks")
+    meets = F.coalesce(F.col("g") + F.col("asker") <= 1e-6, F.lit(False)).alias("meets")
+    own = own.select("hub", "node", asks, meets).filter("asks or meets")
+    return materialize(delta.drop("outside").join(own, ["hub", "node"]), "reach")
+
+
 def delta_buckets(delta: DataFrame, percent: int) -> DataFrame:
     """bucket, node, weight, asks, meets: buckets in which every linked pair of two components that share a hub meets, one
     that asks (outside the hub's component) with one that it meets.
@@ -264,7 +301,9 @@ def delta_buckets(delta: DataFrame, percent: int) -> DataFrame:
     As x is not linked with c, |dx| > f (|x| + |c|), so t > (|dy| + f (|c| - |y|)) / 2; and as |dy| >= |dx| - B, t >= |dx| - B.
     In any one order, dx and dy then share one of the first |d| - t + 1 shingles of each, with the second bound for x, which asks, and
     the first for y, which is met. Rare ones come first (by a count of ``COUNTERS`` hashed counters); any order gives the same links.
+    Nodes that ``within_reach`` leaves out are in no bucket.
     """
+    delta = within_reach(delta, percent).select("hub_size", "size", "asks", "meets", "node", "delta")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
@@ -282,13 +321,13 @@ def delta_buckets(delta: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, found, asking, meeting = [], [], [], []
-            columns = (batch.column(i).to_pylist() for i in (0, 1, 2, 4))
-            for c, n, outside, node, cell in zip(*columns, batch.column(5), strict=True):
+            columns = (batch.column(i).to_pylist() for i in range(5))
+            for c, n, may_ask, may_meet, node, cell in zip(*columns, batch.column(5), strict=True):
                 d = np.frombuffer(cell.as_buffer(), np.uint64)
                 met = int(np.ceil((len(d) + f * (c - n)) / 2 - 1e-6))
                 ask = int(np.ceil(len(d) - f * (n + 100 * n / percent) - 1e-6))
                 meets, asks = (max(0, len(d) - max(1, t) + 1) for t in (met, ask))
-                asks = asks if outside else 0
+                meets, asks = meets if may_meet else 0, asks if may_ask else 0
                 most = max(meets, asks)
                 first = np.lexsort((d, order[(d % np.uint64(COUNTERS)).astype(np.int64)]))
                 found.append(d[first[:most]])

@@ -148,3 +148,42 @@ def test_hub_and_leaders_have_one_order(spark):
     sets = spark.createDataFrame([(1, cell(1, 2, 3)), (2, cell(1, 2, 4)), (3, cell(1, 5, 6))], "node long, shingles binary")
     found = near_dedup.deltas(still, hubs, labels, sets).select("hub", "node", "outside").collect()
     assert sorted(map(tuple, found)) == [(1, 2, False), (1, 3, True)]
+
+
+def delta_table(spark, hub, sets, linked):
+    """Differences of the sets from the hub, node 0; nodes in ``linked`` are of its component."""
+    rows = [(len(hub), len(s), i not in linked, 0, i, bytearray(np.array(sorted(hub ^ s), np.uint64).tobytes())) for i, s in sets.items()]
+    return spark.createDataFrame(rows, "hub_size long, size long, outside boolean, hub long, node long, delta binary")
+
+
+def linked_sets(a, b):
+    return 100 * len(a & b) >= 85 * len(a | b)
+
+
+def test_nodes_far_from_all_others_are_in_no_bucket(spark):
+    """Fifteen shingles of the hub are lost and fifteen new: any two differ in thirty at least, and twenty-four are allowed."""
+    draw, hub = random.Random(5), set(range(1000, 1148))
+    lost = [draw.randrange(1000, 1134) for _ in range(80)]
+    sets = {i: hub - set(range(at, at + 15)) | {10_000 + 15 * i + k for k in range(15)} for i, at in enumerate(lost, 1)}
+    assert not any(linked_sets(s, t) for i, s in sets.items() for j, t in sets.items() if i < j)
+    assert near_dedup.delta_buckets(delta_table(spark, hub, sets, ()), 85).isEmpty()
+
+
+def test_every_linked_pair_is_within_reach(spark):
+    draw, hub = random.Random(6), set(range(1000, 1148))
+    sets = {}
+    for i in range(1, 161):
+        old = sets[draw.randrange(1, i)] if i > 5 and draw.random() < 0.7 else hub
+        gone = set(draw.sample(sorted(old), draw.randrange(2, 22)))
+        sets[i] = (old - gone) | {draw.randrange(5000, 5400) for _ in range(draw.randrange(18))}
+    sets |= {200 + i: hub | set(range(20_000 + 40 * i, 20_040 + 40 * i)) for i in range(20)}  # forty that nobody else has
+    near = {i for i, s in sets.items() if linked_sets(s, hub)}
+    delta = delta_table(spark, hub, sets, near)
+    left = {r["node"]: r for r in near_dedup.within_reach(delta, 85).collect()}
+    members = {}
+    for r in near_dedup.delta_buckets(delta, 85).collect():
+        members.setdefault(r["bucket"], []).append((r["node"], r["asks"], r["meets"]))
+    met = {(x, y) for own in members.values() for x, asks, _ in own for y, _, meets in own if asks and meets}
+    pairs = [(x, y) for x in sets for y in sets if x != y and x not in near and linked_sets(sets[x], sets[y])]
+    assert len(pairs) > 30 and all(left[x]["asks"] and left[y]["meets"] for x, y in pairs)
+    assert set(pairs) <= met and not any(i >= 200 for i in left)
