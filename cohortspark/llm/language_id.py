@@ -38,7 +38,7 @@ LEXICON_TEXTS = 3
 PIECE_WORDS, SEQUENCE_WORDS = 16, 64
 STEPS, RATE, SHRINK = 40, 0.1, 1e-4
 #: Bytes of text that are labelled at a time: features and posteriors take about fifty times as much.
-LABEL_BYTES = 2 << 20
+LABEL_BYTES = 1 << 20
 #: What is trimmed from the ends of a word: ASCII punctuation and digits.
 TRIM = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
 

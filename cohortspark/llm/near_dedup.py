@@ -43,6 +43,8 @@ MISS = 1e-7
 LEADERS = 32
 #: Hashed counters for the order of shingles.
 COUNTERS = 1 << 18
+#: Bytes of text that are shingled at a time: words, hashes and sets take about twenty times as much.
+SHINGLE_BYTES = 2 << 20
 
 _draw = np.random.default_rng(20240607)
 _A = _draw.integers(0, 1 << 31, BANDS * BAND_ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -128,7 +130,7 @@ def sketches(docs: DataFrame, id_column: str, text_column: str, words: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for ids, texts in steps(iter([batch])):
+            for ids, texts in steps(iter([batch]), SHINGLE_BYTES):
                 counts, keys, found = [], [], []
                 for shingles in shingle_sets(texts, words):
                     counts.append(len(shingles))
@@ -187,7 +189,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, at = batch.column(2).to_pylist(), 0
-            for nodes, texts in steps(iter([batch])):
+            for nodes, texts in steps(iter([batch]), SHINGLE_BYTES):
                 sets = [s.tobytes() for s in shingle_sets(texts, words)]
                 same = [hashlib.blake2b(s, digest_size=16).digest() == keys[at + i] for i, s in enumerate(sets)]
                 at += len(sets)

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -187,3 +188,15 @@ def test_every_linked_pair_is_within_reach(spark):
     pairs = [(x, y) for x in sets for y in sets if x != y and x not in near and linked_sets(sets[x], sets[y])]
     assert len(pairs) > 30 and all(left[x]["asks"] and left[y]["meets"] for x, y in pairs)
     assert set(pairs) <= met and not any(i >= 200 for i in left)
+
+
+def test_memory_of_a_batch(prose):
+    """A batch of 8 MB is shingled a part at a time: what numpy and Python hold, without the texts, stays under 24 MB."""
+    texts = pa.array([prose(i, 2000) for i in range(64)])
+    texts = pa.concat_arrays([texts] * (1 + (8 << 20) // texts.nbytes))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], names=["id", "text"])
+    tracemalloc.start()
+    n = sum(len(s) > 0 for _, some in steps(iter([batch]), near_dedup.SHINGLE_BYTES) for s in near_dedup.shingle_sets(some, 5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(texts) and peak < 24 << 20, peak
