@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from cohortspark.llm.components import components
 from cohortspark.llm.packing import steps
 from cohortspark.llm.rows import kept_rows
-from cohortspark.session import materialize
+from cohortspark.session import materialize, small_batches
 
 BANDS, BAND_ROWS, BATCH = 32, 7, 32
 #: Chosen probability of giving up a pair that reaches the threshold.
@@ -411,6 +411,11 @@ def near_groups(
     miss: float = MISS,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, tag."""
+    with small_batches(docs.sparkSession):  # all that runs Python is written in there
+        return _near_groups(docs, words, percent, id_column, text_column, miss)
+
+
+def _near_groups(docs: DataFrame, words: int, percent: int, id_column: str, text_column: str, miss: float) -> DataFrame:
     known = materialize(sketches(docs, id_column, text_column, words), "sketches")
     classes = known.filter("n_shingles > 0").groupBy("key").agg(F.min("row").alias("node"))
     classes = materialize(classes, "classes")

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch inside ``small_batches``. Spark's own limits (10,000 rows, 64 MB) let a batch of texts or sets take tens of MB,
+#: of which the executor holds a copy that grows and the worker two or three.
+BATCH_BYTES = 4 << 20
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
@@ -62,3 +68,20 @@ def materialize(df, name: str = "table"):
     path = scratch_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows go to Python ``BATCH_BYTES`` at a time (or one longer row) in what runs inside; the session's own limit holds again after it.
+
+    Only for work whose result does not depend on the batches. What is merely planned inside and runs later is not bound.
+    """
+    before = spark.conf.get(BATCH_KEY, None)
+    spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_KEY)
+        else:
+            spark.conf.set(BATCH_KEY, before)

@@ -26,7 +26,7 @@ from cohortspark.llm.mixing import in_mixed_order
 from cohortspark.llm.near_dedup import drop_near_copies
 from cohortspark.llm.packing import digests, pack
 from cohortspark.llm.queries import remainder_of_id
-from cohortspark.session import materialize
+from cohortspark.session import materialize, small_batches
 
 #: What the mean of the words' largest posteriors must reach.
 LEAST_SURE = 0.5
@@ -36,7 +36,8 @@ TOKENIZER = "word_bpe_49k.json"
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = labelled(docs, fitted(docs, remainder_of_id(4) != 2), sure=True)
     kept = found.filter(f"lang_pred <> 'und' AND lang_sure >= {LEAST_SURE}")
-    return kept.select(*docs.columns)
+    with small_batches(spark):  # holds for what is written in there
+        return materialize(kept.select(*docs.columns), "language")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

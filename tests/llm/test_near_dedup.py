@@ -10,6 +10,7 @@ from cohortspark.llm import near_dedup
 from cohortspark.llm.components import components
 from cohortspark.llm.near_dedup import drop_near_copies, least_agreements, near_groups, words_of
 from cohortspark.llm.packing import steps
+from cohortspark.session import BATCH_BYTES, BATCH_KEY, small_batches
 
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 
@@ -200,3 +201,32 @@ def test_memory_of_a_batch(prose):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == len(texts) and peak < 24 << 20, peak
+
+
+def test_batches_are_small_inside_only(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [len(batch)], "bytes": [batch.nbytes]})
+
+    before = spark.conf.get(BATCH_KEY, None)
+    # Pairs of sets as ``confirmed`` gets them, and one cell beyond the limit.
+    cell = "case when id = 2000 then repeat('y', 9000000) else repeat('x', 4000) end as cell"
+    rows = spark.range(0, 6000, 1, 1).selectExpr("id", cell)
+    with pytest.raises(ZeroDivisionError), small_batches(spark):
+        found = rows.mapInArrow(sizes, "rows long, bytes long").collect()
+        raise ZeroDivisionError
+    assert spark.conf.get(BATCH_KEY, None) == before
+    assert sum(r["rows"] for r in found) == 6000 and len(found) > 5
+    assert max(r["bytes"] for r in found) < BATCH_BYTES + 9_100_000
+    assert sorted(r["bytes"] for r in found)[-2] < BATCH_BYTES + 100_000
+
+
+def test_tables_are_written_in_small_batches(spark, make_docs, prose, monkeypatch):
+    seen, rows = [], corpus(prose)
+    usual = sorted(map(tuple, near_groups(make_docs(rows)).drop("tag").collect()), key=str)
+    write = near_dedup.materialize
+    monkeypatch.setattr(near_dedup, "materialize", lambda df, name: (seen.append((name, spark.conf.get(BATCH_KEY, None))), write(df, name))[1])
+    monkeypatch.setattr("cohortspark.session.BATCH_BYTES", 1)  # a row at a time
+    found = near_groups(make_docs(rows))
+    assert {"sketches", "sets", "confirmed", "deltas"} <= {name for name, _ in seen} and {n for _, n in seen} == {"1"}
+    assert sorted(map(tuple, found.drop("tag").collect()), key=str) == usual

@@ -4,6 +4,7 @@ import pytest
 from test_near_dedup import brute
 
 from cohortspark.llm.mixing import mix
+from cohortspark.session import BATCH_BYTES, BATCH_KEY
 
 if importlib.util.find_spec("corpus_pipeline") is None:
     pytest.skip("the pipeline is not installed", allow_module_level=True)
@@ -67,3 +68,11 @@ def test_text_of_three_languages_stays(spark, make_docs, prose):
     rows += [(100, mixed, None, "s"), (101, "123", None, "s")]
     found = {r["doc_id"] for r in corpus_pipeline.language(spark, make_docs(rows), SF).collect()}
     assert found == set(range(60)) | {100}
+
+
+def test_language_goes_in_small_batches(spark, make_docs, prose, monkeypatch):
+    seen, write, before = [], corpus_pipeline.materialize, spark.conf.get(BATCH_KEY, None)
+    monkeypatch.setattr(corpus_pipeline, "materialize", lambda df, name: (seen.append(spark.conf.get(BATCH_KEY, None)), write(df, name))[1])
+    docs = make_docs([(i, prose(i, 60), "xx", "s") for i in range(20)] + [(40, None, "xx", "s")])
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, SF).collect()} == set(range(20))
+    assert seen == [str(BATCH_BYTES)] and spark.conf.get(BATCH_KEY, None) == before
