@@ -1,5 +1,9 @@
+import random
+import tracemalloc
+
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -81,3 +85,16 @@ def test_costs_are_close(prose):
     _, sizes, cost = pack_block(draw.integers(20, 900, 3000), 2048)
     full = cost[sizes == 2048]
     assert full.std() / full.mean() < 0.05
+
+
+def test_memory_of_a_step():
+    draw = random.Random(5)
+    words = [f"w{i}" for i in range(500)]
+    texts = pa.array([" ".join(draw.choices(words, k=5000)) for _ in range(400)])
+    encode = packing.WordTokens(PATH)
+    batch = pa.RecordBatch.from_arrays([pa.nulls(len(texts)), texts], names=["i", "text"])
+    tracemalloc.start()
+    n = sum(len(encode(some)[1]) for _, some in packing.steps(iter([batch]), packing.PACK_BYTES))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 400 and most < 80 << 20, most >> 20

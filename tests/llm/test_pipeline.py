@@ -72,7 +72,11 @@ def test_text_of_three_languages_stays(spark, make_docs, prose):
 
 def test_language_goes_in_small_batches(spark, make_docs, prose, monkeypatch):
     seen, write, before = [], corpus_pipeline.materialize, spark.conf.get(BATCH_KEY, None)
-    monkeypatch.setattr(corpus_pipeline, "materialize", lambda df, name: (seen.append(spark.conf.get(BATCH_KEY, None)), write(df, name))[1])
-    docs = make_docs([(i, prose(i, 60), "xx", "s") for i in range(20)] + [(40, None, "xx", "s")])
-    assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, SF).collect()} == set(range(20))
-    assert seen == [str(BATCH_BYTES)] and spark.conf.get(BATCH_KEY, None) == before
+    monkeypatch.setattr(corpus_pipeline, "materialize", lambda df, name: (seen.append((df.columns, spark.conf.get(BATCH_KEY, None))), write(df, name))[1])
+    rows = [(i, prose(i, 60), "xx", "s") for i in range(20)] + [(None, prose(3, 60), "xx", "s")] * 2 + [(3, "123", "xx", "s")]
+    docs = make_docs(rows + [(40, None, "xx", "s"), (None, None, "xx", "s"), (None, "", None, None)])
+    found = corpus_pipeline.language(spark, docs, SF)
+    assert found.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=str) == sorted((r[:2] for r in rows[:22]), key=str)
+    # Texts are not written once more: only what is left out is.
+    assert seen == [(["id", "tag"], str(BATCH_BYTES))] and spark.conf.get(BATCH_KEY, None) == before
