@@ -10,11 +10,13 @@ are only ever compared from anchors on, as with the residues of a fixed differen
    byte of them moves again.
 2. Where anchors of one gram have several names, the first suffix of each name is compared byte by byte: the windows it
    owns (the suffixes that were not sampled) are merged into one order by their strings, neighbours are compared, and of equal ones
-   all but the first are covered.
+   all but the first are covered. Where one gram has more than ``HOT_NAMES`` names, which grow with the corpus, its windows are dealt
+   one by one instead, by gram and a hash of the window, and all but the first of a kind are covered.
 3. Covered windows are joined to runs per document and cut out of the text.
 
 Defined cases: NULL text is the empty text; a text shorter than ``LENGTH`` bytes loses nothing; matches never cross documents; a NULL id comes
 before all others; rows that repeat an id are ordered by their text; an empty table gives an empty result; other columns are not read.
+A worker hashes ``STEP_BYTES`` of text at a time, also of one long text, and compares ``HELD_BYTES`` of suffixes and what is left of one gram.
 """
 
 from __future__ import annotations
@@ -29,11 +31,15 @@ from pyspark.sql import functions as F
 
 from cohortspark.llm.packing import steps
 from cohortspark.llm.rows import written
-from cohortspark.session import materialize
+from cohortspark.session import materialize, small_batches
 
 LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1  # gram starts in a window
-STEP_BYTES = 2 << 20
+#: Bytes of text that are hashed at a time (hashes and places take 64 times as much), bytes of suffixes that a worker gathers
+#: before it compares them, and suffixes whose windows are hashed at a time.
+STEP_BYTES, HELD_BYTES, BLOCK = 1 << 19, 1 << 20, 2048
+#: Names of one gram that are compared in one task (1500 bytes each at most).
+HOT_NAMES = 20_000
 
 _draw = np.random.default_rng(417)
 _BYTE = _draw.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -100,7 +106,23 @@ def anchors(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return document, grams[place], names, place - starts[document], place - first, place - last
 
 
-def _texts(batch: pa.RecordBatch, column: int, size: int = STEP_BYTES) -> Iterator[tuple[int, pa.Array]]:
+def anchors_by_piece(text: np.ndarray, ends: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same as ``anchors``; a document of more than ``size`` bytes, which then is the only one, comes in pieces of as many."""
+    size = max(size, 4 * LENGTH)
+    if len(ends) > 1 or len(text) <= size:
+        yield anchors(text, ends)
+        return
+    start = 0
+    while start + size < len(text):
+        document, gram, name, place, ahead, behind = anchors(text[start : start + size], np.array([size]))
+        # The last anchor may own windows beyond the piece, so the next piece begins with its first one.
+        yield document[:-1], gram[:-1], name[:-1], start + place[:-1], ahead[:-1], behind[:-1]
+        start += int(place[-1] - ahead[-1])
+    document, gram, name, place, ahead, behind = anchors(text[start:], np.array([len(text) - start]))
+    yield document, gram, name, start + place, ahead, behind
+
+
+def _texts(batch: pa.RecordBatch, column: int, size: int) -> Iterator[tuple[int, pa.Array]]:
     """Row number of the first text and the texts, a bounded number of bytes at a time."""
     pair = pa.RecordBatch.from_arrays([batch.column(column), batch.column(column)], names=["a", "text"])
     row = 0
@@ -120,11 +142,12 @@ def sampled(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for row, texts in _texts(batch, 1):
-                document, gram, name, place, ahead, behind = anchors(*_joined(texts))
-                columns = [gram.view(np.int64), name.view(np.int64), ids[row + document]]
-                columns += [place.astype(np.int32), ahead.astype(np.int8), behind.astype(np.int8)]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=names)
+            for row, texts in _texts(batch, 1, STEP_BYTES):
+                for document, gram, name, place, ahead, behind in anchors_by_piece(*_joined(texts), STEP_BYTES):
+                    columns = [gram.view(np.int64), name.view(np.int64), ids[row + document]]
+                    columns += [place.astype(np.int32), ahead.astype(np.int8), behind.astype(np.int8)]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=names)
+        pa.default_memory_pool().release_unused()  # the worker may serve other steps next
 
     names = ["gram", "name", "doc", "place", "ahead", "behind"]
     return docs.select("doc", "text").mapInArrow(
@@ -132,31 +155,72 @@ def sampled(docs: DataFrame) -> DataFrame:
     )
 
 
+def window_keys(text: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of every window of suffixes of ``size`` bytes laid end to end, from the one farthest ahead of the anchor on."""
+    keys = []
+    for at in range(0, len(size), BLOCK):
+        own = size[at : at + BLOCK]
+        count, first = own - LENGTH + 1, np.cumsum(own) - own
+        start = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        keys.append(Rolling(text[: own.sum()])(start, start + LENGTH))
+        text = text[own.sum() :]
+    return np.concatenate(keys) if keys else np.empty(0, np.uint64)
+
+
+SUFFIX = "gram long, key long, doc long, place int, ahead byte, behind byte, bytes binary"
+
+
 def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The ``wanted`` suffixes (doc and a list ``asked`` of gram, place, ahead, behind) with the bytes of their windows."""
+    """The ``wanted`` suffixes (doc and a list ``asked`` of gram, place, ahead, behind, hot) with the bytes of their windows.
+
+    A hot suffix gives a row for each window, with the window's hash as ``key`` and no bytes; others have no key.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, asked = batch.column(0).to_numpy(), batch.column(2)
-            for row, texts in _texts(batch, 1):
+            for row, texts in _texts(batch, 1, STEP_BYTES):
                 text, ends = _joined(texts)
                 own = asked.slice(row, len(texts))
                 flat = own.flatten()
                 count = np.diff(own.offsets.to_numpy())
-                gram, place, ahead, behind = (flat.field(i) for i in range(4))
-                middle = place.to_numpy() + np.repeat(np.concatenate([[0], ends[:-1]]), count)
-                left = middle - ahead.to_numpy()
-                right = middle - behind.to_numpy() + LENGTH
+                doc, shift = (np.repeat(x, count) for x in (ids[row : row + len(texts)], np.concatenate([[0], ends[:-1]])))
+                fields = [flat.field(i).to_numpy(zero_copy_only=False) for i in range(5)]
                 raw = text.tobytes()
-                cells = [raw[a:b] for a, b in zip(left.tolist(), right.tolist(), strict=True)]
-                columns = [gram, pa.array(np.repeat(ids[row : row + len(texts)], count)), place, ahead, behind]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(cells, pa.binary())], names=names)
-
-    names = ["gram", "doc", "place", "ahead", "behind", "bytes"]
+                for at in range(0, len(flat), BLOCK):
+                    yield from cut(raw, shift[at : at + BLOCK], doc[at : at + BLOCK], *(x[at : at + BLOCK] for x in fields))
+        pa.default_memory_pool().release_unused()
+
+    def cut(raw: bytes, shift: np.ndarray, doc: np.ndarray, *fields: np.ndarray) -> Iterator[pa.RecordBatch]:
+        gram, place, ahead, behind, hot = fields
+        left, right = shift + place - ahead, shift + place - behind + LENGTH
+        some = np.flatnonzero(~hot)
+        cells = [raw[a:b] for a, b in zip(left[some].tolist(), right[some].tolist(), strict=True)]
+        columns = [gram[some], pa.nulls(len(some), pa.int64()), *(x[some] for x in (doc, place, ahead, behind))]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(cells, pa.binary())], names=names)
+        some = np.flatnonzero(hot)
+        if len(some):
+            cells = b"".join(raw[a:b] for a, b in zip(left[some].tolist(), right[some].tolist(), strict=True))
+            keys = window_keys(np.frombuffer(cells, np.uint8), right[some] - left[some])
+            of = np.repeat(some, ahead[some].astype(np.int64) - behind[some] + 1)
+            d = (ahead[of] - (np.arange(len(of)) - np.searchsorted(of, of))).astype(np.int8)
+            columns = [gram[of], keys.view(np.int64), doc[of], place[of], d, d, pa.nulls(len(of), pa.binary())]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=names)
+
+    names = [x.split()[0] for x in SUFFIX.split(", ")]
     joined = docs.join(wanted.withColumnRenamed("doc", "of"), F.col("doc") == F.col("of"))
-    return joined.select("doc", "text", "asked").mapInArrow(
-        run, "gram long, doc long, place int, ahead byte, behind byte, bytes binary"
-    )
+    return joined.select("doc", "text", "asked").mapInArrow(run, SUFFIX)
+
+
+def _laid_out(cells: pa.ChunkedArray) -> np.ndarray:
+    """The bytes of binary cells end to end."""
+    parts = [np.empty(0, np.uint8)]
+    for chunk in cells.cast(pa.binary()).chunks:
+        if len(chunk):
+            _, ends, raw = chunk.buffers()
+            ends = np.frombuffer(ends, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            parts.append(np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]])
+    return np.concatenate(parts)
 
 
 def merged(suffixes: pa.Table) -> tuple[np.ndarray, ...]:
@@ -164,11 +228,11 @@ def merged(suffixes: pa.Table) -> tuple[np.ndarray, ...]:
     n = len(suffixes)
     gram, doc, place = (suffixes[c].to_numpy() for c in ("gram", "doc", "place"))
     ahead, behind = (suffixes[c].to_numpy().astype(np.int64) for c in ("ahead", "behind"))
-    raw = b"".join(suffixes["bytes"].to_pylist())
-    text = np.frombuffer(raw, np.uint8)
+    text = _laid_out(suffixes["bytes"])
     size = ahead - behind + LENGTH
     first = np.cumsum(size) - size
-    rolling = Rolling(text) if n else None
+    keys = window_keys(text, size)
+    first_key = first - np.arange(n) * (LENGTH - 1)
     # Suffixes in order of where they stand, so that the first of equal windows is the earliest.
     rank = np.empty(n, np.int64)
     rank[np.lexsort((place, doc))] = np.arange(n)
@@ -177,15 +241,14 @@ def merged(suffixes: pa.Table) -> tuple[np.ndarray, ...]:
         own = np.flatnonzero((ahead >= d) & (behind <= d))
         if len(own) < 2:
             continue
-        start = first[own] + ahead[own] - d
-        key = rolling(start, start + LENGTH)
+        start, key = first[own] + ahead[own] - d, keys[first_key[own] + ahead[own] - d]
         order = np.lexsort((rank[own], key, gram[own]))
         own, start, key = own[order], start[order], key[order]
         like = np.flatnonzero((key[1:] == key[:-1]) & (gram[own[1:]] == gram[own[:-1]]))
         if not len(like):
             continue
         within = np.arange(LENGTH)
-        for part in np.array_split(like, -(-len(like) // 20_000)):
+        for part in np.array_split(like, -(-len(like) // BLOCK)):
             same = (text[start[part][:, None] + within] == text[start[part + 1][:, None] + within]).all(axis=1)
             later = own[part[same] + 1]
             far[later] = np.maximum(far[later], d)
@@ -194,19 +257,41 @@ def merged(suffixes: pa.Table) -> tuple[np.ndarray, ...]:
     return doc[hit], place[hit] - far[hit], place[hit] - near[hit] + LENGTH
 
 
+def covered_in_order(batches: Iterator[pa.RecordBatch], held_bytes: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """doc, start, end of what is covered among suffixes in order of key, gram, document and place; those without a key come first."""
+    held, heavy, before = [], 0, (None, None)
+    for batch in batches:
+        plain = batch.slice(0, batch.column(1).null_count)
+        if len(plain):
+            gram = plain.column(0).to_numpy()
+            at = int(np.searchsorted(gram, gram[-1]))  # where the last gram begins
+            if heavy >= held_bytes and (at or gram[0] != held[-1].column(0)[-1].as_py()):
+                yield merged(pa.Table.from_batches([*held, plain.slice(0, at)]))
+                held, heavy, plain = [], 0, plain.slice(at)
+            held.append(plain)
+            heavy += plain.nbytes
+        hot = batch.slice(batch.column(1).null_count)
+        if len(hot):
+            gram, key, doc, place, d = (hot.column(i).to_numpy() for i in range(5))
+            same = np.concatenate([[(gram[0], key[0]) == before], (gram[1:] == gram[:-1]) & (key[1:] == key[:-1])])
+            before = gram[-1], key[-1]
+            start = place[same] - d[same]
+            yield doc[same], start, start + LENGTH
+    if held:
+        yield merged(pa.Table.from_batches(held))
+
+
 def covered_by_merge(suffixes: DataFrame) -> DataFrame:
-    """doc, start, end; the suffixes of a gram meet in one task."""
+    """doc, start, end; the suffixes of a gram, or the windows of a key, meet in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if held:
-            doc, start, end = merged(pa.Table.from_batches(held))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))],
-                names=["doc", "start", "end"],
-            )
+        for doc, start, end in covered_in_order(batches, HELD_BYTES):
+            columns = [doc.astype(np.int64), start.astype(np.int32), end.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["doc", "start", "end"])
+        pa.default_memory_pool().release_unused()
 
-    return suffixes.repartition("gram").mapInArrow(run, "doc long, start int, end int")
+    dealt = suffixes.repartition("gram", "key").sortWithinPartitions("key", "gram", "doc", "place")
+    return dealt.mapInArrow(run, "doc long, start int, end int")
 
 
 def numbered(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -235,12 +320,12 @@ def repeats(docs: DataFrame) -> DataFrame:
         sampled(docs)
         .repartition("gram")
         .withColumn("place_in_name", F.row_number().over(in_order))
-        .withColumns({"low": F.min("name").over(same_gram), "high": F.max("name").over(same_gram)})
-        .filter("place_in_name > 1 OR low <> high")
-    )
-    ranked = written(
-        ranked.select("gram", "doc", "place", "ahead", "behind", (F.col("place_in_name") > 1).alias("covered")), "ranked"
+        .withColumn("names", F.count(F.when(F.col("place_in_name") == 1, 1)).over(same_gram))
+        .filter("place_in_name > 1 OR names > 1")
     )
+    state = [(F.col("place_in_name") > 1).alias("covered"), (F.col("names") > HOT_NAMES).alias("hot")]
+    with small_batches(spark):  # holds for what is written in there
+        ranked = written(ranked.select("gram", "doc", "place", "ahead", "behind", *state), "ranked")
     _free_shuffles(spark)
     whole = ranked.filter("covered").select(
         "doc",
@@ -250,9 +335,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     wanted = (
         ranked.filter("not covered")
         .groupBy("doc")
-        .agg(F.collect_list(F.struct("gram", "place", "ahead", "behind")).alias("asked"))
+        .agg(F.collect_list(F.struct("gram", "place", "ahead", "behind", "hot")).alias("asked"))
     )
-    partly = written(covered_by_merge(contexts(docs, wanted)), "partly")
+    with small_batches(spark):
+        partly = written(covered_by_merge(contexts(docs, wanted)), "partly")
     _free_shuffles(spark)
     return whole.unionByName(partly).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
@@ -265,29 +351,33 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, removed, runs, kept = [], [], [], []
-            for text, spans in zip(batch.column(1), batch.column(2), strict=True):
-                raw = text.as_py().encode() if text.is_valid else b""
-                gone, count, parts, end = 0, 0, [], 0
-                if spans.is_valid:
-                    flat = spans.values
-                    start, stop = (flat.field(i).to_numpy() for i in range(2))
-                    order = np.argsort(start, kind="stable")
-                    start, stop = start[order], np.maximum.accumulate(stop[order])
-                    head = np.concatenate([[True], start[1:] > stop[:-1]])
-                    for a, b in zip(start[head].tolist(), stop[np.concatenate([head[1:], [True]])].tolist(), strict=True):
-                        parts.append(raw[end:a])
-                        gone, count, end = gone + b - a, count + 1, b
-                parts.append(raw[end:])
-                sizes.append(len(raw))
-                removed.append(gone)
-                runs.append(count)
-                kept.append(b"".join(parts))
-            numbers = [pa.array(x, pa.int64()) for x in (sizes, removed, runs)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *numbers, pa.array(kept, pa.binary())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
-            )
+            for row, texts in _texts(batch, 1, STEP_BYTES):
+                yield cut(batch.column(0).slice(row, len(texts)), texts, batch.column(2).slice(row, len(texts)))
+        pa.default_memory_pool().release_unused()
+
+    def cut(ids: pa.Array, texts: pa.Array, found: pa.Array) -> pa.RecordBatch:
+        sizes, removed, runs, kept = [], [], [], []
+        for text, spans in zip(texts, found, strict=True):
+            raw = text.as_py().encode() if text.is_valid else b""
+            gone, count, parts, end = 0, 0, [], 0
+            if spans.is_valid:
+                flat = spans.values
+                start, stop = (flat.field(i).to_numpy() for i in range(2))
+                order = np.argsort(start, kind="stable")
+                start, stop = start[order], np.maximum.accumulate(stop[order])
+                head = np.concatenate([[True], start[1:] > stop[:-1]])
+                for a, b in zip(start[head].tolist(), stop[np.concatenate([head[1:], [True]])].tolist(), strict=True):
+                    parts.append(raw[end:a])
+                    gone, count, end = gone + b - a, count + 1, b
+            parts.append(raw[end:])
+            sizes.append(len(raw))
+            removed.append(gone)
+            runs.append(count)
+            kept.append(b"".join(parts))
+        numbers = [pa.array(x, pa.int64()) for x in (sizes, removed, runs)]
+        return pa.RecordBatch.from_arrays(
+            [ids, *numbers, pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
+        )
 
     joined = plain.join(found.withColumnRenamed("doc", "of"), F.col("doc") == F.col("of"), "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(
