@@ -39,7 +39,7 @@ SPAN = LENGTH - GRAM + 1  # gram starts in a window
 #: before it compares them, and suffixes whose windows are hashed at a time.
 STEP_BYTES, HELD_BYTES, BLOCK = 1 << 19, 1 << 20, 2048
 #: Names of one gram that are compared in one task (1500 bytes each at most).
-HOT_NAMES = 20_000
+HOT_NAMES = 50_000
 
 _draw = np.random.default_rng(417)
 _BYTE = _draw.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
